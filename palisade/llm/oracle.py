@@ -33,4 +33,35 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
-ORACLE_SQL: dict[str, str] = {"op9_quality_rules": QUALITY}
+CONTAINMENT = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM benchmark),
+widths AS (SELECT DISTINCT least(5, len(ws)) AS w FROM b WHERE len(ws) > 0),
+dg AS (SELECT DISTINCT doc_id, w, array_to_string(ws[i:i + w - 1], ' ') AS g FROM (SELECT doc_id, ws, w, unnest(range(1, len(ws) - w + 2)) AS i FROM d, widths WHERE len(ws) >= w)),
+bg AS (SELECT DISTINCT item_id, w, array_to_string(ws[i:i + w - 1], ' ') AS g FROM (SELECT item_id, ws, least(5, len(ws)) AS w, unnest(range(1, len(ws) - least(5, len(ws)) + 2)) AS i FROM b WHERE len(ws) > 0)),
+n AS (SELECT item_id, count(*) AS n_item FROM bg GROUP BY item_id)
+SELECT dg.doc_id, bg.item_id, CAST(any_value(n_item) AS BIGINT) AS n_item, CAST(count(*) AS BIGINT) AS n_found, count(*) / any_value(n_item) AS containment
+FROM bg JOIN dg ON bg.w = dg.w AND bg.g = dg.g JOIN n ON n.item_id = bg.item_id
+GROUP BY dg.doc_id, bg.item_id HAVING count(*) >= 0.8 * any_value(n_item) - 1e-9
+"""
+
+MIXING = """
+WITH size AS (SELECT source, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS size FROM documents GROUP BY source),
+raw AS (SELECT *, CASE WHEN size > 0 THEN pow(CAST(size AS DOUBLE), 0.5) ELSE 0.0 END AS r FROM size),
+rate AS (SELECT source, CASE WHEN size > 0 THEN r / (SELECT sum(r) FROM raw) * (SELECT sum(size) FROM raw) / size ELSE 1.0 END AS rate FROM raw),
+part AS (SELECT source, greatest(1, CAST(ceil(rate / 8.0) AS INTEGER)) AS m, rate / greatest(1, CAST(ceil(rate / 8.0) AS INTEGER)) AS mean FROM rate WHERE rate > 0),
+mass AS (SELECT source, m, list_transform(range(0, 64), lambda i: exp(i * ln(mean) - mean - (CASE WHEN i < 2 THEN 0 ELSE lgamma(i + 1) END))) AS p FROM part),
+curve AS (SELECT source, m, list_transform(range(1, 65), lambda i: list_sum(p[1:i])) AS c FROM mass),
+draw AS (SELECT d.*, CAST((SELECT sum(len(list_filter(c, lambda x: x <= CAST(('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || j), 1, 13)) AS BIGINT) / 4503599627370496.0)))
+                         FROM range(1, m + 1) AS t(j)) AS BIGINT) AS n
+         FROM documents d JOIN curve ON d.source IS NOT DISTINCT FROM curve.source)
+SELECT doc_id, text, lang, source, n_chars, CAST(copy AS INTEGER) AS copy,
+       CAST(('0x' || substr(md5('order-17:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || copy), 1, 15)) AS BIGINT) AS shuffle_key
+FROM (SELECT doc_id, text, lang, source, n_chars, unnest(range(1, n + 1)) AS copy FROM draw)
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_poisson_mixing": MIXING,
+    "op8_decontamination": CONTAINMENT,
+    "op9_quality_rules": QUALITY,
+}

@@ -7,24 +7,41 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import quality_rules, simhash
+from palisade.llm import decontaminate, mixing, quality_rules, simhash, token_table
 from palisade.llm.common import reachable, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op4_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.replicate(table(spark, sf_dir, "documents"))
+
+
+def op6_token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reachable(spark)
+    return token_table.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     reachable(spark)
     found = simhash.groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reachable(spark)
+    return decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = quality_rules.measure(table(spark, sf_dir, "documents"))
     return measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 QUERIES: dict[str, Query] = {
+    "op4_poisson_mixing": op4_poisson_mixing,
+    "op6_token_table": op6_token_table,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_decontamination": op8_decontamination,
     "op9_quality_rules": op9_quality_rules,
 }
