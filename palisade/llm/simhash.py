@@ -1,30 +1,41 @@
 """SimHash near-duplicates by bit-sliced comparison.
 
-Fingerprints that differ in at most RADIUS of 64 bits link. Copies collapse first: only
-distinct fingerprints are compared. Of four 16-bit pieces two differing bits leave two
-equal, so each fingerprint is filed under six keys of 32 bits. A bucket with more than
-SPLIT fingerprints is filed anew under its key and each of three parts of the other 32
-bits (two differing bits leave one part equal), so hot buckets go to many tasks. What is
-left open are 21 or 22 bits, so no group holds more than four million fingerprints.
-
-In a bucket the fingerprints are stored as bit planes: bit i of plane j is bit j of
-fingerprint i. A block of fingerprints is compared with 64 others per machine word:
-planes are XORed and summed by carry-save counters (ones, twos, overflow), and the block
-is abandoned once every distance is beyond the radius. A bucket hands on only links that
-join parts which are not joined yet, at most one per fingerprint, never all its pairs.
+Two searches share the comparison.
+
+`groups` links fingerprints of 64 bits that differ in at most RADIUS bits, without loss.
+Copies collapse first: only distinct fingerprints are compared. Of four 16-bit pieces two
+differing bits leave two equal, so each fingerprint is filed under six keys of 32 bits. A
+bucket with more than SPLIT fingerprints is filed anew under its key and each of three parts
+of the other 32 bits (two differing bits leave one part equal), so hot buckets go to many
+tasks; 21 or 22 bits are then open, so no bucket holds more than four million fingerprints.
+
+`near_groups` looks for texts whose sets of word shingles have a Jaccard similarity of at
+least 0.8 or so. Such fingerprints differ in a seventh of their bits, too many for a choice
+of equal pieces; so texts are filed under MinHash bands of their shingles instead, and the
+texts of a bucket are compared by fingerprints of 256 bits. The radius is three halves of
+a standard deviation above the distance to be expected at the similarity asked for.
+
+In a bucket fingerprints are stored as bit planes: bit i of plane j is bit j of fingerprint
+i. Planes are XORed and summed by carry-save counters that start at a value from which one
+more than the radius overflows, and a block is abandoned once every distance has overflowed.
+A bucket hands on only links that join parts which are not joined yet, fewer than it has
+fingerprints, never all its pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from itertools import combinations, repeat
+from math import acos, pi, sqrt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palisade.llm.bytehash import mixed, shingles, word_hashes
 from palisade.llm.common import settled
 from palisade.llm.components import components
 
@@ -32,7 +43,19 @@ SEED = 42
 RADIUS = 2
 SPLIT = 2_000
 BLOCK = 256
-_PIECE = np.uint64(0xFFFF)
+#: Buckets of up to so many are compared together, a lane for each pair.
+FEW = 24
+LEADERS = 32
+FULL = ~np.uint64(0)
+
+SIMILARITY = 0.8
+WIDTH = 5
+WORDS = 4
+BANDS, ROWS = 10, 4
+DEVIATIONS = 1.5
+
+
+# fingerprints
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -47,17 +70,26 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64)
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """Bit b is 1 if it is set in over half the hashes; zero for a text without words."""
-    hashes = shingle_hashes(text, width)
-    if not len(hashes):
-        return 0
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many hashes have each of the 64 bits."""
     counts = np.zeros(64, np.int64)
-    for part in range(0, len(hashes), 65_536):
-        chunk = hashes[part : part + 65_536]
+    for part in range(0, len(hashes), 65_280):
+        chunk = hashes[part : part + 65_280]
         bits = np.unpackbits(chunk.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
+        whole = len(chunk) // 255 * 255  # sums of 255 bits fit in a byte
+        if whole:
+            counts += bits[:whole].reshape(-1, 255, 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+        counts += bits[whole:].sum(axis=0, dtype=np.uint8)
+    return counts
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bit b is 1 if it is set in over half the hashes; zero where there are none."""
+    return int(np.packbits(2 * bit_counts(hashes) > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    return majority(shingle_hashes(text, width))
 
 
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -71,113 +103,228 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
     return docs.select(F.col(id_col).alias("doc_id"), prints(F.col(text_col)).alias("fp"))
 
 
+# bit-sliced comparison
+
+
 def planes(prints: np.ndarray) -> np.ndarray:
-    """64 rows of packed bits, row j holding bit j of every fingerprint."""
-    room = -len(prints) % 64
-    bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    bits = np.concatenate([bits, np.zeros((room, 64), np.uint8)]) if room else bits
+    """Rows of packed bits, row j holding bit j of every fingerprint; prints is (n, words)."""
+    n, words = prints.shape
+    room = -n % 64
+    bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8).reshape(n, 8 * words), axis=1, bitorder="little")
+    bits = np.concatenate([bits, np.zeros((room, 64 * words), np.uint8)]) if room else bits
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
 
 
-def within(prints: np.ndarray, queries: np.ndarray, sliced: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (query, fingerprint) of distance at most `radius` (0 to 3).
-
-    `sliced` has the planes of `prints`. ones and twos count to three for every lane;
-    beyond is set for good where a distance passes the radius.
-    """
-    if not 0 <= radius <= 3:
-        raise ValueError("the two-bit counters hold a radius of 0 to 3")
-    shape = (len(queries), sliced.shape[1])
-    ones, twos, beyond = np.zeros(shape, np.uint64), np.zeros(shape, np.uint64), np.zeros(shape, np.uint64)
-    full = ~np.uint64(0)
-    for j in range(64):
-        flip = np.where((queries >> np.uint64(j)) & np.uint64(1), full, np.uint64(0))[:, None]
-        x = sliced[j][None, :] ^ flip
-        carry = ones & x
-        ones ^= x
-        over = twos & carry
-        twos ^= carry
-        beyond |= over
-        if radius == 0:
-            beyond |= ones | twos
-        elif radius == 1:
-            beyond |= twos
-        elif radius == 2:
-            beyond |= ones & twos
-        if j % 8 == 7 and (beyond == full).all():
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-    rows, lanes = np.nonzero(~beyond)
-    near = np.unpackbits((~beyond)[rows, lanes].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little") if len(rows) else np.empty((0, 64), np.uint8)
-    k, bit = np.nonzero(near)
-    q, p = rows[k], lanes[k] * 64 + bit
-    return q[p < len(prints)], p[p < len(prints)]
-
-
-def bucket_links(prints: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Links that span the same parts as all links of the bucket, fewer than its members."""
-    parent = list(range(len(prints)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
+def beyond(differing: Iterable[np.ndarray], shape: tuple[int, ...], radius: int) -> np.ndarray | None:
+    """Lanes whose planes have more than `radius` ones; None if all have (then abandoned)."""
+    digits = max(1, radius.bit_length())
+    start = (1 << digits) - 1 - radius
+    counter = [np.full(shape, FULL if start >> k & 1 else 0, np.uint64) for k in range(digits)]
+    over = np.zeros(shape, np.uint64)
+    for j, plane in enumerate(differing):
+        carry = plane
+        for digit in counter:
+            kept = digit & carry
+            digit ^= carry
+            carry = kept
+        over |= carry
+        if j % 8 == 7 and j >= radius and (over == FULL).all():
+            return None
+    return over
+
+
+def _lanes(over: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and lane number of every lane that is not over."""
+    rows, cells = np.nonzero(over != FULL)
+    if not len(rows):
+        return rows, cells
+    bits = np.unpackbits((~over[rows, cells]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    k, bit = np.nonzero(bits)
+    return rows[k], cells[k] * 64 + bit
+
+
+def within(queries: np.ndarray, sliced: np.ndarray, n: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (query, fingerprint) at most `radius` apart; `sliced` has the planes of n prints."""
+
+    def differing() -> Iterator[np.ndarray]:
+        for j in range(len(sliced)):
+            bit = (queries[:, j // 64] >> np.uint64(j % 64)) & np.uint64(1)
+            yield sliced[j][None, :] ^ (bit * FULL)[:, None]
+
+    over = beyond(differing(), (len(queries), sliced.shape[1]), radius)
+    if over is None:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    q, p = _lanes(over)
+    return q[p < n], p[p < n]
+
+
+def close_pairs(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    """Which rows of `a` and `b` are at most `radius` apart; each pair is one lane."""
+    close = np.zeros(len(a), bool)
+    for at in range(0, len(a), 65_536):
+        sliced = planes(a[at : at + 65_536] ^ b[at : at + 65_536])
+        over = beyond(iter(sliced), (sliced.shape[1],), radius)
+        if over is not None:
+            part = np.unpackbits((~over).view(np.uint8), bitorder="little")
+            close[at : at + 65_536] = part[: len(close[at : at + 65_536])]
+    return close
+
+
+class Parts:
+    """Union-find."""
+
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def root(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = self.parent[self.parent[i]]
+            i = self.parent[i]
         return i
 
-    sliced, found = planes(prints), []
-    for start in range(0, len(prints), BLOCK):
-        first = start // 64  # earlier lanes have seen this block already
-        q, p = within(prints[first * 64 :], prints[start : start + BLOCK], sliced[:, first:], radius)
-        for a, b in zip((q + start).tolist(), (p + first * 64).tolist(), strict=True):
-            if a < b and (ra := root(a)) != (rb := root(b)):
-                parent[rb] = ra
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.root(a), self.root(b)
+        self.parent[max(a, b)] = min(a, b)
+        return a != b
+
+
+def bucket_links(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Links that connect what all links of the bucket connect, fewer than its members.
+
+    Some leaders are compared with all first. Then members are ordered by part, and blocks
+    are compared; a pair of blocks that is one part already has nothing to add.
+    """
+    n, parts, found = len(prints), Parts(len(prints)), []
+    sliced = planes(prints)
+    alone, led = np.ones(n, bool), 0
+    while led < LEADERS and alone.any():
+        leader = int(np.argmax(alone))
+        _, near = within(prints[leader : leader + 1], sliced, n, radius)
+        alone[leader] = False
+        alone[near] = False
+        found += [(leader, p) for p in near.tolist() if parts.join(leader, p)]
+        led += 1
+    order = np.array(sorted(range(n), key=parts.root))
+    ordered, label = prints[order], np.array([parts.root(i) for i in order.tolist()])
+    sliced = planes(ordered)
+    for start in range(0, n, BLOCK):
+        stop = min(start + BLOCK, n)
+        later = np.nonzero(label[start:] != label[start])[0]
+        if not len(later):
+            break
+        first = (start if label[start] != label[stop - 1] else start + int(later[0])) // 64
+        q, p = within(ordered[start:stop], sliced[:, first:], n - 64 * first, radius)
+        for a, b in zip(order[q + start].tolist(), order[p + 64 * first].tolist(), strict=True):
+            if a != b and parts.join(a, b):
                 found.append((a, b))
     return found
 
 
-def _piece_keys(fp: F.Column) -> list[F.Column]:
-    """Six keys: a choice of two 16-bit pieces with its number in front."""
-    pieces = [F.shiftrightunsigned(fp, 16 * k).bitwiseAND(0xFFFF) for k in range(4)]
-    return [F.shiftleft(F.lit(n).cast("long"), 32).bitwiseOR(F.shiftleft(pieces[a], 16)).bitwiseOR(pieces[b]) for n, (a, b) in enumerate(combinations(range(4), 2))]
+def _few_links(prints: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of many small buckets at once."""
+    left, right = [], []
+    for size in np.unique(sizes):
+        at = starts[sizes == size]
+        for i, j in combinations(range(int(size)), 2):
+            left.append(at + i)
+            right.append(at + j)
+    if not left:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    a, b = np.concatenate(left), np.concatenate(right)
+    close = close_pairs(prints[a], prints[b], radius)
+    return a[close], b[close]
+
+
+def _links_of(nodes: np.ndarray, keys: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of whole buckets, which lie one after the other."""
+    starts = np.concatenate([[0], np.nonzero(keys[1:] != keys[:-1])[0] + 1])
+    sizes = np.diff(np.append(starts, len(keys)))
+    few = (sizes > 1) & (sizes <= FEW)
+    a, b = _few_links(prints, starts[few], sizes[few], radius)
+    us, vs = [nodes[a]], [nodes[b]]
+    for start, size in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
+        pairs = np.array(bucket_links(prints[start : start + size], radius), np.int64).reshape(-1, 2) + start
+        us.append(nodes[pairs[:, 0]])
+        vs.append(nodes[pairs[:, 1]])
+    return np.concatenate(us), np.concatenate(vs)
+
+
+def linked(keyed: DataFrame, words: int, radius: int) -> DataFrame:
+    """Links (u, v) inside the buckets of keyed(key, node, f0, f1, ...)."""
+    names = [f"f{w}" for w in range(words)]
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def result(keys: np.ndarray, nodes: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
+            u, v = _links_of(nodes, keys, prints, radius)
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(k).to_numpy() for k in range(2 + words)]
+            held.append((columns[0], columns[1], np.stack([c.view(np.uint64) for c in columns[2:]], axis=1)))
+            if held[0][0][0] == columns[0][-1]:
+                continue  # one bucket so far
+            keys, nodes, prints = (np.concatenate(x) for x in zip(*held, strict=True))
+            cut = int(np.searchsorted(keys, keys[-1]))
+            held = [(keys[cut:], nodes[cut:], prints[cut:])]
+            yield result(keys[:cut], nodes[:cut], prints[:cut])
+        if held:
+            yield result(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    rows = keyed.select("key", "node", *names).repartition("key").sortWithinPartitions("key")
+    return rows.mapInArrow(find, "u long, v long")
+
+
+def _shared(keyed: DataFrame) -> DataFrame:
+    """Rows of buckets with more than one member, with the bucket's size n."""
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    return keyed.join(sizes, "key")
 
 
-def _rest_keys(fp: F.Column, key: F.Column) -> F.Column:
-    """Three parts, 11, 11 and 10 bits wide, of the 32 bits that `key` does not hold."""
-    pieces = [F.shiftrightunsigned(fp, 16 * k).bitwiseAND(0xFFFF) for k in range(4)]
-    out = None
-    for n, chosen in enumerate(combinations(range(4), 2)):
-        a, b = (k for k in range(4) if k not in chosen)
-        rest = F.shiftleft(pieces[a], 16).bitwiseOR(pieces[b])
-        parts = F.array(*[F.lit(i * 4096).cast("long").bitwiseOR(F.shiftrightunsigned(rest, 11 * i).bitwiseAND(0x7FF)) for i in range(3)])
-        here = F.shiftrightunsigned(key, 32) == n
-        out = F.when(here, parts) if out is None else out.when(here, parts)
-    return out
+def _named(members: DataFrame, firsts: DataFrame, links: DataFrame) -> DataFrame:
+    """(doc_id, component_id, ...) of members(doc_id, node); firsts(node, first) has the least id of each node."""
+    classes = settled(components(links)).withColumnRenamed("node", "of_node")
+    named = firsts.join(classes, F.col("node") == F.col("of_node"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    return members.join(named.join(least, "root").select("node", "component_id"), "node")
 
 
-def _linked(keyed: DataFrame, radius: int) -> DataFrame:
-    """Links inside each bucket; keyed(key, part, fp)."""
+# fingerprints of 64 bits, linked without loss
 
-    def links(group: pd.DataFrame) -> pd.DataFrame:
-        signed = group["fp"].to_numpy(np.int64)
-        pairs = np.array(bucket_links(signed.view(np.uint64), radius), np.int64).reshape(-1, 2)
-        return pd.DataFrame({"u": signed[pairs[:, 0]], "v": signed[pairs[:, 1]]})
 
-    return keyed.groupBy("key", "part").applyInPandas(links, "u long, v long")
+def _pieces(fp: Column) -> list[Column]:
+    return [F.shiftrightunsigned(fp, 16 * k).bitwiseAND(0xFFFF) for k in range(4)]
 
 
-def near_links(prints: DataFrame, radius: int = RADIUS, split: int = SPLIT) -> DataFrame:
-    """Links (u, v) between distinct fingerprints that keep every connection.
+def _piece_keys(fp: Column) -> list[Column]:
+    """Six keys: two 16-bit pieces with the number of the choice in front; part zero."""
+    p = _pieces(fp)
+    return [F.shiftleft(F.shiftleft(F.lit(n).cast("long"), 32).bitwiseOR(F.shiftleft(p[a], 16)).bitwiseOR(p[b]), 14) for n, (a, b) in enumerate(combinations(range(4), 2))]
 
-    `prints` has one row (fp) per distinct fingerprint. Buckets of one are dropped by a
-    count before any Python runs.
-    """
-    keyed = prints.select("fp", F.explode(F.array(*_piece_keys(F.col("fp")))).alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = settled(keyed.join(sizes, "key"))
-    small = shared.filter(F.col("n") <= split).select("key", F.lit(0).cast("long").alias("part"), "fp")
-    hot = shared.filter(F.col("n") > split).select("key", F.explode(_rest_keys(F.col("fp"), F.col("key"))).alias("part"), "fp")
-    parts = hot.groupBy("key", "part").agg(F.count("*").alias("n")).filter("n > 1")
-    hot = hot.join(parts, ["key", "part"]).select("key", "part", "fp")
-    return _linked(small.unionByName(hot), radius)
+
+def _rest_keys(fp: Column, key: Column) -> Column:
+    """The key with each of three parts, 11, 11 and 10 bits, of the 32 bits it does not hold."""
+    p, out = _pieces(fp), None
+    for n, chosen in enumerate(combinations(range(4), 2)):
+        a, b = (k for k in range(4) if k not in chosen)
+        rest = F.shiftleft(p[a], 16).bitwiseOR(p[b])
+        keys = F.array(*[key.bitwiseOR(F.lit((i + 1) << 11).cast("long")).bitwiseOR(F.shiftrightunsigned(rest, 11 * i).bitwiseAND(0x7FF)) for i in range(3)])
+        here = F.shiftrightunsigned(key, 46) == n
+        out = F.when(here, keys) if out is None else out.when(here, keys)
+    return out
+
+
+def near_links(prints: DataFrame, radius: int = RADIUS, split: int = SPLIT) -> DataFrame:
+    """Links (u, v) between the distinct fingerprints of prints(fp) that keep every connection."""
+    if radius > RADIUS:
+        raise ValueError("the keys are complete for a radius of two bits")
+    shared = settled(_shared(prints.select("fp", F.explode(F.array(*_piece_keys(F.col("fp")))).alias("key"))))
+    hot = shared.filter(F.col("n") > split).select("fp", F.explode(_rest_keys(F.col("fp"), F.col("key"))).alias("key"))
+    keyed = shared.filter(F.col("n") <= split).select("key", "fp").unionByName(_shared(hot).select("key", "fp"))
+    return linked(keyed.select("key", F.col("fp").alias("node"), F.col("fp").alias("f0")), 1, radius)
 
 
 def groups(docs: DataFrame, width: int = 3, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -185,19 +332,94 @@ def groups(docs: DataFrame, width: int = 3, radius: int = RADIUS, id_col: str =
 
     Texts are read once. Null texts and texts without words have fingerprint zero and
     link like any other. Repeated ids give one row each; a null id never becomes the name
-    of a class unless no member has an id. An empty table gives no rows.
+    of a class unless no member has an id. An empty table gives no rows. Only the id and
+    the text are looked at, whatever other columns there are.
     """
-    of_docs = settled(fingerprints(docs, width, id_col, text_col))
-    firsts = settled(of_docs.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    links = near_links(firsts.select("fp"), radius)
-    classes = settled(components(links))
-    named = firsts.join(classes, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    names = named.join(least, "root").select("fp", "component_id")
-    return of_docs.join(names, "fp").select("doc_id", "fp", "component_id")
+    of_docs = settled(fingerprints(docs, width, id_col, text_col).withColumnRenamed("fp", "node"))
+    firsts = settled(of_docs.groupBy("node").agg(F.min("doc_id").alias("first")))
+    links = near_links(firsts.select(F.col("node").alias("fp")), radius)
+    return _named(of_docs, firsts, links).select("doc_id", F.col("node").alias("fp"), "component_id")
 
 
-def deduplicated(docs: DataFrame, width: int = 3, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each class stays: the one with the smallest id, with its columns."""
-    keep = groups(docs, width, radius, id_col, text_col).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(keep, docs[id_col] == keep["__kept_id"], "left_semi")
+# texts that are similar in their shingles
+
+
+def radius_at(similarity: float, bits: int = 64 * WORDS, deviations: float = DEVIATIONS) -> int:
+    """The distance to expect of two equally large sets of this similarity, and a margin.
+
+    Their vectors have the cosine 2 s / (1 + s), and a bit differs with the chance of the
+    angle over pi.
+    """
+    share = acos(2 * similarity / (1 + similarity)) / pi
+    return round(bits * share + deviations * sqrt(bits * share * (1 - share)))
+
+
+_SALTS = np.random.default_rng(SEED).integers(1, 2**64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+
+
+def sketch(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprint words and band keys of the shingle hashes of a text; hashes are distinct here."""
+    hashes = np.unique(hashes)
+    if not len(hashes):
+        return np.zeros(WORDS, np.uint64), np.arange(BANDS, dtype=np.uint64)
+    words = np.array([majority(mixed(hashes + _SALTS[w])) for w in range(WORDS)], np.uint64)
+    least = np.array([remixed(hashes, s).min() for s in _SALTS], np.uint64)
+    bands = least.reshape(BANDS, ROWS)
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for r in range(ROWS):
+        keys = mixed(keys + bands[:, r])
+    return words, keys
+
+
+def remixed(hashes: np.ndarray, salt: np.uint64) -> np.ndarray:
+    """One multiplication and a fold: the hashes are mixed already."""
+    x = hashes * salt
+    return x ^ (x >> np.uint64(32))
+
+
+def sketches(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, f0 .. f3, keys) of each text: fingerprint words and band keys."""
+    names = [f"f{w}" for w in range(WORDS)]
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints, keys = np.zeros((batch.num_rows, WORDS), np.uint64), np.zeros((batch.num_rows, BANDS), np.uint64)
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                words, _, _ = word_hashes((text or "").encode("utf-8", "surrogatepass"))
+                prints[i], keys[i] = sketch(shingles(words, min(width, len(words))) if len(words) else words)
+            offsets = pa.array(np.arange(0, BANDS * batch.num_rows + 1, BANDS, dtype=np.int32))
+            lists = pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *[pa.array(np.ascontiguousarray(prints[:, w]).view(np.int64)) for w in range(WORDS)], lists], ["doc_id", *names, "keys"])
+
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return slim.mapInArrow(make, "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", keys array<long>")
+
+
+def near_groups(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, split: int = SPLIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) of texts whose shingle sets have about `similarity` or more.
+
+    Texts with the same set of shingles collapse before any comparison. A bucket with more
+    than `split` of them is filed anew under its key together with each other key, which
+    sends it to many tasks: pairs at the similarity share four keys of ten on average, and
+    at least two but for one pair in twenty-five. All texts without words are one class.
+    """
+    names = [f"f{w}" for w in range(WORDS)]
+    made = settled(sketches(docs, width, id_col, text_col).withColumn("node", F.xxhash64(*names, "keys")))
+    firsts = settled(made.groupBy("node").agg(F.min("doc_id").alias("first"), *[F.min(n).alias(n) for n in names], F.min("keys").alias("keys")))
+    keyed = firsts.select("node", *names, "keys", F.explode("keys").alias("key"))
+    shared = settled(_shared(keyed))
+    hot = shared.filter(F.col("n") > split).withColumn("other", F.explode("keys")).filter("other <> key").select("node", *names, F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key")).distinct()
+    rows = shared.filter(F.col("n") <= split).select("key", "node", *names).unionByName(hot.select("key", "node", *names))
+    links = linked(rows, WORDS, radius_at(similarity))
+    return _named(made.select("doc_id", "node"), firsts, links).select("doc_id", "component_id")
+
+
+def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each class stays, the one with the smallest id, with its columns.
+
+    Repeated rows of that id all stay, as they are one document. Rows without an id stay,
+    as nothing names them.
+    """
+    drop = near_groups(docs.filter(F.col(id_col).isNotNull()), similarity, width, id_col=id_col, text_col=text_col)
+    drop = drop.filter("doc_id <> component_id").select(F.col("doc_id").alias("__dropped_id")).distinct()
+    return docs.join(drop, docs[id_col] == drop["__dropped_id"], "left_anti")
