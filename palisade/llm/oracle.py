@@ -60,8 +60,25 @@ SELECT doc_id, text, lang, source, n_chars, CAST(copy AS INTEGER) AS copy,
 FROM (SELECT doc_id, text, lang, source, n_chars, unnest(range(1, n + 1)) AS copy FROM draw)
 """
 
+CHAT = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+           UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, length(regexp_replace(text, '([<\[])(\\*)(s>|/s>|INST\]|/INST\]|SYS\]|/SYS\]|ROLE\]|TEXT\]|/ROLE\])', '\1\\\2\3', 'g')) AS t,
+             length(regexp_replace(role, '([<\[])(\\*)(s>|/s>|INST\]|/INST\]|SYS\]|/SYS\]|ROLE\]|TEXT\]|/ROLE\])', '\1\\\2\3', 'g')) AS r
+      FROM c),
+g AS (SELECT conv_id, count(*) AS n_turns,
+             string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+             coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
+             3 + sum(CASE role WHEN 'user' THEN t + 15 WHEN 'system' THEN t + 13 WHEN 'assistant' THEN t + 5 ELSE r + t + 23 END) AS chars
+      FROM e GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars
+FROM g
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op4_poisson_mixing": MIXING,
     "op8_decontamination": CONTAINMENT,
     "op9_quality_rules": QUALITY,
+    "op10_chat_formatting": CHAT,
 }
