@@ -49,12 +49,11 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
         for name, weight in weights.items():
             raw = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(float(weight))).otherwise(raw)
         raw = F.when(F.col("size") > 0, raw).otherwise(0.0)
-    sizes = sizes.withColumn("raw", raw)
-    whole = sizes.agg(F.sum("size").alias("all_size"), F.sum("raw").alias("all_raw"))
-    joined = sizes.join(F.broadcast(whole))  # one row
-    weight = F.when(F.col("all_raw") > 0, F.col("raw") / F.col("all_raw")).otherwise(0.0)
-    rate = F.when(F.col("size") > 0, weight * F.col("all_size") / F.col("size")).otherwise(1.0)
-    return joined.select("source", "size", weight.alias("weight"), rate.alias("rate"))
+    sizes = settled(sizes.withColumn("raw", raw))
+    whole = sizes.agg(F.sum("size").alias("size"), F.sum("raw").alias("raw")).first()
+    weight = F.col("raw") / F.lit(whole["raw"]) if whole["raw"] else F.lit(0.0)
+    rate = F.when(F.col("size") > 0, weight * F.lit(whole["size"]) / F.col("size")).otherwise(1.0)
+    return sizes.select("source", "size", weight.alias("weight"), rate.alias("rate"))
 
 
 def _cumulative(mean: Column) -> Column:
