@@ -47,12 +47,18 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def byte_sums(raw: np.ndarray, values: np.ndarray = _VALUES) -> np.ndarray:
+    """Prefix sums of byte values times powers: slice [a, b) has (sums[b] - sums[a]) * INVERSE**a."""
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(values[raw] * powers(BASE, len(raw)), out=sums[1:])
+    return sums
+
+
 def _slice_words(raw: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     solid = ~_BLANK[raw]
     edge = np.diff(solid.astype(np.int8), prepend=0, append=0)
     starts, ends = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(values[raw] * powers(BASE, len(raw)), out=sums[1:])
+    sums = byte_sums(raw, values)
     return mixed((sums[ends] - sums[starts]) * powers(INVERSE, len(raw) + 1)[starts]), starts, ends
 
 

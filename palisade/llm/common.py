@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from collections.abc import Callable
@@ -74,6 +75,12 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the shuffle files of finished steps deleted now rather than at some later time."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def reachable(spark: SparkSession) -> None:
     """Let Python workers on this machine import the package from where it lies.
 

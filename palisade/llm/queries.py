@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import chat_format, decontaminate, html_blocks, mixing, pii, quality_rules, simhash, token_table
+from palisade.llm import chat_format, decontaminate, html_blocks, mixing, pii, quality_rules, simhash, suffix_dedup, token_table
 from palisade.llm.common import reachable, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,11 @@ def op4_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.replicate(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reachable(spark)
+    return suffix_dedup.digests(suffix_dedup.removed(table(spark, sf_dir, "documents")))
+
+
 def op6_token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     reachable(spark)
     return token_table.round_trip(table(spark, sf_dir, "documents"))
@@ -68,6 +73,7 @@ QUERIES: dict[str, Query] = {
     "op1_pii_weak_supervision": op1_pii_weak_supervision,
     "op2_html_extraction": op2_html_extraction,
     "op4_poisson_mixing": op4_poisson_mixing,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_token_table": op6_token_table,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_decontamination": op8_decontamination,

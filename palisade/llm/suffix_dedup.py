@@ -31,7 +31,6 @@ columns are ignored. Long texts are hashed in pieces that overlap.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.bytehash import BASE, INVERSE, byte_sums, mixed, powers
+from palisade.llm.bytehash import INVERSE, byte_sums, mixed, powers
 from palisade.llm.common import release, settled
 
 LENGTH = 100
