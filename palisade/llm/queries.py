@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import chat_format, decontaminate, html_blocks, mixing, pii, quality_rules, simhash, suffix_dedup, token_table
+from palisade.llm import chat_format, decontaminate, html_blocks, lm_score, mixing, pii, quality_rules, simhash, suffix_dedup, token_table
 from palisade.llm.common import reachable, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reachable(spark)
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 #: A conversation whose texts are control strings, beside those of the table.
 HOSTILE = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
@@ -72,6 +77,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_pii_weak_supervision": op1_pii_weak_supervision,
     "op2_html_extraction": op2_html_extraction,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_poisson_mixing": op4_poisson_mixing,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_token_table": op6_token_table,
