@@ -78,14 +78,17 @@ def _one(content: bytes) -> dict:
         return {"error": f"{type(e).__name__}: {e}"}
 
 
+_COLUMNS = ("message_id", "date", "sender", "recipients", "subject", "raw_body", "error")
+
+
 def parse(files: DataFrame) -> DataFrame:
     """Mails of scanned files; `error` says why a file gave none. Bodies are cleaned in SQL."""
 
     @F.pandas_udf(MAIL)
     def read(contents: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        columns = ["message_id", "date", "sender", "recipients", "subject", "raw_body", "error"]
         for batch in contents:
-            yield pd.DataFrame([_one(bytes(c)) for c in batch], columns=columns)
+            found = [_one(bytes(c)) for c in batch]
+            yield pd.DataFrame({name: pd.Series([f.get(name) for f in found], dtype=object) for name in _COLUMNS})
 
     rows = files.withColumn("m", read("content")).select("path", "mailbox", "folder", "m.*")
     return rows.withColumn("body", T.body(F.col("raw_body"))).drop("raw_body")
