@@ -9,7 +9,8 @@ Pass one, by stop-word density, length and link density: a block that is mostly
 outside a marked article a long block is good or bad by its share of stop words, near good in
 between; inside one a long block is good. A short block is not decided.
 Pass two: a block that is not decided takes the label of its nearest decided neighbours; if
-they differ, a near good block is good and a short one takes the nearer neighbour's. Beyond
+they differ, a near good block is good, and so is a short one inside a marked article; another
+short one takes the nearer neighbour's. Beyond
 the ends of a marked article lies good text, beyond those of a page bad text.
 
 White space, any that Unicode calls so, becomes one space inside a block. A single <br> is
@@ -235,7 +236,7 @@ def inherit(blocks: list[Block], marked: bool) -> None:
         right = blocks[after].label if after < len(blocks) else edge
         if left == right:
             label = left
-        elif b.label == "near":
+        elif b.label == "near" or marked:
             label = "good"
         else:
             label = left if i - before < after - i else right
