@@ -82,9 +82,17 @@ def sentences(text: Column) -> Column:
 
 
 def shingles(words: Column, size: int) -> Column:
-    """Runs of `size` words, space-joined; none for shorter texts."""
-    runs = F.transform(F.sequence(F.lit(1), F.size(words) - size + 1), lambda i: F.array_join(F.slice(words, i, size), " "))
-    return F.when(F.size(words) >= size, runs).otherwise(F.array().cast("array<string>"))
+    """Runs of `size` words, space-joined; none for shorter texts.
+
+    The words are bound to a lambda variable first: used inside the inner lambda as they
+    are, they would be worked out again for every run.
+    """
+
+    def runs(w: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: F.array_join(F.slice(w, i, size), " "))
+        return F.when(F.size(w) >= size, each).otherwise(F.array().cast("array<string>"))
+
+    return F.transform(F.array(words), runs)[0]
 
 
 def citations(answer: Column, n_context: Column) -> Column:
