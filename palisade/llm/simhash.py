@@ -284,12 +284,21 @@ def _shared(keyed: DataFrame) -> DataFrame:
     return keyed.join(sizes, "key")
 
 
-def _named(members: DataFrame, firsts: DataFrame, links: DataFrame) -> DataFrame:
-    """(doc_id, component_id, ...) of members(doc_id, node); firsts(node, first) has the least id of each node."""
+#: Nodes from here on stand for fingerprints that only rows without an id have.
+NAMELESS = 1 << 62
+
+
+def _node(first: str, *of: str) -> Column:
+    """A node's number is its least id, so that the least node of a class is the class's name."""
+    return F.coalesce(F.col(first), F.lit(NAMELESS) + F.pmod(F.xxhash64(*of), F.lit(1 << 61)))
+
+
+def _named(members: DataFrame, nodes: DataFrame, links: DataFrame, *of: str) -> DataFrame:
+    """members(doc_id, ...) with component_id; nodes(..., node) has the node of each fingerprint."""
     classes = settled(components(links)).withColumnRenamed("node", "of_node")
-    named = firsts.join(classes, F.col("node") == F.col("of_node"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return members.join(named.join(least, "root").select("node", "component_id"), "node")
+    root = F.coalesce("root", "node")
+    names = nodes.join(classes, F.col("node") == F.col("of_node"), "left").select(*of, F.when(root < NAMELESS, root).alias("component_id"))
+    return members.join(names, list(of))
 
 
 # fingerprints of 64 bits, linked without loss
@@ -318,13 +327,13 @@ def _rest_keys(fp: Column, key: Column) -> Column:
 
 
 def near_links(prints: DataFrame, radius: int = RADIUS, split: int = SPLIT) -> DataFrame:
-    """Links (u, v) between the distinct fingerprints of prints(fp) that keep every connection."""
+    """Links (u, v) between the nodes of distinct fingerprints, prints(fp, node), that keep every connection."""
     if radius > RADIUS:
         raise ValueError("the keys are complete for a radius of two bits")
-    shared = settled(_shared(prints.select("fp", F.explode(F.array(*_piece_keys(F.col("fp")))).alias("key"))))
-    hot = shared.filter(F.col("n") > split).select("fp", F.explode(_rest_keys(F.col("fp"), F.col("key"))).alias("key"))
-    keyed = shared.filter(F.col("n") <= split).select("key", "fp").unionByName(_shared(hot).select("key", "fp"))
-    return linked(keyed.select("key", F.col("fp").alias("node"), F.col("fp").alias("f0")), 1, radius)
+    shared = settled(_shared(prints.select("fp", "node", F.explode(F.array(*_piece_keys(F.col("fp")))).alias("key"))))
+    hot = shared.filter(F.col("n") > split).select("fp", "node", F.explode(_rest_keys(F.col("fp"), F.col("key"))).alias("key"))
+    keyed = shared.filter(F.col("n") <= split).select("key", "fp", "node").unionByName(_shared(hot).select("key", "fp", "node"))
+    return linked(keyed.select("key", "node", F.col("fp").alias("f0")), 1, radius)
 
 
 def groups(docs: DataFrame, width: int = 3, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -335,10 +344,10 @@ def groups(docs: DataFrame, width: int = 3, radius: int = RADIUS, id_col: str =
     of a class unless no member has an id. An empty table gives no rows. Only the id and
     the text are looked at, whatever other columns there are.
     """
-    of_docs = settled(fingerprints(docs, width, id_col, text_col).withColumnRenamed("fp", "node"))
-    firsts = settled(of_docs.groupBy("node").agg(F.min("doc_id").alias("first")))
-    links = near_links(firsts.select(F.col("node").alias("fp")), radius)
-    return _named(of_docs, firsts, links).select("doc_id", F.col("node").alias("fp"), "component_id")
+    of_docs = settled(fingerprints(docs, width, id_col, text_col))
+    nodes = settled(of_docs.groupBy("fp").agg(F.min("doc_id").alias("first")).select("fp", _node("first", "fp").alias("node")))
+    links = near_links(nodes, radius)
+    return _named(of_docs, nodes, links, "fp").select("doc_id", "fp", "component_id")
 
 
 # texts that are similar in their shingles
@@ -404,14 +413,15 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, width: int = WI
     at least two but for one pair in twenty-five. All texts without words are one class.
     """
     names = [f"f{w}" for w in range(WORDS)]
-    made = settled(sketches(docs, width, id_col, text_col).withColumn("node", F.xxhash64(*names, "keys")))
-    firsts = settled(made.groupBy("node").agg(F.min("doc_id").alias("first"), *[F.min(n).alias(n) for n in names], F.min("keys").alias("keys")))
-    keyed = firsts.select("node", *names, "keys", F.explode("keys").alias("key"))
+    made = settled(sketches(docs, width, id_col, text_col).withColumn("same", F.xxhash64(*names, "keys")))
+    firsts = made.groupBy("same").agg(F.min("doc_id").alias("first"), *[F.min(n).alias(n) for n in names], F.min("keys").alias("keys"))
+    nodes = settled(firsts.withColumn("node", _node("first", "same")))
+    keyed = nodes.select("node", *names, "keys", F.explode("keys").alias("key"))
     shared = settled(_shared(keyed))
     hot = shared.filter(F.col("n") > split).withColumn("other", F.explode("keys")).filter("other <> key").select("node", *names, F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key")).distinct()
     rows = shared.filter(F.col("n") <= split).select("key", "node", *names).unionByName(hot.select("key", "node", *names))
     links = linked(rows, WORDS, radius_at(similarity))
-    return _named(made.select("doc_id", "node"), firsts, links).select("doc_id", "component_id")
+    return _named(made.select("doc_id", "same"), nodes, links, "same").select("doc_id", "component_id")
 
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
