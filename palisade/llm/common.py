@@ -62,10 +62,15 @@ def settled(df: DataFrame) -> DataFrame:
     Written as Parquet rather than by checkpoint(): smaller, and the size that the
     files report lets Spark choose a join by what is really there.
     """
+    return settled_at(df)[0]
+
+
+def settled_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """`settled` with the path, for tables that are discarded before the work is over."""
     spark = df.sparkSession
     path = scratch(spark, "settled")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def discard(spark: SparkSession, path: str) -> None:

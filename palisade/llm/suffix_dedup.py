@@ -7,23 +7,27 @@ Prefix doubling ranks the string at each position by rounds: a round sorts pairs
 at a position and the rank at an offset behind it, and positions whose rank is unique drop
 out. Here a rank is named by a hash of the string it stands for, so that the rank at the
 offset is at hand where the position is, and each round has Spark bring equal pairs together
-and keep what is not unique yet. Three rounds pass the threshold:
+and keep what is not unique yet. The rounds:
 
-1. width 32, at anchors. Each string of LENGTH bytes has one anchor, the first of the
+1. Width 32, at anchors. Each string of LENGTH bytes has one anchor, the first of the
    positions in it whose 32 bytes have the least hash. Equal strings have their anchor at the
    same place, so strings whose anchor's rank is unique repeat nowhere. About one position in
-   thirty-five is an anchor.
-2. the anchor's rank with the rank of all that the strings of this anchor cover together. If
-   this pair was there earlier, all these strings were.
-3. width LENGTH, at each single position, only for anchors whose first pair of ranks was new
-   but not their first rank: the edges of repeated passages. The first member of each pair
-   takes part to be found.
-
-Ranks are compared together with the anchor's, 128 bits in all. No group is ever collected:
-firsts are minima, which combine before the shuffle, and are joined back, so a string that a
-third of all documents share makes many small tasks, not one large one.
-
-A null text is empty. Positions order by id, then by 16 bits of a hash of the text, then by
+   thirty-five is an anchor. The anchor's rank is paired with the rank of all that the
+   strings of this anchor cover together: if the pair was there earlier, all these strings
+   were. If the pair is new but the anchor's rank is not, some of them may have been.
+2. For those, the edges of repeated passages, and for the first member of each pair, which
+   takes part to be found: strings are taken in steps of STEP by their distance to the
+   anchor. All strings of a step have LENGTH - STEP + 1 bytes in common, at the same place
+   to the anchor wherever they occur. Anchor, distance and these bytes are ranked together,
+   what is unique drops out, and the rest is paired with what the step covers, as before.
+3. What is still open is ranked string by string, at width LENGTH.
+
+Ranks are compared in pairs, 128 bits in all. No group is ever collected: firsts are minima,
+which combine before the shuffle, and are joined back, so a string that a third of all
+documents share makes many small tasks, not one large one. Tables of finished rounds are
+deleted, so the disk holds one round at a time.
+
+A null text is empty. Positions order by id, then by 8 bits of a hash of the text, then by
 place: rows with equal id and text are one document, and each reports its result; rows with
 an equal id and other text are documents one after the other. A null id comes first. Other
 columns are ignored. Long texts are hashed in pieces that overlap.
@@ -36,17 +40,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm.bytehash import INVERSE, byte_sums, mixed, powers
-from palisade.llm.common import release, settled
+from palisade.llm.common import discard, release, settled, settled_at
 
 LENGTH = 100
 GRAM = 32
 PIECE = 1 << 20
-#: pos = 16 bits of the text's hash, 37 bits of place, 10 bits of how many strings follow
-_PLACE, _COUNT = 37, 10
+STEP = 8
+#: pos = 7 bits of the text's hash, 35 bits of place, 10 bits of the distance to the anchor,
+#: 10 bits of how many strings follow from this place on
+_PLACE, _LEAD, _COUNT = 35, 10, 10
+_LOW = (1 << _COUNT) - 1
+_AT = _LEAD + _COUNT
 _MASK = (1 << _PLACE) - 1
 
 
@@ -68,21 +76,25 @@ def _span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return (sums[end] - sums[start]) * powers(INVERSE, len(sums))[start]
 
 
-def anchors(raw: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(rank of the anchor, rank of what its strings cover, first string, number of strings) of each anchor."""
+def anchors(raw: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """Of each anchor: its rank, the rank of what its strings cover, its first string, distance, number of strings."""
     n = len(raw) - length + 1
     if n <= 0:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return (np.empty(0, np.uint64),) * 2 + (np.empty(0, np.int64),) * 3
     sums = byte_sums(raw)
     starts = np.arange(len(raw) - gram + 1)
     grams = mixed((sums[gram:] - sums[: len(starts)]) * powers(INVERSE, len(sums))[: len(starts)])
     at = _least(grams, length - gram + 1)
     first = np.concatenate([[0], np.nonzero(at[1:] != at[:-1])[0] + 1])
     count = np.diff(np.append(first, n))
-    anchor = at[first]
+    lead = at[first] - first
+    return grams[at[first]], _cover_ranks(sums, first, lead, count, length), first, lead, count
+
+
+def _cover_ranks(sums: np.ndarray, first: np.ndarray, lead: np.ndarray, count: np.ndarray, length: int) -> np.ndarray:
+    """Ranks of what `count` strings from `first` on cover, and of where they lie to the anchor."""
     cover = _span_hashes(sums, first, first + count - 1 + length)
-    shape = ((anchor - first) * 1024 + count).astype(np.uint64)
-    return grams[anchor], mixed(cover ^ mixed(shape)), first, count
+    return mixed(cover ^ mixed((lead * 1024 + count).astype(np.uint64)))
 
 
 def _pieces(data: bytes, length: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -93,7 +105,11 @@ def _pieces(data: bytes, length: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _mark(data: bytes) -> int:
-    return (xxhash.xxh64_intdigest(data) & 0x7FFF) << (_PLACE + _COUNT)
+    return xxhash.xxh64_intdigest(data) & 0x7F
+
+
+def _packed(mark: int, place: np.ndarray, lead: np.ndarray, count: np.ndarray) -> np.ndarray:
+    return mark << (_PLACE + _AT) | place << _AT | lead << _COUNT | count
 
 
 def _anchor_table(docs: DataFrame, length: int) -> DataFrame:
@@ -109,8 +125,8 @@ def _anchor_table(docs: DataFrame, length: int) -> DataFrame:
                     continue
                 mark = _mark(data)
                 for at, raw in _pieces(data, length):
-                    g, s, first, count = anchors(raw, length)
-                    parts.append((g.view(np.int64), s.view(np.int64), np.full(len(g), doc, np.int64), mark | (first + at) << _COUNT | count))
+                    g, s, first, lead, count = anchors(raw, length)
+                    parts.append((g.view(np.int64), s.view(np.int64), np.full(len(g), doc, np.int64), _packed(mark, first + at, lead, count)))
                     held += len(g)
                 if held > 100_000:
                     yield _batch(parts)
@@ -125,28 +141,40 @@ def _batch(parts: list[tuple[np.ndarray, ...]], names: tuple[str, ...] = ("g", "
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], list(names))
 
 
-def _position_table(docs: DataFrame, runs: DataFrame, length: int) -> DataFrame:
-    """(g, s, doc, pos) of each single string of the runs(doc, mark, runs)."""
+def _steps(first: np.ndarray, lead: np.ndarray, count: np.ndarray, step: int) -> tuple[np.ndarray, ...]:
+    """Runs cut where the distance to the anchor passes a multiple of `step`: owner, first, lead, count."""
+    owner = np.repeat(np.arange(len(first)), count)
+    offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    leads = lead[owner] - offset  # may pass the anchor only in pieces cut off from it, never below zero
+    part = owner * 1024 + leads // step
+    new = np.nonzero(np.diff(part, prepend=-1))[0]
+    return owner[new], (first[owner] + offset)[new], leads[new], np.diff(np.append(new, len(part)))
+
+
+def _step_table(docs: DataFrame, runs: DataFrame, length: int, step: int) -> DataFrame:
+    """(g, s, doc, pos) of the strings of the runs(run_doc, run_mark, runs), in steps."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, text, runs in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                data = text.encode("utf-8", "surrogatepass")
-                mark, parts = _mark(data), []
+                data, parts = text.encode("utf-8", "surrogatepass"), []
+                mark = _mark(data)
+                ranks, packed = (np.array([r[k] for r in runs], np.int64) for k in ("g", "pos"))
+                place = packed >> _AT & _MASK
                 for at, raw in _pieces(data, length):
-                    mine = [(r["g"], (r["pos"] >> _COUNT & _MASK) - at, r["pos"] & ((1 << _COUNT) - 1)) for r in runs if 0 <= (r["pos"] >> _COUNT & _MASK) - at < PIECE]
-                    if not mine:
+                    mine = (place >= at) & (place < at + PIECE)
+                    if not mine.any():
                         continue
-                    g, first, count = (np.array(x, np.int64) for x in zip(*mine, strict=True))
-                    start = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
-                    start = start[start + length <= len(raw)]
-                    sums = byte_sums(raw)
-                    ranks = mixed(_span_hashes(sums, start, start + length))
-                    parts.append((np.repeat(g, count), ranks.view(np.int64), np.full(len(start), doc, np.int64), mark | (start + at) << _COUNT | 1))
+                    owner, first, lead, count = _steps(place[mine] - at, packed[mine] >> _COUNT & _LOW, packed[mine] & _LOW, step)
+                    sums, near = byte_sums(raw), first + lead % step
+                    core = mixed(_span_hashes(sums, near, near + length - step + 1))
+                    g = mixed(ranks[mine][owner].view(np.uint64) ^ mixed(core ^ (lead // step).astype(np.uint64)))
+                    s = _cover_ranks(sums, first, lead, count, length)
+                    parts.append((g.view(np.int64), s.view(np.int64), np.full(len(g), doc, np.int64), _packed(mark, first + at, lead, count)))
                 if parts:
                     yield _batch(parts)
 
-    joined = docs.join(runs, (docs["doc"] == runs["run_doc"]) & (docs["mark"] == runs["mark"])).select("doc", "text", "runs")
+    joined = docs.join(runs, (docs["doc"] == runs["run_doc"]) & (docs["mark"] == runs["run_mark"])).select("doc", "text", "runs")
     return joined.mapInArrow(find, "g long, s long, doc long, pos long")
 
 
@@ -155,39 +183,46 @@ def _firsts(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("n"))
 
 
-def _earlier(rows: DataFrame, *keys: str) -> DataFrame:
-    """Rows of keys that more than one row has, with the place of the key's first row."""
-    return rows.join(_firsts(rows, *keys).filter("n > 1").drop("n"), list(keys))
+def _round(table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Places (doc, pos) whose pair of ranks was there earlier, and (g, doc, pos) of first pairs of a rank that has several."""
+    spark = table.sparkSession
+    table, made = settled_at(table)
+    shared = table.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g")
+    kept, kept_at = settled_at(table.join(shared, "g"))
+    discard(spark, made)
+    release(spark)
+    pairs, pairs_at = settled_at(_firsts(kept, "g", "s"))
+    whole = settled(kept.join(pairs.filter("n > 1"), ["g", "s"]).filter("struct(doc, pos) > first").select("doc", "pos"))
+    discard(spark, kept_at)
+    several = pairs.groupBy("g").agg(F.count("*").alias("k")).filter("k > 1").select("g")
+    edges = settled(pairs.join(several, "g").select("g", "first.doc", "first.pos"))
+    discard(spark, pairs_at)
+    release(spark)
+    return whole, edges
 
 
-_HERE = "struct(doc, pos)"
+def _mark_of(pos: str) -> Column:
+    return F.shiftright(pos, _PLACE + _AT)
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, length: int = LENGTH, step: int = STEP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, mark, start, end) of runs of bytes to remove; they overlap. A null id is the least number."""
     if length < GRAM + 1 or length > 1000:
         raise ValueError(f"the length has to be between {GRAM + 1} and 1000")
-    spark, slim = docs.sparkSession, _slim(docs, id_col, text_col)
-    table = settled(_anchor_table(slim.select("doc", "text"), length))
-    shared = table.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g")
-    kept = settled(table.join(shared, "g"))  # round 1
-    release(spark)
-    pairs = settled(_firsts(kept, "g", "s"))  # round 2
-    whole = kept.join(pairs.filter("n > 1"), ["g", "s"]).filter(f"{_HERE} > first").select("doc", "pos")
-    heads = pairs.groupBy("g").agg(F.min("first").alias("head"), F.count("*").alias("n")).filter("n > 1").select("g", "head")
-    edges = pairs.join(heads, "g").select("g", "first.doc", "first.pos")
-    runs = edges.groupBy(F.col("doc").alias("run_doc"), F.shiftright("pos", _PLACE + _COUNT).alias("mark")).agg(F.collect_list(F.struct("g", "pos")).alias("runs"))
-    single = settled(_position_table(slim, runs, length))  # round 3
-    release(spark)
-    late = _earlier(single, "g", "s").filter(f"{_HERE} > first").select("doc", "pos")
-    place, count = F.shiftright("pos", _COUNT).bitwiseAND(_MASK), F.col("pos").bitwiseAND((1 << _COUNT) - 1)
-    return settled(whole.unionByName(late).select("doc", F.shiftright("pos", _PLACE + _COUNT).alias("mark"), place.alias("start"), (place + count - 1 + length).alias("end")))
+    slim = _slim(docs, id_col, text_col)
+    found, edges = _round(_anchor_table(slim.select("doc", "text"), length))
+    for size in (step, 1):
+        runs = edges.groupBy(F.col("doc").alias("run_doc"), _mark_of("pos").alias("run_mark")).agg(F.collect_list(F.struct("g", "pos")).alias("runs"))
+        more, edges = _round(_step_table(slim, runs, length, size))
+        found = found.unionByName(more)
+    place, count = F.shiftright("pos", _AT).bitwiseAND(_MASK), F.col("pos").bitwiseAND(_LOW)
+    return found.select("doc", _mark_of("pos").alias("mark"), place.alias("start"), (place + count - 1 + length).alias("end"))
 
 
 def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     @F.pandas_udf("long")
     def marks(texts):
-        return texts.map(lambda t: _mark(t.encode("utf-8", "surrogatepass")) >> (_PLACE + _COUNT))
+        return texts.map(lambda t: _mark(t.encode("utf-8", "surrogatepass")))
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc"), text.alias("text"), F.col(id_col).alias("of")).withColumn("mark", marks("text"))
@@ -208,7 +243,7 @@ def removed(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
 
     What stays is binary, as a cut can fall inside a character.
     """
-    found = repeats(docs, length, id_col, text_col)
+    found = repeats(docs, length, STEP, id_col, text_col)
     # runs of one document, as many as it has edges; a run inside another adds nothing
     lists = found.groupBy(F.col("doc").alias("cut_doc"), F.col("mark").alias("cut_mark")).agg(F.collect_set(F.struct("start", "end")).alias("cuts"))
     slim = _slim(docs, id_col, text_col)
