@@ -36,7 +36,7 @@ ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
 #: Words that a worker remembers; then it starts afresh.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 1_500_000
 TOKENIZER = "word_bpe_49k.json"
 
 WRITER = {
@@ -71,6 +71,8 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = False
         self.memo_words = memo_words
+        #: A tokenizer that lower-cases gives both forms of a word the same ids.
+        self.fold = '"Lowercase"' in self.tokenizer.to_str().split('"pre_tokenizer"')[0]
         self.forget()
 
     def forget(self) -> None:
@@ -104,7 +106,7 @@ class WordEncoder:
         blob = b"\n".join(raw)
         if self.index.size > self.memo_words:
             self.forget()
-        hashes, starts, ends = word_hashes(blob, fold=False)
+        hashes, starts, ends = word_hashes(blob, fold=self.fold)
         which = self._numbers(blob, hashes, starts, ends)
         owner = np.searchsorted(np.cumsum([len(r) + 1 for r in raw]), starts, side="right")
         begin = self.offsets[which]
