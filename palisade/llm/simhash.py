@@ -284,6 +284,19 @@ def _shared(keyed: DataFrame) -> DataFrame:
     return keyed.join(sizes, "key")
 
 
+def _dealt(shared: DataFrame, split: int) -> DataFrame:
+    """Rows of shared(key, n, node, ...) with hot buckets filed under pairs of their blocks.
+
+    Blocks have half of `split` members or so. A member goes to every pair that has its block.
+    """
+    cool = shared.filter(F.col("n") <= split).drop("n")
+    blocks = shared.filter(F.col("n") > split).withColumn("blocks", F.ceil(2 * F.col("n") / split))
+    own = blocks.withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("blocks")))
+    pairs = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).filter("other <> own")
+    hot = pairs.withColumn("key", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+    return cool.unionByName(hot.drop("n", "blocks", "own", "other"))
+
+
 #: Nodes from here on stand for fingerprints that only rows without an id have.
 NAMELESS = 1 << 62
 
@@ -408,18 +421,15 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, width: int = WI
     """(doc_id, component_id) of texts whose shingle sets have about `similarity` or more.
 
     Texts with the same set of shingles collapse before any comparison. A bucket with more
-    than `split` of them is filed anew under its key together with each other key, which
-    sends it to many tasks: pairs at the similarity share four keys of ten on average, and
-    at least two but for one pair in twenty-five. All texts without words are one class.
+    than `split` of them is dealt in blocks, and each pair of blocks is compared in a task of
+    its own, so no pair of a bucket is left out. All texts without words are one class.
     """
     names = [f"f{w}" for w in range(WORDS)]
     made = settled(sketches(docs, width, id_col, text_col).withColumn("same", F.xxhash64(*names, "keys")))
     firsts = made.groupBy("same").agg(F.min("doc_id").alias("first"), *[F.min(n).alias(n) for n in names], F.min("keys").alias("keys"))
     nodes = settled(firsts.withColumn("node", _node("first", "same")))
-    keyed = nodes.select("node", *names, "keys", F.explode("keys").alias("key"))
-    shared = settled(_shared(keyed))
-    hot = shared.filter(F.col("n") > split).withColumn("other", F.explode("keys")).filter("other <> key").select("node", *names, F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key")).distinct()
-    rows = shared.filter(F.col("n") <= split).select("key", "node", *names).unionByName(hot.select("key", "node", *names))
+    shared = settled(_shared(nodes.select("node", *names, F.explode("keys").alias("key"))))
+    rows = _dealt(shared, split).select("key", "node", *names)
     links = linked(rows, WORDS, radius_at(similarity))
     return _named(made.select("doc_id", "same"), nodes, links, "same").select("doc_id", "component_id")
 

@@ -142,6 +142,25 @@ def test_near_copies_of_long_texts(spark):
     assert {r["doc_id"] for r in simhash.deduplicated(rows).collect()} == {3, 9, 11}
 
 
+def _edited(rng, words, n):
+    out = list(words)
+    for i in rng.choice(len(words), n, replace=False):
+        out[i] = f"x{rng.integers(1 << 40)}"
+    return " ".join(out)
+
+
+def test_hot_bands_keep_every_pair(spark):
+    rng = np.random.default_rng(5)
+    texts = []
+    for k in range(30):
+        words = [f"w{k}_{i}" for i in range(200)]
+        texts += [_edited(rng, words, n) for n in (0, 5, 5, 8, 8)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(rows, split=10**9).collect()}
+    dealt = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(rows, split=2).collect()}
+    assert dealt == whole and len(set(whole.values())) < len(texts)
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (5, 5)], "u long, v long")
     got = {r["node"]: r["root"] for r in components(links).collect()}
