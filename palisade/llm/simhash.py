@@ -10,10 +10,11 @@ of the other 32 bits (two differing bits leave one part equal), so hot buckets g
 tasks; 21 or 22 bits are then open, so no bucket holds more than four million fingerprints.
 
 `near_groups` looks for texts whose sets of word shingles have a Jaccard similarity of at
-least 0.8 or so. Such fingerprints differ in a seventh of their bits, too many for a choice
-of equal pieces; so texts are filed under MinHash bands of their shingles instead, and the
-texts of a bucket are compared by fingerprints of 256 bits. The radius is three halves of
-a standard deviation above the distance to be expected at the similarity asked for.
+least 0.8. Such fingerprints differ in a seventh of their bits, too many for a choice of
+equal pieces; so texts are filed under MinHash bands of their shingles instead, and the
+texts of a bucket are compared by fingerprints of 256 bits. The radius is three standard
+deviations above the distance to be expected at the similarity asked for and only proposes
+pairs: the sets of shingles travel along, and a pair is linked if they are similar enough.
 
 In a bucket fingerprints are stored as bit planes: bit i of plane j is bit j of fingerprint
 i. Planes are XORed and summed by carry-save counters that start at a value from which one
@@ -24,7 +25,7 @@ fingerprints, never all its pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations, repeat
 from math import acos, pi, sqrt
 
@@ -51,8 +52,10 @@ FULL = ~np.uint64(0)
 SIMILARITY = 0.8
 WIDTH = 5
 WORDS = 4
-BANDS, ROWS = 10, 4
-DEVIATIONS = 1.5
+BANDS, ROWS = 16, 4
+DEVIATIONS = 3.0
+#: A bucket with more shingles in all its texts is dealt in blocks too.
+MASS = 8_000_000
 
 
 # fingerprints
@@ -188,7 +191,28 @@ class Parts:
         return a != b
 
 
-def bucket_links(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
+#: Which of the members `js` are similar to member `i`.
+Alike = Callable[[int, np.ndarray], np.ndarray]
+
+
+def alike_in(grams: np.ndarray, similarity: float) -> Alike:
+    """Exact Jaccard similarity of sets given as the bytes of their sorted hashes."""
+
+    def alike(i: int, js: np.ndarray) -> np.ndarray:
+        mine = np.frombuffer(grams[i], np.uint64)
+        sizes = np.array([len(grams[j]) // 8 for j in js.tolist()], np.int64)
+        good = (sizes > 0) & (np.minimum(sizes, len(mine)) >= similarity * np.maximum(sizes, len(mine)) - 1e-9)
+        if good.any():
+            theirs = np.frombuffer(b"".join([grams[j] for j in js[good].tolist()]), np.uint64)
+            hit = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+            both = np.add.reduceat(hit, np.cumsum(sizes[good]) - sizes[good], dtype=np.int64)
+            good[good] = both >= similarity * (sizes[good] + len(mine) - both) - 1e-9
+        return good
+
+    return alike
+
+
+def bucket_links(prints: np.ndarray, radius: int, alike: Alike | None = None) -> list[tuple[int, int]]:
     """Links that connect what all links of the bucket connect, fewer than its members.
 
     Some leaders are compared with all first. Then members are ordered by part, and blocks
@@ -200,6 +224,9 @@ def bucket_links(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
     while led < LEADERS and alone.any():
         leader = int(np.argmax(alone))
         _, near = within(prints[leader : leader + 1], sliced, n, radius)
+        if alike:
+            near = near[near != leader]
+            near = near[alike(leader, near)]
         alone[leader] = False
         alone[near] = False
         found += [(leader, p) for p in near.tolist() if parts.join(leader, p)]
@@ -214,12 +241,27 @@ def bucket_links(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
             break
         first = (start if label[start] != label[stop - 1] else start + int(later[0])) // 64
         q, p = within(ordered[start:stop], sliced[:, first:], n - 64 * first, radius)
-        for a, b in zip(order[q + start].tolist(), order[p + 64 * first].tolist(), strict=True):
+        a, b = order[q + start], order[p + 64 * first]
+        if alike:
+            found += _verified(a, b, parts, alike)
+            continue
+        for a, b in zip(a.tolist(), b.tolist(), strict=True):
             if a != b and parts.join(a, b):
                 found.append((a, b))
     return found
 
 
+def _verified(a: np.ndarray, b: np.ndarray, parts: Parts, alike: Alike) -> list[tuple[int, int]]:
+    """Links among proposed pairs, sorted by `a`; pairs of one part are not looked at."""
+    found = []
+    for at in np.split(np.arange(len(a)), np.nonzero(a[1:] != a[:-1])[0] + 1) if len(a) else []:
+        i = int(a[at[0]])
+        others = np.array([j for j in b[at].tolist() if parts.root(j) != parts.root(i)], np.int64)
+        if len(others):
+            found += [(i, j) for j in others[alike(i, others)].tolist() if parts.join(i, j)]
+    return found
+
+
 def _few_links(prints: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links of many small buckets at once."""
     left, right = [], []
@@ -235,46 +277,54 @@ def _few_links(prints: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius
     return a[close], b[close]
 
 
-def _links_of(nodes: np.ndarray, keys: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def _links_of(nodes: np.ndarray, keys: np.ndarray, prints: np.ndarray, radius: int, alike: Alike | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links of whole buckets, which lie one after the other."""
     starts = np.concatenate([[0], np.nonzero(keys[1:] != keys[:-1])[0] + 1])
     sizes = np.diff(np.append(starts, len(keys)))
     few = (sizes > 1) & (sizes <= FEW)
     a, b = _few_links(prints, starts[few], sizes[few], radius)
+    if alike:
+        order = np.argsort(a, kind="stable")
+        pairs = np.array(_verified(a[order], b[order], Parts(len(nodes)), alike), np.int64).reshape(-1, 2)
+        a, b = pairs[:, 0], pairs[:, 1]
     us, vs = [nodes[a]], [nodes[b]]
     for start, size in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
-        pairs = np.array(bucket_links(prints[start : start + size], radius), np.int64).reshape(-1, 2) + start
+        within_bucket = (lambda i, js, start=start: alike(i + start, js + start)) if alike else None
+        pairs = np.array(bucket_links(prints[start : start + size], radius, within_bucket), np.int64).reshape(-1, 2) + start
         us.append(nodes[pairs[:, 0]])
         vs.append(nodes[pairs[:, 1]])
     return np.concatenate(us), np.concatenate(vs)
 
 
-def linked(keyed: DataFrame, words: int, radius: int) -> DataFrame:
-    """Links (u, v) inside the buckets of keyed(key, node, f0, f1, ...)."""
+def linked(keyed: DataFrame, words: int, radius: int, similarity: float | None = None) -> DataFrame:
+    """Links (u, v) inside the buckets of keyed(key, node, f0, f1, ...).
+
+    With a similarity rows also have `grams`, and links are pairs with that much in common.
+    """
     names = [f"f{w}" for w in range(words)]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
 
-        def result(keys: np.ndarray, nodes: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
-            u, v = _links_of(nodes, keys, prints, radius)
+        def result(keys: np.ndarray, nodes: np.ndarray, prints: np.ndarray, *grams: np.ndarray) -> pa.RecordBatch:
+            u, v = _links_of(nodes, keys, prints, radius, alike_in(*grams, similarity) if grams else None)
             return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             columns = [batch.column(k).to_numpy() for k in range(2 + words)]
-            held.append((columns[0], columns[1], np.stack([c.view(np.uint64) for c in columns[2:]], axis=1)))
+            held.append((columns[0], columns[1], np.stack([c.view(np.uint64) for c in columns[2:]], axis=1), *[np.array([*batch.column(2 + words).to_pylist(), None], object)[:-1]] * (similarity is not None)))
             if held[0][0][0] == columns[0][-1]:
                 continue  # one bucket so far
-            keys, nodes, prints = (np.concatenate(x) for x in zip(*held, strict=True))
-            cut = int(np.searchsorted(keys, keys[-1]))
-            held = [(keys[cut:], nodes[cut:], prints[cut:])]
-            yield result(keys[:cut], nodes[:cut], prints[:cut])
+            whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+            cut = int(np.searchsorted(whole[0], whole[0][-1]))
+            held = [tuple(x[cut:] for x in whole)]
+            yield result(*(x[:cut] for x in whole))
         if held:
             yield result(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    rows = keyed.select("key", "node", *names).repartition("key").sortWithinPartitions("key")
+    rows = keyed.select("key", "node", *names, *["grams"] * (similarity is not None)).repartition("key").sortWithinPartitions("key")
     return rows.mapInArrow(find, "u long, v long")
 
 
@@ -285,16 +335,18 @@ def _shared(keyed: DataFrame) -> DataFrame:
 
 
 def _dealt(shared: DataFrame, split: int) -> DataFrame:
-    """Rows of shared(key, n, node, ...) with hot buckets filed under pairs of their blocks.
+    """Rows of shared(key, n, mass, node, ...) with hot buckets filed under pairs of their blocks.
 
-    Blocks have half of `split` members or so. A member goes to every pair that has its block.
+    Blocks have half of `split` members or of MASS shingles, or so. A member goes to every
+    pair that has its block.
     """
-    cool = shared.filter(F.col("n") <= split).drop("n")
-    blocks = shared.filter(F.col("n") > split).withColumn("blocks", F.ceil(2 * F.col("n") / split))
+    load = F.greatest(F.col("n") / split, F.col("mass") / MASS)
+    cool = shared.filter(load <= 1).drop("n", "mass")
+    blocks = shared.filter(load > 1).withColumn("blocks", F.ceil(2 * load))
     own = blocks.withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("blocks")))
     pairs = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).filter("other <> own")
     hot = pairs.withColumn("key", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
-    return cool.unionByName(hot.drop("n", "blocks", "own", "other"))
+    return cool.unionByName(hot.drop("n", "mass", "blocks", "own", "other"))
 
 
 #: Nodes from here on stand for fingerprints that only rows without an id have.
@@ -380,8 +432,7 @@ _SALTS = np.random.default_rng(SEED).integers(1, 2**64, BANDS * ROWS, dtype=np.u
 
 
 def sketch(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprint words and band keys of the shingle hashes of a text; hashes are distinct here."""
-    hashes = np.unique(hashes)
+    """Fingerprint words and band keys of the distinct shingle hashes of a text."""
     if not len(hashes):
         return np.zeros(WORDS, np.uint64), np.arange(BANDS, dtype=np.uint64)
     words = np.array([majority(mixed(hashes + _SALTS[w])) for w in range(WORDS)], np.uint64)
@@ -399,38 +450,67 @@ def remixed(hashes: np.ndarray, salt: np.uint64) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def sketches(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, f0 .. f3, keys) of each text: fingerprint words and band keys."""
+def grams(text: str | None, width: int) -> np.ndarray:
+    """The sorted distinct shingle hashes of a text."""
+    words, _, _ = word_hashes((text or "").encode("utf-8", "surrogatepass"))
+    return np.unique(shingles(words, min(width, len(words)))) if len(words) else words
+
+
+def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(doc_id, text_hash, same, n_grams, f0 .. f3, keys) of docs(doc_id, text_hash, text).
+
+    `same` is a hash of the whole set of shingles; f0 .. f3 are fingerprint words, keys are
+    those of the bands.
+    """
     names = [f"f{w}" for w in range(WORDS)]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints, keys = np.zeros((batch.num_rows, WORDS), np.uint64), np.zeros((batch.num_rows, BANDS), np.uint64)
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                words, _, _ = word_hashes((text or "").encode("utf-8", "surrogatepass"))
-                prints[i], keys[i] = sketch(shingles(words, min(width, len(words))) if len(words) else words)
+            same, sizes = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.int64)
+            for i, text in enumerate(batch.column(2).to_pylist()):
+                found = grams(text, width)
+                prints[i], keys[i] = sketch(found)
+                same[i], sizes[i] = xxhash.xxh64_intdigest(found.tobytes(), SEED), len(found)
             offsets = pa.array(np.arange(0, BANDS * batch.num_rows + 1, BANDS, dtype=np.int32))
             lists = pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *[pa.array(np.ascontiguousarray(prints[:, w]).view(np.int64)) for w in range(WORDS)], lists], ["doc_id", *names, "keys"])
+            words = [pa.array(np.ascontiguousarray(prints[:, w]).view(np.int64)) for w in range(WORDS)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same.view(np.int64)), pa.array(sizes), *words, lists], ["doc_id", "text_hash", "same", "n_grams", *names, "keys"])
+
+    return docs.mapInArrow(make, "doc_id long, text_hash long, same long, n_grams long, " + ", ".join(f"{n} long" for n in names) + ", keys array<long>")
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(node, grams) of wanted(node, first, first_hash), from the text that stands for each node."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([grams(t, width).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["node", "grams"])
 
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(make, "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", keys array<long>")
+    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["first"]) & (docs["text_hash"] == wanted["first_hash"]))
+    return texts.select("node", "text").mapInArrow(make, "node long, grams binary").dropDuplicates(["node"])
 
 
 def near_groups(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, split: int = SPLIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) of texts whose shingle sets have about `similarity` or more.
+    """(doc_id, component_id): classes by links between texts whose shingle sets have `similarity` or more.
 
     Texts with the same set of shingles collapse before any comparison. A bucket with more
     than `split` of them is dealt in blocks, and each pair of blocks is compared in a task of
     its own, so no pair of a bucket is left out. All texts without words are one class.
     """
     names = [f"f{w}" for w in range(WORDS)]
-    made = settled(sketches(docs, width, id_col, text_col).withColumn("same", F.xxhash64(*names, "keys")))
-    firsts = made.groupBy("same").agg(F.min("doc_id").alias("first"), *[F.min(n).alias(n) for n in names], F.min("keys").alias("keys"))
-    nodes = settled(firsts.withColumn("node", _node("first", "same")))
-    shared = settled(_shared(nodes.select("node", *names, F.explode("keys").alias("key"))))
-    rows = _dealt(shared, split).select("key", "node", *names)
-    links = linked(rows, WORDS, radius_at(similarity))
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    made = settled(sketches(slim, width))
+    first = F.min(F.struct(F.isnull("doc_id").alias("nameless"), "doc_id", "text_hash"))
+    firsts = made.groupBy("same").agg(first.alias("first"), *[F.min(n).alias(n) for n in ("n_grams", *names, "keys")])
+    nodes = firsts.select("same", F.col("first.doc_id").alias("first"), F.col("first.text_hash").alias("first_hash"), "n_grams", *names, "keys")
+    nodes = settled(nodes.withColumn("node", _node("first", "same")))
+    filed = nodes.select("node", "n_grams", *names, F.explode("keys").alias("key"))
+    sizes = filed.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_grams").alias("mass")).filter("n > 1")
+    shared = settled(filed.drop("n_grams").join(sizes, "key"))
+    wanted = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "first", "first_hash")
+    rows = _dealt(shared, split).join(settled(_sets(slim, settled(wanted), width)), "node")
+    links = linked(rows, WORDS, radius_at(similarity), similarity)
     return _named(made.select("doc_id", "same"), nodes, links, "same").select("doc_id", "component_id")
 
 

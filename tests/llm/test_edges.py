@@ -161,6 +161,46 @@ def test_hot_bands_keep_every_pair(spark):
     assert dealt == whole and len(set(whole.values())) < len(texts)
 
 
+def test_near_links_are_exact(spark):
+    """Pairs on both sides of the similarity, by brute force over sets of five words."""
+    rng = np.random.default_rng(8)
+    texts = []
+    for k in range(80):
+        words = [f"w{k}_{i}" for i in range(250)]
+        texts += [" ".join(words), _edited(rng, words, int(rng.integers(3, 11)))]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    alike = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    assert sum(x >= 0.8 for x in alike) > 20 and sum(0.65 < x < 0.8 for x in alike) > 20
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(rows).collect()}
+    assert got == {i: i - (i % 2 and alike[i // 2] >= 0.8) for i in range(len(texts))}
+    dealt = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(rows, split=1).collect()}
+    assert dealt == got
+
+
+def test_large_buckets_are_verified():
+    """Chains of texts in one bucket: the links join what all pairs of 0.8 or more join."""
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 1 << 63, 400).astype(np.uint64))]
+    for _ in range(299):
+        old = sets[int(rng.integers(len(sets)))]
+        new = rng.choice(old, len(old) - int(rng.integers(10, 90)), replace=False)
+        sets.append(np.unique(np.append(new, rng.integers(0, 1 << 63, 400 - len(new)).astype(np.uint64))))
+    prints = np.array([simhash.sketch(s)[0] for s in sets])
+    packed = np.array([*[s.tobytes() for s in sets], None], object)[:-1]
+    links = simhash.bucket_links(prints, simhash.radius_at(0.8), simhash.alike_in(packed, 0.8))
+    whole, got = simhash.Parts(300), simhash.Parts(300)
+    like = lambda i, j: len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])) - 1e-9
+    assert all(like(i, j) for i, j in links)
+    for i in range(300):
+        for j in range(i):
+            if like(i, j):
+                whole.join(i, j)
+    for i, j in links:
+        got.join(i, j)
+    assert [got.root(i) for i in range(300)] == [whole.root(i) for i in range(300)]
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (5, 5)], "u long, v long")
     got = {r["node"]: r["root"] for r in components(links).collect()}
