@@ -8,8 +8,8 @@ is held out if the crc32 of its id, written as text, leaves HELD_OUT modulo FOLD
    frequent words come to the driver, a fixed number.
 2. Training. The VOCABULARY most frequent words are the model's ids, all others share one. In
    each of ROUNDS rounds the tasks train copies of the weights by truncated backpropagation
-   on a share of the training texts (one SHARE-th each round, chosen by the same checksum,
-   so the work grows with the corpus and no text twice), and the copies are averaged by the
+   on a share of the training texts (one ROUNDS-th each round, chosen by the same checksum,
+   so every text is learnt from once), and the copies are averaged by the
    number of tokens they saw, task by task in two levels, so the driver gets one row.
    Weights start as the counts' own distribution, so with little text the model is no worse.
 3. Scores. The model scores whole texts, its state carried across windows. A word outside the
@@ -43,7 +43,7 @@ from palisade.llm.common import release, settled
 FOLDS, HELD_OUT = 7, 2
 VOCABULARY = 4096
 HEAD = 65_536
-ROUNDS, SHARE = 2, 8
+ROUNDS = 8
 #: The end token's key among word hashes.
 END = np.uint64(0x5EED0FE17D)
 #: A task hands on its counts when it holds so many words.
@@ -216,7 +216,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     whole = table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("h") == int(END), F.col("c"))), F.lit(0))).first()
     head = table.filter(F.col("h") != int(END)).orderBy(F.desc("c"), "h").limit(HEAD).collect()
     model = Model([(r["h"], r["c"]) for r in head], whole[0], whole[1], whole[2])
-    slices = training.select("text", F.coalesce(F.floor(_crc(F.col("doc_id")) / FOLDS) % SHARE, F.lit(0)).alias("slice"))
+    slices = training.select("text", F.coalesce(F.floor(_crc(F.col("doc_id")) / FOLDS) % ROUNDS, F.lit(0)).alias("slice"))
     model.weights = train(slices, model)
     sent = spark.sparkContext.broadcast(model)
 

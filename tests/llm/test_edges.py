@@ -142,6 +142,17 @@ def test_near_copies_of_long_texts(spark):
     assert {r["doc_id"] for r in simhash.deduplicated(rows).collect()} == {3, 9, 11}
 
 
+def test_every_training_text_is_learnt_from(spark):
+    """Texts of any slice that score() deals change the weights."""
+    texts = spark.createDataFrame([("alpha beta gamma delta " * 40,)], "text string")
+    counts = {r["h"]: r["c"] for r in lm_score.count_words(texts).collect()}
+    ends = counts.pop(int(lm_score.END))
+    model = lm_score.Model(list(counts.items()), sum(counts.values()) + ends, len(counts) + 1, ends)
+    for turn in (0, 2, 5, 7):
+        weights = lm_score.train(texts.select("text", F.lit(turn).alias("slice")), model)
+        assert any((weights[k] != model.weights[k]).any() for k in weights), turn
+
+
 def _edited(rng, words, n):
     out = list(words)
     for i in rng.choice(len(words), n, replace=False):
