@@ -540,9 +540,11 @@ def cache_hits(spark, sf_dir):
 
 @query()
 def answer_dependencies(spark, sf_dir):
-    docs = R.table(spark, sf_dir, "documents").filter("doc_id % 4 = 0")
-    ctx = F.array(F.struct(F.lit(1).cast("long").alias("id"), F.substring("text", 1, 300).alias("text")), F.struct(F.lit(2).cast("long").alias("id"), F.substring("text", 301, 600).alias("text")))
-    rows = docs.select("doc_id", F.substring("text", 100, 400).alias("answer"), F.substring("text", 1, 40).alias("question"), ctx.alias("context"), F.array(F.lit(1).cast("long")).alias("cited"))
+    # the answer is the whole text and the context all its lines; the first is cited, the last asks
+    docs = R.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("answer"))
+    lines = F.transform(F.split("answer", "\n"), lambda line, k: F.struct((F.col("doc_id") * 10000 + k).alias("id"), F.trim(line).alias("text")))
+    rows = docs.withColumn("context", F.filter(lines, lambda c: c["text"] != ""))
+    rows = rows.withColumn("cited", F.slice("context.id", 1, 1)).withColumn("question", F.coalesce(F.try_element_at("context", F.lit(-1))["text"], F.lit("")))
     return cache.dependencies(rows).select("doc_id", F.array_join(F.col("deps").cast("array<string>"), ",").alias("deps"))
 
 

@@ -125,3 +125,16 @@ def test_streamed_metrics(spark, sf, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("audit_windows").agg(F.sum("queries")).first()[0] == log.count()
+
+
+def test_answer_dependencies_of_whole_texts(spark, sf):
+    from palisade.plans.catalogue import QUERIES
+
+    want = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
+        text = r["text"] or ""
+        context = [(r["doc_id"] * 10000 + k, line.strip(" ")) for k, line in enumerate(text.split("\n")) if line.strip(" ")]
+        deps = cache.depends_on(text, context[-1][1] if context else "", context, {i for i, _ in context[:1]})
+        want[r["doc_id"]] = ",".join(map(str, deps))
+    got = {r["doc_id"]: r["deps"] for r in QUERIES["answer_dependencies"](spark, sf).collect()}
+    assert got == want
