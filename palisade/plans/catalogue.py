@@ -236,7 +236,7 @@ def rerank(spark, sf_dir):
 
 @query()
 def hash_embed(spark, sf_dir):
-    rows = vector.embed(R.chunks(spark, sf_dir).filter("ord = 0").select("chunk_id", "text"))
+    rows = vector.embed(R.chunks(spark, sf_dir).select("chunk_id", "text"))
     return rows.select("chunk_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 4).alias("square"))
 
 

@@ -138,3 +138,10 @@ def test_answer_dependencies_of_whole_texts(spark, sf):
         want[r["doc_id"]] = ",".join(map(str, deps))
     got = {r["doc_id"]: r["deps"] for r in QUERIES["answer_dependencies"](spark, sf).collect()}
     assert got == want
+
+
+def test_every_chunk_is_embedded(spark, sf):
+    from palisade.plans.catalogue import QUERIES, R
+
+    got = [r["chunk_id"] for r in QUERIES["hash_embed"](spark, sf).select("chunk_id").collect()]
+    assert sorted(got) == sorted(r["chunk_id"] for r in R.chunks(spark, sf).select("chunk_id").collect())
