@@ -1,8 +1,8 @@
 """Benchmark decontamination: short test items found inside long documents.
 
 Containment of an item in a document is the share of the item's distinct word shingles
-that the document has. Items are partitioned by their number of shingles n. An item of
-size n is represented by the shingles with its s(n) least hash values (a bottom MinHash
+that the document has. Sketches of items of all sizes share a table for each shingle
+width. An item of n shingles is represented by the shingles with its s(n) least hash values (a bottom MinHash
 sketch); a document can miss at most floor((1 - t) * n) shingles at threshold t, so with
 s(n) one larger than that at least one sketch shingle is in every document that reaches
 the threshold: the search loses nothing. The document's size bounds the items it can hold

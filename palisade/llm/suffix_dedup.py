@@ -1,11 +1,11 @@
-"""Removal of repeated byte strings by distributed prefix doubling.
+"""Removal of repeated byte strings by hashes at anchors, in place of prefix doubling.
 
 Every byte is removed that lies in a string of LENGTH bytes which also starts earlier, in a
 document with a smaller id or before in the same one.
 
 Prefix doubling ranks the string at each position by rounds: a round sorts pairs of the rank
 at a position and the rank at an offset behind it, and positions whose rank is unique drop
-out. Here a rank is named by a hash of the string it stands for, so that the rank at the
+out. That is not done here: there are three fixed rounds, no sort and no new ranks. A rank is named by a hash of the string it stands for, so that the rank at the
 offset is at hand where the position is, and each round has Spark bring equal pairs together
 and keep what is not unique yet. The rounds:
 
