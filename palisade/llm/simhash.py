@@ -314,7 +314,8 @@ def linked(keyed: DataFrame, words: int, radius: int, similarity: float | None =
             if not batch.num_rows:
                 continue
             columns = [batch.column(k).to_numpy() for k in range(2 + words)]
-            held.append((columns[0], columns[1], np.stack([c.view(np.uint64) for c in columns[2:]], axis=1), *[np.array([*batch.column(2 + words).to_pylist(), None], object)[:-1]] * (similarity is not None)))
+            sets = [] if similarity is None else [np.array([*batch.column(2 + words).to_pylist(), None], object)[:-1]]
+            held.append((columns[0], columns[1], np.stack([c.view(np.uint64) for c in columns[2:]], axis=1), *sets))
             if held[0][0][0] == columns[0][-1]:
                 continue  # one bucket so far
             whole = [np.concatenate(x) for x in zip(*held, strict=True)]
