@@ -1,13 +1,18 @@
-"""Vectorised hashes of words and word shingles over the bytes of many texts.
+"""Vectorised hashes of words, word shingles and byte strings of many texts.
 
-A polynomial prefix sum modulo 2**64 over a random value per byte gives the hash of any
-slice from two look-ups; multiplying by an inverse power makes it independent of place.
-Used to find candidates only: whoever uses it verifies matches on the texts.
+Words are read eight bytes at a time, and each eight are stirred into the word's hash, so
+unlike sums of powers no family of texts collides by construction. Words above LONG bytes
+are hashed by XXH64 one by one. Where identity is claimed, `Spelling` compares the bytes.
+
+Byte strings (`byte_sums`) have prefix sums modulo 2**64 of a random value per byte times
+powers; slices take two look-ups. Such sums can be made to collide for strings of 1,024
+bytes and more, so they are used for shorter ones only.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 #: An odd multiplier, its inverse modulo 2**64, and the seed of the byte values.
 BASE = 0x9E3779B97F4A7C15
@@ -15,13 +20,14 @@ INVERSE = pow(BASE, -1, 2**64)
 _SEED = 20_011
 #: Texts are hashed in slices of about so many bytes, cut between words.
 SLICE = 1 << 20
+#: Words of more bytes are hashed one by one.
+LONG = 64
 
 _VALUES = np.random.default_rng(_SEED).integers(0, 2**64, 256, dtype=np.uint64)
-_LOWER = np.arange(256)
-_LOWER[65:91] += 32
-LOWERED_VALUES = _VALUES[_LOWER]
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
+BLANK = np.zeros(256, bool)
+BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: What is kept of eight bytes of which only the first k belong to a word.
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -41,10 +47,11 @@ def powers(base: int, n: int) -> np.ndarray:
 def mixed(x: np.ndarray) -> np.ndarray:
     """A finaliser that spreads every bit over the word."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(27)
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def byte_sums(raw: np.ndarray, values: np.ndarray = _VALUES) -> np.ndarray:
@@ -54,12 +61,47 @@ def byte_sums(raw: np.ndarray, values: np.ndarray = _VALUES) -> np.ndarray:
     return sums
 
 
-def _slice_words(raw: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    solid = ~_BLANK[raw]
-    edge = np.diff(solid.astype(np.int8), prepend=0, append=0)
-    starts, ends = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
-    sums = byte_sums(raw, values)
-    return mixed((sums[ends] - sums[starts]) * powers(INVERSE, len(raw) + 1)[starts]), starts, ends
+def lowered(raw: np.ndarray) -> np.ndarray:
+    """A to Z in lower case."""
+    return raw + ((raw - np.uint8(65) < 26) * np.uint8(32))
+
+
+class Eights:
+    """Eight bytes from any place of an array of bytes, as one number; zeros behind its end."""
+
+    def __init__(self, raw: np.ndarray):
+        room = np.zeros(len(raw) // 8 * 8 + 16, np.uint8)
+        room[: len(raw)] = raw
+        self.whole = room.view("<u8")
+
+    def at(self, places: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Of each place the next bytes, eight at most and no more than `sizes`."""
+        cell, shift = places >> 3, (places & 7).astype(np.uint64) << np.uint64(3)
+        out = self.whole[cell] >> shift
+        out |= (self.whole[cell + 1] << np.uint64(1)) << (np.uint64(63) - shift)
+        out &= _KEEP[np.minimum(sizes, 8)]
+        return out
+
+
+def _stirred(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    eights, sizes = Eights(raw), ends - starts
+    h = mixed(eights.at(starts, sizes) ^ (sizes.astype(np.uint64) * np.uint64(BASE)))
+    mine = np.nonzero((sizes > 8) & (sizes <= LONG))[0]
+    for k in range(8, LONG, 8):
+        mine = mine[sizes[mine] > k]
+        if not len(mine):
+            break
+        h[mine] = mixed(h[mine] * np.uint64(BASE) + eights.at(starts[mine] + k, sizes[mine] - k))
+    for i in np.nonzero(sizes > LONG)[0].tolist():
+        h[i] = xxhash.xxh64_intdigest(raw[starts[i] : ends[i]].tobytes(), _SEED)
+    return h
+
+
+def _slice_words(raw: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    solid = ~BLANK[raw]
+    edge = np.nonzero(np.diff(solid, prepend=False, append=False))[0]
+    starts, ends = edge[::2], edge[1::2]
+    return _stirred(lowered(raw) if fold else raw, starts, ends), starts, ends
 
 
 def word_hashes(blob: bytes, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,10 +109,10 @@ def word_hashes(blob: bytes, fold: bool = True) -> tuple[np.ndarray, np.ndarray,
     raw, at, parts = np.frombuffer(blob, np.uint8), 0, []
     while at < len(raw):
         end = min(at + SLICE, len(raw))
-        while end < len(raw) and not _BLANK[raw[end - 1]]:
-            rest = np.nonzero(_BLANK[raw[end : end + SLICE]])[0]
+        while end < len(raw) and not BLANK[raw[end - 1]]:
+            rest = np.nonzero(BLANK[raw[end : end + SLICE]])[0]
             end = end + int(rest[0]) + 1 if len(rest) else min(end + SLICE, len(raw))
-        h, s, e = _slice_words(raw[at:end], LOWERED_VALUES if fold else _VALUES)
+        h, s, e = _slice_words(raw[at:end], fold)
         parts.append((h, s + at, e + at))
         at = end
     if not parts:
@@ -79,7 +121,7 @@ def word_hashes(blob: bytes, fold: bool = True) -> tuple[np.ndarray, np.ndarray,
 
 
 def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Hash of every run of `width` words."""
+    """Hash of every run of `width` words, a few."""
     n = len(hashes) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
@@ -90,6 +132,60 @@ def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
     return mixed(total)
 
 
+class Grown:
+    """An array that is appended to."""
+
+    def __init__(self, kind: type):
+        self.room, self.size = np.zeros(1024, kind), 0
+
+    def all(self) -> np.ndarray:
+        return self.room[: self.size]
+
+    def extend(self, values: np.ndarray) -> None:
+        end = self.size + len(values)
+        if end > len(self.room):
+            room = np.zeros(max(end, len(self.room) * 3 // 2), self.room.dtype)
+            room[: self.size] = self.all()
+            self.room = room
+        self.room[self.size : end] = values
+        self.size = end
+
+
+class Spelling:
+    """The bytes of numbered words, to tell whether a word is the one that its hash stands for."""
+
+    def __init__(self):
+        self.pool, self.at, self.sizes = Grown(np.uint64), Grown(np.int64), Grown(np.int32)
+        self.long: dict[int, bytes] = {}
+
+    def add(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """The next numbers go to these words."""
+        eights, sizes, known = Eights(raw), ends - starts, self.sizes.size
+        for i in np.nonzero(sizes > LONG)[0].tolist():
+            self.long[known + i] = raw[starts[i] : ends[i]].tobytes()
+        cells = np.where(sizes <= LONG, (sizes + 7) >> 3, 0)
+        begin = np.cumsum(cells) - cells
+        owner = np.repeat(np.arange(len(sizes)), cells)
+        step = 8 * (np.arange(len(owner)) - begin[owner])
+        self.at.extend(begin + self.pool.size)
+        self.pool.extend(eights.at(starts[owner] + step, sizes[owner] - step))
+        self.sizes.extend(sizes)
+
+    def differs(self, numbers: np.ndarray, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Places of words whose bytes are not those of the number they are given."""
+        eights, sizes = Eights(raw), ends - starts
+        wrong = sizes != self.sizes.all()[numbers]
+        pool, at, mine = self.pool.all(), self.at.all(), np.nonzero(~wrong & (sizes <= LONG))[0]
+        for k in range(0, LONG, 8):
+            mine = mine[sizes[mine] > k]
+            if not len(mine):
+                break
+            wrong[mine] |= pool[at[numbers[mine]] + k // 8] != eights.at(starts[mine] + k, sizes[mine] - k)
+        for i in np.nonzero(~wrong & (sizes > LONG))[0].tolist():
+            wrong[i] = self.long[int(numbers[i])] != raw[starts[i] : ends[i]].tobytes()
+        return np.nonzero(wrong)[0]
+
+
 class HashIndex:
     """A growing map from 64-bit hashes to small numbers, looked up for whole arrays.
 

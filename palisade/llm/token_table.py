@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palisade.llm.bytehash import HashIndex, word_hashes
+from palisade.llm.bytehash import BLANK, Grown, HashIndex, Spelling, lowered, word_hashes
 from palisade.llm.common import scratch
 
 END_ID = 2
@@ -36,7 +36,7 @@ ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
 #: Words that a worker remembers; then it starts afresh.
-MEMO_WORDS = 1_500_000
+MEMO_WORDS = 1_000_000
 TOKENIZER = "word_bpe_49k.json"
 
 WRITER = {
@@ -62,7 +62,8 @@ class WordEncoder:
     """Encodes texts word by word and remembers the ids of words.
 
     For tokenizers that drop white space, so that the ids of a text are those of its
-    blank-separated words one after the other; a test holds this against the library.
+    blank-separated words one after the other; a test holds this against the library. A word
+    is known by its bytes: a hash finds it, and its spelling is compared.
     """
 
     def __init__(self, path: str, memo_words: int = MEMO_WORDS):
@@ -71,33 +72,62 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = False
         self.memo_words = memo_words
-        #: A tokenizer that lower-cases gives both forms of a word the same ids.
-        self.fold = '"Lowercase"' in self.tokenizer.to_str().split('"pre_tokenizer"')[0]
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(c.isspace() for t in added for c in t):
+            raise ValueError("a token of this tokenizer holds white space, so words cannot be encoded apart")
+        #: A tokenizer that lower-cases gives both forms of a word the same ids, but for the
+        #: tokens that it looks for before: words with the first byte of one stay as they are.
+        self.marks = np.zeros(256, bool)
+        self.marks[[t.encode()[0] for t in added if t]] = True
+        lower_cases = '"Lowercase"' in self.tokenizer.to_str().split('"pre_tokenizer"')[0]
+        self.fold = lower_cases and not any(t[:1].isalpha() for t in added)
         self.forget()
 
     def forget(self) -> None:
-        self.index = HashIndex()
-        self.ids = np.empty(0, np.int32)
-        self.offsets = np.zeros(1, np.int64)
-
-    def _learn(self, new: list[str]) -> None:
-        coded = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        self.index, self.spelling = HashIndex(), Spelling()
+        self.ids, self.sizes = Grown(np.int32), Grown(np.int64)
+        self.begins = Grown(np.int64)
+
+    def _folded(self, raw: np.ndarray) -> np.ndarray:
+        if not self.fold:
+            return raw
+        out, at = lowered(raw), np.nonzero(self.marks[raw])[0]
+        if len(at):
+            blanks = np.concatenate([[-1], np.nonzero(BLANK[raw])[0], [len(raw)]])
+            words = np.unique(np.searchsorted(blanks, at))
+            for a, b in zip((blanks[words - 1] + 1).tolist(), blanks[words].tolist(), strict=True):
+                out[a:b] = raw[a:b]
+        return out
+
+    def _coded(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some words and how many each has, from the library."""
+        words = [raw[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        coded = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-        flat = np.fromiter(chain.from_iterable(coded), np.int32, int(sizes.sum()))
-        self.ids = np.concatenate([self.ids, flat])
-        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(sizes)])
-
-    def _numbers(self, blob: bytes, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return np.fromiter(chain.from_iterable(coded), np.int32, int(sizes.sum())), sizes
+
+    def _remember(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Numbers for words that are encoded now."""
+        ids, sizes = self._coded(raw, starts, ends)
+        known = len(self.sizes.all())
+        self.begins.extend(len(self.ids.all()) + np.cumsum(sizes) - sizes)
+        self.ids.extend(ids)
+        self.sizes.extend(sizes)
+        self.spelling.add(raw, starts, ends)
+        return np.arange(known, known + len(starts))
+
+    def _numbers(self, raw: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The number of each word; unknown words are encoded first, each once."""
         found = self.index.find(hashes)
         unknown = np.nonzero(found < 0)[0]
         if len(unknown):
             fresh, first = np.unique(hashes[unknown], return_index=True)
             where = unknown[first]
-            known = len(self.offsets) - 1
-            self._learn([blob[a:b].decode("utf-8", "replace") for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
-            self.index.add(fresh, np.arange(known, known + len(fresh)))
+            self.index.add(fresh, self._remember(raw, starts[where], ends[where]))
             found[unknown] = self.index.find(hashes[unknown])
+        wrong = self.spelling.differs(found, raw, starts, ends)
+        if len(wrong):  # another word has this hash: these get numbers that no hash leads to
+            found[wrong] = self._remember(raw, starts[wrong], ends[wrong])
         return found
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,18 +136,18 @@ class WordEncoder:
         blob = b"\n".join(raw)
         if self.index.size > self.memo_words:
             self.forget()
-        hashes, starts, ends = word_hashes(blob, fold=self.fold)
-        which = self._numbers(blob, hashes, starts, ends)
+        spelled = self._folded(np.frombuffer(blob, np.uint8))
+        hashes, starts, ends = word_hashes(spelled.tobytes(), fold=False)
+        which = self._numbers(spelled, hashes, starts, ends)
         owner = np.searchsorted(np.cumsum([len(r) + 1 for r in raw]), starts, side="right")
-        begin = self.offsets[which]
-        sizes = self.offsets[which + 1] - begin
+        begin, sizes = self.begins.all()[which], self.sizes.all()[which]
         ends_at = np.cumsum(sizes)
         total = int(ends_at[-1]) if len(ends_at) else 0
         lengths = np.bincount(owner, weights=sizes, minlength=len(texts)).astype(np.int64) + 1
         out = np.full(total + len(texts), end_id, np.int32)
         # each id goes to its place among the ids plus one for each end id before it
         target = np.arange(total, dtype=np.int64) + np.repeat(owner, sizes)
-        out[target] = self.ids[np.arange(total, dtype=np.int64) + np.repeat(begin - (ends_at - sizes), sizes)]
+        out[target] = self.ids.all()[np.arange(total, dtype=np.int64) + np.repeat(begin - (ends_at - sizes), sizes)]
         return out, lengths
 
 

@@ -102,6 +102,24 @@ def test_op3(spark, sf, docs):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
+#: Two words of 1,024 letters whose sums of powers modulo 2**64 are equal for any odd base.
+EVEN = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+ODD = EVEN.translate(str.maketrans("ab", "ba"))
+
+
+def test_op3_tells_all_words_apart(spark):
+    from palisade.llm import lm_score
+
+    texts = {10: f"{EVEN} {EVEN} x", 11: ODD, 12: f"{ODD} {EVEN}", 13: "X y"}
+    rows = lm_score.score(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    counts = Counter(w for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in [*t.lower().split(), None])
+    n, v = sum(counts.values()), len(counts)
+    for r in rows:
+        mine = [*texts[r["doc_id"]].lower().split(), None]
+        assert (r["n_known"], r["train_tokens"]) == (sum(counts[w] > 0 for w in mine), n)
+        assert math.isclose(r["base_score"], sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in mine), rel_tol=1e-9)
+
+
 # 5
 
 

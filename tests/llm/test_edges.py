@@ -266,6 +266,34 @@ def test_word_encoder_equals_the_library(texts):
     assert [p.tolist() for p in np.split(ids, np.cumsum(lengths)[:-1])] == want
 
 
+def test_word_encoder_knows_words_by_their_bytes(monkeypatch):
+    """Added tokens in both cases, words that differ late, and words whose hashes are equal."""
+    even = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    odd = even.translate(str.maketrans("ab", "ba"))
+    path = token_table.tokenizer_path()
+    added = [t.content for t in token_table.WordEncoder(path).tokenizer.get_added_tokens_decoder().values()]
+    texts = [f"{t.upper()} {t} x{t}Y {t.title()}" for t in added] + [even, odd, "The the THE", "a" * 65 + "b", "a" * 65 + "c", "", "z" * 17 + " " + "z" * 16 + "y"]
+
+    def held(order):
+        encoder = token_table.WordEncoder(path)
+        for text in order:
+            ids, _ = encoder.encode([text], 2)
+            assert ids.tolist() == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 2]
+        ids, lengths = encoder.encode(order, 2)
+        assert [p.tolist() for p in np.split(ids, np.cumsum(lengths)[:-1])] == [[*e.ids, 2] for e in encoder.tokenizer.encode_batch(order, add_special_tokens=False)]
+
+    held(texts)
+    held(texts[::-1])
+    monkeypatch.setattr(token_table, "word_hashes", lambda blob, fold: (np.full_like(word_hashes(blob, fold)[0], 7), *word_hashes(blob, fold)[1:]))
+    held(texts)
+
+
+def test_words_that_sums_of_powers_confuse():
+    even = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    words = [even, even.translate(str.maketrans("ab", "ba")), *(even[:n] for n in range(1, 130))]
+    assert len(set(word_hashes(" ".join(words).encode())[0].tolist())) == len(words)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.binary(max_size=300))
 def test_word_hashes(blob):
