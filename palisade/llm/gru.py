@@ -3,6 +3,9 @@
 Ids: 0 is the end, which also starts a text; 1 to size - 1 are words by falling count; size
 stands for every other word. Class 0 holds that last id alone, the other classes hold
 WIDE ids each, so a prediction costs one softmax over the classes and one inside a class.
+
+Updates touch only the input rows and the classes that a window has, so an update's cost
+follows the window and not the vocabulary; Adagrad leaves all else as it is anyway.
 """
 
 from __future__ import annotations
@@ -16,8 +19,14 @@ WIDE = 64
 WINDOW = 24
 LANES = 128
 RATE = 0.08
+#: Rows of a softmax that are worked on together, so that they stay in the processor's cache.
+TILE = 16_384
+#: A row of the inputs that occurs more often in a window is summed by itself.
+OFTEN = 12
 
 Weights = dict[str, np.ndarray]
+#: Gradients: name, the touched rows of the weights (None: all of them), and their values.
+Gradients = list[tuple[str, np.ndarray | None, np.ndarray]]
 
 
 def start(counts: np.ndarray, others: float, seed: int = 5) -> Weights:
@@ -39,50 +48,92 @@ def start(counts: np.ndarray, others: float, seed: int = 5) -> Weights:
     }
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
 def classes(ids: np.ndarray, size: int) -> np.ndarray:
     return np.where(ids == size, 0, ids // WIDE + 1)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+class ByClass:
+    """Rows of hidden states sorted by their target's class; class 0 has no inside."""
+
+    def __init__(self, weights: Weights, targets: np.ndarray):
+        of = classes(targets, len(weights["x"]) - 1)
+        self.order = np.argsort(of.astype(np.uint16), kind="stable")  # short keys are sorted by counting
+        self.of = of[self.order]
+        self.place = targets[self.order] % WIDE
+        bounds = np.searchsorted(self.of, np.arange(1, len(weights["cb"]) + 1))
+        #: The first row that has an inside, and number, begin and end of each class that has rows, counted from there.
+        self.first = int(bounds[0])
+        self.some = np.nonzero(bounds[1:] > bounds[:-1])[0]
+        self.begin, self.end = bounds[:-1][self.some] - self.first, bounds[1:][self.some] - self.first
+
+    def parts(self) -> Iterator[tuple[int, int, int]]:
+        return zip(self.some.tolist(), self.begin.tolist(), self.end.tolist(), strict=True)
 
+    def outer(self, weights: Weights, rows: np.ndarray) -> np.ndarray:
+        x = rows @ weights["c"]
+        x += weights["cb"]
+        return x
 
-def _inside(order: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Rows of each class that has some, from rows sorted by class; class 0 has no inside."""
-    for k in range(1, len(bounds) - 1):
-        if bounds[k] < bounds[k + 1]:
-            yield k - 1, order[bounds[k] : bounds[k + 1]]
+    def inner(self, weights: Weights, rows: np.ndarray) -> np.ndarray:
+        """Logits inside the class, of rows from `first` on."""
+        x = weights["wb"].take(self.of[self.first :] - 1, axis=0)
+        for k, a, b in self.parts():
+            x[a:b] += rows[a:b] @ weights["w"][k]
+        return x
 
 
 def _log_p(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Log softmax of one place in each row."""
+    """Log softmax of one place in each row; `x` becomes the exponentials."""
     np.clip(x, -80, 80, out=x)
     picked = x[np.arange(len(x)), at]
-    return picked - np.log(np.exp(x, out=x).sum(axis=1))
+    return picked - np.log(_across(np.exp(x, out=x)))
+
+
+def _across(x: np.ndarray) -> np.ndarray:
+    """Sums of rows, as a product, which is faster for short rows."""
+    return x @ np.ones(x.shape[1], x.dtype)
 
 
 def output(weights: Weights, hidden: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """log p of each target given its row of `hidden`."""
-    of = classes(targets, len(weights["x"]) - 1)
-    log_p = _log_p(hidden @ weights["c"] + weights["cb"], of).astype(np.float64)
-    order = np.argsort(of, kind="stable")
-    bounds = np.searchsorted(of[order], np.arange(len(weights["cb"]) + 1))
-    for k, rows in _inside(order, bounds):
-        log_p[rows] += _log_p(hidden[rows] @ weights["w"][k] + weights["wb"][k], targets[rows] % WIDE)
-    return log_p
+    out = np.empty(len(targets))
+    for at in range(0, len(targets), TILE):
+        cut = ByClass(weights, targets[at : at + TILE])
+        rows = hidden[at : at + TILE][cut.order]
+        log_p = _log_p(cut.outer(weights, rows), cut.of)
+        log_p[cut.first :] += _log_p(cut.inner(weights, rows[cut.first :]), cut.place[cut.first :])
+        out[at : at + TILE][cut.order] = log_p
+    return out
+
 
+def _sigmoid(x: np.ndarray) -> None:
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    np.reciprocal(x, out=x)
 
-def step(weights: Weights, state: np.ndarray, inputs: np.ndarray) -> np.ndarray:
-    h = HIDDEN
-    a, b = weights["x"][inputs], state @ weights["u"]
-    zr = _sigmoid(a[:, : 2 * h] + b[:, : 2 * h])
-    n = np.tanh(a[:, 2 * h :] + zr[:, h:] * b[:, 2 * h :])
-    return n + zr[:, :h] * (state - n)
+
+class Cell:
+    """One step of the recurrence, with the weights of gates and of the new state side by side."""
+
+    def __init__(self, weights: Weights):
+        cut = 2 * HIDDEN
+        self.x = [np.ascontiguousarray(p) for p in (weights["x"][:, :cut], weights["x"][:, cut:])]
+        self.u = [np.ascontiguousarray(p) for p in (weights["u"][:, :cut], weights["u"][:, cut:])]
+
+    def step(self, state: np.ndarray, inputs: np.ndarray, out: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The next state goes to `out`; gates, new part and its recurrent input are handed back."""
+        gates = state @ self.u[0]
+        gates += self.x[0].take(inputs, axis=0)
+        _sigmoid(gates)
+        back = state @ self.u[1]
+        new = back * gates[:, HIDDEN:]
+        new += self.x[1].take(inputs, axis=0)
+        np.tanh(new, out=new)
+        np.subtract(state, new, out=out)
+        out *= gates[:, :HIDDEN]
+        out += new
+        return gates, new, back
 
 
 def log_likelihoods(weights: Weights, texts: list[np.ndarray], lanes: int = 512, window: int = 32) -> np.ndarray:
@@ -91,89 +142,124 @@ def log_likelihoods(weights: Weights, texts: list[np.ndarray], lanes: int = 512,
     Texts of like length go side by side; the state is carried from window to window until
     the longest of them ends.
     """
-    out = np.zeros(len(texts))
+    out, cell = np.zeros(len(texts)), Cell(weights)
     order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
     for at in range(0, len(order), lanes):
         group = order[at : at + lanes]
         lengths = np.array([len(texts[i]) + 1 for i in group])
+        # all texts of the group, each between an end that starts it and one that ends it
+        flat = np.zeros(int(lengths.sum()) + len(group), np.uint16)
+        first = np.cumsum(lengths + 1) - lengths - 1
+        for j, i in enumerate(group):
+            flat[first[j] + 1 : first[j] + lengths[j]] = texts[i]
         state = np.zeros((len(group), HIDDEN), np.float32)
         total = np.zeros(len(group))
-        for first in range(0, int(lengths[0]), window):
-            active = int(np.count_nonzero(lengths > first))
-            steps = min(window, int(lengths[0]) - first)
-            inputs, targets = np.zeros((steps, active), np.int64), np.zeros((steps, active), np.int64)
-            for j in range(active):
-                part = texts[group[j]][max(first - 1, 0) : first + steps]
-                targets[: len(part) - (first > 0), j] = part[(first > 0) :]
-                part = part[: steps if first else steps - 1]
-                inputs[(first == 0) : (first == 0) + len(part), j] = part
+        for begin in range(0, int(lengths[0]), window):
+            active = int(np.count_nonzero(lengths > begin))
+            steps = min(window, int(lengths[0]) - begin)
+            place = first[None, :active] + begin + np.arange(steps + 1)[:, None]
+            ids = flat.take(place, mode="clip").astype(np.int64)
             states = np.empty((steps, active, HIDDEN), np.float32)
             state = state[:active]
             for t in range(steps):
-                state = step(weights, state, inputs[t])
-                states[t] = state
-            valid = (first + np.arange(steps))[:, None] < lengths[:active][None, :]
+                cell.step(state, ids[t], states[t])
+                state = states[t]
             log_p = np.zeros((steps, active))
-            log_p[valid] = output(weights, states[valid], targets[valid])
+            whole = min(steps, int(lengths[active - 1]) - begin)  # so many steps are inside all texts
+            log_p[:whole] = output(weights, states[:whole].reshape(-1, HIDDEN), ids[1 : whole + 1].reshape(-1)).reshape(whole, active)
+            if whole < steps:
+                valid = (begin + np.arange(whole, steps))[:, None] < lengths[None, :active]
+                log_p[whole:][valid] = output(weights, states[whole:][valid], ids[whole + 1 :][valid])
             total[:active] += log_p.sum(axis=0)
         out[group] = total
     return out
 
 
-def _gradients(weights: Weights, state: np.ndarray, inputs: np.ndarray, targets: np.ndarray, counted: np.ndarray) -> tuple[Weights, np.ndarray, float]:
+def _row_sums(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """For each row number below `n`, all of which occur, the sum of the values that go to it.
+
+    Numbers that occur often are summed one by one, the others by their first, second and
+    so on occurrence together.
+    """
+    values = values[np.argsort(rows.astype(np.uint16), kind="stable")]
+    times = np.bincount(rows, minlength=n)
+    first = np.cumsum(times) - times
+    out = values[first]
+    few = np.nonzero((times > 1) & (times <= OFTEN))[0]
+    for j in range(1, OFTEN):
+        few = few[times[few] > j]
+        if not len(few):
+            break
+        out[few] += values[first[few] + j]
+    for k in np.nonzero(times > OFTEN)[0].tolist():
+        out[k] = values[first[k] : first[k] + times[k]].sum(axis=0)
+    return out
+
+
+def _gradients(weights: Weights, state: np.ndarray, inputs: np.ndarray, targets: np.ndarray, counted: np.ndarray) -> tuple[Gradients, np.ndarray, float]:
     """Gradients of the mean loss of one window, the state behind it, and the loss."""
-    h, (steps, lanes) = HIDDEN, inputs.shape
-    size = len(weights["x"]) - 1
-    fresh = (inputs != 0).astype(np.float32)[:, :, None]  # a text starts from nothing
-    kept, before = [], []
-    states = np.empty((steps, lanes, h), np.float32)
+    h, (steps, lanes), kind = HIDDEN, inputs.shape, weights["u"].dtype
+    fresh = (inputs != 0).astype(kind)[:, :, None]  # a text starts from nothing
+    used, places = np.unique(inputs, return_inverse=True)  # only the rows of this window's inputs are looked at
+    places = places.reshape(inputs.shape)
+    cell = Cell({"x": weights["x"][used], "u": weights["u"]})
+    before, states = np.empty((steps, lanes, h), kind), np.empty((steps, lanes, h), kind)
+    gates, new, back = np.empty((steps, lanes, 2 * h), kind), np.empty((steps, lanes, h), kind), np.empty((steps, lanes, h), kind)
     for t in range(steps):
-        state = state * fresh[t]
-        before.append(state)
-        a, b = weights["x"][inputs[t]], state @ weights["u"]
-        zr = _sigmoid(a[:, : 2 * h] + b[:, : 2 * h])
-        n = np.tanh(a[:, 2 * h :] + zr[:, h:] * b[:, 2 * h :])
-        kept.append((zr, n, b[:, 2 * h :]))
-        state = n + zr[:, :h] * (state - n)
-        states[t] = state
-    flat, goal, use = states.reshape(-1, h), targets.reshape(-1), counted.reshape(-1).astype(np.float32)
-    scale = use / max(1.0, use.sum())
-    of = classes(goal, size)
-    grads = {k: np.zeros_like(v) for k, v in weights.items() if k in ("u", "w", "wb")}
-    log_c = _log_softmax(flat @ weights["c"] + weights["cb"])
-    rows = np.arange(len(of))
-    loss = -float((log_c[rows, of] * scale).sum())
-    d = np.exp(log_c)
-    d[rows, of] -= 1
-    d *= scale[:, None]
-    grads["c"], grads["cb"] = flat.T @ d, d.sum(axis=0)
+        np.multiply(state, fresh[t], out=before[t])
+        gates[t], new[t], back[t] = cell.step(before[t], places[t], states[t])
+        state = states[t]
+    cut = ByClass(weights, targets.reshape(-1))
+    flat = states.reshape(-1, h)[cut.order]
+    scale = counted.reshape(-1)[cut.order].astype(kind)
+    scale /= max(1.0, scale.sum())
+
+    def down(x: np.ndarray, at: np.ndarray, part: np.ndarray) -> float:
+        """Turns logits into their gradient; gives the loss."""
+        log_p = _log_p(x, at)
+        x *= (part / _across(x))[:, None]
+        x[np.arange(len(x)), at] -= part
+        return -float((log_p * part).sum())
+
+    d = cut.outer(weights, flat)
+    loss = down(d, cut.of, scale)
+    found: Gradients = [("c", None, flat.T @ d), ("cb", None, d.sum(axis=0))]
     d_flat = d @ weights["c"].T
-    order = np.argsort(of, kind="stable")
-    bounds = np.searchsorted(of[order], np.arange(len(weights["cb"]) + 1))
-    for k, mine in _inside(order, bounds):
-        log_w = _log_softmax(flat[mine] @ weights["w"][k] + weights["wb"][k])
-        place = np.arange(len(mine))
-        loss -= float((log_w[place, goal[mine] % WIDE] * scale[mine]).sum())
-        e = np.exp(log_w)
-        e[place, goal[mine] % WIDE] -= 1
-        e *= scale[mine][:, None]
-        grads["w"][k], grads["wb"][k] = flat[mine].T @ e, e.sum(axis=0)
-        d_flat[mine] += e @ weights["w"][k].T
-    d_states, d_state = d_flat.reshape(steps, lanes, h), np.zeros((lanes, h), np.float32)
-    d_inputs = np.empty((steps, lanes, 3 * h), np.float32)
+    if len(cut.some):
+        rows, d_rows = flat[cut.first :], d_flat[cut.first :]
+        e = cut.inner(weights, rows)
+        loss += down(e, cut.place[cut.first :], scale[cut.first :])
+        inside = np.empty((len(cut.some), h, WIDE), kind)
+        for j, (k, a, b) in enumerate(cut.parts()):
+            np.matmul(rows[a:b].T, e[a:b], out=inside[j])
+            d_rows[a:b] += e[a:b] @ weights["w"][k].T
+        found += [("w", cut.some, inside), ("wb", cut.some, np.add.reduceat(e, cut.begin, axis=0))]
+    d_states = np.empty_like(d_flat)
+    d_states[cut.order] = d_flat
+    d_states = d_states.reshape(steps, lanes, h)
+    # all that does not hang on what comes from behind
+    z, r = gates[:, :, :h], gates[:, :, h:]
+    rest = 1 - z
+    to_z, to_r, to_new = (before - new) * z * rest, back * r * (1 - r), rest * (1 - new * new)
+    d_state = np.zeros((lanes, h), kind)
+    d_all = np.empty((steps, lanes, 4 * h), kind)  # of both gates, of the new state's recurrent and other input
+    back_u = np.ascontiguousarray(weights["u"].T)
     for t in range(steps - 1, -1, -1):
-        zr, n, bn = kept[t]
-        z, r = zr[:, :h], zr[:, h:]
-        g = d_states[t] + d_state
-        dn = g * (1 - z) * (1 - n * n)
-        da = np.concatenate([g * (before[t] - n) * z * (1 - z), dn * bn * r * (1 - r), dn], axis=1)
-        db = np.concatenate([da[:, : 2 * h], dn * r], axis=1)
-        d_inputs[t] = da
-        grads["u"] += before[t].T @ db
-        d_state = (g * z + db @ weights["u"].T) * fresh[t]
-    grads["x"] = np.zeros_like(weights["x"])
-    np.add.at(grads["x"], inputs.reshape(-1), d_inputs.reshape(-1, 3 * h))
-    return grads, state, loss
+        g, da = d_states[t], d_all[t]
+        g += d_state
+        np.multiply(g, to_z[t], out=da[:, :h])
+        dn = g * to_new[t]
+        np.multiply(dn, to_r[t], out=da[:, h : 2 * h])
+        np.multiply(dn, r[t], out=da[:, 2 * h : 3 * h])
+        da[:, 3 * h :] = dn
+        d_state = da[:, : 3 * h] @ back_u
+        d_state += g * z[t]
+        d_state *= fresh[t]
+    d_all = d_all.reshape(-1, 4 * h)
+    found.append(("u", None, before.reshape(-1, h).T @ d_all[:, : 3 * h]))
+    sums = _row_sums(places.reshape(-1), d_all, len(used))
+    found.append(("x", used, np.concatenate([sums[:, : 2 * h], sums[:, 3 * h :]], axis=1)))
+    return found, state, loss
 
 
 class Trainer:
@@ -193,15 +279,25 @@ class Trainer:
         lanes = int(np.clip(len(inputs) // (2 * WINDOW), 1, LANES))
         room = -len(inputs) % lanes
         counted = np.ones(len(inputs), bool)
-        inputs, targets, counted = (np.concatenate([x, np.zeros(room, x.dtype)]).reshape(lanes, -1).T for x in (inputs, targets, counted))
+        inputs, targets, counted = (np.ascontiguousarray(np.concatenate([x, np.zeros(room, x.dtype)]).reshape(lanes, -1).T) for x in (inputs, targets, counted))
         state = np.zeros((lanes, HIDDEN), np.float32)
         for t in range(0, len(inputs), WINDOW):
             grads, state, loss = _gradients(self.weights, state, inputs[t : t + WINDOW], targets[t : t + WINDOW], counted[t : t + WINDOW])
-            norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-            shrink = min(1.0, 1.0 / (norm + 1e-9))
-            for k, g in grads.items():
-                g *= shrink
-                self.seen[k] += g * g
-                self.weights[k] -= self.rate * g / np.sqrt(self.seen[k])
+            norm = np.sqrt(sum(float(np.vdot(g, g)) for _, _, g in grads))
+            shrink = np.float32(min(1.0, 1.0 / (norm + 1e-9)))
+            for name, rows, g in grads:
+                self._update(name, rows, g * shrink)
             self.losses.append(loss)
         self.tokens += int(counted.sum())
+
+    def _update(self, name: str, rows: np.ndarray | None, g: np.ndarray) -> None:
+        weights, seen = self.weights[name], self.seen[name]
+        now = g * g
+        now += seen if rows is None else seen[rows]
+        g *= self.rate
+        if rows is None:
+            self.seen[name] = now
+            weights -= g / np.sqrt(now)
+        else:  # rows are distinct
+            seen[rows] = now
+            weights[rows] -= g / np.sqrt(now)

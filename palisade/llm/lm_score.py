@@ -6,31 +6,34 @@ is held out if the crc32 of its id, written as text, leaves HELD_OUT modulo FOLD
 1. Counts. Each task counts the words of the training texts it reads, by a 64-bit hash of the
    word, and a shuffle adds the counts up. The table stays distributed; only its HEAD most
    frequent words come to the driver, a fixed number.
-2. Training. The VOCABULARY most frequent words are the model's ids, all others share one. In
-   each of ROUNDS rounds the tasks train copies of the weights by truncated backpropagation
-   on a share of the training texts (one ROUNDS-th each round, chosen by the same checksum,
-   so every text is learnt from once), and the copies are averaged by the
-   number of tokens they saw, task by task in two levels, so the driver gets one row.
+2. Ids. The VOCABULARY most frequent words are the model's ids, all others share one. Texts
+   are read and cut once more; a table keeps two bytes for each token and what the scores
+   need of words beyond the vocabulary: counts of HEAD words are sent along, all rarer words
+   go as (hash, times) to a join with the table of counts.
+3. Training. In each of ROUNDS rounds the tasks train copies of the weights by truncated
+   backpropagation on a share of the training texts (one ROUNDS-th each round, chosen by the
+   same checksum, so every text is learnt from once), and the copies are averaged by the
+   number of tokens they saw. Weights are averaged in BLOCKS pieces, each in LOTS lots first,
+   so no task reads more than a small share of all copies, and the driver gets one copy.
    Weights start as the counts' own distribution, so with little text the model is no worse.
-3. Scores. The model scores whole texts, its state carried across windows. A word outside the
+4. Scores. The model scores whole texts, its state carried across windows. A word outside the
    vocabulary has the model's probability of the shared id times its share (c + 1) among such
-   words: a distribution over all words, one place being kept for words never seen. Counts of
-   HEAD words are sent along; all rarer words go as (hash, times) to a join with the table.
+   words: a distribution over all words, one place being kept for words never seen.
 
 Results per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score (the add-one
 unigram score) and score, both log10. A null text is empty, and has its end token alone. A
 null id is in training. Rows are scored one by one, also if ids repeat (each counts in
 training). Other columns are ignored. Without any training text all words are unknown.
+The number of training tasks, and in the last digits the order in which their copies are
+added, have a part in `score`; all other columns are exact.
 """
 
 from __future__ import annotations
 
-import io
 from collections.abc import Iterator
 from math import log
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,8 +51,10 @@ ROUNDS = 8
 END = np.uint64(0x5EED0FE17D)
 #: A task hands on its counts when it holds so many words.
 FLUSH_WORDS = 400_000
-#: Texts are handled together up to so many bytes.
-TOGETHER = 4 << 20
+#: Texts are cut together up to so many bytes, learnt and scored together up to so many tokens.
+TOGETHER, TOKENS = 4 << 20, 1 << 20
+#: Weights are averaged in so many pieces, and each piece in so many lots.
+BLOCKS, LOTS = 64, 32
 
 
 def _crc(doc_id: Column) -> Column:
@@ -146,128 +151,165 @@ class Model:
         return np.where((places >= 0) & (places < self.inside), places + 1, self.size)
 
 
-def packed(weights: gru.Weights) -> bytes:
-    out = io.BytesIO()
-    np.savez(out, **weights)
-    return out.getvalue()
+def vector(weights: gru.Weights) -> np.ndarray:
+    """All weights one after the other."""
+    return np.concatenate([weights[k].reshape(-1) for k in sorted(weights)])
 
 
-def unpacked(data: bytes) -> gru.Weights:
-    with np.load(io.BytesIO(data)) as z:
-        return {k: z[k] for k in z.files}
+def shaped(flat: np.ndarray, like: dict[str, tuple[int, ...]]) -> gru.Weights:
+    sizes = [int(np.prod(like[k])) for k in sorted(like)]
+    return {k: part.reshape(like[k]) for k, part in zip(sorted(like), np.split(flat, np.cumsum(sizes)[:-1]), strict=True)}
 
 
-def _averaged(copies: DataFrame) -> DataFrame:
-    """One row from rows(part, tokens, weights): the mean by tokens, kept as a running sum."""
+_COPY = "block int, lot int, tokens long, weights binary"
+
+
+def _copy_rows(rows: list[tuple[int, int, int, np.ndarray]]) -> pa.RecordBatch:
+    blocks, lots, tokens, weights = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(lots, pa.int32()), pa.array(tokens, pa.int64()), pa.array([w.tobytes() for w in weights], pa.binary())], ["block", "lot", "tokens", "weights"])
+
 
-    def average(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, seen = None, 0
-        for frame in batches:
-            for tokens, data in zip(frame["tokens"], frame["weights"], strict=True):
-                if tokens:
-                    mine = unpacked(data)
-                    total = {k: (total[k] if total else 0) + tokens * v.astype(np.float64) for k, v in mine.items()}
-                    seen += int(tokens)
-        if seen:
-            mean = {k: (v / seen).astype(np.float32) for k, v in total.items()}
-            yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "tokens": [seen], "weights": [packed(mean)]})
+def _averaged(copies: DataFrame) -> DataFrame:
+    """One row for each block of copies(block, lot, tokens, weights): running means by tokens."""
 
-    kind = "part int, tokens long, weights binary"
-    return copies.repartition("part").mapInPandas(average, kind).repartition(1).mapInPandas(average, kind)
+    def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[tuple[int, int], list] = {}
+        for batch in batches:
+            for block, lot, tokens, data in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                total = totals.setdefault((block, lot), [0, 0.0])
+                total[0] += tokens
+                total[1] = total[1] + tokens * np.frombuffer(data, np.float32).astype(np.float64)
+        if totals:
+            yield _copy_rows([(block, 0, n, (x / n).astype(np.float32)) for (block, _), (n, x) in sorted(totals.items())])
+
+    lots = copies.repartition("block", "lot").mapInArrow(average, _COPY)
+    return lots.repartition("block").mapInArrow(average, _COPY)
+
+
+def _pools(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list[pa.RecordBatch], list[np.ndarray]]]:
+    """Batches together until their ids are TOKENS or more, with each row's ids."""
+    held, ids, size = [], [], 0
+    for batch in batches:
+        rows = [np.frombuffer(x, np.uint16) for x in batch.column(column).to_pylist()]
+        held.append(batch)
+        ids += rows
+        size += sum(map(len, rows))
+        if size >= TOKENS:
+            yield held, ids
+            held, ids, size = [], [], 0
+    if ids:
+        yield held, ids
 
 
 def train(docs: DataFrame, model: Model) -> gru.Weights:
     """Weights after all rounds over docs(text, slice)."""
-    spark = docs.sparkSession
-    weights = model.weights
+    return learned(encoded(docs.select(F.lit(None).alias("doc_id"), F.lit(False).alias("held_out"), "slice", "text"), model), model)
+
+
+def learned(texts: DataFrame, model: Model) -> gru.Weights:
+    """Weights after all rounds over texts(ids, slice)."""
+    spark = texts.sparkSession
+    like, flat = {k: v.shape for k, v in model.weights.items()}, vector(model.weights)
     for turn in range(ROUNDS):
-        sent = spark.sparkContext.broadcast((model, packed(weights)))
+        sent = spark.sparkContext.broadcast(flat)
 
         def learn(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            model, data = sent.value
-            trainer, index = gru.Trainer(unpacked(data)), model.index()
-            for batch in batches:
-                texts = _encoded(batch, 0)
-                for a, b in _groups(texts):
-                    hashes, owner = _tokens(texts[a:b])
-                    ids = model.ids(index.find(hashes))
-                    trainer.learn(np.split(ids, np.searchsorted(owner, np.arange(1, b - a))))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([trainer.tokens], pa.int64()), pa.array([packed(trainer.weights)], pa.binary())],
-                ["part", "tokens", "weights"],
-            )
-
-        copies = docs.filter(F.col("slice") == turn).select("text").mapInArrow(learn, "part int, tokens long, weights binary")
-        mean = _averaged(copies).first()
-        if mean is not None:
-            weights = unpacked(bytes(mean["weights"]))
+            trainer = None
+            for _, ids in _pools(batches, 0):
+                trainer = trainer or gru.Trainer(shaped(sent.value, like))
+                cuts = np.searchsorted(np.cumsum([len(x) + 1 for x in ids]), np.arange(TOKENS, sum(len(x) + 1 for x in ids), TOKENS))
+                for a, b in zip([0, *cuts], [*cuts, len(ids)], strict=True):
+                    trainer.learn([x.astype(np.int64) for x in ids[a:b]])
+            if trainer and trainer.tokens:
+                lot = TaskContext.get().partitionId() % LOTS
+                yield _copy_rows([(k, lot, trainer.tokens, part) for k, part in enumerate(np.array_split(vector(trainer.weights), BLOCKS))])
+
+        copies = texts.filter(F.col("slice") == turn).select("ids").mapInArrow(learn, _COPY)
+        means = sorted((r["block"], bytes(r["weights"])) for r in _averaged(copies).collect())  # BLOCKS rows, one copy in all
+        if means:
+            flat = np.concatenate([np.frombuffer(x, np.float32) for _, x in means])
         sent.destroy()
-    return weights
+    return shaped(flat, like)
 
 
 # scores
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    spark: SparkSession = docs.sparkSession
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("held_out", is_held_out(F.col("doc_id")))
-    training = slim.filter(~F.col("held_out"))
-    table = settled(count_words(training.select("text")))
-    whole = table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("h") == int(END), F.col("c"))), F.lit(0))).first()
-    head = table.filter(F.col("h") != int(END)).orderBy(F.desc("c"), "h").limit(HEAD).collect()
-    model = Model([(r["h"], r["c"]) for r in head], whole[0], whole[1], whole[2])
-    slices = training.select("text", F.coalesce(F.floor(_crc(F.col("doc_id")) / FOLDS) % ROUNDS, F.lit(0)).alias("slice"))
-    model.weights = train(slices, model)
-    sent = spark.sparkContext.broadcast(model)
+_IDS = "doc_id long, held_out boolean, slice int, n_tokens long, n_head long, head double, other_head double, n_other long, rare array<struct<h: bigint, times: int>>, ids binary"
 
-    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def encoded(docs: DataFrame, model: Model) -> DataFrame:
+    """Of docs(doc_id, held_out, slice, text) the model's ids, two bytes each, and what the scores need of the words."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        index, log_head = model.index(), np.log10(model.counts + 1.0)
+        index, log_head = model.index(), np.log10(np.append(model.counts, 0) + 1.0)
         for batch in batches:
-            texts = _encoded(batch, 2)
+            texts = _encoded(batch, 3)
             for a, b in _groups(texts):
                 n = b - a
                 hashes, owner = _tokens(texts[a:b])
                 places = index.find(hashes)
                 ids, inside = model.ids(places), places >= 0
-                cuts = np.searchsorted(owner, np.arange(1, n))
-                model_part = gru.log_likelihoods(model.weights, np.split(ids, cuts)) / log(10)
-                of_head = np.where(inside, log_head[np.maximum(places, 0)] if len(log_head) else 0.0, 0.0)
-                other = ids == model.size
+                of_head, other, rare = log_head[places], ids == model.size, np.nonzero(~inside)[0]  # the last is of words beyond the head
                 sums = lambda x: np.bincount(owner, weights=x, minlength=n)  # noqa: B023, E731
-                rare = ~inside
-                pairs = np.stack([owner[rare].astype(np.uint64), hashes[rare]], axis=1)
-                order = np.lexsort((pairs[:, 1], pairs[:, 0]))
-                pairs = pairs[order]
-                new = np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(axis=1)]) if len(pairs) else np.zeros(0, bool)
-                at = np.nonzero(new)[0]
-                times = np.diff(np.append(at, len(pairs)))
-                per = np.bincount(pairs[at, 0].astype(np.int64), minlength=n)
-                offsets = pa.array(np.concatenate([[0], np.cumsum(per)]).astype(np.int32))
-                entries = pa.StructArray.from_arrays([pa.array(pairs[at, 1].view(np.int64)), pa.array(times.astype(np.int32))], ["h", "times"])
+                order = rare[np.lexsort((hashes[rare], owner[rare]))]
+                h, of = hashes[order], owner[order]
+                at = np.nonzero(np.append(True, (h[1:] != h[:-1]) | (of[1:] != of[:-1])))[0] if len(order) else order
+                entries = pa.StructArray.from_arrays([pa.array(h[at].view(np.int64)), pa.array(np.diff(np.append(at, len(order))).astype(np.int32))], ["h", "times"])
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(of[at], minlength=n))]).astype(np.int32)
+                counts = np.bincount(owner, minlength=n)
+                bounds = np.concatenate([[0], np.cumsum(2 * counts)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(a, n),
-                        batch.column(1).slice(a, n),
-                        pa.array(np.bincount(owner, minlength=n).astype(np.int64) + 1),
+                        *(batch.column(k).slice(a, n) for k in range(3)),
+                        pa.array(counts + 1),
                         pa.array(sums(inside.astype(float)).astype(np.int64)),
                         pa.array(sums(of_head)),
-                        pa.array(model_part),
                         pa.array(sums(of_head * other)),
                         pa.array(sums(other.astype(float)).astype(np.int64)),
-                        pa.ListArray.from_arrays(offsets, entries),
+                        pa.ListArray.from_arrays(pa.array(offsets), entries),
+                        pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(bounds), pa.py_buffer(ids.astype("<u2"))]),
                     ],
-                    ["doc_id", "held_out", "n_tokens", "n_head", "head", "model", "other_head", "n_other", "rare"],
+                    ["doc_id", "held_out", "slice", "n_tokens", "n_head", "head", "other_head", "n_other", "rare", "ids"],
                 )
 
-    kind = "doc_id long, held_out boolean, n_tokens long, n_head long, head double, model double, other_head double, n_other long, rare array<struct<h: bigint, times: int>>"
-    rows = slim.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text").mapInArrow(rate, kind)
-    rated = settled(rows.withColumn("row", F.monotonically_increasing_id()))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", F.col("slice").cast("int").alias("slice"), "text").mapInArrow(cut, _IDS)
+
+
+def rated(texts: DataFrame, weights: gru.Weights) -> DataFrame:
+    """Adds `model`, the log10 probability of the ids and the end, in place of texts(..., ids)."""
+    sent = texts.sparkSession.sparkContext.broadcast(weights)
+    names = [c for c in texts.columns if c != "ids"]
+
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, ids in _pools(batches, len(names)):
+            found, at = gru.log_likelihoods(sent.value, ids) / log(10), 0
+            for batch in held:
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), pa.array(found[at : at + batch.num_rows])], [*names, "model"])
+                at += batch.num_rows
+
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.select(*names).schema.fields)
+    return texts.select(*names, "ids").mapInArrow(rate, f"{kind}, model double")
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    spark: SparkSession = docs.sparkSession
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("held_out", is_held_out(F.col("doc_id")))
+    table = settled(count_words(slim.filter(~F.col("held_out")).select("text")))
+    whole = table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("h") == int(END), F.col("c"))), F.lit(0))).first()
+    head = table.filter(F.col("h") != int(END)).orderBy(F.desc("c"), "h").limit(HEAD).collect()
+    model = Model([(r["h"], r["c"]) for r in head], whole[0], whole[1], whole[2])
+    sliced = slim.withColumn("slice", F.coalesce(F.floor(_crc(F.col("doc_id")) / FOLDS) % ROUNDS, F.lit(0)))
+    texts = settled(encoded(sliced, model).withColumn("row", F.monotonically_increasing_id()))
     release(spark)
-    words = rated.select("row", F.explode("rare").alias("w")).select("row", "w.h", "w.times")
+    weights = learned(texts.filter(~F.col("held_out")), model)
+    words = texts.select("row", F.explode("rare").alias("w")).select("row", "w.h", "w.times")
     found = words.join(table, "h")
     known = found.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("rare_log"), F.sum("times").alias("n_rare")).withColumnRenamed("row", "of_row")
-    joined = rated.drop("rare").join(known, F.col("row") == F.col("of_row"), "left")
+    scored = rated(texts.select("row", "doc_id", "held_out", "n_tokens", "n_head", "head", "other_head", "n_other", "ids"), weights)
+    joined = scored.join(known, F.col("row") == F.col("of_row"), "left")
     rare_log, n_rare = F.coalesce("rare_log", F.lit(0.0)), F.coalesce("n_rare", F.lit(0))
     end_log, space = log(model.ends + 1) / log(10), log(model.tokens + model.words + 1) / log(10)
     other_space = log(model.other_tokens + model.other_words + 1) / log(10)
