@@ -20,13 +20,13 @@ def body(value: Column) -> Column:
     # the flags differ between markers, so each cuts in turn: what is left is before the first
     for marker in fixed.REPLY_MARKERS:
         unix = F.split(unix, marker, 2)[0]
-    own = F.array_join(F.filter(F.split(unix, "\n"), lambda line: ~line.rlike(r"^\s*>")), "\n")
+    own = F.array_join(F.filter(F.split(unix, "\n"), lambda line: ~line.rlike(r"(?U)^\s*>")), "\n")
     kept = F.regexp_replace(own, fixed.FORWARD_BANNER, F.lit(fixed.FORWARDED))
     return strip(F.regexp_replace(F.regexp_replace(kept, "[ \t]+", " "), "\n{3,}", "\n\n"))
 
 
 def strip(value: Column) -> Column:
-    return F.regexp_replace(value, r"^\s+|\s+$", "")
+    return F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
 
 
 def content_key(sender: Column, date: Column, subject: Column, text: Column) -> Column:
@@ -63,6 +63,11 @@ def header(sender: Column, to: Column, date: Column, subject: Column) -> Column:
     return F.concat(F.lit("From: "), sender, F.lit(" | To: "), F.array_join(F.slice(to, 1, 4), ", "), more, F.lit(" | Date: "), day, F.lit(" | Subject: "), F.when(subject == "", "(no subject)").otherwise(subject))
 
 
+def mail_prompt(sender: Column, date: Column, subject: Column, text: Column, most: int = 3_000) -> Column:
+    """A mail as prompts show it."""
+    return F.concat(F.lit("From: "), sender, F.lit("\nDate: "), F.substring(date, 1, 10), F.lit("\nSubject: "), subject, F.lit("\n\n"), F.substring(text, 1, most))
+
+
 def snippet(text: Column, size: int = 280) -> Column:
     return F.substring(F.regexp_replace(text, r"^[^\n]*\n", ""), 1, size)
 

@@ -82,8 +82,9 @@ def derive(emails: DataFrame) -> DataFrame:
 class SecureCorpus:
     """Tables as one principal sees them; the filter lies below whatever is built on them."""
 
-    def __init__(self, chunks: DataFrame, acl: DataFrame, principal: Principal):
-        self.all_chunks, self.acl, self.principal = chunks, acl, principal
+    def __init__(self, chunks: DataFrame, acl: DataFrame, principal: Principal, kept: DataFrame | None = None):
+        """kept(chunk_id): what the principal may read, if that was worked out before."""
+        self.all_chunks, self.acl, self.principal, self.kept = chunks, acl, principal, kept
 
     def _mine(self) -> DataFrame:
         return self.acl.filter(F.col("principal").isin(self.principal.tokens))
@@ -91,10 +92,12 @@ class SecureCorpus:
     def chunks(self) -> DataFrame:
         if self.principal.is_auditor:
             return self.all_chunks
+        if self.kept is not None:
+            return self.all_chunks.join(self.kept, "chunk_id", "left_semi")
         return self.all_chunks.join(self._mine(), "email_id", "left_semi")
 
     def readable(self) -> DataFrame:
-        return self.chunks().select("chunk_id")
+        return self.chunks().select("chunk_id") if self.kept is None else self.kept
 
     def only(self, rows: DataFrame, key: str = "chunk_id") -> DataFrame:
         """Rows of any table with a chunk that may be read."""

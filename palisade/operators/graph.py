@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from palisade.functions import fixed
 from palisade.functions import text as T
 
-ACRONYM = r"\b([A-Z][A-Z&]{1,6}[A-Z0-9])\b"
+ACRONYM = r"(?U)\b([A-Z][A-Z&]{1,6}[A-Z0-9])\b"
 PROJECT = r"\b(?:Project|project|Deal|deal)\s+([A-Z][a-zA-Z]+)\b"
 PHRASE = r"(?<![.!?]\s)(?<!^)\b([A-Z][a-z]+(?:\s[A-Z][a-z]+){1,2})\b"
 ORGANISATION = rf"\b((?:[A-Z][A-Za-z&\-]+\s){{1,4}}(?:{'|'.join(fixed.ORG_SUFFIXES)}))\b"
@@ -22,16 +22,29 @@ def _labelled(labels: Column, kind) -> Column:
     return F.transform(labels, lambda x: F.struct(x.alias("label"), kind(x).alias("type")))
 
 
+def acronyms(text: Column) -> Column:
+    """Distinct names in capitals."""
+    return F.filter(_found(text, ACRONYM), lambda a: ~a.isin(*fixed.STOP_ACRONYMS))
+
+
+def acronym_type(label: Column) -> Column:
+    return F.when(F.length(label) >= 3, "project").otherwise("other")
+
+
+def type_counts(entities: DataFrame) -> DataFrame:
+    """(type, n) of entities(name, type)."""
+    return entities.groupBy("type").agg(F.count("*").alias("n"))
+
+
 def text_entities(text: Column) -> Column:
     """array<struct<label, type>> of names in a chunk, below its header line."""
     below = F.when(F.instr(text, "\n") > 0, F.regexp_replace(text, r"^[^\n]*\n", "")).otherwise("")
-    acronyms = F.filter(_found(below, ACRONYM), lambda a: ~a.isin(*fixed.STOP_ACRONYMS))
     projects = F.filter(_found(below, PROJECT), lambda p: ~F.lower(p).isin(*fixed.COMMON_WORDS))
     phrases = F.filter(_found(below, PHRASE), lambda p: ~F.lower(F.split(p, r"\s")[0]).isin(*fixed.STOP_FIRST_WORDS))
     return F.array_distinct(
         F.concat(
             _labelled(_found(below, ORGANISATION), lambda _: F.lit("org")),
-            _labelled(acronyms, lambda a: F.when(F.length(a) >= 3, "project").otherwise("other")),
+            _labelled(acronyms(below), acronym_type),
             _labelled(projects, lambda _: F.lit("project")),
             _labelled(phrases, lambda _: F.lit("person_or_org")),
         )
@@ -45,11 +58,15 @@ def kept_names(chunks: DataFrame, min_df: int = 2, max_share: float = 0.05) -> D
     """
     names = chunks.select(F.explode(F.array_distinct(F.transform(text_entities(F.col("text")), lambda e: F.lower(e["label"])))).alias("name"))
     df = names.groupBy("name").agg(F.count("*").alias("df"))
-    words = chunks.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b([a-z]{2,})\b"), F.lit(1)))).alias("name"))
-    lower = words.groupBy("name").agg(F.count("*").alias("lower_df"))
     n = chunks.count()
     most = max(min_df + 1, int(n * max_share))
-    return keep_frequent(df, lower, min_df, most)
+    return keep_frequent(df, lower_words(chunks), min_df, most)
+
+
+def lower_words(chunks: DataFrame) -> DataFrame:
+    """(name, lower_df): in how many chunks a word stands in lower case."""
+    words = chunks.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?U)\b([a-z]{2,})\b"), F.lit(1)))).alias("name"))
+    return words.groupBy("name").agg(F.count("*").alias("lower_df"))
 
 
 def keep_frequent(df: DataFrame, lower: DataFrame, min_df: int, most: int) -> DataFrame:
@@ -144,28 +161,48 @@ def seeds(question: str, known: DataFrame) -> list:
     return out
 
 
-def expand(start: DataFrame, edges: DataFrame, mentions: DataFrame, weights: DataFrame, hops: int = 2, width: int = fixed.GRAPH_FRONTIER, limit: int = 50) -> DataFrame:
+def describe(ids: list, entities: DataFrame) -> list[str]:
+    """The labels of some entities, in their order; ids are those of one question."""
+    labels = {r["entity_id"]: r["label"] for r in entities.filter(F.col("entity_id").isin(ids)).select("entity_id", "label").collect()} if ids else {}
+    return [labels[i] for i in ids if i in labels]
+
+
+def adjacency(edges: DataFrame) -> DataFrame:
+    """(a, b, chunk_id): edges(src, dst, chunk_id) in both directions, as often as they occur, sorted by node."""
+    there, back = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "chunk_id"), edges.select(F.col("dst").alias("a"), F.col("src").alias("b"), "chunk_id")
+    return there.unionByName(back).repartitionByRange("a").sortWithinPartitions("a")
+
+
+def expand(start: DataFrame, edges: DataFrame, mentions: DataFrame, weights: DataFrame, hops: int = 2, width: int = fixed.GRAPH_FRONTIER, limit: int = 50, readable: DataFrame | None = None, adjacent: DataFrame | None = None) -> DataFrame:
     """(chunk_id, score) around start(node), over edges and mentions that may be read.
 
-    edges(src, dst, chunk_id) count as often as they occur, in both directions. At each hop
-    every edge at the frontier lends its chunk 1/hop; the `width` best new neighbours by
-    count times idf get the weight 1/(1 + hop) and are the next frontier. A chunk scores the
-    weighted idf of its mentions and half of what edges lent it. Frontiers are bounded by
-    `width`, so they are broadcast; edges are never shuffled but for their counts.
+    Edges and mentions may be read if `readable`(chunk_id) has their chunk; without it they
+    all may. `adjacent` is a stored `adjacency` of the edges. At each hop every edge at the
+    frontier lends its chunk 1/hop; the `width` best new neighbours by count times idf get the
+    weight 1/(1 + hop) and are the next frontier. A chunk scores the weighted idf of its
+    mentions and half of what edges lent it. A frontier is `width` rows, which come to the
+    driver, so a hop is one job and no hop is worked out again for the next; only rows at the
+    frontier are looked at, and held against the rights.
     """
-    adjacent = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "chunk_id").unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"), "chunk_id"))
-    known = start.select(F.col("node").alias("node"), F.lit(1.0).alias("w"))
-    frontier, bridges = start.select(F.col("node").alias("a")), None
+    spark, kind = start.sparkSession, start.schema["node"].dataType.simpleString()
+    pairs = adjacency(edges) if adjacent is None else adjacent
+    allowed = lambda rows: rows if readable is None else rows.join(readable.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    table = lambda rows, names: F.broadcast(spark.createDataFrame(rows, names))
+    known = {r["node"]: 1.0 for r in start.select("node").distinct().collect()}  # names in one question
+    frontier, lent = list(known), None
     for hop in range(1, hops + 1):
-        touched = adjacent.join(F.broadcast(frontier), "a")
-        lent = touched.groupBy("chunk_id").agg((F.count("*") / hop).alias("bridge"))
-        bridges = lent if bridges is None else bridges.unionByName(lent)
-        counts = touched.join(F.broadcast(known.select(F.col("node").alias("b"))), "b", "left_anti").groupBy("b").agg(F.count("*").alias("n"))
+        if not frontier:
+            break
+        touched = allowed(pairs.filter(F.col("a").isin(frontier)))
+        part = touched.select("chunk_id", F.lit(0.5 / hop).alias("score"))
+        lent = part if lent is None else lent.unionByName(part)
+        counts = touched.filter(~F.col("b").isin(list(known))).groupBy("b").agg(F.count("*").alias("n"))
         scored = counts.join(weights.withColumnRenamed("entity_id", "b"), "b", "left").select("b", F.round(F.col("n") * F.coalesce("idf", F.lit(1.0)), 6).alias("s"))
-        best = scored.orderBy(F.desc("s"), "b").limit(width)
-        known = known.unionByName(best.select(F.col("b").alias("node"), F.lit(1.0 / (1 + hop)).alias("w")))
-        frontier = best.select(F.col("b").alias("a"))
-    named = mentions.join(F.broadcast(known), F.col("entity_id") == F.col("node")).join(weights, "entity_id", "left")
-    own = named.groupBy("chunk_id").agg(F.sum(F.col("w") * F.coalesce("idf", F.lit(1.0))).alias("score"))
-    half = bridges.groupBy("chunk_id").agg((0.5 * F.sum("bridge")).alias("score"))
-    return own.unionByName(half).groupBy("chunk_id").agg(F.round(F.sum("score"), 6).alias("score")).orderBy(F.desc("score"), "chunk_id").limit(limit)
+        frontier = [r["b"] for r in scored.orderBy(F.desc("s"), "b").limit(width).collect()]
+        known |= dict.fromkeys(frontier, 1.0 / (1 + hop))
+    if not known:
+        return mentions.select("chunk_id", F.lit(0.0).alias("score")).limit(0)
+    named = allowed(mentions.join(table(list(known.items()), f"entity_id {kind}, w double"), "entity_id")).join(weights, "entity_id", "left")
+    own = named.select("chunk_id", (F.col("w") * F.coalesce("idf", F.lit(1.0))).alias("score"))
+    parts = own.unionByName(lent)
+    return parts.groupBy("chunk_id").agg(F.round(F.sum("score"), 6).alias("score")).orderBy(F.desc("score"), "chunk_id").limit(limit)

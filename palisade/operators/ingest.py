@@ -20,6 +20,12 @@ def merge_copies(mails: DataFrame, key: str = "content_key", order: str = "inges
     ).select(key, "first.*", "owners", "folders")
 
 
+def first_mails(mails: DataFrame, limit: int, *order: str) -> DataFrame:
+    """The first `limit` mails by a total order, with their place in it; a sort with a bound, not a window over all."""
+    best = mails.orderBy(*order).limit(limit)
+    return best.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
 def paragraph_key(paragraph: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(paragraph, r"\s+", " "), r"^\s+|\s+$", ""))
 
@@ -27,14 +33,16 @@ def paragraph_key(paragraph: Column) -> Column:
 def strip_boilerplate(mails: DataFrame, id_col: str = "email_id", date_col: str = "date", body_col: str = "body", separator: str = r"\n\s*\n", joiner: str = "\n\n", min_count: int = 20, min_words: int = 12) -> DataFrame:
     """(id, body, removed): paragraphs that many mails have stay only where they come first.
 
-    Only repeated paragraphs are ordered: each is compared with the first place of its key,
-    a minimum, so a paragraph that most mails share makes no hot window.
+    Only long paragraphs are counted, by a digest of their key and once for each mail. Each is
+    compared with the first place of its key, a minimum, so a paragraph that most mails share
+    makes no hot window.
     """
-    paragraphs = mails.select(id_col, date_col, F.posexplode(F.split(body_col, separator)).alias("pos", "p")).withColumn("key", paragraph_key(F.col("p")))
-    words = F.size(F.array_remove(F.split("key", " "), ""))
+    split = mails.select(id_col, date_col, F.posexplode(F.split(body_col, separator)).alias("pos", "p"))
+    words = F.size(F.filter(F.split("p", r"\s+"), lambda w: w != ""))
+    paragraphs = split.withColumn("key", F.when(words >= min_words, F.md5(paragraph_key(F.col("p")))))
     place = F.struct(date_col, id_col, "pos")
-    counted = paragraphs.withColumn("long", words >= min_words).groupBy("key").agg(F.count_distinct(F.when(F.col("long"), F.col(id_col))).alias("n"), F.min(place).alias("first"))
-    frequent = counted.filter(F.col("n") >= min_count).select("key", "first")
+    once = paragraphs.filter("key is not null").groupBy("key", id_col).agg(F.min(place).alias("first"))
+    frequent = once.groupBy("key").agg(F.count("*").alias("n"), F.min("first").alias("first")).filter(F.col("n") >= min_count).select("key", "first")
     marked = paragraphs.join(frequent, "key", "left").withColumn("gone", F.col("first").isNotNull() & (place > F.col("first")))
     kept = F.array_sort(F.collect_list(F.when(~F.col("gone"), F.struct("pos", "p"))))
     joined = F.array_join(F.transform(kept, lambda x: x["p"]), joiner)
@@ -91,7 +99,12 @@ def canonical(people: DataFrame, aliases: DataFrame, id_col: str = "email_id") -
 
 
 def message_ids(mails: DataFrame, id_col: str = "message_id", key: str = "content_key", order: str = "ingest_ord", domain: str = "palisade.local") -> DataFrame:
-    """Empty and already used message ids become one made of the content key."""
-    used = Window.partitionBy(id_col).orderBy(order)
-    again = (F.col(id_col) == "") | (F.row_number().over(used) > 1)
-    return mails.withColumn(id_col, F.when(again, F.concat(F.col(key), F.lit(f"@{domain}"))).otherwise(F.col(id_col)))
+    """Empty and already used message ids become one made of the content key.
+
+    The first use of an id is a minimum that is joined back, so all the mails without an id,
+    or with one that many share, are dealt over many tasks.
+    """
+    firsts = mails.filter(F.col(id_col) != "").groupBy(F.col(id_col).alias("__id")).agg(F.min(order).alias("__first"))
+    joined = mails.join(firsts, F.col(id_col) == F.col("__id"), "left")
+    again = F.col("__first").isNull() | (F.col(order) > F.col("__first"))
+    return joined.withColumn(id_col, F.when(again, F.concat(F.col(key), F.lit(f"@{domain}"))).otherwise(F.col(id_col))).drop("__id", "__first")

@@ -26,40 +26,53 @@ def weight(tf: Column, dl: Column, avgdl: Column) -> Column:
     return tf * (k + 1) / (tf + k * (1 - b + b * dl / avgdl))
 
 
-def scan_scores(chunks: DataFrame, terms: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Term frequencies of a few terms without an index, and the corpus statistics, one row."""
-    words = F.col("w")
-    tfs = [F.size(F.filter(words, _same(t))).alias(f"tf{i}") for i, t in enumerate(terms)]
-    counted = chunks.select("chunk_id", "email_id", T.terms(F.col("text")).alias("w")).select("chunk_id", "email_id", F.size("w").alias("dl"), *tfs)
-    stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))])
-    return counted, stats
+def sorted_postings(chunks: DataFrame) -> DataFrame:
+    """`postings` dealt and sorted by term, so a reader of a few terms touches few row groups."""
+    return postings(chunks).repartitionByRange("term").sortWithinPartitions("term", "chunk_id")
 
 
-def _same(term: str):
-    return lambda w: w == term
+def statistics(chunks: DataFrame) -> DataFrame:
+    """One row (n, avgdl): how many chunks there are, and their mean length in words."""
+    return chunks.select(F.regexp_count(F.lower("text"), F.lit("[a-z0-9]+")).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
 def search(chunks: DataFrame, readable: DataFrame | None, terms: list[str], limit: int = 50, digits: int = 6) -> DataFrame:
-    """(chunk_id, score) of the best chunks for a few terms.
+    """(chunk_id, score) of the best chunks for a few terms, without an index.
 
     Statistics cover all chunks, whoever asks; rows that may not be read are left out before
-    anything is scored. The statistics are one row, read by the driver, so scoring is a
-    filter, a projection and a bounded top-k, with no shuffle of chunks but for the access
-    join.
+    anything is scored. One pass counts words and finds the chunks that have a term; they are
+    bounded by nothing but the terms, so they are dealt with as `search_index` deals with
+    the postings of an index, in one more pass over the chunks that have one.
     """
-    if not terms:
+    wanted = "|".join(sorted(set(terms)))
+    if not wanted:
         return chunks.select("chunk_id", F.lit(0.0).alias("score")).limit(0)
-    counted, stats = scan_scores(chunks, terms)
+    lower = F.lower("text")
+    hits = F.regexp_extract_all(lower, F.lit(rf"(?<![a-z0-9])(?:{wanted})(?![a-z0-9])"), F.lit(0))
+    some = chunks.filter(lower.rlike(wanted)).select("chunk_id", "email_id", F.regexp_count(lower, F.lit("[a-z0-9]+")).alias("dl"), F.explode(hits).alias("term"))
+    index = some.groupBy("chunk_id", "email_id", "dl", "term").agg(F.count("*").alias("tf"))
+    return search_index(index, statistics(chunks), readable, terms, limit, digits)
+
+
+def search_index(index: DataFrame, stats: DataFrame, readable: DataFrame | None, terms: list[str], limit: int = 50, digits: int = 6) -> DataFrame:
+    """(chunk_id, score) of the best chunks for a few terms, from stored postings.
+
+    The filter on terms reaches the scan. How many chunks have a term is counted before the
+    access join, which lies below the scores; the counts are one row for each term.
+    """
+    mine = index.filter(F.col("term").isin(*sorted(set(terms))))
     row = stats.first()
-    hit = counted.filter(" or ".join(f"tf{i} > 0" for i in range(len(terms))))
+    df = {r["term"]: r["df"] for r in mine.groupBy("term").agg(F.count("*").alias("df")).collect()}  # as many rows as terms
+    if not df:
+        return index.select("chunk_id", F.lit(0.0).alias("score")).limit(0)
+    weights = F.create_map(*[x for t, n in sorted(df.items()) for x in (F.lit(t), idf(F.lit(float(row["n"])), F.lit(float(n))))])
     if readable is not None:
-        hit = hit.join(readable, "chunk_id", "left_semi")
-    total = F.lit(0.0)
-    for i in range(len(terms)):
-        tf = F.col(f"tf{i}").cast("double")
-        part = idf(F.lit(float(row["n"])), F.lit(float(row[f"df{i}"] or 0))) * weight(tf, F.col("dl"), F.lit(row["avgdl"]))
-        total = total + F.when(tf > 0, part).otherwise(0.0)
-    return hit.select("chunk_id", F.round(total, digits).alias("score")).orderBy(F.desc("score"), "chunk_id").limit(limit)
+        mine = mine.join(readable, "chunk_id", "left_semi")
+    part = weights[F.col("term")] * weight(F.col("tf").cast("double"), F.col("dl"), F.lit(row["avgdl"]))
+    # summed in the order of terms, whatever order rows come in
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("term", part.alias("s")))), lambda x: x["s"])
+    total = F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
+    return mine.groupBy("chunk_id").agg(F.round(total, digits).alias("score")).orderBy(F.desc("score"), "chunk_id").limit(limit)
 
 
 def search_many(index: DataFrame, stats: DataFrame, questions: DataFrame, access: DataFrame | None, limit: int = 50) -> DataFrame:

@@ -1,10 +1,12 @@
-"""Exact vector search with the access filter below the products, and hashed text vectors."""
+"""Exact vector search with the access filter below the products, and text vectors by any embedder."""
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
@@ -38,11 +40,11 @@ def top_k(vectors: DataFrame, query: list[float], limit: int, id_col: str = "vec
     return rows.mapInArrow(best, f"{id_col} long, sim double").orderBy(F.desc("sim"), id_col).limit(limit)
 
 
-def similarities(vectors: DataFrame, query: list[float], id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def similarities(vectors: DataFrame, query: list[float], id_col: str = "vec_id", vector_col: str = "embedding", digits: int | None = 6) -> DataFrame:
     """All products, in SQL, for operators that need more than the best."""
     q = F.array(*[F.lit(float(x)) for x in query])
     dot = F.aggregate(F.zip_with(F.col(vector_col), q, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda acc, x: acc + x)
-    return vectors.select(id_col, F.round(dot, 6).alias("sim"))
+    return vectors.select(id_col, (dot if digits is None else F.round(dot, digits)).alias("sim"))
 
 
 def features(text: str) -> list[str]:
@@ -60,17 +62,85 @@ def hashed(text: str, dimensions: int = DIMENSIONS) -> np.ndarray:
     return out / np.float32(norm) if norm else out
 
 
-def embed(rows: DataFrame, text_col: str = "text", out_col: str = "embedding", dimensions: int = DIMENSIONS, encoder=hashed) -> DataFrame:
-    """Adds a vector column; `encoder` is any function of (text, dimensions)."""
+class Embedder(Protocol):
+    """Vectors of length one for texts; `name` is kept with the vectors it made."""
+
+    name: str
+    dimensions: int
+
+    def passages(self, texts: list[str]) -> np.ndarray: ...
+
+    def query(self, text: str) -> np.ndarray: ...
+
+
+class HashEmbedder:
+    def __init__(self, dimensions: int = DIMENSIONS):
+        self.dimensions, self.name = dimensions, f"hash-{dimensions}"
+
+    def passages(self, texts: list[str]) -> np.ndarray:
+        return np.stack([hashed(t, self.dimensions) for t in texts]) if texts else np.zeros((0, self.dimensions), np.float32)
+
+    def query(self, text: str) -> np.ndarray:
+        return hashed(text, self.dimensions)
+
+
+#: Fixed value: what retrieval models of this family expect before a question.
+QUERY_PREFIXES = {"bge": "Represent this sentence for searching relevant passages: "}
+
+#: texts -> (states of all tokens: n x tokens x width, mask of real tokens: n x tokens)
+Encoder = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
+
+
+class TransformerEmbedder:
+    """Pooled states of any encoder, the first token's or the mean over real tokens.
+
+    `load` gives the encoder; it is called once in each Python worker, so the embedder itself
+    travels without weights.
+    """
+
+    def __init__(self, name: str, dimensions: int, load: Callable[[], Encoder], batch: int = 64):
+        self.name, self.dimensions, self.load, self.batch = name, dimensions, load, batch
+        family = next((f for f in QUERY_PREFIXES if f in name.lower()), None)
+        self.prefix, self.first_token = QUERY_PREFIXES.get(family, ""), family is not None
+
+    def passages(self, texts: list[str]) -> np.ndarray:
+        parts = [np.zeros((0, self.dimensions), np.float32)]
+        encoder = _loaded(self.load)
+        for at in range(0, len(texts), self.batch):
+            states, mask = encoder(texts[at : at + self.batch])
+            if self.first_token:
+                pooled = states[:, 0]
+            else:
+                pooled = (states * mask[:, :, None]).sum(axis=1) / np.maximum(mask.sum(axis=1), 1e-9)[:, None]
+            parts.append((pooled / np.maximum(np.linalg.norm(pooled, axis=1, keepdims=True), 1e-12)).astype(np.float32))
+        return np.concatenate(parts)
+
+    def query(self, text: str) -> np.ndarray:
+        return self.passages([self.prefix + text])[0]
+
+
+@lru_cache(maxsize=4)
+def _loaded(load: Callable[[], Encoder]) -> Encoder:
+    return load()
+
+
+def embed(rows: DataFrame, text_col: str = "text", out_col: str = "embedding", embedder: Embedder | None = None) -> DataFrame:
+    """Adds a vector column, a batch of texts at a time."""
+    model = embedder or HashEmbedder()
 
     @F.pandas_udf("array<float>")
     def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
-            yield batch.map(lambda t: encoder(t or "", dimensions).tolist())
+            yield pd.Series(list(model.passages([t or "" for t in batch])))
 
     return rows.withColumn(out_col, encode(F.col(text_col)))
 
 
+def table(chunks: DataFrame, embedder: Embedder) -> DataFrame:
+    """(chunk_id, embedding, model): the vector table of a corpus."""
+    return embed(chunks.select("chunk_id", "text"), embedder=embedder).select("chunk_id", "embedding", F.lit(embedder.name).alias("model"))
+
+
 def embed_md5(rows: DataFrame, id_col: str, text_col: str, dimensions: int = DIMENSIONS) -> DataFrame:
     """(id, bucket, weight): hashed vectors in SQL only, by MD5, as a sparse table before scaling."""
     from palisade.functions import text as T
