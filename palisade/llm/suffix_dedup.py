@@ -23,13 +23,15 @@ and keep what is not unique yet. The rounds:
 3. What is still open is ranked string by string, at width LENGTH.
 
 Ranks are compared in pairs, 128 bits in all. No group is ever collected: firsts are minima,
-which combine before the shuffle, and are joined back, so a string that a third of all
-documents share makes many small tasks, not one large one. Tables of finished rounds are
-deleted, so the disk holds one round at a time.
-
-A null text is empty. Positions order by id, then by 8 bits of a hash of the text, then by
-place: rows with equal id and text are one document, and each reports its result; rows with
-an equal id and other text are documents one after the other. A null id comes first. Other
+which combine before the shuffle, and are joined back. What is joined back is written out
+first, so that the join has a shuffle on both sides and adaptive execution can split a rank
+that a third of all documents share into many tasks. Tables of finished rounds are deleted,
+so the disk holds one round at a time.
+
+A null text is empty. Positions order by document, then by place. A document is an id; if
+any id of the table repeats, it is an id and the MD5 digest of the text: rows with equal id
+and text are one document, and each reports its result; rows with an equal id and other text
+are documents one after the other, by that digest. A null id is the least number. Other
 columns are ignored. Long texts are hashed in pieces that overlap.
 """
 
@@ -39,8 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm.bytehash import INVERSE, byte_sums, mixed, powers
@@ -50,12 +51,13 @@ LENGTH = 100
 GRAM = 32
 PIECE = 1 << 20
 STEP = 8
-#: pos = 7 bits of the text's hash, 35 bits of place, 10 bits of the distance to the anchor,
-#: 10 bits of how many strings follow from this place on
-_PLACE, _LEAD, _COUNT = 35, 10, 10
+#: pos = place, 10 bits of the distance to the anchor, 10 bits of how many strings follow from
+#: this place on
+_LEAD, _COUNT = 10, 10
 _LOW = (1 << _COUNT) - 1
 _AT = _LEAD + _COUNT
-_MASK = (1 << _PLACE) - 1
+#: The columns that name a document, of which a table has the second only if ids repeat.
+_NAMES = ("doc", "sub")
 
 
 def _least(hashes: np.ndarray, window: int) -> np.ndarray:
@@ -104,29 +106,46 @@ def _pieces(data: bytes, length: int) -> Iterator[tuple[int, np.ndarray]]:
         yield at, raw[at : at + PIECE + length - 1]
 
 
-def _mark(data: bytes) -> int:
-    return xxhash.xxh64_intdigest(data) & 0x7F
+def _packed(place: np.ndarray, lead: np.ndarray, count: np.ndarray) -> np.ndarray:
+    return place << _AT | lead << _COUNT | count
+
+
+def _key(rows: DataFrame) -> list[str]:
+    return [c for c in _NAMES if c in rows.columns]
+
+
+def _kind(key: list[str]) -> str:
+    return "g long, s long, doc long, " + ("sub binary, " if "sub" in key else "") + "pos long"
 
 
-def _packed(mark: int, place: np.ndarray, lead: np.ndarray, count: np.ndarray) -> np.ndarray:
-    return mark << (_PLACE + _AT) | place << _AT | lead << _COUNT | count
+#: A document's name and arrays g, s and pos.
+_Part = tuple[tuple, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _batch(parts: list[_Part]) -> pa.RecordBatch:
+    g, s, pos = (pa.array(np.concatenate([p[k] for p in parts])) for k in (1, 2, 3))
+    sizes = [len(p[1]) for p in parts]
+    names = [pa.array(np.repeat(np.array([p[0][0] for p in parts], np.int64), sizes))]
+    if len(parts[0][0]) > 1:
+        names.append(pa.array([p[0][1] for p, n in zip(parts, sizes, strict=True) for _ in range(n)], pa.binary()))
+    return pa.RecordBatch.from_arrays([g, s, *names, pos], ["g", "s", *_NAMES[: len(names)], "pos"])
 
 
 def _anchor_table(docs: DataFrame, length: int) -> DataFrame:
-    """(g, s, doc, pos) of each anchor of each document."""
+    """(g, s, document, pos) of each anchor of each document."""
+    key = _key(docs)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts: list[tuple[np.ndarray, ...]] = []
+            parts: list[_Part] = []
             held = 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text, *name in zip(*(batch.column(k).to_pylist() for k in range(1 + len(key))), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
                 if len(data) < length:
                     continue
-                mark = _mark(data)
                 for at, raw in _pieces(data, length):
                     g, s, first, lead, count = anchors(raw, length)
-                    parts.append((g.view(np.int64), s.view(np.int64), np.full(len(g), doc, np.int64), _packed(mark, first + at, lead, count)))
+                    parts.append((tuple(name), g.view(np.int64), s.view(np.int64), _packed(first + at, lead, count)))
                     held += len(g)
                 if held > 100_000:
                     yield _batch(parts)
@@ -134,11 +153,7 @@ def _anchor_table(docs: DataFrame, length: int) -> DataFrame:
             if parts:
                 yield _batch(parts)
 
-    return docs.mapInArrow(find, "g long, s long, doc long, pos long")
-
-
-def _batch(parts: list[tuple[np.ndarray, ...]], names: tuple[str, ...] = ("g", "s", "doc", "pos")) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], list(names))
+    return docs.select("text", *key).mapInArrow(find, _kind(key))
 
 
 def _steps(first: np.ndarray, lead: np.ndarray, count: np.ndarray, step: int) -> tuple[np.ndarray, ...]:
@@ -152,15 +167,15 @@ def _steps(first: np.ndarray, lead: np.ndarray, count: np.ndarray, step: int) ->
 
 
 def _step_table(docs: DataFrame, runs: DataFrame, length: int, step: int) -> DataFrame:
-    """(g, s, doc, pos) of the strings of the runs(run_doc, run_mark, runs), in steps."""
+    """(g, s, document, pos) of the strings of the runs(document, runs), in steps."""
+    key = _key(docs)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, text, runs in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for text, runs, *name in zip(*(batch.column(k).to_pylist() for k in range(2 + len(key))), strict=True):
                 data, parts = text.encode("utf-8", "surrogatepass"), []
-                mark = _mark(data)
                 ranks, packed = (np.array([r[k] for r in runs], np.int64) for k in ("g", "pos"))
-                place = packed >> _AT & _MASK
+                place = packed >> _AT
                 for at, raw in _pieces(data, length):
                     mine = (place >= at) & (place < at + PIECE)
                     if not mine.any():
@@ -170,62 +185,60 @@ def _step_table(docs: DataFrame, runs: DataFrame, length: int, step: int) -> Dat
                     core = mixed(_span_hashes(sums, near, near + length - step + 1))
                     g = mixed(ranks[mine][owner].view(np.uint64) ^ mixed(core ^ (lead // step).astype(np.uint64)))
                     s = _cover_ranks(sums, first, lead, count, length)
-                    parts.append((g.view(np.int64), s.view(np.int64), np.full(len(g), doc, np.int64), _packed(mark, first + at, lead, count)))
+                    parts.append((tuple(name), g.view(np.int64), s.view(np.int64), _packed(first + at, lead, count)))
                 if parts:
                     yield _batch(parts)
 
-    joined = docs.join(runs, (docs["doc"] == runs["run_doc"]) & (docs["mark"] == runs["run_mark"])).select("doc", "text", "runs")
-    return joined.mapInArrow(find, "g long, s long, doc long, pos long")
-
-
-def _firsts(rows: DataFrame, *keys: str) -> DataFrame:
-    """The least place of each key, and how many rows have it."""
-    return rows.groupBy(*keys).agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("n"))
+    return docs.join(runs, key).select("text", "runs", *key).mapInArrow(find, _kind(key))
 
 
 def _round(table: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Places (doc, pos) whose pair of ranks was there earlier, and (g, doc, pos) of first pairs of a rank that has several."""
-    spark = table.sparkSession
+    """Places (document, pos) whose pair of ranks was there earlier, and (g, document, pos) of first pairs of a rank that has several."""
+    spark, key = table.sparkSession, _key(table)
+    place = F.struct(*key, "pos")
     table, made = settled_at(table)
-    shared = table.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g")
+    shared, shared_at = settled_at(table.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g"))
     kept, kept_at = settled_at(table.join(shared, "g"))
     discard(spark, made)
+    discard(spark, shared_at)
     release(spark)
-    pairs, pairs_at = settled_at(_firsts(kept, "g", "s"))
-    whole = settled(kept.join(pairs.filter("n > 1"), ["g", "s"]).filter("struct(doc, pos) > first").select("doc", "pos"))
+    # the least place of each pair of ranks, and how many rows have it
+    pairs, pairs_at = settled_at(kept.groupBy("g", "s").agg(F.min(place).alias("first"), F.count("*").alias("n")))
+    whole = settled(kept.join(pairs.filter("n > 1"), ["g", "s"]).filter(place > F.col("first")).select(*key, "pos"))
     discard(spark, kept_at)
-    several = pairs.groupBy("g").agg(F.count("*").alias("k")).filter("k > 1").select("g")
-    edges = settled(pairs.join(several, "g").select("g", "first.doc", "first.pos"))
+    several, several_at = settled_at(pairs.groupBy("g").agg(F.count("*").alias("k")).filter("k > 1").select("g"))
+    edges = settled(pairs.join(several, "g").select("g", *[f"first.{c}" for c in key], "first.pos"))
     discard(spark, pairs_at)
+    discard(spark, several_at)
     release(spark)
     return whole, edges
 
 
-def _mark_of(pos: str) -> Column:
-    return F.shiftright(pos, _PLACE + _AT)
+def repeats(docs: DataFrame, length: int = LENGTH, step: int = STEP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(document, start, end) of runs of bytes to remove; they overlap. A null id is the least number."""
+    return _repeats(_slim(docs, id_col, text_col), length, step)
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, step: int = STEP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, mark, start, end) of runs of bytes to remove; they overlap. A null id is the least number."""
+def _repeats(slim: DataFrame, length: int, step: int) -> DataFrame:
     if length < GRAM + 1 or length > 1000:
         raise ValueError(f"the length has to be between {GRAM + 1} and 1000")
-    slim = _slim(docs, id_col, text_col)
-    found, edges = _round(_anchor_table(slim.select("doc", "text"), length))
+    key = _key(slim)
+    found, edges = _round(_anchor_table(slim, length))
     for size in (step, 1):
-        runs = edges.groupBy(F.col("doc").alias("run_doc"), _mark_of("pos").alias("run_mark")).agg(F.collect_list(F.struct("g", "pos")).alias("runs"))
+        # runs of one document, no more than its text has places
+        runs = edges.groupBy(*key).agg(F.collect_list(F.struct("g", "pos")).alias("runs"))
         more, edges = _round(_step_table(slim, runs, length, size))
         found = found.unionByName(more)
-    place, count = F.shiftright("pos", _AT).bitwiseAND(_MASK), F.col("pos").bitwiseAND(_LOW)
-    return found.select("doc", _mark_of("pos").alias("mark"), place.alias("start"), (place + count - 1 + length).alias("end"))
+    start = F.shiftright("pos", _AT)
+    return found.select(*key, start.alias("start"), (start + F.col("pos").bitwiseAND(_LOW) - 1 + length).alias("end"))
 
 
 def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    @F.pandas_udf("long")
-    def marks(texts):
-        return texts.map(lambda t: _mark(t.encode("utf-8", "surrogatepass")))
-
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc"), text.alias("text"), F.col(id_col).alias("of")).withColumn("mark", marks("text"))
+    """(doc, text, of) with the number that orders documents and the id as it is, and `sub` if ids repeat."""
+    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
+    slim = docs.select(doc.alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).cast("long").alias("of"))
+    again = slim.groupBy("doc").agg(F.count("*").alias("n")).filter("n > 1").limit(1)
+    return slim.withColumn("sub", F.unhex(F.md5("text"))) if again.count() else slim
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -243,11 +256,11 @@ def removed(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
 
     What stays is binary, as a cut can fall inside a character.
     """
-    found = repeats(docs, length, STEP, id_col, text_col)
-    # runs of one document, as many as it has edges; a run inside another adds nothing
-    lists = found.groupBy(F.col("doc").alias("cut_doc"), F.col("mark").alias("cut_mark")).agg(F.collect_set(F.struct("start", "end")).alias("cuts"))
     slim = _slim(docs, id_col, text_col)
-    rows = slim.join(lists, (slim["doc"] == lists["cut_doc"]) & (slim["mark"] == lists["cut_mark"]), "left").select("of", "text", "cuts")
+    key = _key(slim)
+    # runs of one document, as many as it has edges; a run inside another adds nothing
+    lists = _repeats(slim, length, STEP).groupBy(*key).agg(F.collect_set(F.struct("start", "end")).alias("cuts"))
+    rows = slim.join(lists, key, "left").select("of", "text", "cuts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,7 +275,7 @@ def removed(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
                 spans.append([{"start": a, "end": b} for a, b in runs])
                 sizes.append(len(data))
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64())], ["doc_id", "spans", "kept", "n_bytes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64())], ["doc_id", "spans", "kept", "n_bytes"])
 
     return rows.mapInArrow(cut, "doc_id long, spans array<struct<start: bigint, end: bigint>>, kept binary, n_bytes long")
 
