@@ -1,27 +1,33 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags. What a page says about itself comes first:
-scripts, styles, heads, forms, menus and elements whose tag, role, class or id names them as
-boilerplate are left out, and if the page marks an article (or a main part), only what lies
-inside counts. Then each block is classified.
-
-Pass one, by stop-word density, length and link density: a block that is mostly links is bad;
-outside a marked article a long block is good or bad by its share of stop words, near good in
-between; inside one a long block is good. A short block is not decided.
+A page is cut into blocks at block-level tags. Scripts, styles, heads, forms, menus and
+elements whose tag, role, class or id names them as boilerplate are left out. Inside an
+article only names that can hardly mean anything else count, so a heading in a header, or a
+section named discussion, stays.
+
+Pass one, by stop-word density, length and link density, for every block: one that is mostly
+links is bad; a long one is good with many stop words, bad with next to none, near good in
+between; a short one is not decided. Inside an article a long block with some stop words is
+good, and one with next to none (a table, code, another language) near good.
+Then the page's article mark (or main part) is held against the labels: it counts unless
+nothing inside is good and much more outside is. If it counts, only what lies inside is looked at.
 Pass two: a block that is not decided takes the label of its nearest decided neighbours; if
-they differ, a near good block is good, and so is a short one inside a marked article; another
-short one takes the nearer neighbour's. Beyond
-the ends of a marked article lies good text, beyond those of a page bad text.
+they differ, a near good block is good, and so is a short one inside an article; another
+short one takes the nearer neighbour's. Beyond the ends of an article lies good text, beyond
+those of a page bad text.
 
 White space, any that Unicode calls so, becomes one space inside a block. A single <br> is
 white space, two or more in a row end a block. Null and empty pages have no text. Pages are
-handled row by row whatever their ids; other columns are ignored.
+handled row by row whatever their ids; other columns are ignored. Time is in proportion to a
+page's length, whatever is broken in it: a tag with a quote that never ends is taken to end
+at the next >, as are all behind it.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -51,20 +57,30 @@ RAW = frozenset("script style noscript template iframe textarea xmp noembed nofr
 #: Left out with all that they hold.
 DROPPED = frozenset("head nav aside form button dialog footer menu label fieldset".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-#: Parts of class or id names that say the same.
-HINTS = frozenset(
+#: Parts of class or id names that say the same, wherever they are.
+STRONG_HINTS = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox banner promo promoted promotion sponsor sponsored "
-    "sidebar sidebars rail widget widgets menu navbar nav navigation breadcrumb breadcrumbs footer masthead topbar header "
-    "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login "
-    "comment comments disqus respond reply replies discussion share sharing social related recommended teaser teasers "
-    "copyright disclaimer pagination pager skip hidden".split()
+    "sidebar sidebars widget widgets navbar nav navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr "
+    "popup modal newsletter subscribe subscription signup comment comments disqus respond replies share sharing social "
+    "related recommended teaser teasers pagination pager".split()
 )
+#: Parts that say so outside an article; inside one the whole name has to.
+HINTS = STRONG_HINTS | frozenset("rail menu masthead topbar header notice notices alert overlay login reply discussion copyright disclaimer skip hidden".split())
+#: These name parts of an article too.
+OF_ARTICLES = frozenset("header masthead topbar discussion".split())
+#: An article of these kinds is not the page's.
+MINOR_ARTICLES = frozenset("comment comments reply teaser related ad promo".split())
 #: An article that starts inside one of these is still the article: the tag was not closed.
 LEAKY = frozenset("head nav form footer menu header button label fieldset".split())
-
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?(?=[\s/]|$)", re.I)
-_NAME_PART = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
+#: An end tag of another kind does not end what lies around the article that it is in.
+OUTER = frozenset("article main body html".split())
+#: A mark without good text inside is passed over if so many times its text is good outside.
+MUCH_MORE = 4
+
+_OPEN = re.compile(r"<(?:!--|(/?)([a-zA-Z][^\s/>]*)|[!?])")
+_REST = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>")
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Za-z][a-z]*")
 _EDGES = re.compile(r"^\W+|\W+$")
 
 
@@ -94,112 +110,169 @@ class _Page:
         self.parts, self.linked, self.breaks = [], [], 0
 
 
+def _attributes(rest: str) -> dict[str, str]:
+    """Those of class, id, role, hidden and aria-hidden that a tag has."""
+    found: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(rest):
+        if name.lower() in ("class", "id", "role", "hidden", "aria-hidden"):
+            found.setdefault(name.lower(), "".join(values))
+    return found
+
+
+def _names(attributes: dict[str, str]) -> list[str]:
+    return [n for k in ("class", "id") for n in attributes.get(k, "").split()]
+
+
+def _parts(names: list[str]) -> set[str]:
+    return {p.lower() for n in names for p in _NAME_PART.findall(n)}
+
+
 def _boilerplate(tag: str, rest: str, inside: bool) -> bool:
     if tag in DROPPED or (tag == "header" and not inside):
         return True
-    if not rest or tag in ("html", "body", "article", "main"):
-        return tag == "article" and bool(rest) and _named(rest) & {"comment", "comments", "reply", "teaser", "related", "ad", "promo"} != set()
-    for name, *values in _ATTRIBUTE.findall(rest):
-        value = "".join(values)
-        if name.lower() == "role":
-            if value.lower() in DROPPED_ROLES:
-                return True
-        elif name.lower() == "hidden" or (name.lower() == "aria-hidden" and value.lower() == "true"):
-            return True
-    return bool(_named(rest) & HINTS)
+    if not rest or tag in ("html", "body", "main"):
+        return False
+    attributes = _attributes(rest)
+    names = _names(attributes)
+    if tag == "article":
+        return bool(_parts(names) & MINOR_ARTICLES)
+    if attributes.get("role", "").lower() in DROPPED_ROLES or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
+        return True
+    if not inside:
+        return bool(_parts(names) & HINTS)
+    return bool(_parts(names) & STRONG_HINTS) or any(n.lower() in HINTS - OF_ARTICLES for n in names)
 
 
-def _named(rest: str) -> set[str]:
-    found: set[str] = set()
-    for name, *values in _ATTRIBUTE.findall(rest):
-        if name.lower() in ("class", "id"):
-            found.update(p.lower() for p in _NAME_PART.findall("".join(values)))
-    return found
+class _Stack:
+    """Open elements, with what is asked of them kept up to date, so nothing is ever searched for."""
+
+    def __init__(self):
+        self.tags: list[tuple[str, bool, bool]] = []  # tag, left out, marks an article
+        self.blocks: list[int] = []
+        self.dropped: list[int] = []
+        self.links = self.inside = 0
+        #: How many of each tag are open: in all, and since each article began.
+        self.open: list[Counter[str]] = [Counter()]
+        self.total: Counter[str] = Counter()
+
+    def push(self, tag: str, drop: bool, marks: bool) -> None:
+        if tag in BLOCKS:
+            self.blocks.append(len(self.tags))
+        if drop:
+            self.dropped.append(len(self.tags))
+        self.tags.append((tag, drop, marks))
+        self.links += tag == "a"
+        self.inside += marks
+        self.total[tag] += 1
+        if marks:
+            self.open.append(Counter())
+        else:
+            self.open[-1][tag] += 1
+
+    def pop(self) -> str:
+        tag, drop, marks = self.tags.pop()
+        if drop:
+            self.dropped.pop()
+        if tag in BLOCKS:
+            self.blocks.pop()
+        self.links -= tag == "a"
+        self.inside -= marks
+        self.total[tag] -= 1
+        if marks:
+            self.open.pop()
+        else:
+            self.open[-1][tag] -= 1
+        return tag
+
+    def cut(self, upto: int) -> None:
+        while len(self.tags) > upto:
+            self.pop()
+
+    def close(self, tag: str) -> None:
+        if (self.total if tag in OUTER else self.open[-1])[tag]:
+            while self.pop() != tag:
+                pass
+
+    def begin_block(self, tag: str) -> None:
+        """A block ends an open paragraph, and an item the one before it."""
+        if self.blocks and self.tags[self.blocks[-1]][0] == "p":
+            self.cut(self.blocks[-1])
+        if tag == "li":
+            for k in range(len(self.tags) - 1, max(len(self.tags) - 4, -1), -1):
+                if self.tags[k][0] == "li":
+                    self.cut(k)
+                    break
+
+
+def _tags(source: str) -> Iterator[tuple[str, str, bool, str]]:
+    """(text before, tag, is it an end, attributes) of each tag, and the text behind the last.
+
+    Comments and declarations have no tag name. What raw elements hold is passed over.
+    """
+    at, careful, last = 0, True, source.rfind(">")
+    while m := _OPEN.search(source, at):
+        if m[0] == "<!--":
+            end = source.find("-->", m.end())
+            yield source[at : m.start()], "", False, ""
+            at = len(source) if end < 0 else end + 3
+            continue
+        if m.start() > last:
+            break  # nothing is closed any more
+        rest = _REST.match(source, m.end()) if careful and m[2] else None
+        careful = careful and (not m[2] or rest is not None)
+        end = rest.end() if rest else source.index(">", m.end()) + 1
+        tag, ends, given = (m[2] or "").lower(), bool(m[1]), source[m.end() : end - 1]
+        yield source[at : m.start()], tag, ends, given
+        at = end
+        if tag in RAW and not ends and not given.rstrip().endswith("/"):
+            close = re.compile(rf"</{re.escape(tag)}\b", re.I).search(source, at)
+            end = source.find(">", close.end()) if close else -1
+            at = len(source) if end < 0 else end + 1
+    yield source[at:], "", False, ""
 
 
 def cut(source: str) -> list[Block]:
-    """The blocks of a page that its own marks leave in, in page order."""
-    page, at = _Page(), 0
-    stack: list[tuple[str, bool, bool]] = []  # tag, dropped, marks an article
-    dropped = inside = links = 0
-
-    def close(upto: int) -> None:
-        nonlocal dropped, inside, links
-        for tag, drop, marks in stack[upto:]:
-            dropped -= drop
-            inside -= marks
-            links -= tag == "a"
-        del stack[upto:]
+    """The blocks of a page that its own names leave in, in page order."""
+    page, stack = _Page(), _Stack()
 
     def put(text: str) -> None:
-        if dropped or not text:
+        if stack.dropped or not text:
             return
         text = html.unescape(text)
         if text.strip():
             page.breaks = 0
         page.parts.append(text)
-        if links:
+        if stack.links:
             page.linked.append(text)
 
-    while at < len(source):
-        m = _TAG.search(source, at)
-        if m and m[2] is None and not m[0].startswith("<!--") and m[0][:2] not in ("<!", "<?"):
-            m = None
-        if not m:
-            put(source[at:])
-            break
-        put(source[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+    for text, tag, ends, rest in _tags(source):
+        put(text)
+        if not tag or (tag in RAW and not ends):
             continue
-        tag, ends, rest = m[2].lower(), bool(m[1]), m[3]
         if ends:
             if tag in BLOCKS:
-                page.end_block(inside > 0)
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
-                if stack[k][2] and tag not in ("article", "main", "body", "html"):
-                    break  # an end tag inside an article does not end the article
-            continue
-        if tag in RAW:
-            if not rest.rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(source, at)
-                at = end.end() if end else len(source)
+                page.end_block(stack.inside > 0)
+            stack.close(tag)
             continue
         if tag == "br":
             page.breaks += 1
             put(" ")
             if page.breaks > 1:
-                page.end_block(inside > 0)
+                page.end_block(stack.inside > 0)
             continue
         if tag in ("td", "th"):
             put(" ")
         if tag in BLOCKS:
-            page.end_block(inside > 0)
+            page.end_block(stack.inside > 0)
             page.tag = tag
-            for k in range(len(stack) - 1, -1, -1):  # a block ends an open paragraph
-                if stack[k][0] == "p":
-                    close(k)
-                    break
-                if stack[k][0] in BLOCKS:
-                    break
-        if tag == "li" and any(s[0] == "li" for s in stack[-3:]):
-            close(max(k for k in range(len(stack)) if stack[k][0] == "li"))
+            stack.begin_block(tag)
         if tag in VOID:
             continue
-        if tag in ("body", "article", "main") and dropped:
-            first = next(k for k, s in enumerate(stack) if s[1])
-            if stack[first][0] in LEAKY:
-                close(first)
-        drop = _boilerplate(tag, rest, inside > 0)
-        marks = tag in ("article", "main") and not drop and not dropped
-        stack.append((tag, drop, marks))
-        dropped += drop
-        inside += marks
-        links += tag == "a"
-    page.end_block(inside > 0)
+        if tag in ("body", "article", "main") and stack.dropped and stack.tags[stack.dropped[0]][0] in LEAKY:
+            stack.cut(stack.dropped[0])
+        drop = _boilerplate(tag, rest, stack.inside > 0)
+        stack.push(tag, drop, tag in ("article", "main") and not drop and not stack.dropped)
+    page.end_block(stack.inside > 0)
     return page.blocks
 
 
@@ -208,18 +281,27 @@ def stop_density(text: str) -> float:
     return sum(_EDGES.sub("", w).lower() in STOP_WORDS for w in words) / len(words) if words else 0.0
 
 
-def classify(blocks: list[Block], marked: bool) -> None:
+def classify(blocks: list[Block]) -> None:
     """Pass one."""
     for b in blocks:
         if b.links > MAX_LINKS * len(b.text):
             b.label = "bad"
         elif len(b.text) < SHORT:
             b.label = "short"
-        elif marked:
-            b.label = "good"
         else:
             density = stop_density(b.text)
-            b.label = "bad" if density < STOP_LOW else "good" if density >= STOP_HIGH and len(b.text) >= LONG else "near"
+            if density >= STOP_LOW if b.inside else density >= STOP_HIGH and len(b.text) >= LONG:
+                b.label = "good"
+            else:
+                b.label = "bad" if density < STOP_LOW and not b.inside else "near"
+
+
+def confirmed(blocks: list[Block]) -> bool:
+    """Whether what the page marks as its article can be that."""
+    inside = [b for b in blocks if b.inside]
+    found = sum(len(b.text) for b in inside)
+    outside = sum(len(b.text) for b in blocks if not b.inside and b.label == "good")
+    return bool(inside) and (outside <= MUCH_MORE * found or any(b.label == "good" for b in inside))
 
 
 def inherit(blocks: list[Block], marked: bool) -> None:
@@ -245,9 +327,9 @@ def inherit(blocks: list[Block], marked: bool) -> None:
 
 def main_text(source: str | None) -> str:
     blocks = cut(source or "")
-    marked = any(b.inside for b in blocks)
+    classify(blocks)
+    marked = confirmed(blocks)
     blocks = [b for b in blocks if b.inside] if marked else blocks
-    classify(blocks, marked)
     inherit(blocks, marked)
     if not marked:  # a heading right above good text goes with it
         for b, below in zip(blocks, blocks[1:], strict=False):
