@@ -1,12 +1,14 @@
 """Benchmark decontamination: short test items found inside long documents.
 
 Containment of an item in a document is the share of the item's distinct word shingles
-that the document has. Sketches of items of all sizes share a table for each shingle
-width. An item of n shingles is represented by the shingles with its s(n) least hash values (a bottom MinHash
-sketch); a document can miss at most floor((1 - t) * n) shingles at threshold t, so with
-s(n) one larger than that at least one sketch shingle is in every document that reaches
-the threshold: the search loses nothing. The document's size bounds the items it can hold
-from the other side. Candidates are verified by exact shingle containment on the words.
+that the document has. Items are partitioned by shingle width and size class (a power of
+two), and each partition has its own sketch length and its own table. An item is represented
+by the shingles with the least hash values (a bottom MinHash sketch) of its partition's
+length. A document can miss at most floor((1 - t) * n) shingles of an item of n at threshold
+t; the partition's length is one more than its largest item allows, so at least one sketch
+shingle of every item is in every document that reaches the threshold: the search loses
+nothing. A partition is not asked about documents too small for its smallest item.
+Candidates are verified by exact shingle containment on the words.
 
 Documents are streamed once for each block of items, and never shuffled. A block has at
 most BLOCK_SHINGLES shingles (or one item), which bounds what is sent to the executors
@@ -59,12 +61,23 @@ class Item:
 
 
 @dataclass
-class Sketches:
-    """For one shingle width: sorted sketch hashes, their items, and a bit filter before them."""
+class Partition:
+    """Items of one shingle width and size class: sorted sketch hashes, their items, and what each item needs."""
 
+    width: int
+    size_class: int
+    length: int
+    least: int
     hashes: np.ndarray
     owners: np.ndarray
-    least_size: np.ndarray
+    needs: np.ndarray
+
+
+@dataclass
+class Width:
+    """The partitions of one shingle width, by size class, and a bit filter before them all."""
+
+    partitions: list[Partition]
     seen: np.ndarray
 
 
@@ -73,40 +86,53 @@ def size_class(n: int) -> int:
     return int(n).bit_length()
 
 
-def _sketches(items: list[Item], threshold: float) -> dict[int, Sketches]:
-    by_width: dict[int, list[tuple[int, int, int]]] = {}
-    for k, item in sorted(enumerate(items), key=lambda x: size_class(len(x[1].grams))):
-        tokens = [b" ".join(g) for g in item.grams]
-        values = np.sort(np.array([shingles(word_hashes(t)[0], item.width)[0] for t in tokens], np.uint64))
-        n = len(item.grams)
-        for h in values[: n - needed(n, threshold) + 1].tolist():
-            by_width.setdefault(item.width, []).append((h, k, needed(n, threshold)))
-    out = {}
-    for width, rows in by_width.items():
-        rows.sort()
-        hashes = np.array([r[0] for r in rows], np.uint64)
-        seen = np.zeros(1 << _FILTER_BITS, bool)
-        seen[hashes >> np.uint64(64 - _FILTER_BITS)] = True
-        out[width] = Sketches(hashes, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), seen)
+def sketch_length(sizes: list[int], threshold: float) -> int:
+    """One more than the most shingles that a document may miss of any item of these sizes."""
+    return max(n - needed(n, threshold) + 1 for n in sizes)
+
+
+def _gram_hashes(item: Item) -> np.ndarray:
+    return np.array([shingles(word_hashes(b" ".join(g))[0], item.width)[0] for g in item.grams], np.uint64)
+
+
+def _partitions(items: list[Item], threshold: float) -> dict[int, Width]:
+    grouped: dict[tuple[int, int], list[int]] = {}
+    for k, item in enumerate(items):
+        grouped.setdefault((item.width, size_class(len(item.grams))), []).append(k)
+    out: dict[int, Width] = {}
+    for (width, of), members in sorted(grouped.items()):
+        sizes = [len(items[k].grams) for k in members]
+        length = sketch_length(sizes, threshold)
+        sketches = [np.sort(_gram_hashes(items[k]))[:length] for k in members]
+        hashes, owners = np.concatenate(sketches), np.repeat(members, [len(s) for s in sketches])
+        order = np.argsort(hashes, kind="stable")
+        hashes, owners = hashes[order], owners[order]
+        needs = np.array([needed(len(items[k].grams), threshold) for k in owners.tolist()])
+        here = out.setdefault(width, Width([], np.zeros(1 << _FILTER_BITS, bool)))
+        here.partitions.append(Partition(width, of, length, int(needs.min()), hashes, owners, needs))
+        here.seen[hashes >> np.uint64(64 - _FILTER_BITS)] = True
     return out
 
 
-def _candidates(texts: list[bytes], by_width: dict[int, Sketches]) -> set[tuple[int, int]]:
+def _candidates(texts: list[bytes], by_width: dict[int, Width]) -> set[tuple[int, int]]:
     """(text, item) pairs that share a sketch shingle and fit in size."""
     hashes, starts, _ = word_hashes(b"\n".join(texts))
     ends = np.cumsum([len(t) + 1 for t in texts])
     owner = np.searchsorted(ends, starts, side="right")
     counts = np.bincount(owner, minlength=len(texts))
     found: set[tuple[int, int]] = set()
-    for width, sk in by_width.items():
+    for width, here in by_width.items():
         grams = shingles(hashes, width)
-        hit = np.nonzero(sk.seen[grams >> np.uint64(64 - _FILTER_BITS)])[0]
+        hit = np.nonzero(here.seen[grams >> np.uint64(64 - _FILTER_BITS)])[0]
         hit = hit[owner[hit] == owner[hit + width - 1]]
-        lo, hi = np.searchsorted(sk.hashes, grams[hit], "left"), np.searchsorted(sk.hashes, grams[hit], "right")
-        for g, a, b in zip(hit[lo < hi].tolist(), lo[lo < hi].tolist(), hi[lo < hi].tolist(), strict=True):
-            doc = int(owner[g])
-            fits = sk.least_size[a:b] <= counts[doc] - width + 1
-            found.update((doc, int(k)) for k in sk.owners[a:b][fits])
+        room = counts[owner[hit]] - width + 1
+        for part in here.partitions:
+            mine = hit[room >= part.least]
+            lo, hi = np.searchsorted(part.hashes, grams[mine], "left"), np.searchsorted(part.hashes, grams[mine], "right")
+            for g, a, b in zip(mine[lo < hi].tolist(), lo[lo < hi].tolist(), hi[lo < hi].tolist(), strict=True):
+                doc = int(owner[g])
+                fits = part.needs[a:b] <= counts[doc] - width + 1
+                found.update((doc, int(k)) for k in part.owners[a:b][fits])
     return found
 
 
@@ -139,7 +165,7 @@ def search(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
     slim, out = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text_col).alias("text")), None
     for block in _blocks(benchmark, item_id, item_text, limit):
         items = _pack(block, width)
-        sent = spark.sparkContext.broadcast((items, _sketches(items, threshold)))
+        sent = spark.sparkContext.broadcast((items, _partitions(items, threshold)))
 
         def find(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             items, by_width = sent.value
