@@ -94,6 +94,11 @@ def _across(x: np.ndarray) -> np.ndarray:
     return x @ np.ones(x.shape[1], x.dtype)
 
 
+def _down(x: np.ndarray) -> np.ndarray:
+    """Sums of columns, as a product."""
+    return np.ones(len(x), x.dtype) @ x
+
+
 def output(weights: Weights, hidden: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """log p of each target given its row of `hidden`."""
     out = np.empty(len(targets))
@@ -121,19 +126,20 @@ class Cell:
         self.x = [np.ascontiguousarray(p) for p in (weights["x"][:, :cut], weights["x"][:, cut:])]
         self.u = [np.ascontiguousarray(p) for p in (weights["u"][:, :cut], weights["u"][:, cut:])]
 
-    def step(self, state: np.ndarray, inputs: np.ndarray, out: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The next state goes to `out`; gates, new part and its recurrent input are handed back."""
-        gates = state @ self.u[0]
-        gates += self.x[0].take(inputs, axis=0)
+    def inputs(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What whole windows of ids give to the gates and to the new state; `step` works in them."""
+        return self.x[0].take(ids, axis=0), self.x[1].take(ids, axis=0)
+
+    def step(self, state: np.ndarray, gates: np.ndarray, new: np.ndarray, back: np.ndarray, out: np.ndarray) -> None:
+        """The next state goes to `out`; gates and new part take the place of their inputs, the recurrent one goes to `back`."""
+        gates += state @ self.u[0]
         _sigmoid(gates)
-        back = state @ self.u[1]
-        new = back * gates[:, HIDDEN:]
-        new += self.x[1].take(inputs, axis=0)
+        np.matmul(state, self.u[1], out=back)
+        new += back * gates[:, HIDDEN:]
         np.tanh(new, out=new)
         np.subtract(state, new, out=out)
         out *= gates[:, :HIDDEN]
         out += new
-        return gates, new, back
 
 
 def log_likelihoods(weights: Weights, texts: list[np.ndarray], lanes: int = 512, window: int = 32) -> np.ndarray:
@@ -159,10 +165,10 @@ def log_likelihoods(weights: Weights, texts: list[np.ndarray], lanes: int = 512,
             steps = min(window, int(lengths[0]) - begin)
             place = first[None, :active] + begin + np.arange(steps + 1)[:, None]
             ids = flat.take(place, mode="clip").astype(np.int64)
-            states = np.empty((steps, active, HIDDEN), np.float32)
-            state = state[:active]
+            states, back = np.empty((steps, active, HIDDEN), np.float32), np.empty((active, HIDDEN), np.float32)
+            state, (gates, new) = state[:active], cell.inputs(ids[:-1])
             for t in range(steps):
-                cell.step(state, ids[t], states[t])
+                cell.step(state, gates[t], new[t], back, states[t])
                 state = states[t]
             log_p = np.zeros((steps, active))
             whole = min(steps, int(lengths[active - 1]) - begin)  # so many steps are inside all texts
@@ -192,7 +198,7 @@ def _row_sums(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
             break
         out[few] += values[first[few] + j]
     for k in np.nonzero(times > OFTEN)[0].tolist():
-        out[k] = values[first[k] : first[k] + times[k]].sum(axis=0)
+        out[k] = _down(values[first[k] : first[k] + times[k]])
     return out
 
 
@@ -204,10 +210,10 @@ def _gradients(weights: Weights, state: np.ndarray, inputs: np.ndarray, targets:
     places = places.reshape(inputs.shape)
     cell = Cell({"x": weights["x"][used], "u": weights["u"]})
     before, states = np.empty((steps, lanes, h), kind), np.empty((steps, lanes, h), kind)
-    gates, new, back = np.empty((steps, lanes, 2 * h), kind), np.empty((steps, lanes, h), kind), np.empty((steps, lanes, h), kind)
+    (gates, new), back = cell.inputs(places), np.empty((steps, lanes, h), kind)
     for t in range(steps):
         np.multiply(state, fresh[t], out=before[t])
-        gates[t], new[t], back[t] = cell.step(before[t], places[t], states[t])
+        cell.step(before[t], gates[t], new[t], back[t], states[t])
         state = states[t]
     cut = ByClass(weights, targets.reshape(-1))
     flat = states.reshape(-1, h)[cut.order]
@@ -223,17 +229,19 @@ def _gradients(weights: Weights, state: np.ndarray, inputs: np.ndarray, targets:
 
     d = cut.outer(weights, flat)
     loss = down(d, cut.of, scale)
-    found: Gradients = [("c", None, flat.T @ d), ("cb", None, d.sum(axis=0))]
+    found: Gradients = [("c", None, flat.T @ d), ("cb", None, _down(d))]
     d_flat = d @ weights["c"].T
     if len(cut.some):
         rows, d_rows = flat[cut.first :], d_flat[cut.first :]
         e = cut.inner(weights, rows)
         loss += down(e, cut.place[cut.first :], scale[cut.first :])
-        inside = np.empty((len(cut.some), h, WIDE), kind)
+        inside, biases = np.empty((len(cut.some), h, WIDE), kind), np.empty((len(cut.some), WIDE), kind)
         for j, (k, a, b) in enumerate(cut.parts()):
             np.matmul(rows[a:b].T, e[a:b], out=inside[j])
+            biases[j] = _down(e[a:b])
             d_rows[a:b] += e[a:b] @ weights["w"][k].T
-        found += [("w", cut.some, inside), ("wb", cut.some, np.add.reduceat(e, cut.begin, axis=0))]
+        some = None if len(cut.some) == len(weights["w"]) else cut.some
+        found += [("w", some, inside), ("wb", some, biases)]
     d_states = np.empty_like(d_flat)
     d_states[cut.order] = d_flat
     d_states = d_states.reshape(steps, lanes, h)

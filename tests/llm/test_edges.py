@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -99,6 +101,32 @@ def test_suffix_pieces_and_repeats(spark, monkeypatch):
     assert sum(int(c[4].sum()) for _, c in cut) == len(data) - 99
 
 
+def _removed_by_brute_force(rows, length=100):
+    """Sizes, removed bytes and runs of documents in the order of (id or the least number, digest)."""
+    seen, out = set(), {}
+    for doc, text in sorted({(-(2**63) if i is None else i, t or "") for i, t in rows}, key=lambda r: (r[0], hashlib.md5(r[1].encode()).digest())):
+        raw = text.encode()
+        gone = bytearray(len(raw))
+        for p in range(len(raw) - length + 1):
+            if raw[p : p + length] in seen:
+                gone[p : p + length] = b"\1" * length
+            seen.add(raw[p : p + length])
+        out[doc, text] = (len(raw), sum(gone), sum(1 for k, g in enumerate(gone) if g and (k == 0 or not gone[k - 1])))
+    return sorted(((i, *out[-(2**63) if i is None else i, t or ""]) for i, t in rows), key=str)
+
+
+def test_suffix_of_repeated_and_null_ids(spark):
+    """Hundreds of texts under no id, some ids with several texts, repeated rows, a shared passage."""
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    passage = " ".join(word() for _ in range(30))
+    rows = [(None, " ".join(word() for _ in range(rng.integers(3, 40))) + passage[: rng.integers(90, 210)] + word() * int(rng.integers(1, 30))) for _ in range(200)]
+    rows += [(7, passage + "x"), (7, "x" + passage), (7, passage + "x"), (3, passage), (9, None), (9, ""), (-(2**63), passage[50:])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffix_dedup.digests(suffix_dedup.removed(df)).collect()]
+    assert sorted(got, key=str) == _removed_by_brute_force(rows)
+
+
 def test_simhash_links_by_brute_force():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, (40, 1), dtype=np.uint64)
@@ -228,6 +256,30 @@ def test_containment_edges(spark, plain):
     assert decontaminate.without_leaks(plain, items).count() == len(ROWS) - 3
 
 
+def test_size_partitions_lose_nothing(spark):
+    """Items of all sizes in long texts, with as many words changed as the threshold allows, and more."""
+    rng = np.random.default_rng(11)
+    items, texts = [], []
+    for k in range(60):
+        words = [f"w{rng.integers(50 + 40 * k)}" for _ in range(int(rng.integers(1, 200)))]
+        items.append((k, " ".join(words)))
+        for n in (0, 1, 3):
+            copy = list(words)
+            for i in rng.choice(len(words), min(n, len(words)), replace=False):
+                copy[i] = "other"
+            texts.append((len(texts), " ".join([f"v{rng.integers(500)}" for _ in range(100)] + copy + [f"v{rng.integers(500)}" for _ in range(100)])))
+    parts = decontaminate._partitions(decontaminate._pack(items, 5), 0.8)
+    assert len({(p.width, p.size_class) for w in parts.values() for p in w.partitions}) == sum(len(w.partitions) for w in parts.values()) > 8
+    assert len({p.length for p in parts[5].partitions}) > 4
+    grams = lambda text, w: {tuple(text.split()[i : i + w]) for i in range(len(text.split()) - w + 1)}
+    want = set()
+    for i, item in items:
+        mine = grams(item, min(5, len(item.split())))
+        want |= {(d, i) for d, text in texts if len(mine & grams(text, min(5, len(item.split())))) >= 0.8 * len(mine) - 1e-9}
+    rows = decontaminate.search(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in rows.collect()} == want
+
+
 def test_mixing_rates(spark):
     rows = spark.createDataFrame([(i, "x" * 10, "big" if i % 10 else "small") for i in range(4_000)], "doc_id long, text string, source string")
     out = mixing.mixed(rows, weights={"big": 1.0, "small": 1.0})
@@ -407,6 +459,55 @@ def test_pages(page, text):
     assert html_blocks.main_text(page) == text
 
 
+LINKS = "<ul>" + "".join(f"<li><a href=x>Some other page number {i}</a>" for i in range(9)) + "</ul>"
+CODE = "x_1 = f(y_2, z_3); " * 8
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        # headings and sections with telling names stay inside an article, adverts and comments go
+        (f"<article><header class='entry-header'><h1>Title</h1></header><p>{GOOD}</p><div class=discussion><p>{GOOD}</p></div><div class='inline-ad'>Buy</div><div class='notice'>N</div><ol class='comment-list'><li>me too</ol></article>", f"Title\n{GOOD.strip()}\n{GOOD.strip()}"),
+        # links inside an article are bad, and what is short between them
+        (f"<article><p>{GOOD}</p>{LINKS}<p>More</p>{LINKS}</article>", GOOD.strip()),
+        (f"<article>{LINKS}<p>{GOOD[:150]}</p>{LINKS}</article>", GOOD[:150].strip()),
+        # words without stop words go with what is around them
+        (f"<article><p>{GOOD}</p><pre>{CODE}</pre></article>", f"{GOOD.strip()}\n{CODE.strip()}"),
+        (f"<article>{LINKS}<pre>{CODE}</pre>{LINKS}<p>{GOOD}</p></article>", GOOD.strip()),
+        # a mark that holds no article is passed over, one that holds a short article is not
+        (f"<article><a href=x>Read more</a></article><div><p>{GOOD}</p><p>{GOOD}</p></div>", f"{GOOD.strip()}\n{GOOD.strip()}"),
+        (f"<article><p>{GOOD[:140]}</p></article><div><p>{GOOD}</p></div>", GOOD[:140].strip()),
+        (f"<div class=wrap><p>{GOOD}</p><article class='teaser'><p>{GOOD}</p></article></div>", GOOD.strip()),
+        # what stands in other attributes names nothing
+        (f"<article><p title='class=ad id=\"comments\"'>{GOOD}</p></article>", GOOD.strip()),
+        (f"<article><div class='AD'>x</div><div class='adSlot'>y</div><p>{GOOD}</p></article>", GOOD.strip()),
+    ],
+)
+def test_block_rules_decide(page, text):
+    assert html_blocks.main_text(page) == text
+
+
+def test_block_rules_without_marks(spark):
+    """The block rules alone find the text of pages whose marks are taken away."""
+    pages = [f"<body>{LINKS}<div>Welcome</div><h1>Head {i}</h1><p>{GOOD}</p><p>Short {i}.</p><p>{GOOD}</p>{LINKS}<div>All rights reserved {i}</div></body>" for i in range(20)]
+    assert all(html_blocks.main_text(p) == f"Head {i}\n{GOOD.strip()}\nShort {i}.\n{GOOD.strip()}" for i, p in enumerate(pages))
+    rows = spark.createDataFrame([(i, "u", p, 1, "x") for i, p in enumerate(pages)], "page_id long, url string, html string, n_chars int, text string")
+    assert html_blocks.extract(rows).count() == 20 and html_blocks.extract(rows.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<b>", "<b></i>", "<b><div></div>", "<!", "<!--", "</script ", "<script>", "<a \">\"", "<li>", "<i><article>", "<p>", "<a class='", "&", "<a " + " " * 50, "<nav><article></p>"])
+def test_broken_pages_take_linear_time(unit):
+    import time
+
+    def took(n):
+        began = time.process_time()
+        html_blocks.main_text(unit * (n // len(unit)) + ("</i></b>" if unit == "<b>" else "") * (n // 8))
+        return time.process_time() - began
+
+    took(10_000)
+    assert took(1_000_000) < 20
+
+
 def test_without_the_subpackage(tmp_path):
     """The rest imports and registers its queries when these folders are gone."""
     import shutil
