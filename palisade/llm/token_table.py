@@ -35,8 +35,10 @@ END_ID = 2
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
-#: Words that a worker remembers; then it starts afresh.
+#: Words that a worker remembers. When it has so many, further words are encoded where they
+#: occur, and if they become more than MISSES of all, it starts afresh.
 MEMO_WORDS = 1_000_000
+MISSES = 0.15
 TOKENIZER = "word_bpe_49k.json"
 
 WRITER = {
@@ -86,7 +88,7 @@ class WordEncoder:
     def forget(self) -> None:
         self.index, self.spelling = HashIndex(), Spelling()
         self.ids, self.sizes = Grown(np.int32), Grown(np.int64)
-        self.begins = Grown(np.int64)
+        self.begins, self.missed = Grown(np.int64), 0.0
 
     def _folded(self, raw: np.ndarray) -> np.ndarray:
         if not self.fold:
@@ -106,35 +108,53 @@ class WordEncoder:
         sizes = np.fromiter(map(len, coded), np.int64, len(coded))
         return np.fromiter(chain.from_iterable(coded), np.int32, int(sizes.sum())), sizes
 
-    def _remember(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def _numbered(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Numbers for words that are encoded now."""
         ids, sizes = self._coded(raw, starts, ends)
-        known = len(self.sizes.all())
-        self.begins.extend(len(self.ids.all()) + np.cumsum(sizes) - sizes)
+        known = self.sizes.size
+        self.begins.extend(self.ids.size + np.cumsum(sizes) - sizes)
         self.ids.extend(ids)
         self.sizes.extend(sizes)
-        self.spelling.add(raw, starts, ends)
         return np.arange(known, known + len(starts))
 
     def _numbers(self, raw: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The number of each word; unknown words are encoded first, each once."""
+        """The number of each word; unknown words are encoded first, each once.
+
+        Numbers from `self.spelling.sizes.size` on are good for this batch only.
+        """
         found = self.index.find(hashes)
-        unknown = np.nonzero(found < 0)[0]
-        if len(unknown):
-            fresh, first = np.unique(hashes[unknown], return_index=True)
-            where = unknown[first]
-            self.index.add(fresh, self._remember(raw, starts[where], ends[where]))
-            found[unknown] = self.index.find(hashes[unknown])
-        wrong = self.spelling.differs(found, raw, starts, ends)
-        if len(wrong):  # another word has this hash: these get numbers that no hash leads to
-            found[wrong] = self._remember(raw, starts[wrong], ends[wrong])
+        unknown, known = np.nonzero(found < 0)[0], np.nonzero(found >= 0)[0]
+        wrong = known[self.spelling.differs(found[known], raw, starts[known], ends[known])]  # another word has this hash
+        fresh, first, inverse = np.unique(hashes[unknown], return_index=True, return_inverse=True)
+        where = unknown[first]
+        if len(fresh) and self.index.size < self.memo_words:
+            numbers = self._numbered(raw, starts[where], ends[where])
+            self.spelling.add(raw, starts[where], ends[where])
+            self.index.add(fresh, numbers)
+            found[unknown] = numbers[inverse]
+            wrong = np.concatenate([wrong, unknown[self.spelling.differs(found[unknown], raw, starts[unknown], ends[unknown])]])
+        elif len(fresh):
+            here = Spelling()
+            here.add(raw, starts[where], ends[where])
+            found[unknown] = self._numbered(raw, starts[where], ends[where])[inverse]
+            wrong = np.concatenate([wrong, unknown[here.differs(inverse, raw, starts[unknown], ends[unknown])]])
+        if len(wrong):
+            found[wrong] = self._numbered(raw, starts[wrong], ends[wrong])
+        self.missed = 0.9 * self.missed + 0.1 * len(unknown) / max(1, len(hashes))
         return found
 
+    def _drop_unremembered(self) -> None:
+        """Numbers that no hash leads to go, so a worker holds no more than its words."""
+        last = self.spelling.sizes.size
+        if self.sizes.size > last:
+            self.ids.size = int(self.begins.all()[last])
+            self.begins.size = self.sizes.size = last
+
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and the number of ids of each text with its end id."""
         raw = [t.encode("utf-8", "surrogatepass") for t in texts]
         blob = b"\n".join(raw)
-        if self.index.size > self.memo_words:
+        if self.index.size >= self.memo_words and self.missed > MISSES:
             self.forget()
         spelled = self._folded(np.frombuffer(blob, np.uint8))
         hashes, starts, ends = word_hashes(spelled.tobytes(), fold=False)
@@ -148,6 +168,7 @@ class WordEncoder:
         # each id goes to its place among the ids plus one for each end id before it
         target = np.arange(total, dtype=np.int64) + np.repeat(owner, sizes)
         out[target] = self.ids.all()[np.arange(total, dtype=np.int64) + np.repeat(begin - (ends_at - sizes), sizes)]
+        self._drop_unremembered()
         return out, lengths
 
 

@@ -326,8 +326,8 @@ def test_word_encoder_knows_words_by_their_bytes(monkeypatch):
     added = [t.content for t in token_table.WordEncoder(path).tokenizer.get_added_tokens_decoder().values()]
     texts = [f"{t.upper()} {t} x{t}Y {t.title()}" for t in added] + [even, odd, "The the THE", "a" * 65 + "b", "a" * 65 + "c", "", "z" * 17 + " " + "z" * 16 + "y"]
 
-    def held(order):
-        encoder = token_table.WordEncoder(path)
+    def held(order, memo_words=1000):
+        encoder = token_table.WordEncoder(path, memo_words)
         for text in order:
             ids, _ = encoder.encode([text], 2)
             assert ids.tolist() == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 2]
@@ -336,6 +336,10 @@ def test_word_encoder_knows_words_by_their_bytes(monkeypatch):
 
     held(texts)
     held(texts[::-1])
+    held(texts, 3)  # nothing more is remembered
+    monkeypatch.setattr(token_table, "MISSES", -1.0)
+    held(texts, 3)  # all is forgotten each time
+    monkeypatch.undo()
     monkeypatch.setattr(token_table, "word_hashes", lambda blob, fold: (np.full_like(word_hashes(blob, fold)[0], 7), *word_hashes(blob, fold)[1:]))
     held(texts)
 
