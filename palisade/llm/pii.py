@@ -8,17 +8,19 @@ Votes of all candidates of all texts are counted by pattern, of which there are
 reliable each labeler is and how likely each pattern is to be personal data; on these soft
 labels a Bernoulli naive Bayes span classifier is trained, whose features do not include the
 votes' own reliabilities. Both run inside one SQL expression. A candidate is added if the
-classifier is sure of it and no base span overlaps it.
+classifier is sure of it, no base span overlaps it and no sure candidate that starts earlier.
 
 One pass reads the texts; what it leaves are spans and votes, which are small.
 
 Offsets are code points, ends exclusive. A null text is empty. Rows are handled one by one,
-whatever their ids; other columns are ignored. Time in a text grows with the square of its
-number of matches only where arrays of matches are extended, a copy of a few bytes each.
+whatever their ids; other columns are ignored. Time is in proportion to a text's length and
+its number of matches: offsets and overlaps come from running sums and maxima over blocks of
+matches (`running`), and a match's surroundings from the gaps beside it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import log
 
 from pyspark.sql import Column, DataFrame, Row
@@ -67,27 +69,64 @@ SURE = 0.9
 _SMOOTH = 0.5
 
 
-def located(text: Column, pattern: str) -> Column:
-    """(start, end, match) of the leftmost non-overlapping matches.
+BLOCK = 64
+#: So many characters before a candidate are looked at; so many matches before it fill them.
+AROUND, NEIGHBOURS = 40, 8
+
+
+def running(values: Column, op: Callable[[Column, Column], Column], first: Column) -> Column:
+    """For each value what `op` makes of all up to it. Arrays are extended inside blocks only."""
+    last = lambda xs: F.element_at(xs, -1)
+
+    def inside(block: Column) -> Column:
+        begin = F.slice(block, 1, 1)
+        return F.aggregate(F.slice(block, 2, BLOCK), begin, lambda acc, x: F.concat(acc, F.array(op(last(acc), x))))
+
+    def joined(blocks: Column) -> Column:
+        before = F.aggregate(blocks, F.array(first), lambda acc, b: F.concat(acc, F.array(op(last(acc), last(b)))))
+        return let(before, lambda c: F.flatten(F.transform(blocks, lambda b, i: F.transform(b, lambda x: op(c[i], x)))))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")), lambda i: inside(F.slice(values, i * BLOCK + 1, BLOCK)))
+    return F.when(F.size(values) > 0, let(blocks, joined)).otherwise(F.slice(values, 1, 0))
+
+
+def _plus(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def located(text: Column, pattern: str, around: bool = False) -> Column:
+    """(start, end, m) of the leftmost non-overlapping matches; with `around` also what is before and the character behind.
 
     Spark has no function for offsets; what lies between matches gives them.
     """
 
-    def walk(v: Column) -> Column:
-        empty = F.expr("cast(array() as array<struct<start: int, end: int, m: string>>)")
-        start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), empty.alias("out"))
+    def of(v: Column) -> Column:
+        found, gaps = v["found"], v["gaps"]
+        ends = running(F.transform(found, lambda m, i: F.length(gaps[i]) + F.length(m)), _plus, F.lit(0))
 
-        def step(acc: Column, m: Column) -> Column:
-            def one(a: Column) -> Column:
-                end = a + F.length(m)
-                found = F.struct(a.alias("start"), end.alias("end"), m.alias("m"))
-                return F.struct(end.alias("at"), (acc["i"] + 1).alias("i"), F.concat(acc["out"], F.array(found)).alias("out"))
+        def placed(e: Column) -> Column:
+            def one(m: Column, i: Column) -> Column:
+                fields = [(e[i] - F.length(m)).alias("start"), e[i].alias("end"), m.alias("m")]
+                if around:
+                    fields += [_before(v, i).alias("before"), F.substring(gaps[i + 1], 1, 1).alias("after")]
+                return F.struct(*fields)
 
-            return let(acc["at"] + F.length(v["gaps"][acc["i"]]), one)
+            return F.transform(found, one)
 
-        return F.aggregate(v["found"], start, step)["out"]
+        return let(ends, placed)
 
-    return let(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps")), walk)
+    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    if not around:
+        return let(F.struct(found.alias("found"), gaps.alias("gaps")), of)
+    with_tails = lambda v: F.struct(v["found"].alias("found"), v["gaps"].alias("gaps"), F.transform(v["gaps"], lambda g: F.right(g, F.lit(AROUND))).alias("tails"))
+    return let(let(F.struct(found.alias("found"), gaps.alias("gaps")), with_tails), of)
+
+
+def _before(v: Column, i: Column) -> Column:
+    """The AROUND characters before match `i`: the end of the gap, and of matches and gaps before it."""
+    nearest = F.sequence(F.greatest(i - NEIGHBOURS, F.lit(0)), i - 1)
+    earlier = F.when(i > 0, F.array_join(F.transform(nearest, lambda j: F.concat(v["tails"][j], v["found"][j])), "")).otherwise("")
+    return F.right(F.concat(earlier, v["tails"][i]), F.lit(AROUND))
 
 
 def digits(m: Column) -> Column:
@@ -108,9 +147,10 @@ def holds(kind: str, m: Column) -> Column:
     return {"email": F.lit(True), "ip": m.rlike(IP_PARTS), "card": n.between(16, 19) & luhn(m), "phone": n.between(8, 15)}[kind]
 
 
-def _of_kind(text: Column, kind: str, pattern: str) -> Column:
-    none = F.expr("cast(array() as array<struct<start: int, end: int, m: string>>)")
-    return F.when(text.rlike(TRIGGERS[kind]), located(text, pattern)).otherwise(none)
+def _of_kind(text: Column, kind: str, pattern: str, around: bool = False) -> Column:
+    more = ", before: string, after: string" if around else ""
+    none = F.expr(f"cast(array() as array<struct<start: int, end: int, m: string{more}>>)")
+    return F.when(text.rlike(TRIGGERS[kind]), located(text, pattern, around)).otherwise(none)
 
 
 def base_spans(text: Column) -> Column:
@@ -130,11 +170,10 @@ def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, F.lit(YES)).when(no, F.lit(NO)).otherwise(F.lit(ABSTAIN))
 
 
-def _judged(kind: str, rank: int, text: Column, s: Column) -> Column:
+def _judged(kind: str, rank: int, s: Column) -> Column:
     """A candidate with its votes and features."""
-    m = s["m"]
-    before = F.lower(F.substring(text, F.greatest(s["start"] - 40, F.lit(0)) + 1, F.least(s["start"], F.lit(40))))
-    left, right = F.substring(text, s["start"], F.when(s["start"] > 0, 1).otherwise(0)), F.substring(text, s["end"] + 1, 1)
+    m, before = s["m"], F.lower(s["before"])
+    left, right = F.right(s["before"], F.lit(1)), s["after"]
     strict = m.rlike("^(?:" + STRICT[kind].replace(r"(?:\G|", "(?:^|") + ")$")
     n = F.length(digits(m))
     # email: the domain names end in a known top-level name
@@ -160,7 +199,7 @@ def candidates(text: Column) -> Column:
 
 
 def _judge_all(kind: str, rank: int, text: Column) -> Column:
-    return F.transform(_of_kind(text, kind, LOOSE[kind]), lambda s: _judged(kind, rank, text, s))
+    return F.transform(_of_kind(text, kind, LOOSE[kind], around=True), lambda s: _judged(kind, rank, s))
 
 
 # expectation-maximisation and classifier over the histogram of patterns
@@ -239,18 +278,36 @@ def _log_odds(model: Row, x: Column) -> Column:
     return total
 
 
+def apart(base: Column, spans: Column) -> Column:
+    """Those of `spans` that overlap no base span and no other of them that starts earlier (or as early, and is of an earlier kind)."""
+    far = 2**31 - 1
+    event = lambda s, which: F.struct(s["start"].alias("start"), F.lit(which).alias("which"), s["kind"].alias("kind"), s["end"].alias("end"))
+    events = F.sort_array(F.concat(F.transform(base, lambda s: event(s, 0)), F.transform(spans, lambda s: event(s, 1))))
+
+    def of(e: Column) -> Column:
+        reach = running(F.transform(e, lambda x: x["end"]), F.greatest, F.lit(-1))  # of all that start before or here
+        coming = F.reverse(running(F.reverse(F.transform(e, lambda x: F.when(x["which"] == 0, x["start"]).otherwise(far))), F.least, F.lit(far)))
+
+        def free(bounds: Column) -> Column:
+            alone = lambda x, i: (x["which"] == 1) & ((i == 0) | (bounds["reach"][F.greatest(i - 1, F.lit(0))] <= x["start"])) & (bounds["coming"][i] >= x["end"])
+            return F.transform(F.filter(e, alone), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+
+        return let(F.struct(reach.alias("reach"), coming.alias("coming")), free)
+
+    return let(events, of)
+
+
 def find(docs: DataFrame, sure: float = SURE, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, base, spans): arrays of (kind, start, end) with kind a place in KINDS."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = settled(docs.select(F.col(id_col).alias("doc_id"), let(text, lambda t: F.struct(base_spans(t).alias("base"), candidates(t).alias("cands"))).alias("f")).select("doc_id", "f.base", "f.cands"))
     model = train(found, rounds)
 
+    sure_of = lambda c: _log_odds(model, c["x"]) >= log(sure / (1 - sure))
+    span = lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"))
+
     def added(base: Column, cands: Column) -> Column:
-        free = F.filter(
-            cands,
-            lambda c: (_log_odds(model, c["x"]) >= log(sure / (1 - sure))) & (c["v"][1] == YES) & ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])),
-        )
-        return F.transform(free, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
+        return F.when(F.exists(cands, sure_of), apart(base, F.transform(F.filter(cands, sure_of), span))).otherwise(F.slice(base, 1, 0))
 
     everything = F.sort_array(F.concat("base", added(F.col("base"), F.col("cands"))))
     return found.select("doc_id", "base", everything.alias("spans"))

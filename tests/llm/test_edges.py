@@ -90,6 +90,102 @@ def test_pii_spans(plain):
     assert [(s["kind"], s["start"], s["end"]) for s in found[None]["base"]] == [(0, 11, 17), (3, 26, 43)]
 
 
+def test_running_sums_and_matches_by_brute_force(spark):
+    import re
+
+    rng = np.random.default_rng(13)
+    arrays = [[], [5], rng.integers(-50, 50, 64).tolist(), rng.integers(-50, 50, 65).tolist(), rng.integers(-50, 50, 1000).tolist()]
+    rows = spark.createDataFrame([(i, a) for i, a in enumerate(arrays)], "i int, a array<int>")
+    got = rows.select("a", pii.running(F.col("a"), pii._plus, F.lit(0)).alias("s"), pii.running(F.col("a"), F.greatest, F.lit(-100)).alias("m")).collect()
+    for r in got:
+        assert r["s"] == np.cumsum(r["a"]).tolist() and r["m"] == np.maximum.accumulate(r["a"]).tolist() if r["a"] else r["s"] == r["m"] == []
+    texts = ["", "12", "é12 a3b" * 70, "".join(rng.choice(list("ab1 é2"), 4_000)), "x" * 50 + "9"]
+    for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", pii.located(F.col("t"), "[0-9]+", True).alias("f")).collect():
+        want = [(m.start(), m.end(), m.group(), r["t"][m.end() : m.end() + 1]) for m in re.finditer("[0-9]+", r["t"])]
+        assert [(x["start"], x["end"], x["m"], x["after"]) for x in r["f"]] == want
+        short = [(x["start"], x["before"]) for x in r["f"]]  # eight matches and gaps before may be fewer characters
+        assert all(r["t"][max(0, a - 40) : a].endswith(b) and (len(b) >= min(a, 16)) for a, b in short)
+
+
+def test_spans_are_kept_apart(spark):
+    rng = np.random.default_rng(14)
+    cases = []
+    for _ in range(30):
+        make = lambda n: [(int(rng.integers(4)), int(a), int(a + rng.integers(1, 12))) for a in rng.integers(0, 400, n)]
+        base = sorted(make(10), key=lambda s: s[1])
+        cases.append((base, make(int(rng.integers(0, 90)))))
+    rows = spark.createDataFrame(cases, "b array<struct<kind: int, start: int, end: int>>, c array<struct<kind: int, start: int, end: int>>")
+    got = rows.select("b", "c", pii.apart(F.col("b"), F.col("c")).alias("k")).collect()
+    for r in got:
+        order = sorted((c["start"], c["kind"], c["end"]) for c in r["c"])
+        want = []
+        for i, (start, kind, end) in enumerate(order):
+            if all(b["end"] <= start or b["start"] >= end for b in r["b"]) and all(e <= start for _, _, e in order[:i]):
+                want.append((kind, start, end))
+        assert sorted(tuple(k) for k in r["k"]) == sorted(want)
+    assert any(r["k"] for r in got)
+
+
+def test_expectation_maximisation_by_brute_force(spark):
+    """The SQL expression against plain numpy, and against what the labelers were made to be."""
+    rng = np.random.default_rng(15)
+    n, good = 20_000, np.array([0.95, 0.9, 0.6, 0.75, 0.55])
+    true = rng.random(n) < 0.3
+    right, silent = rng.random((n, 5)) < good, rng.random((n, 5)) < 0.2
+    votes = np.where(silent, 0, np.where(true[:, None] == right, 1, 2))
+    marks = np.where(rng.random((n, 6)) < 0.85, true[:, None], ~true[:, None]).astype(int)
+    patterns, counts = np.unique(np.concatenate([votes, marks], axis=1), axis=0, return_counts=True)
+    hist = [(p[:5].tolist(), p[5:].tolist(), int(c)) for p, c in zip(patterns, counts, strict=True)]
+    df = spark.createDataFrame([(hist,)], "h array<struct<v: array<int>, x: array<int>, n: bigint>>")
+    row = df.select(pii.let(F.col("h"), lambda h: pii.let(pii.fitted(h), lambda m: F.struct(m.alias("m"), pii.classifier(h, m).alias("c")))).alias("r")).first()["r"]
+    v, x, c = (np.array([h[k] for h in hist]) for k in range(3))
+    prior, theta = 0.5, [np.tile([0.2, 0.7, 0.1], (5, 1)), np.tile([0.2, 0.2, 0.6], (5, 1))]
+
+    def posterior():
+        odds = np.log(prior / (1 - prior)) + sum(np.log(theta[0][j][v[:, j]]) - np.log(theta[1][j][v[:, j]]) for j in range(5))
+        return 1 / (1 + np.exp(-odds))
+
+    for _ in range(pii.ROUNDS):
+        q = posterior()
+        weights = [c * q, c * (1 - q)]
+        prior = (weights[0].sum() + 0.5) / (c.sum() + 1)
+        theta = [np.array([[(w[v[:, j] == k].sum() + 0.5) / (w.sum() + 1.5) for k in range(3)] for j in range(5)]) for w in weights]
+    assert abs(row["m"]["prior"] - prior) < 1e-9 and np.allclose(row["m"]["yes"], theta[0]) and np.allclose(row["m"]["no"], theta[1])
+    q = posterior()
+    assert np.allclose(row["c"]["yes"], [((c * q)[x[:, j] == 1].sum() + 0.5) / ((c * q).sum() + 1) for j in range(6)])
+    # it finds out how good each labeler is, and does better than counting votes
+    found = np.array(row["m"]["yes"])
+    assert abs(prior - 0.3) < 0.02 and np.allclose(found[:, 1] / (found[:, 1] + found[:, 2]), good, atol=0.04)
+    weigh = lambda v: sum(np.log(theta[0][j][v[:, j]]) - np.log(theta[1][j][v[:, j]]) for j in range(5)) + np.log(prior / (1 - prior)) > 0
+    majority = (votes == 1).sum(axis=1) > (votes == 2).sum(axis=1)
+    assert (weigh(votes) == true).mean() > (majority == true).mean() + 0.02
+
+
+def test_pii_adds_what_context_and_shape_tell(spark):
+    """Spelled-out addresses and numbers without a plus are added, look-alikes are not; without EM they are not told apart."""
+    rows = [(i, f"please call me on (743) 555-{1000 + i} or mail a{i}@b{i}.com today") for i in range(150)]
+    rows += [(1000 + i, f"build version 1.{i}.3.400 of order 555-{i}") for i in range(150)]
+    rows += [(2000, "write to ann (at) example (dot) com now"), (2001, "serial 743 555 8123x"), (2002, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.find(df).collect()}
+    assert all(len(got[i]["spans"]) == 2 and len(got[i]["base"]) == 1 for i in range(150))
+    assert all(not got[1000 + i]["spans"] for i in range(150))
+    assert [tuple(s) for s in got[2000]["spans"]] == [(0, 9, 35)] and not got[2001]["spans"] and not got[2002]["spans"]
+
+
+def test_pii_of_long_texts_takes_linear_time(spark):
+    import time
+
+    def took(n):
+        df = spark.createDataFrame([(1, " ".join(f"name{i}@host{i % 7}.com" for i in range(n)))], "doc_id long, text string")
+        began = time.time()
+        assert len(pii.find(df).first()["base"]) == n
+        return time.time() - began
+
+    took(100)
+    assert took(30_000) < 60
+
+
 def test_suffix_pieces_and_repeats(spark, monkeypatch):
     text = "abcdefghij" * 40 + "é" * 90
     rows = spark.createDataFrame([(1, text), (1, text), (2, text), (3, "a" * 99)], "doc_id long, text string")
