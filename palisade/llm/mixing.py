@@ -7,7 +7,9 @@ distribution at a uniform number hashed from seed and id; so the draw is the sam
 run and machine, and needs no state. A mean above PART is split into equal parts below it,
 whose draws add up (a sum of Poisson variables is one), so no term underflows. Each
 document is exploded by its count, and the copies are dealt by a hash of seed, id and copy
-number and sorted by it: a global shuffle in which a hot source spreads evenly.
+number and sorted by it: a global shuffle in which a hot source spreads evenly. The task that
+a row comes from has a part in where it goes, so rows that share an id, or have none, are
+spread too.
 
 Without given weights a source's weight is its size to the power TEMPERATURE. Given weights
 are scaled to sum to one over the sources that occur; a source that is not named gets none.
@@ -88,7 +90,8 @@ def replicate(
     """The rows of `docs` as often as drawn, globally shuffled, with copy number (from 1) and key.
 
     Rows come in the order of the key inside each partition, and the partition is a hash
-    of the key, so files read one after the other are in random order.
+    of the key and of the task a row comes from, so files read one after the other are in
+    random order.
     """
     if {copy_col, key_col} & set(docs.columns):
         raise ValueError(f"the input already has a column {copy_col} or {key_col}; choose other names")
@@ -103,7 +106,7 @@ def replicate(
     copies = counted.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__n"))).alias(copy_col))
     digest = F.md5(F.concat_ws(":", F.lit(f"order-{seed}"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col(copy_col)))
     keyed = copies.withColumn(key_col, F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"))
-    return keyed.repartition(key_col).sortWithinPartitions(key_col)
+    return keyed.withColumn("__from", F.spark_partition_id()).repartition(key_col, "__from").drop("__from").sortWithinPartitions(key_col)
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
