@@ -217,8 +217,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
                 )
 
     spark = docs.sparkSession
-    sorted_docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    sorted_docs.mapInArrow(encode, "doc_id long, n_tokens long, start_in_part long, part int, ids array<int>").write.options(**WRITER).parquet(f"{path}/tokens")
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.spark_partition_id().alias("from"))
+    # the task that a row comes from deals rows with one id, or none, over several ranges
+    sorted_docs = slim.repartitionByRange("doc_id", "from").sortWithinPartitions("doc_id", "from")
+    sorted_docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, n_tokens long, start_in_part long, part int, ids array<int>").write.options(**WRITER).parquet(f"{path}/tokens")
     totals = spark.read.parquet(f"{path}/tokens").groupBy("part").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("n_docs"))
     # one row for each part, not for each document
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
