@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import os
 import uuid
 from collections.abc import Callable
 from pathlib import Path
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,19 +43,43 @@ def ascii_lower(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where none is set."""
+    """The folder that all executors share; a local one only on one machine, and where none is set."""
     context = spark.sparkContext
     where = spark.conf.get(CHECKPOINT_KEY, None) or context.getConf().get(CHECKPOINT_KEY)
     if not where:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
         where = "/tmp/palisade-checkpoints"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(where)
     return where
 
 
+_left: set[str] = set()
+
+
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder for a table that is written and read again."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new path in the shared folder for a table that is written and read again.
+
+    What is still there when the driver ends is deleted then: results that read it are lazy,
+    so it cannot go before.
+    """
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _left.add(path)
+    return path
+
+
+@atexit.register
+def _clear() -> None:
+    while _left:
+        _delete(_left.pop())
+
+
+def _delete(path: str) -> None:
+    jvm, active = SparkContext._gateway.jvm, SparkContext._active_spark_context
+    conf = active._jsc.hadoopConfiguration() if active else jvm.org.apache.hadoop.conf.Configuration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(conf).delete(where, True)
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -75,9 +101,8 @@ def settled_at(df: DataFrame) -> tuple[DataFrame, str]:
 
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a scratch table through Spark's own file systems."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _delete(path)
+    _left.discard(path)
 
 
 def release(spark: SparkSession) -> None:
