@@ -294,18 +294,21 @@ class Trainer:
             norm = np.sqrt(sum(float(np.vdot(g, g)) for _, _, g in grads))
             shrink = np.float32(min(1.0, 1.0 / (norm + 1e-9)))
             for name, rows, g in grads:
-                self._update(name, rows, g * shrink)
+                if shrink < 1:
+                    g *= shrink
+                self._update(name, rows, g)
             self.losses.append(loss)
         self.tokens += int(counted.sum())
 
     def _update(self, name: str, rows: np.ndarray | None, g: np.ndarray) -> None:
         weights, seen = self.weights[name], self.seen[name]
         now = g * g
-        now += seen if rows is None else seen[rows]
+        now += seen if rows is None else seen.take(rows, axis=0)
         g *= self.rate
+        g /= np.sqrt(now)
         if rows is None:
             self.seen[name] = now
-            weights -= g / np.sqrt(now)
+            weights -= g
         else:  # rows are distinct
             seen[rows] = now
-            weights[rows] -= g / np.sqrt(now)
+            weights[rows] = weights.take(rows, axis=0) - g
