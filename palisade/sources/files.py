@@ -4,20 +4,24 @@ from __future__ import annotations
 
 import email
 import email.policy
+import io
 import json
 import os
 import re
+import tarfile
 import tomllib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, fields, replace
 from email.utils import getaddresses, parsedate_to_datetime
 from pathlib import Path
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.functions import text as T
+from palisade.operators import ingest
 from palisade.operators.acl import Grant, Group
 
 MAIL = "struct<message_id: string, date: string, sender: string, recipients: struct<to: array<string>, cc: array<string>, bcc: array<string>>, subject: string, raw_body: string, error: string>"
@@ -42,6 +46,53 @@ def scan(spark: SparkSession, root: str, mailboxes: Iterable[str] | None = None)
     return files.select("path", mailbox.alias("mailbox"), F.regexp_replace(F.regexp_extract(below, r"^[^/]*/(.*)/[^/]*$", 1), "/+$", "").alias("folder"), "content")
 
 
+def fetch(opened: Callable[[], io.BufferedIOBase], archive: str, chunk: int = 1 << 20) -> str:
+    """Copy an archive from anything that can be opened, unless it is there; a broken copy leaves nothing."""
+    there = Path(archive)
+    if not there.exists():
+        there.parent.mkdir(parents=True, exist_ok=True)
+        partial = there.with_name(there.name + ".part")
+        with opened() as source, partial.open("wb") as out:
+            while block := source.read(chunk):
+                out.write(block)
+        partial.rename(there)
+    return str(there)
+
+
+def _members(tar: tarfile.TarFile, mailboxes: Iterable[str] | None, top: str) -> Iterator[tarfile.TarInfo]:
+    wanted = (f"{top}/",) if mailboxes is None else tuple(f"{top}/{m}/" for m in mailboxes)
+    for member in tar:
+        if member.isfile() and member.name.removeprefix("./").startswith(wanted):
+            yield member
+
+
+def unpack(archive: str, dest: str, mailboxes: Iterable[str] | None = None, top: str = "maildir") -> int:
+    """Extract the mails of some mailboxes; members that would land outside `dest` are refused. How many there were."""
+    n, wanted = 0, None if mailboxes is None else list(mailboxes)
+    with tarfile.open(archive) as tar:
+        for member in _members(tar, wanted, top):
+            tar.extract(member, dest, filter="data")
+            n += 1
+    return n
+
+
+def scan_archives(spark: SparkSession, path: str, mailboxes: Iterable[str] | None = None, top: str = "maildir") -> DataFrame:
+    """The rows of `scan` straight from tar archives, a task for each, without unpacking them to a disk."""
+    wanted = None if mailboxes is None else sorted(mailboxes)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with tarfile.open(fileobj=io.BytesIO(content)) as tar:
+                    for member in _members(tar, wanted, top):
+                        at = member.name.removeprefix("./").removeprefix(f"{top}/")
+                        mailbox, _, rest = at.partition("/")
+                        yield pa.RecordBatch.from_pydict({"path": [f"{name}/{at}"], "mailbox": [mailbox], "folder": [rest.rpartition("/")[0]], "content": [tar.extractfile(member).read()]}, schema=schema)
+
+    schema = pa.schema([("path", pa.string()), ("mailbox", pa.string()), ("folder", pa.string()), ("content", pa.binary())])
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(read, "path string, mailbox string, folder string, content binary")
+
+
 def _addresses(value: object) -> list[str]:
     found = []
     for _, a in getaddresses([re.sub(r"\s+", " ", str(value))]) if value is not None else []:
@@ -101,6 +152,21 @@ def mails(parsed: DataFrame) -> DataFrame:
     return usable.withColumn("content_key", key).withColumn("ingest_ord", F.struct("mailbox", "path"))
 
 
+def corpus(parsed: DataFrame, owners: DataFrame, max_emails: int | None = None) -> DataFrame:
+    """Distinct mails of parsed files with their ids, in the order of their dates.
+
+    owners(mailbox, owner). Copies are merged; with a bound only the first distinct mails in
+    the order of mailbox and path are taken. Dates are compared as text, an empty one first.
+    """
+    rows = mails(parsed).join(owners, "mailbox")
+    kept = ("content_key", "ingest_ord", "message_id", "date", "sender", "recipients", "subject", "body", "owner")
+    merged = ingest.merge_copies(rows.select(*kept, F.concat_ws("/", "mailbox", "folder").alias("folder")))
+    if max_emails is not None:
+        merged = merged.orderBy("ingest_ord").limit(max_emails)
+    named = ingest.message_ids(merged)
+    return ingest.numbered(named, "id", "date", "ingest_ord")
+
+
 class GroupConfigError(ValueError):
     pass
 
@@ -211,6 +277,8 @@ class Settings:
     router_threshold: float = 0.5
     small_model: str = "small"
     large_model: str = "large"
+    judge_model: str = "judge"
+    groups_path: str = "config/groups.toml"
     max_words: int = 180
     overlap_words: int = 25
 
@@ -223,7 +291,17 @@ class Settings:
         source, given = os.environ if env is None else env, {}
         for f in fields(cls):
             raw = source.get(prefix + f.name.upper())
-            if raw is not None:
+            if raw:  # an empty value is none
                 kind = type(f.default)
                 given[f.name] = raw.strip().lower() in ("1", "true", "yes", "on") if kind is bool else kind(raw)
         return cls(**given)
+
+    @classmethod
+    def load(cls, path: str = ".env", env: dict[str, str] | None = None, prefix: str = "PALISADE_") -> Settings:
+        """From a file of NAME=value lines and the environment, which wins."""
+        there, found = Path(path), {}
+        for line in there.read_text("utf-8").splitlines() if there.exists() else []:
+            name, sign, value = line.strip().removeprefix("export ").partition("=")
+            if sign and not name.startswith("#"):
+                found[name.strip()] = value.strip().strip("'\"")
+        return cls.from_env({**found, **(os.environ if env is None else env)}, prefix)

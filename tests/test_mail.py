@@ -172,3 +172,47 @@ def test_questions_settings_report(spark, tmp_path):
     assert files.Settings.from_env({"PALISADE_USE_GRAPH": "no", "PALISADE_TOP_K": "3"}).top_k == 3
     text, data = files.report("Title", spark.createDataFrame([(0.5, 12345.6)], "a double, b double"))
     assert "| 0.500 | 12,346 |" in text and '"a": 0.5' in data
+
+
+def test_archives(spark, root, tmp_path):
+    import tarfile
+
+    made = tmp_path / "mail.tar.gz"
+    with tarfile.open(made, "w:gz") as tar:
+        tar.add(root, "maildir")
+    archive = files.fetch(lambda: made.open("rb"), str(tmp_path / "copies" / "mail.tar.gz"))
+    assert files.fetch(lambda: (_ for _ in ()).throw(OSError), archive) == archive  # it is there
+    with pytest.raises(OSError):
+        files.fetch(lambda: open("/nowhere", "rb"), str(tmp_path / "other.tar.gz"))
+    assert not (tmp_path / "other.tar.gz").exists()
+    assert files.unpack(archive, str(tmp_path / "out"), ["lay-k"]) == 3 and files.unpack(archive, str(tmp_path / "all")) == len(MAILS)
+    straight = {(r["mailbox"], r["folder"], bytes(r["content"])) for r in files.scan_archives(spark, archive).collect()}
+    assert straight == {(r["mailbox"], r["folder"], bytes(r["content"])) for r in files.scan(spark, root).collect()}
+    assert {r["mailbox"] for r in files.scan_archives(spark, archive, ["lay-k", "nobody"]).collect()} == {"lay-k"}
+
+
+def test_corpus_in_the_order_of_dates(spark, root):
+    owners = spark.createDataFrame([("lay-k", "kenneth.lay@enron.com"), ("skilling-j", "jeff.skilling@enron.com")], "mailbox string, owner string")
+    parsed = files.parse(files.scan(spark, root))
+    whole = files.corpus(parsed, owners).orderBy("id").collect()
+    assert [r["id"] for r in whole] == [1, 2, 3, 4, 5] and whole[0]["date"] == "" and whole[1]["owners"] == ["jeff.skilling@enron.com", "kenneth.lay@enron.com"]
+    assert [r["subject"] for r in files.corpus(parsed, owners, 2).orderBy("id").collect()] == ["Raptor", "Lunch"]
+
+
+def test_numbers_over_ranges(spark):
+    rows = spark.createDataFrame([(i * 7 % 101, i) for i in range(500)], "k int, v int").repartition(7)
+    got = [(r["k"], r["v"]) for r in ingest.numbered(rows, "n", "k", "v").orderBy("n").collect()]
+    assert got == sorted((i * 7 % 101, i) for i in range(500)) and ingest.numbered(rows.limit(0), "n", "k").count() == 0
+
+
+def test_message_ids_are_used_once(spark):
+    rows = spark.createDataFrame([(1, "a", "x"), (2, "a", "y"), (3, "", "z"), (4, None, "w"), (5, "b", "v")], "ingest_ord int, message_id string, content_key string")
+    got = {r["ingest_ord"]: r["message_id"] for r in ingest.message_ids(rows).collect()}
+    assert got == {1: "a", 2: "y@palisade.local", 3: "z@palisade.local", 4: "w@palisade.local", 5: "b"}
+
+
+def test_settings_of_a_file(tmp_path):
+    (tmp_path / ".env").write_text("# comment\nPALISADE_TOP_K=5\nexport PALISADE_CACHE_MODE='global'\nPALISADE_USE_GRAPH=no\nPALISADE_CANDIDATE_K=\n")
+    s = files.Settings.load(str(tmp_path / ".env"), {"PALISADE_TOP_K": "6"})
+    assert (s.top_k, s.cache_mode, s.use_graph, s.candidate_k) == (6, "global", False, 50)
+    assert files.Settings.load(str(tmp_path / "none"), {}) == files.Settings() and s.with_overrides(top_k=None) == s
