@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import html
 import re
+import string
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -78,10 +79,11 @@ OUTER = frozenset("article main body html".split())
 MUCH_MORE = 4
 
 _OPEN = re.compile(r"<(?:!--|(/?)([a-zA-Z][^\s/>]*)|[!?])")
-_REST = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>")
+_REST = re.compile(r"(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Za-z][a-z]*")
-_EDGES = re.compile(r"^\W+|\W+$")
+#: Signs that may stand at the edge of a word.
+_SIGNS = string.punctuation + "“”„‘’«»‹›¿¡…–—"
 
 
 @dataclass
@@ -277,8 +279,8 @@ def cut(source: str) -> list[Block]:
 
 
 def stop_density(text: str) -> float:
-    words = text.split()
-    return sum(_EDGES.sub("", w).lower() in STOP_WORDS for w in words) / len(words) if words else 0.0
+    words = text.lower().split()
+    return sum(w in STOP_WORDS or w.strip(_SIGNS) in STOP_WORDS for w in words) / len(words) if words else 0.0
 
 
 def classify(blocks: list[Block]) -> None:

@@ -296,6 +296,21 @@ def test_hot_bands_keep_every_pair(spark):
     assert dealt == whole and len(set(whole.values())) < len(texts)
 
 
+def test_candidates_at_the_threshold():
+    """Of thousands of pairs of sets with a similarity of just 0.8 nearly all share a band and are within the radius."""
+    rng = np.random.default_rng(16)
+    radius, found = simhash.radius_at(simhash.SIMILARITY), []
+    for _ in range(2_000):
+        n = int(rng.integers(3, 40))  # 10 n in both, n in each alone: 10 n of 12 n, less what brings it to 0.8
+        both, alone = 8 * n, n
+        items = rng.integers(0, 2**64, both + 2 * alone, dtype=np.uint64)
+        a, b = (np.unique(np.concatenate([items[:both], part])) for part in (items[both : both + alone], items[both + alone :]))
+        assert len(np.intersect1d(a, b)) == 0.8 * len(np.union1d(a, b))
+        (fa, ka), (fb, kb) = simhash.sketch(a), simhash.sketch(b)
+        found.append(bool((ka == kb).any()) and int(np.bitwise_count(fa ^ fb).sum()) <= radius)
+    assert np.mean(found) >= 0.99
+
+
 def test_near_links_are_exact(spark):
     """Pairs on both sides of the similarity, by brute force over sets of five words."""
     rng = np.random.default_rng(8)
