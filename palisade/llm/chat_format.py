@@ -1,8 +1,11 @@
 """Conversations formatted by a compiled template, with a loss mask, and read back.
 
 Turns are ordered by turn, role and text; ties and repeated rows keep a place each. A
-conversation is cut into stretches of PIECE turn numbers that are formatted apart, so one
-that holds a third of all rows is spread over many tasks; only the stretches' results meet.
+conversation is cut into stretches of PIECE turns that are formatted apart, so one that holds
+a third of all rows is spread over many tasks, whatever their turn numbers; only the
+stretches' results meet. To number turns without gathering a conversation, repeated rows are
+counted first, rows are dealt into ranges of their order and numbered inside each, and the
+sizes of a conversation's part in the ranges before are added.
 
 Defined results: a null text or role is empty; null turns come first; rows with a null
 conv_id are one conversation. A conversation of repeated rows keeps them all. An empty
@@ -24,7 +27,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palisade.llm.chat_template import Template
+from palisade.llm.common import settled
 
+#: Turns of a stretch.
 PIECE = 256
 
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "[SYS]", "[/SYS]", "[ROLE]", "[TEXT]", "[/ROLE]")
@@ -77,17 +82,39 @@ def parse(text: str) -> list[tuple[str, str]]:
     return out
 
 
+#: So many characters of a text take part in dealing rows into ranges.
+_HEAD = 32
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, text, n, begin, total): distinct rows, how often they occur, how many turns come before, and there are."""
+    order = ["turn", "role", "text"]
+    filled = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    distinct = filled.groupBy("conv_id", *order).agg(F.count("*").alias("n"))
+    ranged = distinct.withColumn("head", F.substring("text", 1, _HEAD)).repartitionByRange("conv_id", "turn", "role", "head")
+    parts = settled(ranged.drop("head").withColumn("part", F.spark_partition_id()))
+    # a row for each range that has some of a conversation
+    sizes = parts.groupBy(F.col("conv_id").alias("of_conv"), F.col("part").alias("of_part")).agg(F.sum("n").alias("n_part"))
+    w = Window.partitionBy("of_conv").orderBy("of_part")
+    before = F.coalesce(F.sum("n_part").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = F.sum("n_part").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    sizes = sizes.select("of_conv", "of_part", before.alias("before"), total.alias("total"))
+    inside = Window.partitionBy("conv_id", "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = parts.withColumn("begin", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    met = placed.join(sizes, F.col("conv_id").eqNullSafe(F.col("of_conv")) & (F.col("part") == F.col("of_part")))
+    return met.select("conv_id", *order, "n", (F.col("begin") + F.col("before")).alias("begin"), "total")
+
+
 def _stretches(rows: DataFrame, piece: int) -> DataFrame:
     """(conv_id, piece, messages, first, total) with the messages of a stretch in order."""
-    turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    number = F.coalesce(F.floor(F.col("turn") / piece).cast("long"), F.lit(-(2**62)))
-    cut = rows.select("conv_id", number.alias("piece"), turn.alias("m")).groupBy("conv_id", "piece").agg(F.sort_array(F.collect_list("m")).alias("messages"))
-    # one row for each stretch, not for each turn
-    w = Window.partitionBy("conv_id").orderBy("piece")
-    n = F.size("messages").cast("long")
-    before = F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return cut.select("conv_id", "piece", "messages", before.alias("first"), total.alias("total"))
+    size = F.lit(piece).cast("long")
+    last = F.col("begin") + F.col("n") - 1
+    div = lambda x: F.floor(x / size).cast("long") if piece < 2**32 else F.lit(0).cast("long")
+    cut = _numbered(rows).withColumn("piece", F.explode(F.sequence(div(F.col("begin")), div(last))))
+    copies = (F.least(last + 1, (F.col("piece") + 1) * size) - F.greatest("begin", F.col("piece") * size)).cast("int")
+    lists = cut.groupBy("conv_id", "piece").agg(F.sort_array(F.collect_list(F.struct(F.struct("turn", "role", "text").alias("m"), copies.alias("k")))).alias("messages"), F.max("total").alias("total"))
+    messages = F.flatten(F.transform("messages", lambda x: F.array_repeat(x["m"], x["k"])))
+    return lists.select("conv_id", "piece", messages.alias("messages"), (F.col("piece") * size).alias("first"), "total")
 
 
 def formatted(rows: DataFrame, template: str = TEMPLATE, piece: int = PIECE, values: dict[str, Any] | None = None) -> DataFrame:
@@ -98,7 +125,7 @@ def formatted(rows: DataFrame, template: str = TEMPLATE, piece: int = PIECE, val
     """
     given = {"add_generation_prompt": False, **(values or {})}
     whole = not Template(template, escape).in_pieces
-    cut = _stretches(rows, 2**62 if whole else piece)
+    cut = _stretches(rows, 2**40 if whole else piece)
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = Template(template, escape)

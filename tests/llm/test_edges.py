@@ -552,6 +552,20 @@ def test_conversations_in_pieces(spark):
     assert upper.first()["text"] == "1"
 
 
+def test_turns_that_share_a_number_are_cut_too(spark):
+    """Rows of one conversation with one turn number, or none, many of them the same, in stretches of a few turns."""
+    rng = np.random.default_rng(17)
+    rows = [(1, int(rng.integers(3)), "user", f"t{rng.integers(40)} {'x' * 40}{rng.integers(3)}") for _ in range(300)] + [(2, None, None, "same")] * 90 + [(None, 4, "assistant", "a")] * 7
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(6)
+    pieces = chat_format.formatted(df, piece=8).collect()
+    assert max(len(chat_format.parse(r["text"])) for r in pieces) == 8 and len(pieces) == 38 + 12 + 1
+    want = {}
+    for conv, turn, role, text in sorted(rows, key=lambda r: (r[0] or 0, r[1] if r[1] is not None else -1, r[2] or "", r[3].encode())):
+        want.setdefault(conv, []).append((role or "", text))
+    got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"]) for r in chat_format.digests(chat_format.formatted(df, piece=8)).collect()}
+    assert got == {c: (len(ts), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in ts).encode()).hexdigest()) for c, ts in want.items()}
+
+
 # pages
 
 GOOD = "The cat of the house and the dog of the yard are in the sun of the day. " * 4
