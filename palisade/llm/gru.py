@@ -202,12 +202,22 @@ def _row_sums(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _gradients(weights: Weights, state: np.ndarray, inputs: np.ndarray, targets: np.ndarray, counted: np.ndarray) -> tuple[Gradients, np.ndarray, float]:
-    """Gradients of the mean loss of one window, the state behind it, and the loss."""
+def _gradients(weights: Weights, state: np.ndarray, inputs: np.ndarray, targets: np.ndarray, counted: np.ndarray) -> tuple[Weights, np.ndarray, float]:
+    """`touched` with gradients of all weights."""
+    found, state, loss = touched(weights, state, inputs, targets, counted)
+    whole = {k: np.zeros_like(v) for k, v in weights.items()}
+    for name, rows, g in found:
+        whole[name][... if rows is None else rows] = g
+    return whole, state, loss
+
+
+def touched(weights: Weights, state: np.ndarray, inputs: np.ndarray, targets: np.ndarray, counted: np.ndarray) -> tuple[Gradients, np.ndarray, float]:
+    """Gradients of the mean loss of one window for the weights that it touches, the state behind it, and the loss."""
     h, (steps, lanes), kind = HIDDEN, inputs.shape, weights["u"].dtype
     fresh = (inputs != 0).astype(kind)[:, :, None]  # a text starts from nothing
-    used, places = np.unique(inputs, return_inverse=True)  # only the rows of this window's inputs are looked at
-    places = places.reshape(inputs.shape)
+    here = np.zeros(len(weights["x"]), bool)  # only the rows of this window's inputs are looked at
+    here[inputs] = True
+    used, places = np.nonzero(here)[0], (np.cumsum(here) - 1)[inputs]
     cell = Cell({"x": weights["x"][used], "u": weights["u"]})
     before, states = np.empty((steps, lanes, h), kind), np.empty((steps, lanes, h), kind)
     (gates, new), back = cell.inputs(places), np.empty((steps, lanes, h), kind)
@@ -250,23 +260,23 @@ def _gradients(weights: Weights, state: np.ndarray, inputs: np.ndarray, targets:
     rest = 1 - z
     to_z, to_r, to_new = (before - new) * z * rest, back * r * (1 - r), rest * (1 - new * new)
     d_state = np.zeros((lanes, h), kind)
-    d_all = np.empty((steps, lanes, 4 * h), kind)  # of both gates, of the new state's recurrent and other input
+    d_all = np.empty((steps, lanes, 4 * h), kind)  # of the new state's other input, of both gates, of the new state's recurrent input
     back_u = np.ascontiguousarray(weights["u"].T)
     for t in range(steps - 1, -1, -1):
         g, da = d_states[t], d_all[t]
         g += d_state
-        np.multiply(g, to_z[t], out=da[:, :h])
-        dn = g * to_new[t]
-        np.multiply(dn, to_r[t], out=da[:, h : 2 * h])
-        np.multiply(dn, r[t], out=da[:, 2 * h : 3 * h])
-        da[:, 3 * h :] = dn
-        d_state = da[:, : 3 * h] @ back_u
+        dn = da[:, :h]
+        np.multiply(g, to_new[t], out=dn)
+        np.multiply(g, to_z[t], out=da[:, h : 2 * h])
+        np.multiply(dn, to_r[t], out=da[:, 2 * h : 3 * h])
+        np.multiply(dn, r[t], out=da[:, 3 * h :])
+        d_state = da[:, h:] @ back_u
         d_state += g * z[t]
         d_state *= fresh[t]
     d_all = d_all.reshape(-1, 4 * h)
-    found.append(("u", None, before.reshape(-1, h).T @ d_all[:, : 3 * h]))
-    sums = _row_sums(places.reshape(-1), d_all, len(used))
-    found.append(("x", used, np.concatenate([sums[:, : 2 * h], sums[:, 3 * h :]], axis=1)))
+    found.append(("u", None, before.reshape(-1, h).T @ d_all[:, h:]))
+    sums = _row_sums(places.reshape(-1), d_all[:, : 3 * h], len(used))
+    found.append(("x", used, np.concatenate([sums[:, h:], sums[:, :h]], axis=1)))
     return found, state, loss
 
 
@@ -290,7 +300,7 @@ class Trainer:
         inputs, targets, counted = (np.ascontiguousarray(np.concatenate([x, np.zeros(room, x.dtype)]).reshape(lanes, -1).T) for x in (inputs, targets, counted))
         state = np.zeros((lanes, HIDDEN), np.float32)
         for t in range(0, len(inputs), WINDOW):
-            grads, state, loss = _gradients(self.weights, state, inputs[t : t + WINDOW], targets[t : t + WINDOW], counted[t : t + WINDOW])
+            grads, state, loss = touched(self.weights, state, inputs[t : t + WINDOW], targets[t : t + WINDOW], counted[t : t + WINDOW])
             norm = np.sqrt(sum(float(np.vdot(g, g)) for _, _, g in grads))
             shrink = np.float32(min(1.0, 1.0 / (norm + 1e-9)))
             for name, rows, g in grads:

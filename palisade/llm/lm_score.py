@@ -4,8 +4,8 @@ Texts are lower-cased (A to Z), cut into words at blanks, and end with one end t
 is held out if the crc32 of its id, written as text, leaves HELD_OUT modulo FOLDS.
 
 1. Counts. Each task counts the words of the training texts it reads, by a 64-bit hash of the
-   word, and a shuffle adds the counts up. The table stays distributed; only its HEAD most
-   frequent words come to the driver, a fixed number.
+   word, and a shuffle adds the counts up. The table stays distributed; only about HEAD of its
+   most frequent words come to the driver, never more.
 2. Ids. The VOCABULARY most frequent words are the model's ids, all others share one. Texts
    are read and cut once more; a table keeps two bytes for each token and what the scores
    need of words beyond the vocabulary: counts of HEAD words are sent along, all rarer words
@@ -36,7 +36,7 @@ from math import log
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palisade.llm import gru
@@ -121,6 +121,25 @@ def count_words(train: DataFrame) -> DataFrame:
     return train.mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
+def frequent(table: DataFrame, most: int) -> list[tuple[int, int]]:
+    """(h, c) of the most frequent words of table(h, c), by falling count; about `most`, never more.
+
+    How many words have each count tells which counts are in as a whole; only their words, and a
+    share by hash of those with the next count, come to the driver. A bounded sort would send it
+    `most` rows of every partition.
+    """
+    sizes = table.groupBy("c").agg(F.count("*").alias("n"))  # a row for each count that occurs
+    ranked = sizes.withColumn("upto", F.sum("n").over(Window.orderBy(F.desc("c"))))
+    within, beyond = F.col("upto") <= most, F.col("upto") > most
+    row = ranked.agg(F.min(F.when(within, F.col("c"))).alias("least"), F.max(F.when(within, F.col("upto"))).alias("whole"), F.max(F.when(beyond, F.struct("c", "n"))).alias("next")).first()
+    wanted = F.col("c") >= row["least"] if row["least"] is not None else F.lit(False)
+    rest = most - (row["whole"] or 0)
+    if row["next"] is not None and rest:
+        wanted = wanted | ((F.col("c") == row["next"]["c"]) & (F.col("h") < int(-(2**63) + 2**64 * min(1.0, rest / row["next"]["n"]))))
+    found = sorted(((r["h"], r["c"]) for r in table.filter(wanted).collect()), key=lambda x: (-x[1], x[0]))
+    return found[:most]
+
+
 # the model that is sent to tasks
 
 
@@ -299,8 +318,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("held_out", is_held_out(F.col("doc_id")))
     table = settled(count_words(slim.filter(~F.col("held_out")).select("text")))
     whole = table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("h") == int(END), F.col("c"))), F.lit(0))).first()
-    head = table.filter(F.col("h") != int(END)).orderBy(F.desc("c"), "h").limit(HEAD).collect()
-    model = Model([(r["h"], r["c"]) for r in head], whole[0], whole[1], whole[2])
+    model = Model(frequent(table.filter(F.col("h") != int(END)), HEAD), whole[0], whole[1], whole[2])
     sliced = slim.withColumn("slice", F.coalesce(F.floor(_crc(F.col("doc_id")) / FOLDS) % ROUNDS, F.lit(0)))
     texts = settled(encoded(sliced, model).withColumn("row", F.monotonically_increasing_id()))
     release(spark)

@@ -266,6 +266,20 @@ def test_near_copies_of_long_texts(spark):
     assert {r["doc_id"] for r in simhash.deduplicated(rows).collect()} == {3, 9, 11}
 
 
+def test_frequent_words(spark):
+    rng = np.random.default_rng(18)
+    hashes = np.unique(rng.integers(-(2**63), 2**63, 3_000))
+    counts = np.where(np.arange(len(hashes)) < 100, 1000 - np.arange(len(hashes)), rng.integers(1, 4, len(hashes)))
+    table = spark.createDataFrame([(int(h), int(c)) for h, c in zip(hashes, counts, strict=True)], "h long, c long").repartition(5)
+    ranked = sorted(zip(hashes.tolist(), counts.tolist(), strict=True), key=lambda x: (-x[1], x[0]))
+    for most in (50, 100, 3_000, 9_999):
+        assert lm_score.frequent(table, most) == ranked[:most]
+    some = lm_score.frequent(table, 600)  # cuts through words with one count
+    assert 500 < len(some) <= 600 and some == ranked[: len(some)]
+    same = table.withColumn("c", F.lit(1).cast("long"))
+    assert 850 < len(lm_score.frequent(same, 1_000)) <= 1_000 and lm_score.frequent(same.limit(0), 10) == []
+
+
 def test_every_training_text_is_learnt_from(spark):
     """Texts of any slice that score() deals change the weights."""
     texts = spark.createDataFrame([("alpha beta gamma delta " * 40,)], "text string")
