@@ -590,7 +590,30 @@ def cache_hits(spark, sf_dir):
     return cache.hit_counts(R.audit(spark, sf_dir))
 
 
-@query()
+_TOKEN = cache.TOKEN.replace("'", "''")
+_PLAIN = "replace(lower(regexp_replace({x}, '^[.,''-]+|[.,''-]+$', '', 'g')), ',', '')"
+_FORMS = f"list_concat(list_transform(regexp_extract_all(text, '{_TOKEN}'), lambda x: {_PLAIN.format(x='x')}), regexp_extract_all(lower(text), '[a-z0-9]+'))"
+_FOURS = f"""SELECT DISTINCT doc_id, id, array_to_string(ws[i:i + 3], ' ') AS g FROM (SELECT doc_id, id, ws, unnest(range(1, len(ws) - 2)) AS i FROM
+  (SELECT doc_id, id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: NOT list_contains([{_COMMON}], w)) AS ws FROM {{table}}) WHERE len(ws) >= 4)"""
+
+
+@query(
+    _with(
+        "d AS (SELECT doc_id, coalesce(text, '') AS answer FROM documents)",
+        "c AS (SELECT doc_id, doc_id * 10000 + i - 1 AS id, i, trim(line) AS text FROM (SELECT doc_id, unnest(string_split(answer, chr(10))) AS line, generate_subscripts(string_split(answer, chr(10)), 1) AS i FROM d) WHERE trim(line) <> '')",
+        "ends AS (SELECT doc_id, min(id) AS cited, max(id) AS asked FROM c GROUP BY doc_id)",
+        f"forms AS (SELECT DISTINCT doc_id, id, unnest({_FORMS}) AS t FROM c)",
+        f"sentences AS (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(answer, '{cache.CITATION}', ' ', 'g'), '([.!?:\\n])[{_SPACE}]+', '\\1' || chr(1), 'g'), chr(1))) AS s FROM d)",
+        f"telling AS (SELECT DISTINCT doc_id, unnest(list_transform(list_filter(list_zip(ws, range(1, len(ws) + 1)), lambda z: regexp_matches(z[1], '[0-9]|^[A-Z]{{2,}}$') OR (z[2] > 1 AND regexp_matches(z[1], '^[A-Z]'))), lambda z: {_PLAIN.format(x='z[1]')})) AS t FROM (SELECT doc_id, regexp_extract_all(s, '{_TOKEN}') AS ws FROM sentences))",
+        f"novel AS (SELECT doc_id, t FROM telling WHERE t <> '' AND NOT list_contains([{_COMMON}, {', '.join(chr(39) + w.replace(chr(39), chr(39) * 2) + chr(39) for w in fixed.ANSWER_STOP_WORDS)}], t) AND (doc_id, t) NOT IN (SELECT doc_id, t FROM forms JOIN ends USING (doc_id) WHERE id IN (cited, asked)))",
+        "whole AS (SELECT doc_id, doc_id AS id, regexp_replace(answer, '" + cache.CITATION + "', ' ', 'g') AS text FROM d)",
+        f"said AS ({_FOURS.format(table='whole')})",
+        f"fours AS ({_FOURS.format(table='c')})",
+        "runs AS (SELECT doc_id, g FROM said WHERE (doc_id, g) NOT IN (SELECT doc_id, g FROM fours JOIN ends USING (doc_id) WHERE id = cited))",
+        "deps AS (SELECT doc_id, cited AS id FROM ends UNION SELECT doc_id, id FROM forms JOIN novel USING (doc_id, t) UNION SELECT doc_id, id FROM fours JOIN runs USING (doc_id, g))",
+    )
+    + "SELECT d.doc_id, coalesce(string_agg(CAST(id AS VARCHAR), ',' ORDER BY id), '') AS deps FROM d LEFT JOIN deps ON deps.doc_id = d.doc_id GROUP BY d.doc_id"
+)
 def answer_dependencies(spark, sf_dir):
     # the answer is the whole text and the context all its lines; the first is cited, the last asks
     docs = R.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("answer"))
