@@ -18,12 +18,14 @@ Null ids sort first. Other columns are ignored.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,6 +41,8 @@ PAGE_ROWS = 2_000
 #: occur, and if they become more than MISSES of all, it starts afresh.
 MEMO_WORDS = 1_000_000
 MISSES = 0.15
+#: Words that are encoded in one call.
+TOGETHER = 8_192
 TOKENIZER = "word_bpe_49k.json"
 
 WRITER = {
@@ -71,6 +75,7 @@ class WordEncoder:
     def __init__(self, path: str, memo_words: int = MEMO_WORDS):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = False
         self.memo_words = memo_words
@@ -103,10 +108,13 @@ class WordEncoder:
 
     def _coded(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of some words and how many each has, from the library."""
-        words = [raw[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        coded = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-        return np.fromiter(chain.from_iterable(coded), np.int32, int(sizes.sum())), sizes
+        ids, sizes = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+        for at in range(0, len(starts), TOGETHER):  # what the library returns is many times larger than ids
+            words = [raw[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(starts[at : at + TOGETHER].tolist(), ends[at : at + TOGETHER].tolist(), strict=True)]
+            coded = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, coded), np.int64, len(coded)))
+            ids.append(np.fromiter(chain.from_iterable(coded), np.int32, int(sizes[-1].sum())))
+        return np.concatenate(ids), np.concatenate(sizes)
 
     def _numbered(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Numbers for words that are encoded now."""
@@ -182,13 +190,13 @@ def word_encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def _slices(texts: list[str], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def _slices(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about `limit` bytes, one row at least."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     at = 0
-    while at < len(texts):
-        end, held = at, 0
-        while end < len(texts) and (end == at or held + len(texts[end]) <= limit):
-            held += len(texts[end])
-            end += 1
+    while at < len(upto):
+        before = upto[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(upto, before + limit, side="right")))
         yield at, end
         at = end
 
@@ -204,9 +212,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, start, part = word_encoder(model), 0, TaskContext.get().partitionId()
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in _slices(texts):
-                ids, lengths = encoder.encode(texts[a:b], end_id)
+            for a, b in _slices(batch.column(1)):
+                ids, lengths = encoder.encode([t or "" for t in batch.column(1).slice(a, b - a).to_pylist()], end_id)
                 starts = start + np.cumsum(lengths) - lengths
                 start += int(lengths.sum())
                 offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
