@@ -65,6 +65,50 @@ def test_clashing_columns_are_ignored_or_kept(odd):
     assert mixing.mixed(odd).columns == odd.columns
 
 
+#: Names that operators give to columns of their own.
+CLASHES = "doc sub pos g s key node first same grams h c row slice ids part n from text_hash rare model base cands f of cuts runs held_out n_tokens copy rate fp component_id keys start lang item_id conv_id turn role html url page_id piece".split()
+
+
+def _rows(df):
+    return sorted((tuple(map(str, r)) for r in df.collect()), key=str)
+
+
+DIGESTS = {
+    "pii": lambda df: pii.find(df),
+    "lm": lambda df: lm_score.score(df).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens"),
+    "suffix": lambda df: suffix_dedup.digests(suffix_dedup.removed(df)),
+    "tokens": lambda df: token_table.round_trip(df).select("doc_id", "n_tokens"),
+    "simhash": lambda df: simhash.groups(df),
+    "near": lambda df: simhash.near_groups(df),
+    "mixing": lambda df: mixing.mixed(df).select("doc_id", "text"),
+    "quality": lambda df: quality_rules.measure(df),
+}
+
+
+@pytest.mark.parametrize("name", sorted(DIGESTS))
+def test_extra_columns_and_ids_with_several_texts(spark, name):
+    """The same rows with columns that clash with the operators' own; one id with two texts, and rows without ids."""
+    rows = [(i % 5 if i % 7 else None, f"the text number {i} mails a{i}@b.com and " + "the same words again " * (i % 4), f"s{i % 2}") for i in range(40)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    odd = plain
+    for k, extra in enumerate(c for c in CLASHES if c not in plain.columns):
+        odd = odd.withColumn(extra, F.lit(k))
+    want, got = _rows(DIGESTS[name](plain)), _rows(DIGESTS[name](odd.repartition(3) if name != "lm" else odd))
+    assert got == want and (name == "mixing" or len(got) == 40)
+
+
+def test_other_tables_with_extra_columns(spark, plain):
+    """Pages, items and conversations beside clashing columns, and empty."""
+    extra = lambda df: df.withColumns({c: F.lit(1) for c in CLASHES if c not in df.columns})
+    pages = spark.createDataFrame([(1, "u", f"<article><p>{GOOD}</p></article>"), (1, None, None), (None, "v", "")], "page_id long, url string, html string")
+    assert _rows(html_blocks.extract(extra(pages))) == _rows(html_blocks.extract(pages)) and html_blocks.extract(pages).count() == 3
+    items = spark.createDataFrame([(1, "quick brown fox jumps over the"), (None, "dolor sit")], "item_id long, text string")
+    assert _rows(decontaminate.search(extra(plain.select("doc_id", "text")), extra(items))) == _rows(decontaminate.search(plain, items))
+    talks = spark.createDataFrame([(1, 0, "user", "a"), (1, 0, "user", "a"), (None, None, None, None)], "conv_id long, turn long, role string, text string")
+    assert _rows(chat_format.digests(chat_format.formatted(extra(talks)))) == _rows(chat_format.digests(chat_format.formatted(talks)))
+    assert html_blocks.extract(pages.limit(0)).count() == 0 and token_table.round_trip(plain.limit(0)).count() == 0
+
+
 def test_quality_of_empty_texts(plain):
     rows = {(r["doc_id"], r["n_words"]): r for r in quality_rules.measure(plain).collect()}
     assert rows[(2, 0)]["base_failed"] and not rows[(3, 0)]["kept"] and rows[(6, 0)]["word_chars"] == 0
