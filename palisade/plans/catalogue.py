@@ -386,7 +386,8 @@ def graph_describe(spark, sf_dir):
 @query()
 def graph_build(spark, sf_dir):
     rows = R.emails(spark, sf_dir).select(F.col("email_id").alias("id"), F.concat("sender", F.lit("@example.com")).alias("sender"), F.struct(F.transform("to", lambda p: F.concat(p, F.lit("@example.com"))).alias("to"), F.array().cast("array<string>").alias("cc")).alias("recipients"))
-    made = graph.build(R.chunks(spark, sf_dir), rows)
+    # names are looked for below a chunk's header line
+    made = graph.build(R.chunks(spark, sf_dir).withColumn("text", F.concat(F.lit("header\n"), "text")), rows)
     return made["entities"].agg(F.count("*").alias("n")).select(F.lit("entities").alias("what"), "n").unionByName(made["mentions"].agg(F.count("*").alias("n")).select(F.lit("mentions").alias("what"), "n")).unionByName(made["edges"].groupBy(F.col("rel").alias("what")).agg(F.count("*").alias("n")))
 
 
@@ -488,7 +489,48 @@ def message_id_synthesis(spark, sf_dir):
     return ingest.message_ids(rows, order="email_id").select("email_id", "message_id")
 
 
-@query()
+def _words_sql(x: str) -> str:
+    return f"list_filter(regexp_split_to_array({x}, '[{_SPACE}]+'), lambda w: w <> '')"
+
+
+def _folded(pieces: str, step: str) -> str:
+    """A fold over a list of word lists: {out, held} with what is held at the end put out too. Elements and the result of a fold have one type."""
+    empty = "{'out': CAST([] AS VARCHAR[][]), 'held': CAST([] AS VARCHAR[]), 's': CAST([] AS VARCHAR[])}"
+    each = f"list_transform({pieces}, lambda s: {{'out': CAST([] AS VARCHAR[][]), 'held': CAST([] AS VARCHAR[]), 's': s}})"
+    return f"list_transform([list_reduce({each}, lambda a, x: {step}, {empty})], lambda r: list_concat(r.out, CASE WHEN len(r.held) > 0 THEN [r.held] ELSE [] END))[1]"
+
+
+def _state(out: str, held: str) -> str:
+    return f"{{'out': {out}, 'held': {held}, 's': CAST([] AS VARCHAR[])}}"
+
+
+_M, _O = chunking.MAX_WORDS, chunking.OVERLAP
+_SENTENCE_STEP = (
+    f"CASE WHEN len(x.s) > {_M} THEN "
+    + _state(f"list_concat(a.out, CASE WHEN len(a.held) > 0 THEN [a.held] ELSE [] END, list_transform(range(1, len(x.s) + 1, {_M}), lambda i: x.s[i:i + {_M - 1}]))", "CAST([] AS VARCHAR[])")
+    + f" WHEN len(a.held) + len(x.s) > {_M} THEN " + _state("list_append(a.out, a.held)", "x.s")
+    + " ELSE " + _state("a.out", "list_concat(a.held, x.s)") + " END"
+)
+_PIECE_STEP = (
+    f"CASE WHEN len(a.held) > 0 AND len(a.held) + len(x.s) > {_M} THEN "
+    + _state("list_append(a.out, a.held)", f"list_concat(a.held[greatest(1, len(a.held) - {_O - 1}):], x.s)")
+    + " ELSE " + _state("a.out", "list_concat(a.held, x.s)") + " END"
+)
+
+
+@query(
+    _with(
+        R.EMAILS,
+        f"p AS (SELECT email_id, list_filter(regexp_split_to_array(body, '\\n[{_SPACE}]*\\n'), lambda p: regexp_matches(p, '[^{_SPACE}]')) AS ps FROM emails)",
+        f"s AS (SELECT email_id, flatten(list_transform(ps, lambda p: CASE WHEN len({_words_sql('p')}) <= {_M} THEN [{_words_sql('p')}] ELSE "
+        + _folded(f"list_transform(string_split(regexp_replace(p, '([.!?])[{_SPACE}]+', '\\1' || chr(1), 'g'), chr(1)), lambda t: {_words_sql('t')})", _SENTENCE_STEP)
+        + " END)) AS pieces FROM p)",
+        "k AS (SELECT email_id, " + _folded("pieces", _PIECE_STEP) + " AS chunks FROM s)",
+        """h AS (SELECT email_id, length('From: ' || sender || ' | To: ' || array_to_string("to"[1:4], ', ') || ' | Date: ' || date[1:10] || ' | Subject: ' || CASE WHEN subject = '' THEN '(no subject)' ELSE subject END) AS n FROM emails)""",
+    )
+    + """SELECT email_id, CAST(i - 1 AS INTEGER) AS ord, CAST(n + CASE WHEN len(chunks) = 0 THEN 0 ELSE 1 + length(array_to_string(chunks[i], ' ')) END AS INTEGER) AS n_chars
+    FROM (SELECT email_id, n, chunks, unnest(range(1, greatest(len(chunks), 1) + 1)) AS i FROM k JOIN h USING (email_id))"""
+)
 def chunk_pack(spark, sf_dir):
     rows = R.emails(spark, sf_dir).select(F.col("email_id").alias("id"), "sender", F.struct("to").alias("recipients"), "date", "subject", "body")
     return chunking.chunk(rows).select("email_id", "ord", F.length("text").alias("n_chars"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.operators.acl import Grant, Group
+from palisade.sources.tables import spread
 
 GROUPS = [
     Group("fr", "French mail", frozenset({"u1", "u2"}), (Grant(folders=("*/fr",)),)),
@@ -19,7 +20,7 @@ GROUPS = [
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def user(formula: str) -> F.Column:

@@ -46,6 +46,21 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
+#: A table of one file between these sizes has one or two row groups, which is all that a scan can be dealt by.
+SPREAD_FROM, SPREAD_TO = 1 << 20, 32 << 20
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows read from one small file, dealt over all cores; tables of more or larger files as they are."""
+    spark, files = rows.sparkSession, rows.inputFiles()
+    if len(files) != 1:
+        return rows
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(files[0]))
+    size = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).getLen()
+    return rows.repartition(spark.sparkContext.defaultParallelism) if SPREAD_FROM < size < SPREAD_TO else rows
+
+
 _kept: dict[tuple[str, ...], str] = {}
 
 

@@ -116,3 +116,17 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
     with pytest.raises(RuntimeError, match="checkpoint"):
         shared_dir(Bare)
     assert shared_dir(spark) and F is not None
+
+
+def test_small_single_files_are_spread(spark, tmp_path):
+    from palisade.sources import tables as t
+
+    rows = spark.range(200_000).selectExpr("id", "sha2(string(id), 256) as h")
+    rows.coalesce(1).write.parquet(str(tmp_path / "one file"))
+    rows.repartition(3).write.parquet(str(tmp_path / "more"))
+    one, more = spark.read.parquet(str(tmp_path / "one file")), spark.read.parquet(str(tmp_path / "more"))
+    assert t.spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and t.spread(one).count() == 200_000
+    assert t.spread(more).inputFiles() == more.inputFiles() and "Exchange" not in t.spread(more)._jdf.queryExecution().executedPlan().toString()
+    rows.limit(5).coalesce(1).write.parquet(str(tmp_path / "few"))
+    few = spark.read.parquet(str(tmp_path / "few"))
+    assert t.spread(few) is few
