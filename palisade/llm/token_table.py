@@ -39,7 +39,7 @@ PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
 #: Words that a worker remembers. When it has so many, further words are encoded where they
 #: occur, and if they become more than MISSES of all, it starts afresh.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 700_000
 MISSES = 0.15
 #: Words that are encoded in one call.
 TOGETHER = 8_192
