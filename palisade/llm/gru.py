@@ -74,12 +74,15 @@ class ByClass:
         x += weights["cb"]
         return x
 
-    def inner(self, weights: Weights, rows: np.ndarray) -> np.ndarray:
-        """Logits inside the class, of rows from `first` on."""
-        x = weights["wb"].take(self.of[self.first :] - 1, axis=0)
+    def inner(self, weights: Weights, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Logits inside the class, of rows from `first` on, and these rows with a one behind each, for the biases."""
+        ones = np.ones((len(rows), HIDDEN + 1), rows.dtype)
+        ones[:, :HIDDEN] = rows
+        both = np.concatenate([weights["w"], weights["wb"][:, None, :]], axis=1)
+        x = np.empty((len(rows), WIDE), rows.dtype)
         for k, a, b in self.parts():
-            x[a:b] += rows[a:b] @ weights["w"][k]
-        return x
+            np.matmul(ones[a:b], both[k], out=x[a:b])
+        return x, ones
 
 
 def _log_p(x: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -106,7 +109,7 @@ def output(weights: Weights, hidden: np.ndarray, targets: np.ndarray) -> np.ndar
         cut = ByClass(weights, targets[at : at + TILE])
         rows = hidden[at : at + TILE][cut.order]
         log_p = _log_p(cut.outer(weights, rows), cut.of)
-        log_p[cut.first :] += _log_p(cut.inner(weights, rows[cut.first :]), cut.place[cut.first :])
+        log_p[cut.first :] += _log_p(cut.inner(weights, rows[cut.first :])[0], cut.place[cut.first :])
         out[at : at + TILE][cut.order] = log_p
     return out
 
@@ -132,7 +135,7 @@ class Cell:
 
     def step(self, state: np.ndarray, gates: np.ndarray, new: np.ndarray, back: np.ndarray, out: np.ndarray) -> None:
         """The next state goes to `out`; gates and new part take the place of their inputs, the recurrent one goes to `back`."""
-        gates += state @ self.u[0]
+        gates += np.matmul(state, self.u[0])
         _sigmoid(gates)
         np.matmul(state, self.u[1], out=back)
         new += back * gates[:, HIDDEN:]
@@ -242,16 +245,17 @@ def touched(weights: Weights, state: np.ndarray, inputs: np.ndarray, targets: np
     found: Gradients = [("c", None, flat.T @ d), ("cb", None, _down(d))]
     d_flat = d @ weights["c"].T
     if len(cut.some):
-        rows, d_rows = flat[cut.first :], d_flat[cut.first :]
-        e = cut.inner(weights, rows)
+        e, ones = cut.inner(weights, flat[cut.first :])
         loss += down(e, cut.place[cut.first :], scale[cut.first :])
-        inside, biases = np.empty((len(cut.some), h, WIDE), kind), np.empty((len(cut.some), WIDE), kind)
+        inside, back_w = np.empty((len(cut.some), h + 1, WIDE), kind), weights["w"].transpose(0, 2, 1)
+        d_rows = np.empty((len(e), h), kind)
         for j, (k, a, b) in enumerate(cut.parts()):
-            np.matmul(rows[a:b].T, e[a:b], out=inside[j])
-            biases[j] = _down(e[a:b])
-            d_rows[a:b] += e[a:b] @ weights["w"][k].T
+            part = e[a:b]
+            np.matmul(ones[a:b].T, part, out=inside[j])
+            np.matmul(part, back_w[k], out=d_rows[a:b])
+        d_flat[cut.first :] += d_rows
         some = None if len(cut.some) == len(weights["w"]) else cut.some
-        found += [("w", some, inside), ("wb", some, biases)]
+        found += [("w", some, np.ascontiguousarray(inside[:, :h])), ("wb", some, np.ascontiguousarray(inside[:, h]))]
     d_states = np.empty_like(d_flat)
     d_states[cut.order] = d_flat
     d_states = d_states.reshape(steps, lanes, h)

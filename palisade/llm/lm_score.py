@@ -105,13 +105,12 @@ def count_words(train: DataFrame) -> DataFrame:
             texts = _encoded(batch, 0)
             ends += len(texts)
             for a, b in _groups(texts):
-                fresh, times = np.unique(_tokens(texts[a:b])[0], return_counts=True)
-                found = index.find(fresh)
-                new = np.nonzero(found < 0)[0]
-                index.add(fresh[new], np.arange(len(counts), len(counts) + len(new)))
-                found[new] = np.arange(len(counts), len(counts) + len(new))
-                counts = np.concatenate([counts, np.zeros(len(new), np.int64)])
-                counts[found] += times
+                hashes = _tokens(texts[a:b])[0]
+                found = index.find(hashes)
+                counts += np.bincount(found[found >= 0], minlength=len(counts))
+                fresh, times = np.unique(hashes[found < 0], return_counts=True)
+                index.add(fresh, np.arange(len(counts), len(counts) + len(fresh)))
+                counts = np.concatenate([counts, times])
                 if index.size > FLUSH_WORDS:
                     yield taken()
                     index, counts, ends = HashIndex(), np.zeros(0, np.int64), 0
@@ -324,7 +323,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     release(spark)
     weights = learned(texts.filter(~F.col("held_out")), model)
     words = texts.select("row", F.explode("rare").alias("w")).select("row", "w.h", "w.times")
-    found = words.join(table, "h")
+    # a hash spreads words evenly, so each partition's share of the table is small enough to look up in
+    found = words.join(table.hint("shuffle_hash"), "h")
     known = found.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("rare_log"), F.sum("times").alias("n_rare")).withColumnRenamed("row", "of_row")
     scored = rated(texts.select("row", "doc_id", "held_out", "n_tokens", "n_head", "head", "other_head", "n_other", "ids"), weights)
     joined = scored.join(known, F.col("row") == F.col("of_row"), "left")
