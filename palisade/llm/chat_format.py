@@ -1,11 +1,13 @@
 """Conversations formatted by a compiled template, with a loss mask, and read back.
 
 Turns are ordered by turn, role and text; ties and repeated rows keep a place each. A
-conversation is cut into stretches of PIECE turns that are formatted apart, so one that holds
-a third of all rows is spread over many tasks, whatever their turn numbers; only the
-stretches' results meet. To number turns without gathering a conversation, repeated rows are
-counted first, rows are dealt into ranges of their order and numbered inside each, and the
-sizes of a conversation's part in the ranges before are added.
+conversation is cut into stretches that are formatted apart, so one that holds a third of all
+rows is spread over many tasks; only the stretches' results meet. A stretch is PIECE turn
+numbers. If any stretch had more than CROWD times PIECE rows, as turns share a number, all
+stretches are PIECE turns by their place instead. To give places without gathering a
+conversation, repeated rows are counted first, rows are dealt into ranges of their order and
+numbered inside each, and the sizes of a conversation's part in the ranges before are added.
+Results are the same either way.
 
 Defined results: a null text or role is empty; null turns come first; rows with a null
 conv_id are one conversation. A conversation of repeated rows keeps them all. An empty
@@ -29,8 +31,9 @@ from pyspark.sql import functions as F
 from palisade.llm.chat_template import Template
 from palisade.llm.common import settled
 
-#: Turns of a stretch.
+#: Turn numbers, or turns, of a stretch.
 PIECE = 256
+CROWD = 16
 
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "[SYS]", "[/SYS]", "[ROLE]", "[TEXT]", "[/ROLE]")
 
@@ -105,11 +108,31 @@ def _numbered(rows: DataFrame) -> DataFrame:
     return met.select("conv_id", *order, "n", (F.col("begin") + F.col("before")).alias("begin"), "total")
 
 
-def _stretches(rows: DataFrame, piece: int) -> DataFrame:
-    """(conv_id, piece, messages, first, total) with the messages of a stretch in order."""
+def _stretches(rows: DataFrame, piece: int | None) -> DataFrame:
+    """(conv_id, piece, messages, first, total) with the messages of a stretch in order; without `piece` whole conversations."""
+    if piece is None:
+        return _by_number(rows, F.lit(0).cast("long"))
+    number = F.coalesce(F.floor(F.col("turn") / piece).cast("long"), F.lit(-(2**62)))
+    sizes = rows.groupBy("conv_id", number.alias("piece")).agg(F.count("*").alias("n"))
+    crowded = sizes.filter(F.col("n") > CROWD * piece).limit(1).count() > 0
+    return _by_place(rows, piece) if crowded else _by_number(rows, number)
+
+
+def _by_number(rows: DataFrame, number: Column) -> DataFrame:
+    turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    cut = rows.select("conv_id", number.alias("piece"), turn.alias("m")).groupBy("conv_id", "piece").agg(F.sort_array(F.collect_list("m")).alias("messages"))
+    # one row for each stretch, not for each turn
+    w = Window.partitionBy("conv_id").orderBy("piece")
+    n = F.size("messages").cast("long")
+    before = F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return cut.select("conv_id", "piece", "messages", before.alias("first"), total.alias("total"))
+
+
+def _by_place(rows: DataFrame, piece: int) -> DataFrame:
     size = F.lit(piece).cast("long")
     last = F.col("begin") + F.col("n") - 1
-    div = lambda x: F.floor(x / size).cast("long") if piece < 2**32 else F.lit(0).cast("long")
+    div = lambda x: F.floor(x / size).cast("long")
     cut = _numbered(rows).withColumn("piece", F.explode(F.sequence(div(F.col("begin")), div(last))))
     copies = (F.least(last + 1, (F.col("piece") + 1) * size) - F.greatest("begin", F.col("piece") * size)).cast("int")
     lists = cut.groupBy("conv_id", "piece").agg(F.sort_array(F.collect_list(F.struct(F.struct("turn", "role", "text").alias("m"), copies.alias("k")))).alias("messages"), F.max("total").alias("total"))
@@ -125,7 +148,7 @@ def formatted(rows: DataFrame, template: str = TEMPLATE, piece: int = PIECE, val
     """
     given = {"add_generation_prompt": False, **(values or {})}
     whole = not Template(template, escape).in_pieces
-    cut = _stretches(rows, 2**40 if whole else piece)
+    cut = _stretches(rows, None if whole else piece)
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = Template(template, escape)

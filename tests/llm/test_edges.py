@@ -608,6 +608,8 @@ def test_conversations_in_pieces(spark):
     assert chat_format.digests(chat_format.formatted(df.limit(0))).count() == 0
     upper = chat_format.formatted(df.filter("conv_id = 2"), template="{{ messages|length }}")
     assert upper.first()["text"] == "1"
+    mixed = spark.createDataFrame([(1, t, "user", "x") for t in (None, -3, 0, 900)], "conv_id long, turn long, role string, text string")
+    assert [r["text"] for r in chat_format.formatted(mixed, template="{{ messages|length }}").collect()] == ["4"]
 
 
 def test_turns_that_share_a_number_are_cut_too(spark):
