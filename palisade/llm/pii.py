@@ -86,8 +86,12 @@ def running(values: Column, op: Callable[[Column, Column], Column], first: Colum
         before = F.aggregate(blocks, F.array(first), lambda acc, b: F.concat(acc, F.array(op(last(acc), last(b)))))
         return let(before, lambda c: F.flatten(F.transform(blocks, lambda b, i: F.transform(b, lambda x: op(c[i], x)))))
 
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")), lambda i: inside(F.slice(values, i * BLOCK + 1, BLOCK)))
-    return F.when(F.size(values) > 0, let(blocks, joined)).otherwise(F.slice(values, 1, 0))
+    def of(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda i: inside(F.slice(v, i * BLOCK + 1, BLOCK)))
+        return F.when(F.size(v) > 0, let(blocks, joined)).otherwise(F.slice(v, 1, 0))
+
+    # bound, or all values are worked out again for every block
+    return let(values, of)
 
 
 def _plus(a: Column, b: Column) -> Column:
