@@ -38,7 +38,7 @@ def duck(sf):
     import duckdb
 
     con = duckdb.connect()
-    for name in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
+    for name in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations clicks sales sale_lines clients client_changes vendors items stamps".split():
         con.execute(f"create view {name} as select * from '{sf}/{name}.parquet'")
     return con
 
