@@ -76,9 +76,29 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIG
 FROM g
 """
 
+#: Unsigned CRC-32 of the digits of an integer, which DuckDB has no function for.
+_CRC_MACRO = """
+crc_table AS (SELECT list(list_reduce(range(8), lambda acc, bit: CASE WHEN acc % 2 = 1 THEN xor(3988292384, acc // 2) ELSE acc // 2 END, CAST(i AS BIGINT)) ORDER BY i) AS t FROM range(256) AS r(i))"""
+
+
+def _crc(id_col: str) -> str:
+    """`t` of crc_table must be in scope."""
+    return f"""xor(4294967295, list_reduce(list_transform(string_split(CAST({id_col} AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT)), lambda acc, b: xor(acc // 256, t[1 + xor(acc, b) % 256]), CAST(4294967295 AS BIGINT)))"""
+
+
+DOMINANCE = f"""
+WITH {_CRC_MACRO.strip()},
+s AS (SELECT sale_id, CAST(floor(epoch(sold_at) / 3600) AS BIGINT) AS slot, CAST(floor(floor(100 * total + 0.5) / 100) AS BIGINT) AS lev, 1 + {_crc("sale_id")} % 2 AS weight FROM sales, crc_table),
+cell AS (SELECT slot, lev, count(*) AS n, sum(weight) AS w FROM s WHERE slot IS NOT NULL AND lev IS NOT NULL GROUP BY slot, lev),
+above AS (SELECT b.slot, b.lev, CAST(coalesce(sum(a.n), 0) AS BIGINT) AS n_sales, CAST(coalesce(sum(a.w), 0) AS BIGINT) AS n_rows
+          FROM cell b LEFT JOIN cell a ON a.slot <= b.slot AND a.lev > b.lev GROUP BY b.slot, b.lev)
+SELECT s.sale_id, s.slot, s.lev AS level, n_sales, n_rows FROM s LEFT JOIN above ON s.slot = above.slot AND s.lev = above.lev
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op4_poisson_mixing": MIXING,
     "op8_decontamination": CONTAINMENT,
     "op9_quality_rules": QUALITY,
     "op10_chat_formatting": CHAT,
+    "op11_dominance_counting": DOMINANCE,
 }

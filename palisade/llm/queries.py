@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import chat_format, decontaminate, html_blocks, lm_score, mixing, pii, quality_rules, simhash, suffix_dedup, token_table
+from palisade.llm import chat_format, decontaminate, dominance, html_blocks, lm_score, mixing, pii, quality_rules, simhash, suffix_dedup, token_table
 from palisade.llm.common import reachable, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +74,10 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.formatted(rows.unionByName(hostile)))
 
 
+def op11_dominance_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dominance.count_above(table(spark, sf_dir, "sales"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii_weak_supervision": op1_pii_weak_supervision,
     "op2_html_extraction": op2_html_extraction,
@@ -85,4 +89,5 @@ QUERIES: dict[str, Query] = {
     "op8_decontamination": op8_decontamination,
     "op9_quality_rules": op9_quality_rules,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_dominance_counting": op11_dominance_counting,
 }
