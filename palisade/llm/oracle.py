@@ -95,10 +95,56 @@ above AS (SELECT b.slot, b.lev, CAST(coalesce(sum(a.n), 0) AS BIGINT) AS n_sales
 SELECT s.sale_id, s.slot, s.lev AS level, n_sales, n_rows FROM s LEFT JOIN above ON s.slot = above.slot AND s.lev = above.lev
 """
 
+
+
+def _field(column: str, size: str) -> str:
+    return f"CASE WHEN {column} IS NULL THEN '-' ELSE {size} || ':' || {column} END"
+
+
+def _leaf(text: str) -> str:
+    """Numbers have one byte for each digit."""
+    parts = [_field(c, f"strlen(CAST({c} AS VARCHAR))") for c in ("doc_id", "source", "lang", "n_chars")]
+    return "sha256(" + " || ".join([*parts, _field(text, f"strlen({text})")]) + ")"
+
+
+MERKLE = f"""
+WITH RECURSIVE {_CRC_MACRO.strip()},
+d AS (SELECT *, CASE WHEN {_crc("doc_id")} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS changed FROM documents, crc_table),
+hashed AS (SELECT doc_id, coalesce('s' || source, 'n') AS g, {_leaf("text")} AS h, {_leaf("changed")} AS now FROM d),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM hashed),
+up AS (
+  SELECT g, 0 AS level, pos, n, h, '' AS pre FROM leaves
+  UNION ALL
+  SELECT g, level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)), string_agg(h, '' ORDER BY pos)
+  FROM up WHERE n > 1 GROUP BY g, level, n, pos // 3),
+subs AS (SELECT g, h, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1),
+top AS (
+  SELECT 0 AS level, pos, n, h, '' AS pre FROM subs
+  UNION ALL
+  SELECT level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)), string_agg(h, '' ORDER BY pos)
+  FROM top WHERE n > 1 GROUP BY level, n, pos // 3),
+steps AS (
+  SELECT l.g, l.pos AS leaf_at, p.level, p.pre, (l.pos // CAST(pow(3, p.level - 1) AS BIGINT)) % 3 AS slot
+  FROM leaves l JOIN up p ON p.level > 0 AND p.g = l.g AND p.pos = l.pos // CAST(pow(3, p.level) AS BIGINT)
+  UNION ALL
+  SELECT l.g, l.pos, 1000 + p.level, p.pre, (s.pos // CAST(pow(3, p.level - 1) AS BIGINT)) % 3
+  FROM leaves l JOIN subs s ON s.g = l.g JOIN top p ON p.level > 0 AND p.pos = s.pos // CAST(pow(3, p.level) AS BIGINT)),
+paths AS (SELECT g, leaf_at, list({{'pre': pre, 'slot': slot}} ORDER BY level) AS path FROM steps GROUP BY g, leaf_at),
+proved AS (
+  SELECT l.doc_id, l.h AS leaf, s.h AS subroot, (SELECT h FROM top WHERE n = 1) AS root,
+         sha256(coalesce(array_to_string(list_transform(path, lambda p: left(p.pre, 64 * p.slot) || substr(p.pre, 64 * p.slot + 65)), ''), '')) AS proof_sha256,
+         coalesce(list_reduce(list_transform(path, lambda p: [p.pre, CAST(p.slot AS VARCHAR)]),
+                              lambda acc, p: [sha256(left(p[1], 64 * CAST(p[2] AS BIGINT)) || acc[1] || substr(p[1], 64 * CAST(p[2] AS BIGINT) + 65)), ''],
+                              [l.now, ''])[1], l.now) AS folded_root
+  FROM leaves l JOIN subs s ON s.g = l.g LEFT JOIN paths ON paths.g = l.g AND paths.leaf_at = l.pos)
+SELECT *, folded_root = root AS verified FROM proved
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op4_poisson_mixing": MIXING,
     "op8_decontamination": CONTAINMENT,
     "op9_quality_rules": QUALITY,
     "op10_chat_formatting": CHAT,
     "op11_dominance_counting": DOMINANCE,
+    "op12_merkle_manifest": MERKLE,
 }

@@ -29,13 +29,6 @@ def _before(value: Column, within: Sequence[str]) -> Column:
     return F.coalesce(F.sum(value).over(Window.partitionBy(*within).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
-def _same(a: DataFrame, b: DataFrame, within: Sequence[str]) -> Column:
-    on = a["__part"] == b["__part"]
-    for c in within:
-        on = on & a[c].eqNullSafe(b[c])
-    return on
-
-
 def placed(rows: DataFrame, name: str, order: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
     """Adds the place (from 0) of each row in `order`, nulls first, in its group of `within`; and `<name>_of`, the size of the group.
 
@@ -44,9 +37,11 @@ def placed(rows: DataFrame, name: str, order: Sequence[str], within: Sequence[st
     ranged = _ranged(rows, [*within, *order])
     runs = ranged.groupBy("__part", *within).agg(F.min("__at").alias("__from"), F.count("*").alias("__n"))
     before = runs.withColumn("__before", _before(F.col("__n"), within)).withColumn("__of", F.sum("__n").over(Window.partitionBy(*within)))
-    found = ranged.join(before, _same(ranged, before, within))
+    keys = {c: f"__{c}" for c in ("__part", *within)}
+    same = [F.col(c).eqNullSafe(F.col(k)) for c, k in keys.items()]  # null is a group
+    found = ranged.join(before.withColumnsRenamed(keys), same)
     place = (F.col("__at") - F.col("__from") + F.col("__before")).cast("long")
-    return found.select(*[ranged[c] for c in rows.columns], place.alias(name), F.col("__of").cast("long").alias(f"{name}_of"))
+    return found.select(*rows.columns, place.alias(name), F.col("__of").cast("long").alias(f"{name}_of"))
 
 
 def running_total(rows: DataFrame, name: str, value: str, order: Sequence[str]) -> DataFrame:

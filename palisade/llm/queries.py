@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import chat_format, decontaminate, dominance, html_blocks, lm_score, mixing, pii, quality_rules, simhash, suffix_dedup, token_table
+from palisade.llm import chat_format, decontaminate, dominance, html_blocks, lm_score, merkle, mixing, pii, quality_rules, simhash, suffix_dedup, token_table
 from palisade.llm.common import reachable, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,6 +78,10 @@ def op11_dominance_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dominance.count_above(table(spark, sf_dir, "sales"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(table(spark, sf_dir, "documents"), merkle.tampered(F.col("text"), F.col("doc_id")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii_weak_supervision": op1_pii_weak_supervision,
     "op2_html_extraction": op2_html_extraction,
@@ -90,4 +94,5 @@ QUERIES: dict[str, Query] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_chat_formatting": op10_chat_formatting,
     "op11_dominance_counting": op11_dominance_counting,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
