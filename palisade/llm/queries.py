@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import chat_format, decontaminate, dominance, html_blocks, lm_score, merkle, mixing, pii, quality_rules, simhash, suffix_dedup, token_table
+from palisade.llm import chat_format, decontaminate, dominance, html_blocks, lm_score, merkle, mixing, pii, quality_rules, simhash, suffix_dedup, token_table, toxicity
 from palisade.llm.common import reachable, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,6 +82,11 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(table(spark, sf_dir, "documents"), merkle.tampered(F.col("text"), F.col("doc_id")))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reachable(spark)
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii_weak_supervision": op1_pii_weak_supervision,
     "op2_html_extraction": op2_html_extraction,
@@ -95,4 +100,5 @@ QUERIES: dict[str, Query] = {
     "op10_chat_formatting": op10_chat_formatting,
     "op11_dominance_counting": op11_dominance_counting,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_toxicity": op13_toxicity,
 }
