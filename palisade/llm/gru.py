@@ -284,12 +284,17 @@ def touched(weights: Weights, state: np.ndarray, inputs: np.ndarray, targets: np
     return found, state, loss
 
 
+def unseen(weights: Weights) -> Weights:
+    return {k: np.full_like(v, 1e-3) for k, v in weights.items()}
+
+
 class Trainer:
     """Truncated backpropagation with Adagrad over streams of texts."""
 
-    def __init__(self, weights: Weights, rate: float = RATE):
+    def __init__(self, weights: Weights, rate: float = RATE, seen: Weights | None = None):
+        """seen: the squared gradients so far, of an earlier trainer; without them steps start large."""
         self.weights = {k: v.copy() for k, v in weights.items()}
-        self.seen = {k: np.full_like(v, 1e-3) for k, v in weights.items()}
+        self.seen = unseen(weights) if seen is None else {k: v.copy() for k, v in seen.items()}
         self.rate, self.tokens, self.losses = rate, 0, []
 
     def learn(self, texts: list[np.ndarray]) -> None:

@@ -10,11 +10,15 @@ is held out if the crc32 of its id, written as text, leaves HELD_OUT modulo FOLD
    are read and cut once more; a table keeps two bytes for each token and what the scores
    need of words beyond the vocabulary: counts of HEAD words are sent along, all rarer words
    go as (hash, times) to a join with the table of counts.
-3. Training. In each of ROUNDS rounds the tasks train copies of the weights by truncated
+3. Training. In each of ROUNDS rounds copies of the weights are trained by truncated
    backpropagation on a share of the training texts (one ROUNDS-th each round, chosen by the
    same checksum, so every text is learnt from once), and the copies are averaged by the
-   number of tokens they saw. Weights are averaged in BLOCKS pieces, each in LOTS lots first,
-   so no task reads more than a small share of all copies, and the driver gets one copy.
+   number of tokens they saw, as are the sums of squared gradients that bound their steps.
+   A copy is trained on one shard: about SHARD_TOKENS tokens of the round, dealt by a hash of
+   id and text and taken in its order. How many shards there are follows from the number of
+   training tokens, so how the input is split into files and partitions has no part in the
+   weights. Weights are averaged in BLOCKS pieces, each in LOTS lots first, in the order of
+   shards, so no task reads more than a small share of all copies, and the driver gets one copy.
    Weights start as the counts' own distribution, so with little text the model is no worse.
 4. Scores. The model scores whole texts, its state carried across windows. A word outside the
    vocabulary has the model's probability of the shared id times its share (c + 1) among such
@@ -24,18 +28,17 @@ Results per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score (
 unigram score) and score, both log10. A null text is empty, and has its end token alone. A
 null id is in training. Rows are scored one by one, also if ids repeat (each counts in
 training). Other columns are ignored. Without any training text all words are unknown.
-The number of training tasks, and in the last digits the order in which their copies are
-added, have a part in `score`; all other columns are exact.
+The last digits of `score` may differ between machines; all other columns are exact.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,6 +58,8 @@ FLUSH_WORDS = 400_000
 TOGETHER, TOKENS = 4 << 20, 1 << 20
 #: Weights are averaged in so many pieces, and each piece in so many lots.
 BLOCKS, LOTS = 64, 32
+#: Tokens that one copy learns from in one round.
+SHARD_TOKENS = 400_000
 
 
 def _crc(doc_id: Column) -> Column:
@@ -179,29 +184,30 @@ def shaped(flat: np.ndarray, like: dict[str, tuple[int, ...]]) -> gru.Weights:
     return {k: part.reshape(like[k]) for k, part in zip(sorted(like), np.split(flat, np.cumsum(sizes)[:-1]), strict=True)}
 
 
-_COPY = "block int, lot int, tokens long, weights binary"
+_COPY = "block int, lot int, shard long, tokens long, weights binary"
 
 
-def _copy_rows(rows: list[tuple[int, int, int, np.ndarray]]) -> pa.RecordBatch:
-    blocks, lots, tokens, weights = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(lots, pa.int32()), pa.array(tokens, pa.int64()), pa.array([w.tobytes() for w in weights], pa.binary())], ["block", "lot", "tokens", "weights"])
+def _copy_rows(rows: list[tuple[int, int, int, int, np.ndarray]]) -> pa.RecordBatch:
+    blocks, lots, shards, tokens, weights = zip(*rows, strict=True)
+    columns = [pa.array(blocks, pa.int32()), pa.array(lots, pa.int32()), pa.array(shards, pa.int64()), pa.array(tokens, pa.int64()), pa.array([w.tobytes() for w in weights], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["block", "lot", "shard", "tokens", "weights"])
 
 
 def _averaged(copies: DataFrame) -> DataFrame:
-    """One row for each block of copies(block, lot, tokens, weights): running means by tokens."""
+    """One row for each block of copies(block, lot, shard, tokens, weights): means by tokens, summed in the order of lots and shards."""
 
     def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[tuple[int, int], list] = {}
         for batch in batches:
-            for block, lot, tokens, data in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for block, lot, _, tokens, data in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 total = totals.setdefault((block, lot), [0, 0.0])
                 total[0] += tokens
                 total[1] = total[1] + tokens * np.frombuffer(data, np.float32).astype(np.float64)
         if totals:
-            yield _copy_rows([(block, 0, n, (x / n).astype(np.float32)) for (block, _), (n, x) in sorted(totals.items())])
+            yield _copy_rows([(block, lot, 0, n, (x / n).astype(np.float32)) for (block, lot), (n, x) in sorted(totals.items())])
 
-    lots = copies.repartition("block", "lot").mapInArrow(average, _COPY)
-    return lots.repartition("block").mapInArrow(average, _COPY)
+    lots = copies.repartition("block", "lot").sortWithinPartitions("block", "lot", "shard").mapInArrow(average, _COPY)
+    return lots.withColumn("shard", F.col("lot").cast("long")).withColumn("lot", F.lit(0)).repartition("block").sortWithinPartitions("block", "shard").mapInArrow(average, _COPY)
 
 
 def _pools(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list[pa.RecordBatch], list[np.ndarray]]]:
@@ -224,28 +230,54 @@ def train(docs: DataFrame, model: Model) -> gru.Weights:
     return learned(encoded(docs.select(F.lit(None).alias("doc_id"), F.lit(False).alias("held_out"), "slice", "text"), model), model)
 
 
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[list[np.ndarray]]]]:
+    """Of batches(shard, ids), sorted by shard: each shard with its texts, up to about TOKENS at once."""
+    rows = ((s, np.frombuffer(x, np.uint16).astype(np.int64)) for batch in batches for s, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+
+    def pools(texts: Iterator[tuple[int, np.ndarray]]) -> Iterator[list[np.ndarray]]:
+        held, size = [], 0
+        for _, ids in texts:
+            held.append(ids)
+            size += len(ids) + 1
+            if size >= TOKENS:
+                yield held
+                held, size = [], 0
+        if held:
+            yield held
+
+    for shard, texts in groupby(rows, key=lambda r: r[0]):
+        yield shard, pools(texts)
+
+
+def shards_of(tokens: int) -> int:
+    """How many copies are trained in a round of a corpus with so many training tokens."""
+    return max(1, round(tokens / ROUNDS / SHARD_TOKENS))
+
+
 def learned(texts: DataFrame, model: Model) -> gru.Weights:
-    """Weights after all rounds over texts(ids, slice)."""
+    """Weights after all rounds over texts(doc_id, ids, slice)."""
     spark = texts.sparkSession
     like, flat = {k: v.shape for k, v in model.weights.items()}, vector(model.weights)
+    seen, shards = vector(gru.unseen(model.weights)), shards_of(model.tokens)
+    key = F.xxhash64("doc_id", "ids")
+    keyed = texts.select("slice", key.alias("key"), "doc_id", "ids").withColumn("shard", F.pmod(F.shiftright("key", 20), F.lit(shards)))
     for turn in range(ROUNDS):
-        sent = spark.sparkContext.broadcast(flat)
+        sent = spark.sparkContext.broadcast((flat, seen))
 
         def learn(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            trainer = None
-            for _, ids in _pools(batches, 0):
-                trainer = trainer or gru.Trainer(shaped(sent.value, like))
-                cuts = np.searchsorted(np.cumsum([len(x) + 1 for x in ids]), np.arange(TOKENS, sum(len(x) + 1 for x in ids), TOKENS))
-                for a, b in zip([0, *cuts], [*cuts, len(ids)], strict=True):
-                    trainer.learn([x.astype(np.int64) for x in ids[a:b]])
-            if trainer and trainer.tokens:
-                lot = TaskContext.get().partitionId() % LOTS
-                yield _copy_rows([(k, lot, trainer.tokens, part) for k, part in enumerate(np.array_split(vector(trainer.weights), BLOCKS))])
-
-        copies = texts.filter(F.col("slice") == turn).select("ids").mapInArrow(learn, _COPY)
+            for shard, pools in _shards(batches):
+                trainer = gru.Trainer(shaped(sent.value[0], like), seen=shaped(sent.value[1], like))
+                for ids in pools:
+                    trainer.learn(ids)
+                both = zip(np.array_split(vector(trainer.weights), BLOCKS), np.array_split(vector(trainer.seen), BLOCKS), strict=True)
+                yield _copy_rows([(k, shard % LOTS, shard, trainer.tokens, np.concatenate(parts)) for k, parts in enumerate(both)])
+
+        dealt = keyed.filter(F.col("slice") == turn).repartition(shards, "shard").sortWithinPartitions("shard", "key", "doc_id", "ids")
+        copies = dealt.select("shard", "ids").mapInArrow(learn, _COPY)
         means = sorted((r["block"], bytes(r["weights"])) for r in _averaged(copies).collect())  # BLOCKS rows, one copy in all
         if means:
-            flat = np.concatenate([np.frombuffer(x, np.float32) for _, x in means])
+            halves = [np.split(np.frombuffer(x, np.float32), 2) for _, x in means]
+            flat, seen = (np.concatenate([half[k] for half in halves]) for k in (0, 1))
         sent.destroy()
     return shaped(flat, like)
 

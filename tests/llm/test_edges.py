@@ -337,6 +337,24 @@ def test_every_training_text_is_learnt_from(spark):
         assert any((weights[k] != model.weights[k]).any() for k in weights), turn
 
 
+def test_scores_do_not_follow_how_the_input_is_split(spark, monkeypatch):
+    """Shards follow from ids and texts: equal scores from 1, 3 and 17 partitions, with several shards in a round."""
+    monkeypatch.setattr(lm_score, "SHARD_TOKENS", 150)
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(rng.choice(words, rng.integers(0, 60)))) for i in range(300)]
+    rows += rows[:20] + [(None, "a b c"), (7, "another text of an id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    for n in (1, 3, 17):
+        scored = lm_score.score(df.repartition(n)).select("doc_id", "n_tokens", "base_score", "score").collect()
+        found.append(sorted(((str(r["doc_id"]), r["n_tokens"], r["base_score"], r["score"]) for r in scored), key=lambda r: (r[0], r[1], round(r[2], 6))))
+    assert lm_score.shards_of(int(sum(r[1] for r in found[0]))) > 3
+    for other in found[1:]:
+        assert [r[:2] for r in other] == [r[:2] for r in found[0]]
+        assert np.allclose([r[2:] for r in other], [r[2:] for r in found[0]], rtol=1e-6)
+
+
 def _edited(rng, words, n):
     out = list(words)
     for i in rng.choice(len(words), n, replace=False):
