@@ -46,7 +46,7 @@ PREFIXES = (3, 4, 5, 6)
 FEATURES = 4096
 #: Least number of training texts that a feature occurs in, and least log-likelihood ratio.
 LEAST_TEXTS, LEAST_RATIO = 3, 12.0
-SAMPLE_ROWS = 100_000
+SAMPLE_ROWS = 50_000
 PENALTY = 20.0
 RIDGE = 0.2
 STEPS = 400
@@ -201,9 +201,12 @@ class Rows:
 
     @classmethod
     def of(cls, lists: Sequence[Sequence[int]], width: int) -> Rows:
-        sizes = [len(x) for x in lists]
-        col = np.fromiter((c for x in lists for c in x), np.int64, sum(sizes))
-        return cls(np.repeat(np.arange(len(lists)), sizes), col, len(lists), width)
+        return cls.from_arrow(pa.array([list(x) for x in lists], pa.list_(pa.int32())), width)
+
+    @classmethod
+    def from_arrow(cls, lists: pa.ListArray, width: int) -> Rows:
+        sizes = np.diff(lists.offsets.to_numpy())
+        return cls(np.repeat(np.arange(len(lists), dtype=np.int32), sizes), lists.flatten().to_numpy(zero_copy_only=False), len(lists), width)
 
     def times(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights=w[self.col], minlength=self.n)
@@ -212,15 +215,14 @@ class Rows:
         return np.bincount(self.col, weights=v[self.row], minlength=self.width)
 
 
-def fit(texts: Sequence[Sequence[int]], toxic: Sequence[int], pairs: Sequence[tuple[Sequence[int], Sequence[int]]], width: int, penalty: float = PENALTY, ridge: float = RIDGE, steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """Weights and intercept. `pairs`: features that a counterfactual has lost and gained, once for each.
+def fit(x: Rows, toxic: Sequence[int], lost: Rows, gained: Rows, penalty: float = PENALTY, ridge: float = RIDGE, steps: int = STEPS) -> tuple[np.ndarray, float]:
+    """Weights and intercept of texts `x`; `lost` and `gained` have a row of features for each counterfactual.
 
     Minimised by steps along the gradient with momentum, each coordinate by its own bound of
     the curvature.
     """
-    x, y = Rows.of(texts, width), np.asarray(toxic, float)
-    lost, gained = Rows.of([p[0] for p in pairs], width), Rows.of([p[1] for p in pairs], width)
-    w, b = np.zeros(width), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
+    y, pairs = np.asarray(toxic, float), lost.n
+    w, b = np.zeros(x.width), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     size = np.bincount(x.row, minlength=x.n) + 1.0
     bound = x.back(0.25 * size) + ridge
     if pairs:
@@ -273,9 +275,10 @@ def train(texts: DataFrame, groups: Sequence[Sequence[str]] = GROUPS, penalty: f
 
     share = min(1.0, sample / (n_clean + n_toxic))
     taken = texts.filter(F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < share * (1 << 30))
-    rows = taken.select("text", "toxic").mapInArrow(narrow, "toxic int, hits array<int>, lost array<array<int>>, gained array<array<int>>").collect()
-    pairs = [(a, b) for r in rows for a, b in zip(r["lost"], r["gained"], strict=True)]
-    weights, intercept = fit([r["hits"] for r in rows], [r["toxic"] for r in rows], pairs, len(kept), penalty)
+    rows = taken.select("text", "toxic").mapInArrow(narrow, "toxic int, hits array<int>, lost array<array<int>>, gained array<array<int>>").toArrow()
+    one = lambda name: rows.column(name).combine_chunks()
+    lost, gained = (Rows.from_arrow(one(name).flatten(), len(kept)) for name in ("lost", "gained"))
+    weights, intercept = fit(Rows.from_arrow(one("hits"), len(kept)), one("toxic").to_numpy(), lost, gained, penalty)
     return Model({b: float(weights[i]) for b, i in place.items() if weights[i]}, intercept)
 
 

@@ -112,7 +112,8 @@ def test_fit_finds_the_least_loss():
         z = np.array([w[t].sum() + b for t in texts])
         return np.logaddexp(0, z).sum() - (z * np.array(y)).sum() + 0.1 * (w @ w) + 5.0 * sum((w[g].sum() - w[a].sum()) ** 2 for a, g in pairs)
 
-    w, b = toxicity.fit(texts, y, pairs, 12, penalty=5.0, ridge=0.2, steps=3000)
+    rows = lambda lists: toxicity.Rows.of(lists, 12)
+    w, b = toxicity.fit(rows(texts), y, rows([p[0] for p in pairs]), rows([p[1] for p in pairs]), penalty=5.0, ridge=0.2, steps=3000)
     best = loss(w, b)
     for _ in range(200):
         assert loss(w + rng.normal(0, 0.01, 12), b + rng.normal(0, 0.01)) >= best - 1e-6
