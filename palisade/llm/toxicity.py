@@ -144,7 +144,8 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     judged = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("toxic")).filter("id is not null and toxic is not null")
     one = judged.groupBy("id").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
     train = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter(~held_out(F.col("id")))
-    return train.join(one.filter(~held_out(F.col("id"))), "id").select(F.monotonically_increasing_id().alias("row"), "text", "toxic")
+    # nothing bounds the labels, so they aren't broadcast, few as they may be
+    return train.join(one.filter(~held_out(F.col("id"))).hint("merge"), "id").select(F.monotonically_increasing_id().alias("row"), "text", "toxic")
 
 
 def held_out(doc_id: Column) -> Column:
