@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from palisade.functions import fixed
 from palisade.functions import text as T
 from palisade.models import ANSWERING, Model, Offline, Prompt, Reply, estimate
-from palisade.operators import audit, cache, fuse, graph, lexical, routing, vector
+from palisade.operators import audit, blockmax, cache, fuse, graph, lexical, routing, vector
 from palisade.operators.acl import Principal, SecureCorpus
 from palisade.sources.files import Directory, Settings
 from palisade.sources.tables import Store, delete, shared_dir
@@ -102,7 +102,7 @@ class Answers:
 
     def clear(self) -> None:
         if self.saved_in is not None:
-            delete(self.saved_in.at("cache_entries"))
+            self.saved_in.drop("cache_entries")
         self.load()
 
     def __len__(self) -> int:
@@ -178,7 +178,7 @@ class Engine:
         self.model: Model = answerer if hasattr(answerer, "complete") else _Plain(answerer) if answerer else Offline(spark)
         self.prices = prices or {self.settings.small_model: (1.0, 5.0), self.settings.large_model: (5.0, 25.0)}
         self.known, self.embedder, self.scorer, self.store, self.log = known, embedder or vector.HashEmbedder(), scorer, store, []
-        self.index = dict(index or {})
+        self.index, self.words = dict(index or {}), None  # words: the store's blocks of postings
         self.answers = self._answers()
         self._readable: OrderedDict[tuple, tuple[int, DataFrame, str]] = OrderedDict()
 
@@ -186,10 +186,12 @@ class Engine:
     def of_store(cls, store: Store, settings: Settings | None = None, embedder: vector.Embedder | None = None, **options) -> Engine:
         """An engine over stored tables; vectors of another embedder are refused."""
         model = embedder or vector.HashEmbedder()
-        index = {"postings": store.read("postings"), "lengths": store.read("lengths"), "vectors": store.vectors(model)}
+        index = {"lengths": store.read("lengths"), "vectors": store.vectors(model)}
         known = {n: store.read(n) for n in ("entities", "mentions", "edges")} if store.has("entities") else None
         subjects = store.read("emails").select(F.col("id").alias("email_id") if "id" in store.read("emails").columns else "email_id", "subject")
-        return cls(store.spark, store.read("chunks"), store.read("acl"), subjects, settings, known=known, embedder=model, index=index, store=store, **options)
+        engine = cls(store.spark, store.read("chunks"), store.read("acl"), subjects, settings, known=known, embedder=model, index=index, store=store, **options)
+        engine.words = store.index()
+        return engine
 
     def _answers(self) -> Answers:
         s = self.settings
@@ -212,6 +214,8 @@ class Engine:
         return self._part("lengths", lambda: lexical.statistics(self.chunks)).first()["n"]
 
     def best_by_words(self, terms: list[str], readable: DataFrame, limit: int) -> DataFrame:
+        if self.words is not None:
+            return blockmax.search(self.words, readable, terms, limit)
         index = self._part("postings", lambda: lexical.sorted_postings(self.chunks))
         return lexical.search_index(index, self._part("lengths", lambda: lexical.statistics(self.chunks)), readable, terms, limit)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from palisade.functions import fixed
 from palisade.functions import text as T
+from palisade.operators import positions
 from palisade.operators.acl import WILDCARD
 
 
@@ -133,6 +134,17 @@ def readable_phrases(phrases: DataFrame, chunks: DataFrame, acl: DataFrame, size
     hashed = lambda g: F.xxhash64(*[F.xxhash64(F.split(g, " ")[k]) for k in range(size)])
     marked = _hashed_runs(chunks, "chunk_id", size).join(wanted.select(hashed(F.col("g")).alias("h")).distinct(), "h", "left_semi").select("chunk_id").distinct()
     have = _runs(chunks.join(marked, "chunk_id", "left_semi"), "chunk_id", size).join(wanted, "g", "left_semi").join(chunks.select("chunk_id", "email_id"), "chunk_id")
+    return known_phrases(phrases, have, acl)
+
+
+def readable_by_positions(phrases: DataFrame, index: DataFrame, acl: DataFrame) -> DataFrame:
+    """As `readable_phrases`, for phrases of any length, from an index of positions: the texts are not read."""
+    wanted = phrases.select(F.col("g").alias("key"), F.split("g", " ").alias("terms")).distinct()
+    return known_phrases(phrases, positions.phrases_in(index, wanted).withColumnRenamed("key", "g"), acl)
+
+
+def known_phrases(phrases: DataFrame, have: DataFrame, acl: DataFrame) -> DataFrame:
+    """(key, g) of phrases(key, tokens, g) that one of have(g, email_id) has in a mail that one of `tokens` may read."""
     may = have.join(acl, "email_id").select("g", "principal").distinct()
     each = phrases.select("key", "g", F.explode("tokens").alias("principal"))
     everything = phrases.filter(F.array_contains("tokens", WILDCARD)).join(have.select("g").distinct(), "g", "left_semi").select("key", "g")

@@ -1,26 +1,34 @@
 """Tables of one corpus in a shared folder: what an ingest writes and what questions read.
 
-Every table is a folder of Parquet. A version table counts changes of the corpus or of its
-rights, append-only. Postings are sorted by term, so a question reads few row groups;
-vectors carry the name of the embedder that made them, and another one is refused.
+Tables are Parquet folders that a snapshot lists (`snapshots`); a change of several tables is
+seen as a whole or not at all. Chunks come in segments: adding some writes their own blocks
+of postings, positions, vectors and counts, and reads and embeds nothing that is there
+already. Removed chunks are entered as such, with their counts taken off, and are passed over
+until `compact` writes one segment of what is left. Vectors carry the name of the embedder
+that made them, and another one is refused. The audit log is a plain folder that rows are
+appended to, outside of the snapshots.
 """
 
 from __future__ import annotations
 
 import atexit
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.operators import acl as A
-from palisade.operators import lexical, vector
+from palisade.operators import blockmax, positions, vector
+from palisade.sources.snapshots import Change, Conflict, Log, Snapshot
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 #: Tables that an ingest writes and `truncate` empties; the audit log and the versions stay.
-CORPUS = ("emails", "acl", "chunks", "postings", "lengths", "vectors", "entities", "mentions", "edges", "cache_entries")
+CORPUS = ("emails", "acl", "chunks", "blocks", "terms", "sizes", "positions", "vectors", "removed", "entities", "mentions", "edges", "cache_entries")
+#: Tables outside of the snapshots, append-only.
+PLAIN = ("audit_log",)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -96,81 +104,179 @@ class ModelMismatch(RuntimeError):
 
 
 class Store:
-    """One corpus at `path`."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    """One corpus at `path`: its latest snapshot, or the one it is pinned to."""
+
+    def __init__(self, spark: SparkSession, path: str, pinned: Snapshot | None = None):
+        self.spark, self.path, self.pinned = spark, path.rstrip("/"), pinned
+        self.log = Log(spark, f"{self.path}/_snapshots")
+        self._open: Change | None = None
+
+    # snapshots
+
+    def snapshot(self) -> Snapshot:
+        return self._open.snapshot() if self._open else self.pinned or self.log.latest()
+
+    def held(self) -> Store:
+        """A reader of the corpus as it is now, whatever is changed later."""
+        return Store(self.spark, self.path, self.snapshot())
+
+    @contextmanager
+    def change(self) -> Iterator[Change]:
+        """Several changes as one: committed at the end of the block, or, if it fails, not at all."""
+        if self.pinned is not None:
+            raise Conflict("this store is pinned to a snapshot")
+        if self._open is not None:  # part of a larger change
+            yield self._open
+            return
+        self._open = made = Change(self.spark, self.path, self.log.latest())
+        try:
+            yield made
+            self.log.commit(made.snapshot())
+        except BaseException:
+            for folder in made.made:
+                delete(f"{self.path}/{folder}")
+            raise
+        finally:
+            self._open = None
+
+    def vacuum(self, keep: int = 1) -> int:
+        """Delete all snapshots but the last `keep`, and folders that none of those names; gives their number.
+
+        Not while something is being written: folders of a change that isn't committed yet are named by no snapshot.
+        """
+        numbers = self.log.numbers()
+        named = {folder for n in numbers[-keep:] for folders in self.log.read(n).tables.values() for folder in folders}
+        old = {folder for n in numbers[:-keep] for folders in self.log.read(n).tables.values() for folder in folders} - named
+        for n in numbers[:-keep]:
+            self.log.forget(n)
+        for folder in old:
+            delete(f"{self.path}/{folder}")
+        return len(old)
+
+    # tables
 
     def at(self, name: str) -> str:
+        """The path of a plain table."""
         return f"{self.path}/{name}"
 
     def has(self, name: str) -> bool:
-        return exists(self.spark, self.at(name))
+        return exists(self.spark, self.at(name)) if name in PLAIN else name in self.snapshot().tables
+
+    def _stored(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(*[f"{self.path}/{folder}" for folder in self.snapshot().tables[name]])
+
+    def _alive(self, rows: DataFrame) -> DataFrame:
+        return self.index().without_removed(rows) if self.has("removed") else rows
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.at(name))
+        """A table as it is seen: without removed chunks. `postings` and `lengths` are views of what the segments hold."""
+        if name in PLAIN:
+            return self.spark.read.parquet(self.at(name))
+        if name == "postings":
+            return self._alive(self._stored("blocks").select("term", "seg", F.inline("rows"))).drop("seg")
+        if name == "lengths":
+            return self._stored("sizes").agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("avgdl"))
+        return self._alive(self._stored(name)).drop("seg") if name in ("chunks", "vectors", "positions") else self._stored(name)
 
     def write(self, name: str, rows: DataFrame) -> DataFrame:
-        """Replace a table. Rows may come from the table itself: they are written beside it first."""
-        beside = self.at(f"{name}-{uuid.uuid4().hex}")
-        rows.write.parquet(beside)
-        delete(self.at(name))
-        jvm = self.spark.sparkContext._jvm
-        there = jvm.org.apache.hadoop.fs.Path(beside)
-        there.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).rename(there, jvm.org.apache.hadoop.fs.Path(self.at(name)))
-        return self.read(name)
+        """Replace a table. Rows may come from the table itself."""
+        with self.change() as change:
+            return change.write(name, rows)
 
     def append(self, name: str, rows: DataFrame) -> None:
-        rows.write.mode("append").parquet(self.at(name))
+        if name in PLAIN:
+            rows.write.mode("append").parquet(self.at(name))
+            return
+        with self.change() as change:
+            change.append(name, rows)
+
+    def drop(self, *names: str) -> None:
+        with self.change() as change:
+            change.drop(*names)
 
     # versions
 
     def version(self) -> int:
-        return self.read("versions").agg(F.max("version")).first()[0] if self.has("versions") else 0
+        return self.snapshot().version
 
     def bump(self) -> int:
         """One more change of the corpus or of its rights."""
-        now = self.version() + 1
-        self.append("versions", self.spark.createDataFrame([(now,)], "version long"))
-        return now
+        with self.change() as change:
+            change.version += 1
+            return change.version
 
     # ingest
 
     def add_mails(self, emails: DataFrame, acl: DataFrame) -> None:
         """Append mails and their rights; a right that is there already is not entered again."""
-        self.append("emails", emails)
-        rows = acl.select("email_id", "principal").distinct()
-        if self.has("acl"):
-            rows = rows.join(self.read("acl"), ["email_id", "principal"], "left_anti")
-        self.append("acl", rows)
+        with self.change() as change:
+            rows = acl.select("email_id", "principal").distinct()
+            if self.has("acl"):
+                rows = rows.join(self.read("acl"), ["email_id", "principal"], "left_anti")
+            change.append("emails", emails)
+            change.append("acl", rows)
 
     def add_chunks(self, chunks: DataFrame, embedder: vector.Embedder | None = None) -> None:
-        """Append chunks(chunk_id, email_id, ord, text) and write what is derived from all of them anew."""
-        self.append("chunks", chunks.select("chunk_id", "email_id", "ord", "text"))
-        every = self.read("chunks")
-        self.write("postings", lexical.sorted_postings(every))
-        self.write("lengths", lexical.statistics(every))
-        self.write("vectors", vector.table(every, embedder or vector.HashEmbedder()))
+        """Append chunks(chunk_id, email_id, ord, text), of new ids or of removed ones, as a segment of its own."""
+        with self.change() as change:
+            change.segment += 1
+            seg = F.lit(change.segment).cast("long").alias("seg")
+            own = change.append("chunks", chunks.select("chunk_id", "email_id", "ord", "text", seg))
+            self._derive(change, own)
+            change.append("vectors", vector.table(own, embedder or vector.HashEmbedder()).withColumn("seg", seg))
+
+    def _derive(self, change: Change, own: DataFrame) -> None:
+        """What a segment holds besides chunks and vectors."""
+        change.append("blocks", blockmax.blocks(own, change.segment), blockmax.WRITER)
+        change.append("terms", blockmax.term_counts(own))
+        change.append("sizes", blockmax.length_counts(own))
+        change.append("positions", positions.positions(own, change.segment))
+
+    def remove_chunks(self, ids: DataFrame) -> None:
+        """Remove those of ids(chunk_id) that are there."""
+        with self.change() as change:
+            dead = self.read("chunks").join(ids.select("chunk_id").distinct(), "chunk_id", "left_semi")
+            gone = change.append("removed", dead.select("chunk_id", F.lit(change.segment).cast("long").alias("seg"), "email_id", "text"))
+            change.append("terms", blockmax.term_counts(gone, -1))
+            change.append("sizes", blockmax.length_counts(gone, -1))
+
+    def compact(self) -> None:
+        """One segment of all that is left. Vectors are kept as they are, not made anew."""
+        with self.change() as change:
+            chunks, vectors = self.read("chunks"), self.read("vectors")
+            change.segment += 1
+            seg = F.lit(change.segment).cast("long").alias("seg")
+            own = change.write("chunks", chunks.withColumn("seg", seg))
+            change.write("vectors", vectors.withColumn("seg", seg))
+            change.drop("blocks", "terms", "sizes", "positions", "removed")
+            self._derive(change, own)
+
+    def index(self) -> blockmax.Index:
+        """The blocks of postings of all segments."""
+        removed = self._stored("removed").select("chunk_id", "seg") if self.has("removed") else None
+        return blockmax.Index(self._stored("blocks"), self._stored("terms"), self._stored("sizes"), removed)
 
     def ingest(self, emails: DataFrame, acl: DataFrame, chunks: DataFrame, embedder: vector.Embedder | None = None, graph: dict[str, DataFrame] | None = None) -> int:
-        """Replace the corpus: all tables are emptied, written anew, and the version goes up by one."""
-        self.truncate(bump=False)
-        self.add_mails(emails, acl)
-        self.add_chunks(chunks, embedder)
-        for name, rows in (graph or {}).items():
-            self.write(name, rows)
-        return self.bump()
+        """Replace the corpus in one step: all tables are emptied, written anew, and the version goes up by one."""
+        with self.change():
+            self.truncate(bump=False)
+            self.add_mails(emails, acl)
+            self.add_chunks(chunks, embedder)
+            for name, rows in (graph or {}).items():
+                self.write(name, rows)
+            return self.bump()
 
     def truncate(self, bump: bool = True) -> int:
-        """Delete the corpus and the answers made of it; audit log and versions stay."""
-        for name in CORPUS:
-            delete(self.at(name))
-        return self.bump() if bump else self.version()
+        """Delete the corpus and the answers made of it; audit log and version stay."""
+        with self.change():
+            self.drop(*CORPUS)
+            return self.bump() if bump else self.version()
 
     def sync_groups(self, people: DataFrame, groups: list[A.Group]) -> int:
-        """Replace all group rights by what the rules give now; people(email_id, folders, people)."""
-        self.write("acl", A.sync(self.read("acl"), people, groups))
-        return self.bump()
+        """Replace all group rights by what the rules give now, in one step; people(email_id, folders, people)."""
+        with self.change():
+            self.write("acl", A.sync(self.read("acl"), people, groups))
+            return self.bump()
 
     def vectors(self, embedder: vector.Embedder) -> DataFrame:
         """(chunk_id, embedding) if this embedder made them."""
