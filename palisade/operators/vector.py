@@ -11,9 +11,11 @@ from typing import Protocol
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palisade.operators.acl import WILDCARD
+
 DIMENSIONS = 512
 
 
@@ -40,6 +42,84 @@ def top_k(vectors: DataFrame, query: list[float], limit: int, id_col: str = "vec
     return rows.mapInArrow(best, f"{id_col} long, sim double").orderBy(F.desc("sim"), id_col).limit(limit)
 
 
+#: Questions of one pass, and rows of a batch that are multiplied together.
+QUESTIONS, TOGETHER = 4096, 2048
+
+
+def top_k_many(vectors: DataFrame, questions: DataFrame, limit: int, id_col: str = "chunk_id", vector_col: str = "embedding", digits: int = 6) -> DataFrame:
+    """(question_id, id, sim, rank): the best for each of questions(question_id, tokens, embedding) in one pass over the vectors.
+
+    vectors may have a column readers, the principals that may read a row: then a question
+    gets rows that one of its tokens reads. A block of vectors times the matrix of questions is one
+    product; rights are a mask of the same shape, from a product of who reads and who asks.
+    Each block hands on `limit` rows for a question, and a window, whose limit Spark pushes
+    below the shuffle, keeps the best of all. More than QUESTIONS questions take more passes.
+    """
+    asked = questions.select("question_id", "tokens", "embedding").orderBy("question_id")
+    n = asked.count()
+    parts = [_pass(vectors, asked.offset(at).limit(QUESTIONS).collect(), limit, id_col, vector_col, digits) for at in range(0, max(n, 1), QUESTIONS)]
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    best = Window.partitionBy("question_id").orderBy(F.desc("sim"), id_col)
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= limit)
+
+
+def _pass(vectors: DataFrame, asked: list, limit: int, id_col: str, vector_col: str, digits: int) -> DataFrame:
+    if not asked:
+        return vectors.sparkSession.createDataFrame([], f"question_id long, {id_col} long, sim double")
+    ids = np.array([r["question_id"] for r in asked], np.int64)
+    q = np.array([r["embedding"] for r in asked], np.float64).T
+    tokens = {t: i for i, t in enumerate(sorted({t for r in asked for t in r["tokens"] or ()}))}
+    asks = np.zeros((len(tokens) + 1, len(asked)), np.float32)  # the last row is of those who read everything
+    for j, r in enumerate(asked):
+        for t in r["tokens"] or ():
+            asks[len(tokens) if t == WILDCARD else tokens[t], j] = 1
+    guarded = "readers" in vectors.columns
+
+    def block(rows: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        own = rows.column(0).to_numpy(zero_copy_only=False)
+        flat = rows.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        sims = np.round(flat.reshape(len(own), -1) @ q, digits)
+        if guarded:
+            reads = np.zeros((len(own), len(tokens) + 1), np.float32)
+            reads[:, -1] = 1
+            lists = rows.column(2)
+            place = np.array([tokens.get(t, -1) for t in lists.flatten().to_pylist()], np.int64)
+            row = np.repeat(np.arange(len(own)), np.diff(lists.offsets.to_numpy()))
+            reads[row[place >= 0], place[place >= 0]] = 1
+            sims[(reads @ asks) == 0] = -np.inf
+        out = []
+        for j in range(sims.shape[1]):
+            column = sims[:, j]
+            if len(column) > limit:  # all that equal the last one kept stay for the order by id
+                near = np.nonzero(column >= np.partition(column, -limit)[-limit])[0]
+            else:
+                near = np.arange(len(column))
+            near = near[np.lexsort((own[near], -column[near]))][:limit]
+            near = near[column[near] > -np.inf]
+            out.append((np.full(len(near), ids[j]), own[near], column[near]))
+        return out
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, TOGETHER):
+                found = block(batch.slice(at, TOGETHER))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in range(3)], ["question_id", id_col, "sim"])
+
+    columns = [F.col(id_col).cast("long").alias(id_col), vector_col] + [F.coalesce("readers", F.array().cast("array<string>")).alias("readers")] * guarded
+    rows = vectors.filter(F.col(vector_col).isNotNull()).select(*columns)
+    return rows.mapInArrow(best, f"question_id long, {id_col} long, sim double")
+
+
+def with_readers(vectors: DataFrame, access: DataFrame, questions: DataFrame, key: str = "email_id") -> DataFrame:
+    """Vectors with `readers`: those principals of access(email_id, principal) that a question asks for."""
+    asking = questions.select(F.explode("tokens").alias("principal")).distinct()
+    readers = access.join(asking, "principal", "left_semi").groupBy(F.col("email_id").alias(key)).agg(F.collect_set("principal").alias("readers"))
+    return vectors.join(readers, key, "left")
+
+
 def similarities(vectors: DataFrame, query: list[float], id_col: str = "vec_id", vector_col: str = "embedding", digits: int | None = 6) -> DataFrame:
     """All products, in SQL, for operators that need more than the best."""
     q = F.array(*[F.lit(float(x)) for x in query])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from palisade.functions import fixed
 from palisade.functions import text as T
 from palisade.operators import acl as A
-from palisade.operators import audit, cache, chunking, evals, fuse, graph, ingest, lexical, routing, vector
+from palisade.operators import audit, blockmax, cache, chunking, evals, fuse, graph, ingest, lexical, positions, routing, vector
 from palisade.plans import relations as R
 from palisade.sources import tables
 
@@ -188,6 +188,42 @@ def bm25_batch(spark, sf_dir):
     return lexical.search_many(index, lengths, asked, R.acl(spark, sf_dir), 5).select("question_id", "chunk_id", "score", "rank")
 
 
+def _blocks(spark, sf_dir) -> blockmax.Index:
+    stored = lambda: _stored_chunks(spark, sf_dir)
+    parts = {"blocks": lambda: blockmax.blocks(stored()), "terms": lambda: blockmax.term_counts(stored()), "lengths": lambda: blockmax.length_counts(stored())}
+    return blockmax.Index(*[_indexed(spark, sf_dir, f"blockmax-{name}", build) for name, build in parts.items()])
+
+
+@query(_with(R.EMAILS, R.ACL, R.CHUNKS, _MINE, _POSTINGS) + _bm25("AND p.chunk_id IN (SELECT chunk_id FROM readable)"))
+def bm25_blockmax(spark, sf_dir):
+    readable = A.SecureCorpus(_stored_chunks(spark, sf_dir), R.acl(spark, sf_dir), ME).readable()
+    return blockmax.search(_blocks(spark, sf_dir), readable, TERMS, 20)
+
+
+@query(ORACLE_SQL["bm25_batch"])
+def bm25_blockmax_batch(spark, sf_dir):
+    asked = R.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.array(F.expr("concat('user:u', item_id % 40)")).alias("tokens"), F.array_distinct(T.terms(F.col("text"))).alias("terms"))
+    return blockmax.search_many(_blocks(spark, sf_dir), asked, R.acl(spark, sf_dir), 5).select("question_id", "chunk_id", "score", "rank")
+
+
+_LEFT = [R.CHUNKS.replace("chunks AS", "whole AS", 1), "chunks AS (SELECT * FROM whole WHERE chunk_id % 50 <> 49)"]
+
+
+@query(_with(R.EMAILS, R.ACL, *_LEFT, _MINE, _POSTINGS) + _bm25("AND p.chunk_id IN (SELECT chunk_id FROM readable)"))
+def bm25_segments(spark, sf_dir):
+    """A corpus that was filled in two goes, of which chunks were removed since."""
+
+    def fill(store: tables.Store) -> None:
+        chunks, late = R.chunks(spark, sf_dir), F.col("email_id") % 10 == 3
+        store.add_chunks(chunks.filter(~late))
+        store.add_chunks(chunks.filter(late))
+        store.remove_chunks(chunks.filter("chunk_id % 50 = 49"))
+
+    store = tables.kept_store(spark, f"{sf_dir}/documents.parquet", "segments", fill)
+    readable = A.SecureCorpus(store.read("chunks"), R.acl(spark, sf_dir), ME).readable()
+    return blockmax.search(store.index(), readable, TERMS, 20)
+
+
 @query("""SELECT doc_id, array_to_string(list_distinct_ordered, ' ') AS terms FROM (SELECT doc_id, list_transform(list_filter(list_zip(ws, range(1, len(ws) + 1)), lambda z: list_position(ws, z[1]) = z[2]), lambda z: z[1]) AS list_distinct_ordered
   FROM (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) > 1 AND NOT list_contains([%s], w)) AS ws FROM documents))""".replace("%s", _quoted(fixed.QUERY_STOP_WORDS)))
 def query_terms(spark, sf_dir):
@@ -217,6 +253,19 @@ def vector_acl_topk(spark, sf_dir):
     return vector.top_k(R.table(spark, sf_dir, "embeddings").join(allowed, "vec_id", "left_semi"), _query_vector(spark, sf_dir), 20)
 
 
+@query(
+    _with(R.EMAILS, R.ACL)
+    + """SELECT question_id, vec_id, sim, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY sim DESC, vec_id) AS rank FROM (
+      SELECT q.vec_id AS question_id, e.vec_id, round(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS sim
+      FROM embeddings q JOIN acl ON acl.principal = 'user:u' || (q.vec_id % 40) JOIN embeddings e ON e.vec_id = acl.email_id WHERE q.vec_id % 50 = 0)) WHERE rank <= 5"""
+)
+def vector_batch(spark, sf_dir):
+    rows = R.table(spark, sf_dir, "embeddings")
+    asked = rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("question_id"), F.array(F.expr("concat('user:u', vec_id % 40)")).alias("tokens"), "embedding")
+    guarded = vector.with_readers(rows.select("vec_id", "embedding"), R.acl(spark, sf_dir), asked, "vec_id")
+    return vector.top_k_many(guarded, asked, 5, "vec_id").select("question_id", "vec_id", "sim", "rank")
+
+
 def _lists(spark, sf_dir) -> dict[str, DataFrame]:
     texts = fuse.ranked(_best_by_words(spark, sf_dir, 20), "bm25")
     vectors = vector_acl_topk(spark, sf_dir).select(F.expr("vec_id * 10000").alias("chunk_id"), "sim")
@@ -815,6 +864,13 @@ def phrase_readable(spark, sf_dir):
     return evals.readable_phrases(items, R.chunks(spark, sf_dir), R.acl(spark, sf_dir))
 
 
+@query(ORACLE_SQL["phrase_readable"])
+def phrase_positions(spark, sf_dir):
+    items = R.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("key"), F.array(F.expr("concat('user:u', item_id % 40)")).alias("tokens"), F.explode(F.array_distinct(T.shingles(T.terms(F.col("text")), 8))).alias("g"))
+    index = _indexed(spark, sf_dir, "positions", lambda: positions.positions(_stored_chunks(spark, sf_dir)))
+    return evals.readable_by_positions(items, index, R.acl(spark, sf_dir))
+
+
 @query(_with(R.EMAILS) + "SELECT email_id, 'From: ' || sender || chr(10) || 'Date: ' || date[1:10] || chr(10) || 'Subject: ' || subject || chr(10) || chr(10) || body[1:3000] AS text FROM emails")
 def mail_prompt(spark, sf_dir):
     return R.emails(spark, sf_dir).select("email_id", T.mail_prompt(F.col("sender"), F.col("date"), F.col("subject"), F.col("body")).alias("text"))

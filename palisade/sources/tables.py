@@ -99,6 +99,16 @@ def indexed(spark: SparkSession, source: str, name: str, build: Callable[[], Dat
     return spark.read.parquet(_kept[key])
 
 
+def kept_store(spark: SparkSession, source: str, name: str, fill: Callable[[Store], None]) -> Store:
+    """A corpus made of the files at `source`, as `indexed` keeps a table."""
+    key = (spark.sparkContext.applicationId, source, name, _stamp(spark, source))
+    if key not in _kept:
+        path = f"{shared_dir(spark)}/store-{name}-{uuid.uuid4().hex}"
+        fill(Store(spark, path))
+        _kept[key] = path
+    return Store(spark, _kept[key])
+
+
 class ModelMismatch(RuntimeError):
     pass
 

@@ -235,3 +235,26 @@ def test_of_two_changes_at_once_one_is_refused(spark, tmp_path):
         mine.append("acl", spark.range(1))
         other.append("acl", spark.range(2))
     assert store.read("acl").count() == 5 and store.snapshot().number == 2
+
+
+def test_vectors_for_many_questions(spark):
+    """As top_k for each question over what its principal may read, ties and an auditor included."""
+    rng = np.random.default_rng(4)
+    raw = rng.integers(-2, 3, (700, 8)).astype(float)  # many equal products
+    vectors = spark.createDataFrame([(i, i // 2, [float(x) for x in v] if i % 50 else None) for i, v in enumerate(raw)], "chunk_id long, email_id long, embedding array<double>")
+    acl = spark.createDataFrame([(i, f"user:u{k}") for i in range(350) for k in range(6) if (i * (k + 3)) % 4 == 0], ACL)
+    asked = [(k, [f"user:u{k % 6}", f"group:g{k}"], [float(x) for x in rng.integers(-2, 3, 8)]) for k in range(12)] + [(50, ["*"], [1.0] * 8), (51, ["user:none"], [1.0] * 8), (52, [], [1.0] * 8)]
+    questions = spark.createDataFrame(asked, "question_id long, tokens array<string>, embedding array<double>")
+    guarded = vector.with_readers(vectors, acl, questions)
+    for size in (5, 2048):
+        vector.TOGETHER = size
+        got = vector.top_k_many(guarded.repartition(3), questions, 7).select("question_id", "rank", "chunk_id", "sim").collect()
+        for key, tokens, q in asked:
+            mine = vectors if "*" in tokens else vectors.join(acl.filter(F.col("principal").isin(*tokens)), "email_id", "left_semi") if tokens else vectors.limit(0)
+            want = [tuple(r) for r in vector.top_k(mine, q, 7, "chunk_id").collect()]
+            assert [(r["chunk_id"], r["sim"]) for r in sorted(got, key=lambda r: r["rank"]) if r["question_id"] == key] == want, key
+    assert vector.top_k_many(guarded, questions.limit(0), 7).count() == 0
+    vector.QUESTIONS = 4
+    again = vector.top_k_many(guarded, questions, 7).select("question_id", "rank", "chunk_id", "sim").collect()
+    vector.QUESTIONS = 4096
+    assert sorted(map(tuple, again)) == sorted(map(tuple, got))
