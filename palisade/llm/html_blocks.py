@@ -2,8 +2,8 @@
 
 A page is cut into blocks at block-level tags. Scripts, styles, heads, forms, menus and
 elements whose tag, role, class or id names them as boilerplate are left out. Inside an
-article only names that can hardly mean anything else count, so a heading in a header, or a
-section named discussion, stays.
+article only names that can hardly mean anything else count, so a heading in a header, a
+section named discussion, or a paragraph named social-policy stays.
 
 Pass one, by stop-word density, length and link density, for every block: one that is mostly
 links is bad; a long one is good with many stop words, bad with next to none, near good in
@@ -55,18 +55,24 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea xmp noembed noframes svg math object canvas audio video select".split())
+FOREIGN = frozenset("svg math".split())
 #: Left out with all that they hold.
 DROPPED = frozenset("head nav aside form button dialog footer menu label fieldset".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-#: Parts of class or id names that say the same, wherever they are.
+#: Class or id names, or parts of them, that say the same.
 STRONG_HINTS = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox banner promo promoted promotion sponsor sponsored "
     "sidebar sidebars widget widgets navbar nav navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr "
     "popup modal newsletter subscribe subscription signup comment comments disqus respond replies share sharing social "
     "related recommended teaser teasers pagination pager".split()
 )
-#: Parts that say so outside an article; inside one the whole name has to.
+#: Parts that say so outside an article.
 HINTS = STRONG_HINTS | frozenset("rail menu masthead topbar header notice notices alert overlay login reply discussion copyright disclaimer skip hidden".split())
+#: Words that say nothing of what a name is about. Inside an article a name says boilerplate if nothing else is in it.
+NEUTRAL = frozenset(
+    "area article articles bar block blocks body bottom box btn button buttons card cards col column container content count entry extra feed form grid group icons id info inline inner "
+    "item items js layout left link links list main mobile module more outer panel post posts right row section slot small space story stories tools top unit widget widgets wrap wrapper zone".split()
+)
 #: These name parts of an article too.
 OF_ARTICLES = frozenset("header masthead topbar discussion".split())
 #: An article of these kinds is not the page's.
@@ -142,7 +148,15 @@ def _boilerplate(tag: str, rest: str, inside: bool) -> bool:
         return True
     if not inside:
         return bool(_parts(names) & HINTS)
-    return bool(_parts(names) & STRONG_HINTS) or any(n.lower() in HINTS - OF_ARTICLES for n in names)
+    return any(_says_boilerplate(n) for n in names)
+
+
+def _says_boilerplate(name: str) -> bool:
+    """Of an element inside an article: `share-buttons` does, `social-policy` and `related-work` may be what it is about."""
+    if name.lower() in HINTS - OF_ARTICLES:
+        return True
+    parts = _parts([name])
+    return bool(parts & STRONG_HINTS) and parts <= STRONG_HINTS | NEUTRAL
 
 
 class _Stack:
@@ -226,7 +240,8 @@ def _tags(source: str) -> Iterator[tuple[str, str, bool, str]]:
         tag, ends, given = (m[2] or "").lower(), bool(m[1]), source[m.end() : end - 1]
         yield source[at : m.start()], tag, ends, given
         at = end
-        if tag in RAW and not ends and not given.rstrip().endswith("/"):
+        # a slash at the end closes foreign elements; of others HTML takes no notice of it
+        if tag in RAW and not ends and not (tag in FOREIGN and given.rstrip().endswith("/")):
             close = re.compile(rf"</{re.escape(tag)}\b", re.I).search(source, at)
             end = source.find(">", close.end()) if close else -1
             at = len(source) if end < 0 else end + 1

@@ -217,6 +217,32 @@ def test_pii_adds_what_context_and_shape_tell(spark):
     assert [tuple(s) for s in got[2000]["spans"]] == [(0, 9, 35)] and not got[2001]["spans"] and not got[2002]["spans"]
 
 
+def test_html_names_inside_articles_and_raw_elements():
+    long = "The text of this part is about what the state and the people in it do for each other, and it has to be kept as a whole."
+    page = lambda inside: f"<html><body><nav><a href='/'>home</a></nav><article><h1>Title</h1><p>{long}</p>{inside}<p>{long}</p></article></body></html>"
+    kept = lambda inside: html_blocks.main_text(page(inside)).split("\n")[2:-1]
+    for name in ("social-policy", "related-work", "ad-hoc", "sharing-economy", "newsletter-archive-study"):
+        assert kept(f'<p class="{name}">{long} {name}</p>') == [f"{long} {name}"], name
+    for name in ("share", "share-buttons", "related posts", "adBox", "comment-list", "newsletter_form", "promo-block top"):
+        assert kept(f'<div class="{name}">{long}</div>') == [], name
+    assert kept('<script src="x"/>var a=1;</script>') == [] == kept("<style/>p {}</style>")
+    assert kept('<svg viewBox="0"/><p>after</p>') == ["after"] and kept('<svg><text>x</text></svg><p>after</p>') == ["after"]
+
+
+def test_html_rules_decide_where_no_mark_does(monkeypatch):
+    """A page of unmarked blocks: without density, length and links all of them would be alike."""
+    good = "It is not the size of the house that was of use to them but that it was on the way to the sea and in the sun for most of the day, and that all of it was to be had for less than they had in the bank. To be in it was to be on a ship."
+    list_of = " ".join(f'<a href="/{k}">Page number {k} of ours</a>' for k in range(12))
+    terms = "Anbieter Kennzeichen Impressum Datenschutz Haftung Versand Rückgabe Zahlung Lieferung Konto Hilfe Presse Karriere Partner Filialen Gutscheine"
+    page = f"<body><div>Start</div><div>{list_of}</div><div>{good}</div><div>So it was.</div><div>{good}</div><div>{terms}</div><div>Top</div></body>"
+    want = "\n".join([good, "So it was.", good])
+    assert html_blocks.main_text(page) == want
+    for removed in ("classify", "inherit"):
+        with monkeypatch.context() as m:
+            m.setattr(html_blocks, removed, lambda *a: None)
+            assert html_blocks.main_text(page) != want
+
+
 def test_pii_of_long_texts_takes_linear_time(spark):
     import time
 
