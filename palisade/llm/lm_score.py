@@ -17,7 +17,7 @@ is held out if the crc32 of its id, written as text, leaves HELD_OUT modulo FOLD
    A copy is trained on one shard: about SHARD_TOKENS tokens of the round, dealt by a hash of
    id and text and taken in its order. How many shards there are follows from the number of
    training tokens, so how the input is split into files and partitions has no part in the
-   weights. Weights are averaged in BLOCKS pieces, each in LOTS lots first, in the order of
+   weights. Weights are averaged in BLOCKS pieces, each in lots first, in the order of
    shards, so no task reads more than a small share of all copies, and the driver gets one copy.
    Weights start as the counts' own distribution, so with little text the model is no worse.
 4. Scores. The model scores whole texts, its state carried across windows. A word outside the
@@ -35,7 +35,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import groupby
-from math import log
+from math import ceil, log, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -56,8 +56,8 @@ END = np.uint64(0x5EED0FE17D)
 FLUSH_WORDS = 400_000
 #: Texts are cut together up to so many bytes, learnt and scored together up to so many tokens.
 TOGETHER, TOKENS = 4 << 20, 1 << 20
-#: Weights are averaged in so many pieces, and each piece in so many lots.
-BLOCKS, LOTS = 64, 32
+#: Weights are averaged in so many pieces, and each piece in as many lots as a lot has copies.
+BLOCKS = 64
 #: Tokens that one copy learns from in one round.
 SHARD_TOKENS = 400_000
 
@@ -259,6 +259,7 @@ def learned(texts: DataFrame, model: Model) -> gru.Weights:
     spark = texts.sparkSession
     like, flat = {k: v.shape for k, v in model.weights.items()}, vector(model.weights)
     seen, shards = vector(gru.unseen(model.weights)), shards_of(model.tokens)
+    lots = ceil(sqrt(shards))
     key = F.xxhash64("doc_id", "ids")
     keyed = texts.select("slice", key.alias("key"), "doc_id", "ids").withColumn("shard", F.pmod(F.shiftright("key", 20), F.lit(shards)))
     for turn in range(ROUNDS):
@@ -270,7 +271,7 @@ def learned(texts: DataFrame, model: Model) -> gru.Weights:
                 for ids in pools:
                     trainer.learn(ids)
                 both = zip(np.array_split(vector(trainer.weights), BLOCKS), np.array_split(vector(trainer.seen), BLOCKS), strict=True)
-                yield _copy_rows([(k, shard % LOTS, shard, trainer.tokens, np.concatenate(parts)) for k, parts in enumerate(both)])
+                yield _copy_rows([(k, shard % lots, shard, trainer.tokens, np.concatenate(parts)) for k, parts in enumerate(both)])
 
         dealt = keyed.filter(F.col("slice") == turn).repartition(shards, "shard").sortWithinPartitions("shard", "key", "doc_id", "ids")
         copies = dealt.select("shard", "ids").mapInArrow(learn, _COPY)
