@@ -24,10 +24,11 @@ from pyspark.sql import functions as F
 from palisade.functions import fixed
 from palisade.functions import text as T
 from palisade.models import ANSWERING, Model, Offline, Prompt, Reply, estimate
-from palisade.operators import audit, blockmax, cache, fuse, graph, lexical, routing, vector
+from palisade.operators import acl as A
+from palisade.operators import audit, batch, blockmax, cache, fuse, graph, lexical, routing, vector
 from palisade.operators.acl import Principal, SecureCorpus
 from palisade.sources.files import Directory, Settings
-from palisade.sources.tables import Store, delete, shared_dir
+from palisade.sources.tables import Store, delete, settled, shared_dir
 
 #: (question, numbered context) -> answer with [n] citations
 Answerer = Callable[[str, list[tuple[int, str]]], str]
@@ -282,7 +283,7 @@ class Engine:
         seeds = self.seeds(question) if s.use_graph else []
         if seeds:
             start = self.spark.createDataFrame([(x,) for x in seeds], "node string")
-            lists["graph"] = fuse.ranked(graph.expand(start, corpus.only(self.known["edges"]), corpus.only(self.known["mentions"]), self.idf(), limit=s.candidate_k), "graph")
+            lists["graph"] = fuse.ranked(graph.expand(start, self.known["edges"], self.known["mentions"], self.idf(), limit=s.candidate_k, readable=corpus.readable(), adjacent=self.adjacent()), "graph")
         if not lists:
             return []
         pool = fuse.candidates(fuse.rrf(lists), s.top_k, s.use_reranker)
@@ -292,6 +293,43 @@ class Engine:
         found = rows.orderBy(F.desc("score"), "chunk_id").select("chunk_id", "email_id", "text", F.map_contains_key("sources", "graph").alias("g")).collect()
         return [tuple(r) for r in found]
 
+    def word_index(self) -> blockmax.Index:
+        """The blocks of postings: the store's, or made of the chunks once."""
+        if self.words is None:
+            parts = {"blocks": blockmax.blocks, "term_counts": blockmax.term_counts, "length_counts": blockmax.length_counts}
+            self.words = blockmax.Index(*[self._part(name, lambda f=f: f(self.chunks)) for name, f in parts.items()])
+        return self.words
+
+    def adjacent(self) -> DataFrame:
+        return self._part("adjacency", lambda: graph.adjacency(self.known["edges"]))
+
+    def retrieve_many(self, questions: DataFrame, settings: Settings | None = None) -> DataFrame:
+        """(question_id, chunk_id, email_id, text, from_graph, rank) for questions(question_id, question, principal).
+
+        The rows of `retrieve` for each question, in a number of jobs that doesn't grow with
+        the questions. Their principals, few of them, are resolved on the driver.
+        """
+        s, spark = settings or self.settings, self.spark
+        users = [(r["principal"], self.principal(r["principal"]).tokens) for r in questions.select("principal").distinct().collect()]
+        tokens = spark.createDataFrame(users, "principal string, tokens array<string>")
+        asked = settled(questions.select("question_id", "question", "principal").join(F.broadcast(tokens), "principal").withColumn("terms", T.query_terms(F.col("question"))))
+        owners, lists = self.chunks.select("chunk_id", "email_id"), {}
+        if s.retrieval_mode in ("hybrid", "bm25"):
+            lists["bm25"] = blockmax.search_many(self.word_index(), asked, self.acl, s.candidate_k)
+        if s.retrieval_mode in ("hybrid", "vector"):
+            guarded = vector.with_readers(self.vectors().join(owners, "chunk_id"), self.acl, asked)
+            lists["vector"] = vector.top_k_many(guarded, vector.embed_questions(asked, self.embedder), s.candidate_k)
+        if s.use_graph and self.known is not None:
+            start = batch.seeds(asked, self.aliases()).select("question_id", F.col("entity_id").alias("node"))
+            lists["graph"] = batch.expand(start, self.adjacent(), self.known["mentions"], self.idf(), owners, asked, self.acl, limit=s.candidate_k, settle=settled)
+        fused = fuse.rrf(lists, by=("question_id", "chunk_id"))
+        pool = batch.best(fused, fuse.pool_size(s.top_k, s.use_reranker)).drop("rank")
+        # the guard of `retrieve`: texts are read through the rights once more
+        rows = A.allowed(pool.join(self.chunks.select("chunk_id", "email_id", "text"), "chunk_id"), asked, self.acl)
+        rows = rows.join(asked.select("question_id", "question"), "question_id").withColumn("from_graph", F.map_contains_key("sources", "graph")).drop("sources")
+        rows = batch.rerank(rows, self.scorer, s.top_k) if s.use_reranker else batch.best(rows, s.top_k)
+        return rows.select("question_id", "chunk_id", "email_id", "text", "from_graph", "rank")
+
     def ask(self, question: str, user: str, model: str | None = None) -> Answer:
         began, who = time.perf_counter(), self.principal(user)
         context = self.retrieve(question, who)

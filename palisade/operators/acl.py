@@ -31,6 +31,18 @@ class Principal:
         return [WILDCARD] if self.is_auditor else sorted({f"user:{self.user}", *(f"group:{g}" for g in self.groups)})
 
 
+def allowed(rows: DataFrame, questions: DataFrame, access: DataFrame) -> DataFrame:
+    """Those of rows(question_id, email_id, ...) that the question's own tokens may read.
+
+    questions(question_id, tokens), access(email_id, principal). The wildcard reads everything.
+    """
+    asking = questions.select("question_id", F.explode("tokens").alias("principal"))
+    everything = asking.filter(F.col("principal") == WILDCARD).select("question_id").distinct().withColumn("__all", F.lit(True))
+    may = asking.join(access, "principal").select("question_id", "email_id").distinct().withColumn("__may", F.lit(True))
+    flagged = rows.join(may, ["question_id", "email_id"], "left").join(everything, "question_id", "left")
+    return flagged.filter(F.col("__may").isNotNull() | F.col("__all").isNotNull()).select(rows.columns)
+
+
 @dataclass(frozen=True)
 class Grant:
     """One rule; patterns are shell patterns on `mailbox/folder`."""

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from palisade.functions import text as T
 from palisade.operators import lexical
+from palisade.operators.acl import allowed
 
 RANGE = 512
 #: Ranges of a question that are scored before there is a threshold.
@@ -202,7 +203,6 @@ def search_many(index: Index, questions: DataFrame, access: DataFrame | None, li
     """
     df = index.terms.groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0")
     asked = questions.select("question_id", F.explode("terms").alias("term")).join(df, "term").select("question_id", "term", index.idf(F.col("df")).alias("idf"))
-    may = None if access is None else questions.select("question_id", F.explode("tokens").alias("principal")).join(access, "principal").select("question_id", "email_id").distinct()
 
     best = F.array_max(F.transform("front", lambda f: index.weight(f["tf"], f["dl"])))
     fronts = index.blocks.select("term", "seg", "range", best.alias("best"))
@@ -214,8 +214,8 @@ def search_many(index: Index, questions: DataFrame, access: DataFrame | None, li
         needed = asked.join(some.select("question_id", "seg", "range"), "question_id")
         hits = needed.join(index.blocks.select("term", "seg", "range", "rows"), ["term", "seg", "range"]).select("question_id", "term", "idf", "seg", F.inline("rows"))
         hits = index.without_removed(hits)
-        if may is not None:
-            hits = hits.join(may, ["question_id", "email_id"], "left_semi")
+        if access is not None:
+            hits = allowed(hits, questions, access)
         return hits.groupBy("question_id", "chunk_id").agg(F.round(F.sum(F.col("idf") * index.weight(F.col("tf"), F.col("dl"))), 6).alias("score"))
 
     ranked = Window.partitionBy("question_id").orderBy(F.desc("score"), "chunk_id")

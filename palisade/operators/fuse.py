@@ -17,27 +17,31 @@ def ranked(rows: DataFrame, name: str, score_col: str = "score", id_col: str = "
     return rows.select(F.col(id_col).alias("chunk_id"), F.lit(name).alias("list"), F.row_number().over(w).alias("rank"))
 
 
-def rrf(lists: dict[str, DataFrame], digits: int = 9) -> DataFrame:
-    """(chunk_id, score, sources) by reciprocal rank fusion; sources maps a list's name to the rank.
+def rrf(lists: dict[str, DataFrame], digits: int = 9, by: tuple[str, ...] = ("chunk_id",)) -> DataFrame:
+    """(*by, score, sources) by reciprocal rank fusion; sources maps a list's name to the rank.
 
     Parts are added in the order of the names given, so that sums are the same everywhere.
     """
     every = None
     for name, rows in lists.items():
-        part = rows.select("chunk_id", F.lit(name).alias("list"), "rank")
+        part = rows.select(*by, F.lit(name).alias("list"), "rank")
         every = part if every is None else every.unionByName(part)
-    ranks = every.groupBy("chunk_id").agg(*[F.min(F.when(F.col("list") == name, F.col("rank"))).alias(f"r_{name}") for name in lists])
+    ranks = every.groupBy(*by).agg(*[F.min(F.when(F.col("list") == name, F.col("rank"))).alias(f"r_{name}") for name in lists])
     total, entries = F.lit(0.0), []
     for name in lists:
         r = F.col(f"r_{name}")
         total = total + F.when(r.isNotNull(), F.lit(fixed.RRF_WEIGHTS.get(name, 1.0)) / (fixed.RRF_K + r)).otherwise(0.0)
         entries.append(F.when(r.isNotNull(), F.struct(F.lit(name).alias("k"), r.cast("double").alias("v"))))
     sources = F.map_from_entries(F.array_compact(F.array(*entries)))
-    return ranks.select("chunk_id", F.round(total, digits).alias("score"), sources.alias("sources"))
+    return ranks.select(*by, F.round(total, digits).alias("score"), sources.alias("sources"))
+
+
+def pool_size(top_k: int, reranked: bool) -> int:
+    return max(3 * top_k, 20) if reranked else top_k
 
 
 def candidates(fused: DataFrame, top_k: int, reranked: bool) -> DataFrame:
-    size = max(3 * top_k, 20) if reranked else top_k
+    size = pool_size(top_k, reranked)
     return fused.orderBy(F.desc("score"), "chunk_id").limit(size)
 
 

@@ -57,7 +57,8 @@ def top_k_many(vectors: DataFrame, questions: DataFrame, limit: int, id_col: str
     """
     asked = questions.select("question_id", "tokens", "embedding").orderBy("question_id")
     n = asked.count()
-    parts = [_pass(vectors, asked.offset(at).limit(QUESTIONS).collect(), limit, id_col, vector_col, digits) for at in range(0, max(n, 1), QUESTIONS)]
+    kind = asked.schema["question_id"].dataType.simpleString()
+    parts = [_pass(vectors, asked.offset(at).limit(QUESTIONS).collect(), kind, limit, id_col, vector_col, digits) for at in range(0, max(n, 1), QUESTIONS)]
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
@@ -65,10 +66,10 @@ def top_k_many(vectors: DataFrame, questions: DataFrame, limit: int, id_col: str
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= limit)
 
 
-def _pass(vectors: DataFrame, asked: list, limit: int, id_col: str, vector_col: str, digits: int) -> DataFrame:
+def _pass(vectors: DataFrame, asked: list, kind: str, limit: int, id_col: str, vector_col: str, digits: int) -> DataFrame:
     if not asked:
-        return vectors.sparkSession.createDataFrame([], f"question_id long, {id_col} long, sim double")
-    ids = np.array([r["question_id"] for r in asked], np.int64)
+        return vectors.sparkSession.createDataFrame([], f"question_id {kind}, {id_col} long, sim double")
+    ids = pa.array([r["question_id"] for r in asked])
     q = np.array([r["embedding"] for r in asked], np.float64).T
     tokens = {t: i for i, t in enumerate(sorted({t for r in asked for t in r["tokens"] or ()}))}
     asks = np.zeros((len(tokens) + 1, len(asked)), np.float32)  # the last row is of those who read everything
@@ -98,19 +99,19 @@ def _pass(vectors: DataFrame, asked: list, limit: int, id_col: str, vector_col:
                 near = np.arange(len(column))
             near = near[np.lexsort((own[near], -column[near]))][:limit]
             near = near[column[near] > -np.inf]
-            out.append((np.full(len(near), ids[j]), own[near], column[near]))
+            out.append((np.full(len(near), j), own[near], column[near]))
         return out
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, TOGETHER):
                 found = block(batch.slice(at, TOGETHER))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in range(3)], ["question_id", id_col, "sim"])
+                which, own, sims = (pa.array(np.concatenate([f[k] for f in found])) for k in range(3))
+                yield pa.RecordBatch.from_arrays([ids.take(which), own, sims], ["question_id", id_col, "sim"])
 
     columns = [F.col(id_col).cast("long").alias(id_col), vector_col] + [F.coalesce("readers", F.array().cast("array<string>")).alias("readers")] * guarded
     rows = vectors.filter(F.col(vector_col).isNotNull()).select(*columns)
-    return rows.mapInArrow(best, f"question_id long, {id_col} long, sim double")
+    return rows.mapInArrow(best, f"question_id {kind}, {id_col} long, sim double")
 
 
 def with_readers(vectors: DataFrame, access: DataFrame, questions: DataFrame, key: str = "email_id") -> DataFrame:
@@ -216,6 +217,16 @@ def embed(rows: DataFrame, text_col: str = "text", out_col: str = "embedding", e
     return rows.withColumn(out_col, encode(F.col(text_col)))
 
 
+def embed_questions(questions: DataFrame, embedder: Embedder, text_col: str = "question") -> DataFrame:
+    """Adds the vectors of questions, which an embedder may make otherwise than those of passages."""
+
+    @F.pandas_udf("array<double>")
+    def encode(texts: pd.Series) -> pd.Series:
+        return pd.Series([[float(x) for x in embedder.query(t or "")] for t in texts])
+
+    return questions.withColumn("embedding", encode(F.col(text_col)))
+
+
 def table(chunks: DataFrame, embedder: Embedder) -> DataFrame:
     """(chunk_id, embedding, model): the vector table of a corpus."""
     return embed(chunks.select("chunk_id", "text"), embedder=embedder).select("chunk_id", "embedding", F.lit(embedder.name).alias("model"))

@@ -99,6 +99,14 @@ def indexed(spark: SparkSession, source: str, name: str, build: Callable[[], Dat
     return spark.read.parquet(_kept[key])
 
 
+def settled(rows: DataFrame) -> DataFrame:
+    """Rows written in the shared folder and read again; they go when the driver ends."""
+    path = f"{shared_dir(rows.sparkSession)}/settled-{uuid.uuid4().hex}"
+    _kept[("settled", path)] = path
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def kept_store(spark: SparkSession, source: str, name: str, fill: Callable[[Store], None]) -> Store:
     """A corpus made of the files at `source`, as `indexed` keeps a table."""
     key = (spark.sparkContext.applicationId, source, name, _stamp(spark, source))
