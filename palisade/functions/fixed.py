@@ -76,3 +76,15 @@ PROBES = {
         "about {subject} from {who} verbatim."
     ),
 }
+
+# Ways to ask the same, one for each reader.
+TEMPLATES = (
+    "What did {who} say about {subject}?",
+    "What did {who} say regarding {subject}?",
+    "what did {who} say about {subject}",
+    "What has {who} said about {subject}?",
+)
+
+# The answer of a model that declines, and the length of an offline one that fills a schema.
+DECLINED = "The model declined to answer this request."
+OFFLINE_JSON_TOKENS = 20

@@ -21,24 +21,36 @@ def rank_metrics(results: DataFrame, relevant: DataFrame, k: int, runs: DataFram
     config that has results. Only the first place of a repeated result counts. A
     question without results, or without relevant documents, scores zero.
     """
-    if runs is None:
-        configs = [r["config"] for r in results.select("config").distinct().collect()]  # a few ways to retrieve
-        every = F.array(*map(F.lit, configs)) if configs else F.array().cast("array<string>")
-        runs = relevant.select("question_id").union(results.select("question_id")).distinct().select(F.explode(every).alias("config"), "question_id")
-    first = results.groupBy("config", "question_id", "doc").agg(F.min("rank").alias("rank"))
-    w = Window.partitionBy("config", "question_id").orderBy("rank", "doc")
-    placed = first.withColumn("place", F.row_number().over(w))
-    marked = placed.join(relevant.distinct().withColumn("rel", F.lit(1)), ["question_id", "doc"], "left")
-    hit = F.col("rel").isNotNull() & (F.col("place") <= k)
-    per = marked.groupBy("config", "question_id").agg(
-        F.sum(hit.cast("double")).alias("hits"),
-        F.min(F.when(F.col("rel").isNotNull(), F.col("place"))).alias("first"),
-        F.sum(F.when(hit, 1 / F.log2(F.col("place") + 1.0)).otherwise(0.0)).alias("dcg"),
-    )
-    sizes = relevant.distinct().groupBy("question_id").agg(F.count("*").alias("n"))
+    asked = results if runs is None else runs
+    configs = sorted(r["config"] for r in asked.select("config").distinct().collect())  # a few ways to retrieve
+    if not configs:
+        return results.sparkSession.createDataFrame([], f"config string, question_id {results.schema['question_id'].dataType.simpleString()}, recall double, hit double, mrr double, ndcg double")
+    doc = results.schema["doc"].dataType
+    empty = lambda kind: F.lit(None).cast(kind)
+    rows = results.select("question_id", F.lit("got").alias("kind"), "config", "doc", "rank")
+    rows = rows.unionByName(relevant.select("question_id", F.lit("rel").alias("kind"), empty("string").alias("config"), F.col("doc").cast(doc).alias("doc"), empty("int").alias("rank")))
+    if runs is not None:
+        rows = rows.unionByName(runs.select("question_id", F.lit("run").alias("kind"), "config", empty(doc).alias("doc"), empty("int").alias("rank")))
+    # all that follows is by question and more, so this is the only shuffle
+    rows = rows.repartition("question_id")
+    first = rows.groupBy("question_id", "kind", "config", "doc").agg(F.min("rank").alias("rank"))
+    of_doc = Window.partitionBy("question_id", "doc")
+    place = Window.partitionBy("question_id", "kind", "config").orderBy("rank", "doc")
+    marked = first.withColumn("rel", F.max((F.col("kind") == "rel").cast("int")).over(of_doc) == 1).withColumn("place", F.row_number().over(place))
+    got, near = F.col("kind") == "got", F.col("place") <= k
+    one = lambda i, c: [
+        F.max((F.col("kind") == "run") & (F.col("config") == c)).alias(f"run{i}"),
+        F.sum((got & F.col("rel") & near & (F.col("config") == c)).cast("double")).alias(f"hits{i}"),
+        F.min(F.when(got & F.col("rel") & (F.col("config") == c), F.col("place"))).alias(f"first{i}"),
+        F.sum(F.when(got & F.col("rel") & near & (F.col("config") == c), 1 / F.log2(F.col("place") + 1.0)).otherwise(0.0)).alias(f"dcg{i}"),
+    ]
+    per = marked.groupBy("question_id").agg(F.sum((F.col("kind") == "rel").cast("int")).alias("n"), *[x for i, c in enumerate(configs) for x in one(i, c)])
+    each = F.array(*[F.struct(F.lit(c).alias("config"), *[F.col(f"{name}{i}").alias(name) for name in ("run", "hits", "first", "dcg")]) for i, c in enumerate(configs)])
+    joined = per.select("question_id", "n", F.inline(each))
+    if runs is not None:
+        joined = joined.filter("run")
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(k)).cast("int")), F.lit(0.0), lambda acc, i: acc + 1 / F.log2(i + 1.0))
-    joined = runs.distinct().join(per, ["config", "question_id"], "left").join(sizes, "question_id", "left")
-    some = (F.col("n") > 0) & F.col("hits").isNotNull()
+    some = F.col("n") > 0
     return joined.select(
         "config",
         "question_id",
