@@ -2,7 +2,7 @@
 
 Turns are ordered by turn, role and text; ties and repeated rows keep a place each. A
 conversation is cut into stretches that are formatted apart, so one that holds a third of all
-rows is spread over many tasks; only the stretches' results meet. A stretch is PIECE turn
+rows is spread over many tasks; only the stretches' results meet, one at a time. A stretch is PIECE turn
 numbers. If any stretch had more than CROWD times PIECE rows, as turns share a number, all
 stretches are PIECE turns by their place instead. To give places without gathering a
 conversation, repeated rows are counted first, rows are dealt into ranges of their order and
@@ -20,6 +20,7 @@ a turn or open another, and every text comes back as it was.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from typing import Any
@@ -199,14 +200,42 @@ def read_back(pieces: DataFrame) -> DataFrame:
 def digests(pieces: DataFrame) -> DataFrame:
     """Per conversation: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
 
-    A digest runs over one conversation's text in order, so the results of its stretches,
-    PIECE times fewer than its turns, meet in one row.
+    A digest runs over one conversation's text in order, so its stretches pass through one
+    task, sorted, one after the other; nothing of them is kept but the state of the two hashes.
     """
-    per = read_back(pieces).groupBy("conv_id").agg(
-        F.sum("n_turns").alias("n_turns"),
-        F.sum("formatted_chars").alias("formatted_chars"),
-        F.sort_array(F.collect_list(F.struct("piece", "turns", "loss"))).alias("p"),
-    )
-    turns = F.array_join(F.transform("p", lambda x: x["turns"]), "")
-    loss = F.array_join(F.transform("p", lambda x: x["loss"]), "")
-    return per.select("conv_id", "n_turns", F.sha2(turns, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")
+    ordered = read_back(pieces).repartition("conv_id").sortWithinPartitions("conv_id", "piece")
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: _Running | None = None
+        for batch in batches:
+            done = []
+            for conv, turns, loss, n, chars in zip(*(batch.column(k) for k in (0, 2, 3, 4, 5)), strict=True):
+                if now is None or now.conv_id != conv.as_py():
+                    done += [now.result()] if now else []
+                    now = _Running(conv.as_py())
+                now.add(turns.as_py(), loss.as_py(), n.as_py(), chars.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], kinds[k]) for k in range(6)], names)
+        if now:
+            yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(now.result(), kinds, strict=True)], names)
+
+    return ordered.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+class _Running:
+    """The hashes and counts of one conversation so far."""
+
+    def __init__(self, conv_id: int | None):
+        self.conv_id, self.turns, self.loss = conv_id, hashlib.sha256(), hashlib.sha256()
+        self.n_turns = self.loss_chars = self.formatted_chars = 0
+
+    def add(self, turns: str, loss: str, n_turns: int, formatted_chars: int) -> None:
+        self.turns.update(turns.encode("utf-8", "surrogatepass"))
+        self.loss.update(loss.encode("utf-8", "surrogatepass"))
+        self.n_turns += n_turns
+        self.loss_chars += len(loss)
+        self.formatted_chars += formatted_chars
+
+    def result(self) -> tuple[int | None, int, str, int, str, int]:
+        return self.conv_id, self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.formatted_chars

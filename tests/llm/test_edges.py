@@ -755,3 +755,22 @@ def test_without_the_subpackage(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'bm25_acl_topk' in q and not any(n.startswith('op') for n in q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin"})
+
+
+def test_digests_of_a_long_conversation_gather_nothing(spark):
+    """A conversation of thousands of stretches, one without an id and short ones, by brute force."""
+    import hashlib
+
+    talks = {1: 20_000, None: 5, 2: 1, 3: 700}
+    rows = [(c, t, "assistant" if t % 2 else "user", f"t{t} </s> \u00e9" if t % 3 else None) for c, n in talks.items() for t in range(n)]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(7)
+    found = chat_format.digests(chat_format.formatted(df, piece=8))
+    assert "collect_list(struct(piece" not in found._jdf.queryExecution().toString()
+    got = {r["conv_id"]: r for r in found.collect()}
+    assert set(got) == set(talks)
+    for c, n in talks.items():
+        turns = [(r, t or "") for conv, _, r, t in rows if conv == c]
+        loss = "".join(t for r, t in turns if r == "assistant")
+        assert got[c]["n_turns"] == n and got[c]["loss_chars"] == len(loss)
+        assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+        assert got[c]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
