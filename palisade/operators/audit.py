@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palisade.operators import ranks
+from palisade.sources.tables import settled
+
+SHARES = {"median": 0.5, "p95": 0.95}
+NEAREST = {"nearest_p95": lambda n: F.floor((n - 1) * 0.95), "upper_median": lambda n: F.floor(n / 2)}
+
 
 def append(log_path: str, rows: DataFrame) -> None:
     rows.write.mode("append").parquet(log_path)
@@ -25,17 +31,17 @@ def accesses(log: DataFrame) -> DataFrame:
 
 
 def metrics(log: DataFrame) -> DataFrame:
-    """One row: queries, hit rate, cost, latency percentiles, events and the mix of models."""
+    """One row: queries, hit rate, cost, latency percentiles and events."""
     rows = log.agg(
         F.count("*").alias("queries"),
         F.round(F.avg((F.col("cache_status") == "hit").cast("double")), 3).alias("hit_rate"),
         F.round(F.sum("cost_usd"), 4).alias("total_cost"),
         F.round(F.avg("cost_usd"), 6).alias("avg_cost"),
-        F.round(F.percentile("latency_ms", F.lit(0.5)), 1).alias("p50_ms"),
-        F.round(F.percentile("latency_ms", F.lit(0.95)), 1).alias("p95_ms"),
         F.coalesce(F.sum(F.size("security_events").cast("long")), F.lit(0)).alias("security_events"),
     )
-    return rows
+    latency = settled(percentiles(log))  # one row
+    at = lambda name, out: F.round(latency.select(name).scalar(), 1).alias(out)
+    return rows.select("queries", "hit_rate", "total_cost", "avg_cost", at("median", "p50_ms"), at("p95", "p95_ms"), "security_events")
 
 
 def model_mix(log: DataFrame) -> DataFrame:
@@ -43,14 +49,16 @@ def model_mix(log: DataFrame) -> DataFrame:
 
 
 def percentiles(log: DataFrame, column: str = "latency_ms") -> DataFrame:
-    """Interpolated median and 95th percentile."""
-    return log.agg(F.percentile(column, F.lit(0.5)).alias("median"), F.percentile(column, F.lit(0.95)).alias("p95"))
+    """Interpolated median and 95th percentile, in one row."""
+    found = ranks.percentiles(log, column, SHARES)
+    return found.agg(*[F.max(F.when(F.col("name") == name, F.col("value"))).alias(name) for name in SHARES])
+
+
+def percentiles_by(log: DataFrame, by: list[str], column: str = "latency_ms") -> DataFrame:
+    """(by..., name, value): interpolated and nearest-rank percentiles of every group at once."""
+    return ranks.percentiles(log, column, SHARES, by).unionByName(ranks.at_ranks(log, column, NEAREST, by).select(*by, "name", "value"))
 
 
-def nearest_ranks(log: DataFrame, column: str = "latency_ms", id_col: str = "id") -> DataFrame:
-    """(name, value) of the nearest-rank 95th percentile and the upper median, without gathering the values."""
-    n = log.filter(F.col(column).isNotNull()).count()
-    out = [("nearest_p95", int(0.95 * (n - 1))), ("upper_median", n // 2)]
-    rows = log.filter(F.col(column).isNotNull()).select(column, id_col).orderBy(column, id_col)
-    picked = [rows.offset(max(place, 0)).limit(1).select(F.lit(name).alias("name"), F.col(column).alias("value")) for name, place in out]
-    return picked[0].unionByName(picked[1])
+def nearest_ranks(log: DataFrame, column: str = "latency_ms") -> DataFrame:
+    """(name, value) of the nearest-rank 95th percentile and the upper median."""
+    return ranks.at_ranks(log, column, NEAREST).select("name", "value")

@@ -114,6 +114,73 @@ def _pass(vectors: DataFrame, asked: list, kind: str, limit: int, id_col: str, v
     return rows.mapInArrow(best, f"question_id {kind}, {id_col} long, sim double")
 
 
+#: Centres of a similarity join, and rows of one side that meet in one task.
+CENTRES, MEET = 64, 2048
+
+
+def near_pairs(entries: DataFrame, questions: DataFrame, threshold: float, digits: int | None = 6) -> DataFrame:
+    """(question_id, entry_id, sim) of all pairs with a product of `threshold` or more.
+
+    An entry is filed under the nearest of CENTRES entries drawn by a hash of the id. No product of a
+    question q with the entries of a centre c is above q.c + |q| times the greatest distance from
+    c, so a question is sent only to centres that can reach the threshold: nothing is lost. The
+    entries and questions of a centre are dealt into blocks of about MEET, and each pair of blocks is
+    one matrix product, so copies of one entry or question fill no task. Rows without a
+    vector are left out.
+    """
+    have = entries.filter(F.col("embedding").isNotNull()).select(F.col("entry_id").cast("long").alias("entry_id"), "embedding")
+    asked = questions.filter(F.col("embedding").isNotNull()).select("question_id", "embedding")
+    spark, kind = have.sparkSession, asked.schema["question_id"].dataType.simpleString()
+    out = f"question_id {kind}, entry_id long, sim double"
+    drawn = have.select("embedding", F.xxhash64("entry_id").alias("h")).orderBy("h").limit(CENTRES).collect()
+    if not drawn:
+        return spark.createDataFrame([], out)
+    centres = np.array([r["embedding"] for r in drawn], np.float64)
+    squares = (centres**2).sum(axis=1)
+
+    def matrix(part: pd.DataFrame) -> np.ndarray:
+        return np.stack([np.asarray(v, np.float64) for v in part["embedding"]])
+
+    def file(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            if len(part):
+                m = matrix(part)
+                near = np.argmin(squares - 2 * (m @ centres.T), axis=1)
+                yield part.assign(c=near, away=np.linalg.norm(m - centres[near], axis=1))
+
+    filed = have.mapInPandas(file, "entry_id long, embedding array<double>, c int, away double")
+    sizes = {r["c"]: (r["n"], r["away"]) for r in filed.groupBy("c").agg(F.count("*").alias("n"), F.max("away").alias("away")).collect()}
+    reach = np.array([sizes[c][1] if c in sizes else -np.inf for c in range(len(centres))])
+
+    def send(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            if len(part):
+                m = matrix(part)
+                norms = np.linalg.norm(m, axis=1)[:, None]
+                can = m @ centres.T + norms * reach + 1e-5 * (1 + norms) >= threshold
+                row, c = np.nonzero(can)
+                yield part.iloc[row].assign(c=c)
+
+    sent = asked.mapInPandas(send, f"question_id {kind}, embedding array<double>, c int")
+    many = {r["c"]: r["n"] for r in sent.groupBy("c").agg(F.count("*").alias("n")).collect()}
+    blocks = [(c, -(-n // MEET), -(-many[c] // MEET)) for c, (n, _) in sizes.items() if c in many]
+    dealt = F.broadcast(spark.createDataFrame(blocks, "c int, of_e long, of_q long"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = filed.join(dealt, "c").withColumn("e", F.pmod(F.xxhash64("entry_id"), F.col("of_e"))).withColumn("q", each("of_q"))
+    right = sent.join(dealt, "c").withColumn("q", F.pmod(F.xxhash64("question_id"), F.col("of_q"))).withColumn("e", each("of_e"))
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"question_id": [], "entry_id": [], "sim": []})
+        sims = matrix(b) @ matrix(a).T
+        sims = sims if digits is None else np.round(sims, digits)
+        j, i = np.nonzero(sims >= threshold)
+        return pd.DataFrame({"question_id": b["question_id"].to_numpy()[j], "entry_id": a["entry_id"].to_numpy()[i], "sim": sims[j, i]})
+
+    key = ["c", "e", "q"]
+    return left.select(*key, "entry_id", "embedding").groupBy(*key).cogroup(right.select(*key, "question_id", "embedding").groupBy(*key)).applyInPandas(meet, out)
+
+
 def with_readers(vectors: DataFrame, access: DataFrame, questions: DataFrame, key: str = "email_id") -> DataFrame:
     """Vectors with `readers`: those principals of access(email_id, principal) that a question asks for."""
     asking = questions.select(F.explode("tokens").alias("principal")).distinct()

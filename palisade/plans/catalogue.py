@@ -674,6 +674,41 @@ def cache_lookup_acl_aware(spark, sf_dir):
     return _cache(spark, sf_dir, "acl_aware")
 
 
+def _asked_entries(spark, sf_dir, mode):
+    """Every fiftieth vector as a question of a user, all of them as stored answers."""
+    rows = R.table(spark, sf_dir, "embeddings")
+    entries = rows.select(F.col("vec_id").alias("entry_id"), F.expr("concat('u', label)").alias("owner"), F.col("vec_id").cast("double").alias("created_at"), "embedding")
+    asked = rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("question_id"), R.user("vec_id % 40").alias("user"), F.array(F.concat(F.lit("user:"), R.user("vec_id % 40"))).alias("tokens"), "embedding")
+    sources = entries.filter("entry_id % 10 <> 0").select("entry_id", F.col("entry_id").alias("email_id"))
+    contexts = entries.select("entry_id", F.explode(F.expr("array(entry_id, entry_id div 2 * 2)")).alias("email_id"))
+    first = asked.select("question_id", F.explode(F.expr("array(question_id, question_id + 2)")).alias("email_id")).withColumn("rank", F.col("email_id") - F.col("question_id"))
+    return cache.lookup_many(entries, asked, sources, contexts, first, R.acl(spark, sf_dir), mode, 400.0, NEAR, 390.0, 0.5, k=2)
+
+
+def _many_sql(case: str) -> str:
+    return (
+        _with(
+            R.EMAILS, R.ACL,
+            "pairs AS (SELECT q.vec_id AS question_id, 'u' || (q.vec_id % 40) AS asker, e.vec_id AS entry_id, 'u' || e.label AS owner, round(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS sim FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0)",
+            f"near AS (SELECT p.*, a.email_id IS NOT NULL AS ok, entry_id % 10 = 0 AS bare, ((question_id IN (entry_id, entry_id // 2 * 2))::INT + ((question_id + 2) IN (entry_id, entry_id // 2 * 2))::INT) / 2.0 AS share FROM pairs p LEFT JOIN acl a ON a.email_id = entry_id AND a.principal = 'user:' || asker WHERE sim >= {NEAR})",
+            f"e AS (SELECT *, CASE WHEN 400 - entry_id > 390 THEN 'expired' {case} ELSE 'hit' END AS status FROM near)",
+            "r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY sim DESC, entry_id) AS rn FROM e)",
+            "h AS (SELECT question_id, min(rn) AS rn FROM r WHERE status = 'hit' GROUP BY question_id)",
+        )
+        + "SELECT q.vec_id AS question_id, max(r.entry_id) FILTER (r.rn = h.rn) AS entry_id, CAST(count(*) FILTER (status = 'acl' AND (h.rn IS NULL OR r.rn < h.rn)) AS BIGINT) AS blocked_acl, CAST(count(*) FILTER (status = 'scope' AND (h.rn IS NULL OR r.rn < h.rn)) AS BIGINT) AS blocked_scope FROM embeddings q LEFT JOIN r ON r.question_id = q.vec_id LEFT JOIN h ON h.question_id = q.vec_id WHERE q.vec_id % 50 = 0 GROUP BY q.vec_id"
+    )
+
+
+@query(_many_sql("WHEN owner <> asker THEN 'other_owner'"))
+def cache_lookup_many_per_user(spark, sf_dir):
+    return _asked_entries(spark, sf_dir, "per_user")
+
+
+@query(_many_sql("WHEN bare AND owner <> asker THEN 'no_source' WHEN NOT bare AND NOT ok THEN 'acl' WHEN NOT bare AND share < 0.5 THEN 'scope'"))
+def cache_lookup_many_acl_aware(spark, sf_dir):
+    return _asked_entries(spark, sf_dir, "acl_aware")
+
+
 @query(
     _with(R.CHUNKS, "got AS (SELECT chunk_id, row_number() OVER (ORDER BY chunk_id % 97, chunk_id) AS rank FROM chunks)", "top AS (SELECT email_id FROM got JOIN chunks USING (chunk_id) GROUP BY email_id ORDER BY min(rank) LIMIT 3)", "ctx AS (SELECT chunk_id % 50 AS entry_id, email_id FROM chunks)")
     + "SELECT entry_id, count(DISTINCT email_id) FILTER (email_id IN (SELECT email_id FROM top)) / 3.0::DOUBLE AS coverage FROM ctx GROUP BY entry_id"
@@ -802,6 +837,14 @@ def percentile_variants(spark, sf_dir):
     return audit.percentiles(log).select(F.inline(F.expr("array(struct('median' as name, median as value), struct('p95' as name, p95 as value))"))).unionByName(audit.nearest_ranks(log))
 
 
+@query(
+    _with(R.AUDIT, "o AS (SELECT principal, latency_ms AS v, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY principal) AS n FROM audit WHERE latency_ms IS NOT NULL WINDOW w AS (PARTITION BY principal ORDER BY latency_ms, id))")
+    + "SELECT principal, name, round(value, 6) AS value FROM (SELECT principal, 'median' AS name, quantile_cont(v, 0.5) AS value FROM o GROUP BY principal UNION ALL SELECT principal, 'p95', quantile_cont(v, 0.95) FROM o GROUP BY principal UNION ALL SELECT principal, 'nearest_p95', v FROM o WHERE i = CAST(floor(0.95 * (n - 1)) AS BIGINT) UNION ALL SELECT principal, 'upper_median', v FROM o WHERE i = n // 2)"
+)
+def percentiles_by_principal(spark, sf_dir):
+    return audit.percentiles_by(R.audit(spark, sf_dir), ["principal"]).withColumn("value", F.round("value", 6))
+
+
 # evaluation
 
 _RANKED = """results AS (SELECT CASE l_linenumber % 2 WHEN 0 THEN 'a' ELSE 'b' END AS config, l_orderkey AS question_id, l_partkey % 20 AS doc, l_linenumber AS rank FROM lineitem),
