@@ -933,19 +933,61 @@ def mails_by_date(spark, sf_dir):
     return ingest.first_mails(R.emails(spark, sf_dir), 100, "date", "email_id").select("email_id", "date", "place")
 
 
-_EVENTS = "e AS (SELECT event_type AS config, user_id % 2 = 0 AS context_leak, user_id % 3 = 0 AS cache_leak, user_id % 5 = 0 AS content_leak, user_id % 4 = 0 AS second, event_id % 2 = 0 AS served, value FROM events)"
-
-
-@query(_with(_EVENTS) + "SELECT config, count(*) AS n, CAST(sum(context_leak::INT) AS BIGINT) AS context_leak, CAST(sum(cache_leak::INT) AS BIGINT) AS cache_leak, CAST(sum(content_leak::INT) AS BIGINT) AS content_leak, round(avg(CASE WHEN second THEN served::INT::DOUBLE END), 3) AS served_rate FROM e GROUP BY config")
+#: Retrieval without rights, then the cache's modes; each mail's stored answer is asked for by a rightful reader and by someone else.
+CONFIGS = {"unfiltered": "off", "off": "off", "global": "global", "per_user": "per_user", "acl_aware": "acl_aware"}
+LARGE_FROM = 300
+
+
+def _outcomes(spark, sf_dir):
+    """(config, email_id, kind, may, hit, leaks, tokens): what each of two askers gets for each mail, by the rights and the cache's own rules."""
+    mails, rights = R.emails(spark, sf_dir), R.acl(spark, sf_dir)
+    askers = F.array(F.struct(F.lit("second").alias("kind"), F.col("to")[0].alias("asker")), F.struct(F.lit("other").alias("kind"), R.user("(doc_id * 13 + 1) % 40").alias("asker")))
+    mails = mails.withColumnRenamed("email_id", "doc_id")
+    asks = mails.select(F.col("doc_id").alias("entry_id"), F.col("sender").alias("owner"), F.md5("body").alias("h"), T.token_estimate(F.col("body")).alias("tokens"), F.inline(askers))
+    may = rights.select(F.col("email_id").alias("entry_id"), F.expr("substring(principal, 6)").alias("asker"), F.lit(True).alias("may")).distinct()
+    same = rights.join(mails.select(F.col("doc_id").alias("email_id"), F.md5("body").alias("h")), "email_id").select(F.expr("substring(principal, 6)").alias("asker"), "h", F.lit(True).alias("known")).distinct()
+    asks = asks.join(may, ["entry_id", "asker"], "left").join(same, ["asker", "h"], "left")
+    asks = tables.settled(asks.withColumns({"may": F.coalesce("may", F.lit(False)), "known": F.coalesce("known", F.lit(False))}))
+    stored = asks.withColumns({"created_at": F.lit(0.0), "sim": F.lit(1.0), "n_sources": F.lit(1), "n_unreadable": (~F.col("may")).cast("int"), "coverage": F.lit(1.0)})
+    out = None
+    for config, mode in CONFIGS.items():
+        served = cache.statuses(stored, mode, F.col("asker"), 1.0, by=["kind"]).filter("status = 'hit'").select("entry_id", "kind", F.lit(True).alias("hit"))
+        met = asks.join(served, ["entry_id", "kind"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+        rows = met.select(
+            F.lit(config).alias("config"), F.col("entry_id").alias("email_id"), "kind", "tokens", "hit",
+            (F.lit(config == "unfiltered") & ~F.col("may")).alias("context_leak"),
+            (F.col("hit") & ~F.col("may")).alias("cache_leak"),
+            (F.col("hit") & ~F.col("may") & ~F.col("known")).alias("content_leak"),
+        )
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+_OUTCOMES = """asks AS (SELECT email_id, sender, md5(body) AS h, CAST(greatest(1, length(body) // 4) AS INTEGER) AS tokens, "to"[1] AS asker, 'second' AS kind FROM emails
+  UNION ALL SELECT email_id, sender, md5(body), CAST(greatest(1, length(body) // 4) AS INTEGER), 'u' || ((email_id * 13 + 1) % 40), 'other' FROM emails),
+knows AS (SELECT DISTINCT principal, md5(body) AS h FROM acl JOIN emails USING (email_id)),
+judged AS (SELECT a.*, EXISTS (SELECT 1 FROM acl WHERE acl.email_id = a.email_id AND acl.principal = 'user:' || asker) AS may, EXISTS (SELECT 1 FROM knows k WHERE k.h = a.h AND k.principal = 'user:' || asker) AS known FROM asks a),
+outcomes AS (SELECT config, j.*, CASE config WHEN 'global' THEN true WHEN 'per_user' THEN asker = sender WHEN 'acl_aware' THEN may ELSE false END AS hit FROM judged j, (SELECT unnest(['unfiltered', 'off', 'global', 'per_user', 'acl_aware']) AS config))"""
+
+
+@query(_with(R.EMAILS, R.ACL, _OUTCOMES) + "SELECT config, count(*) AS n, count(*) FILTER (config = 'unfiltered' AND NOT may) AS context_leak, count(*) FILTER (hit AND NOT may) AS cache_leak, count(*) FILTER (hit AND NOT may AND NOT known) AS content_leak, round(avg(hit::INT::DOUBLE) FILTER (kind = 'second'), 3) AS served_rate FROM outcomes GROUP BY config")
 def leak_tallies(spark, sf_dir):
-    rows = R.table(spark, sf_dir, "events").selectExpr("event_type as config", "user_id % 2 = 0 as context_leak", "user_id % 3 = 0 as cache_leak", "user_id % 5 = 0 as content_leak", "user_id % 4 = 0 as is_second_reader", "event_id % 2 = 0 as served")
-    return evals.leak_tallies(rows)
+    return evals.leak_tallies(_outcomes(spark, sf_dir).withColumns({"is_second_reader": F.col("kind") == "second", "served": F.col("hit")}))
 
 
-@query(_with(_EVENTS, "p AS (SELECT config, count(*) AS n, round(avg(served::INT::DOUBLE), 6) AS hit_rate, round(avg(second::INT::DOUBLE), 6) AS large_share, round(sum(value), 6) AS cost FROM e GROUP BY config)") + "SELECT *, round(1 - cost / (SELECT cost FROM p WHERE config = 'view'), 6) AS savings FROM p")
+@query(
+    _with(
+        R.EMAILS, R.ACL, _OUTCOMES,
+        f"c AS (SELECT config, hit, NOT hit AND tokens >= {LARGE_FROM} AS large, CASE WHEN hit THEN 0 ELSE round((tokens * CASE WHEN tokens >= {LARGE_FROM} THEN 5.0::DOUBLE ELSE 1.0 END + 100 * CASE WHEN tokens >= {LARGE_FROM} THEN 25.0::DOUBLE ELSE 5.0 END) / 1e6, 6) END AS cost FROM outcomes)",
+        "p AS (SELECT config, count(*) AS n, round(avg(hit::INT::DOUBLE), 6) AS hit_rate, round(avg(large::INT::DOUBLE), 6) AS large_share, round(sum(cost), 6) AS cost FROM c GROUP BY config)",
+    )
+    + "SELECT *, round(1 - cost / (SELECT cost FROM p WHERE config = 'off'), 6) AS savings FROM p"
+)
 def cache_bench(spark, sf_dir):
-    rows = R.table(spark, sf_dir, "events").selectExpr("event_type as config", "event_id % 2 = 0 as hit", "user_id % 4 = 0 as large", "value as cost_usd")
-    return evals.cache_tallies(rows, "view")
+    rows = _outcomes(spark, sf_dir).withColumns({"model": F.when(F.col("tokens") >= LARGE_FROM, "large").otherwise("small"), "input_tokens": F.col("tokens"), "output_tokens": F.lit(100), "cached_tokens": F.lit(0)})
+    priced = routing.with_cost(rows, {"small": (1.0, 5.0), "large": (5.0, 25.0)}, "large")
+    runs = priced.select("config", "hit", (~F.col("hit") & (F.col("model") == "large")).alias("large"), F.when(F.col("hit"), 0.0).otherwise(F.col("cost_usd")).alias("cost_usd"))
+    return evals.cache_tallies(runs, "off")
 
 
 @query("SELECT event_type AS generation, round(avg(value), 6) AS faithfulness, round(avg(user_id), 6) AS relevance, round(avg((user_id % 2)::DOUBLE), 6) AS correct, round(avg((user_id % 3 = 0)::INT::DOUBLE), 6) AS large, round(avg(value / 100), 6) AS cost_usd FROM events GROUP BY event_type")
