@@ -150,6 +150,17 @@ class Answers:
         self.hits.append((row["entry_id"], time.time()))
         return table.filter(F.col("entry_id") == row["entry_id"]).first().asDict(), row["blocked_acl"], row["blocked_scope"]
 
+    def lookup_many(self, questions: DataFrame, retrieved: DataFrame, chunks: DataFrame, acl: DataFrame) -> DataFrame:
+        """(question_id, entry_id, blocked_acl, blocked_scope): what `lookup` gives for each of questions(question_id, user, tokens, embedding).
+
+        retrieved(question_id, chunk_id, rank) is what `retrieve_many` finds. The number of jobs
+        does not grow with questions or entries; hits are not counted here.
+        """
+        table, owners = self.table(), chunks.select("chunk_id", "email_id")
+        mails = lambda ids: table.select("entry_id", F.explode(ids).alias("chunk_id")).join(owners, "chunk_id", "left").select("entry_id", "email_id")
+        first = retrieved.select("question_id", "chunk_id", "rank").join(owners, "chunk_id")
+        return cache.lookup_many(table, questions, mails("source_chunks"), mails("context_chunks"), first, acl, self.mode, time.time(), self.threshold, self.ttl, self.min_coverage, self.coverage_k, digits=12)
+
     def hit_counts(self) -> DataFrame:
         """(entry_id, hits) of this engine's answers."""
         return self.spark.createDataFrame(self.hits, "entry_id long, at double").groupBy("entry_id").agg(F.count("*").alias("hits"))

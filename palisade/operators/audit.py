@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.operators import ranks
-from palisade.sources.tables import settled
 
 SHARES = {"median": 0.5, "p95": 0.95}
 NEAREST = {"nearest_p95": lambda n: F.floor((n - 1) * 0.95), "upper_median": lambda n: F.floor(n / 2)}
@@ -39,8 +38,8 @@ def metrics(log: DataFrame) -> DataFrame:
         F.round(F.avg("cost_usd"), 6).alias("avg_cost"),
         F.coalesce(F.sum(F.size("security_events").cast("long")), F.lit(0)).alias("security_events"),
     )
-    latency = settled(percentiles(log))  # one row
-    at = lambda name, out: F.round(latency.select(name).scalar(), 1).alias(out)
+    latency = percentiles(log).select(F.struct(*SHARES)).scalar()
+    at = lambda name, out: F.round(latency[name], 1).alias(out)
     return rows.select("queries", "hit_rate", "total_cost", "avg_cost", at("median", "p50_ms"), at("p95", "p95_ms"), "security_events")
 
 

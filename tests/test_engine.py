@@ -1,7 +1,7 @@
 import pytest
 
 from palisade.engine import Engine
-from palisade.operators import audit
+from palisade.operators import audit, cache
 from palisade.sources.files import Settings
 
 QUESTION = "When will the Raptor hedge be unwound?"
@@ -42,3 +42,21 @@ def test_global_leaks_and_per_user_does_not_share(engine):
     off = engine.with_mode("off")
     off.ask(QUESTION, "jeff", model="forced-model")
     assert off.ask(QUESTION, "jeff").cache_status == "miss" and off.log[0][3].model == "forced-model"
+
+
+@pytest.mark.parametrize("mode", cache.MODES)
+def test_stored_answers_for_many_questions(spark, engine, mode):
+    e = engine.with_mode(mode)
+    for question, user in ((QUESTION, "jeff"), ("When is lunch on Monday?", "ken")):
+        e.ask(question, user)
+    asked, retrieved, alone = [], [], {}
+    for i, (question, user) in enumerate((q, u) for q in (QUESTION, "When is lunch on Monday?") for u in ("jeff", "ken", "rosa")):
+        who, query = e.principal(user), e.embedder.query(question).tolist()
+        found = e.retrieve(question, who)
+        entry, *blocked = e.answers.lookup(query, who, e.corpus(who), [(c, m) for c, m, *_ in found])
+        alone[i] = (entry and entry["entry_id"], *blocked)
+        asked.append((i, user, list(who.tokens), query))
+        retrieved += [(i, row[0], rank) for rank, row in enumerate(found)]
+    table = spark.createDataFrame(asked, "question_id long, user string, tokens array<string>, embedding array<double>")
+    many = e.answers.lookup_many(table, spark.createDataFrame(retrieved, "question_id long, chunk_id long, rank int"), e.chunks, e.acl)
+    assert {r["question_id"]: tuple(r)[1:] for r in many.collect()} == alone
