@@ -15,6 +15,8 @@ equal pieces; so texts are filed under MinHash bands of their shingles instead,
 texts of a bucket are compared by fingerprints of 256 bits. The radius is three standard
 deviations above the distance to be expected at the similarity asked for and only proposes
 pairs: the sets of shingles travel along, and a pair is linked if they are similar enough.
+In a hot bucket only fingerprints meet all others; the sets travel to blocks that hold
+something close and not yet connected (`_hot_links`).
 
 In a bucket fingerprints are stored as bit planes: bit i of plane j is bit j of fingerprint
 i. Planes are XORed and summed by carry-save counters that start at a value from which one
@@ -56,6 +58,10 @@ BANDS, ROWS = 16, 4
 DEVIATIONS = 3.0
 #: A bucket with more shingles in all its texts is dealt in blocks too.
 MASS = 8_000_000
+#: Fingerprints alone are compared in pairs of blocks of so many.
+PRINTS = 8_192
+#: In so many of its hot buckets a text is compared with its own block before all else.
+FIRST = 2
 
 
 # fingerprints
@@ -296,6 +302,23 @@ def _links_of(nodes: np.ndarray, keys: np.ndarray, prints: np.ndarray, radius: i
     return np.concatenate(us), np.concatenate(vs)
 
 
+def _whole_buckets(batches: Iterator[pa.RecordBatch], arrays: Callable[[pa.RecordBatch], tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Arrays of one or more whole buckets each, from batches sorted by key; the key is the first array."""
+    held: list[tuple[np.ndarray, ...]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(arrays(batch))
+        if held[0][0][0] == held[-1][0][-1]:
+            continue  # one bucket so far
+        whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+        cut = int(np.searchsorted(whole[0], whole[0][-1]))
+        held = [tuple(x[cut:] for x in whole)]
+        yield tuple(x[:cut] for x in whole)
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
 def linked(keyed: DataFrame, words: int, radius: int, similarity: float | None = None) -> DataFrame:
     """Links (u, v) inside the buckets of keyed(key, node, f0, f1, ...).
 
@@ -303,27 +326,15 @@ def linked(keyed: DataFrame, words: int, radius: int, similarity: float | None =
     """
     names = [f"f{w}" for w in range(words)]
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+    def arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        columns = [batch.column(k).to_numpy() for k in range(2 + words)]
+        sets = [] if similarity is None else [np.array([*batch.column(2 + words).to_pylist(), None], object)[:-1]]
+        return columns[0], columns[1], np.stack([c.view(np.uint64) for c in columns[2:]], axis=1), *sets
 
-        def result(keys: np.ndarray, nodes: np.ndarray, prints: np.ndarray, *grams: np.ndarray) -> pa.RecordBatch:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, nodes, prints, *grams in _whole_buckets(batches, arrays):
             u, v = _links_of(nodes, keys, prints, radius, alike_in(*grams, similarity) if grams else None)
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = [batch.column(k).to_numpy() for k in range(2 + words)]
-            sets = [] if similarity is None else [np.array([*batch.column(2 + words).to_pylist(), None], object)[:-1]]
-            held.append((columns[0], columns[1], np.stack([c.view(np.uint64) for c in columns[2:]], axis=1), *sets))
-            if held[0][0][0] == columns[0][-1]:
-                continue  # one bucket so far
-            whole = [np.concatenate(x) for x in zip(*held, strict=True)]
-            cut = int(np.searchsorted(whole[0], whole[0][-1]))
-            held = [tuple(x[cut:] for x in whole)]
-            yield result(*(x[:cut] for x in whole))
-        if held:
-            yield result(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     rows = keyed.select("key", "node", *names, *["grams"] * (similarity is not None)).repartition("key").sortWithinPartitions("key")
     return rows.mapInArrow(find, "u long, v long")
@@ -335,19 +346,81 @@ def _shared(keyed: DataFrame) -> DataFrame:
     return keyed.join(sizes, "key")
 
 
-def _dealt(shared: DataFrame, split: int) -> DataFrame:
-    """Rows of shared(key, n, mass, node, ...) with hot buckets filed under pairs of their blocks.
+def _load(split: int) -> Column:
+    """How many times a bucket of n members and mass shingles is as large as one task may take."""
+    return F.greatest(F.col("n") / split, F.col("mass") / MASS)
+
+
+def _block_pairs(prints: np.ndarray, classes: np.ndarray, blocks: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(member, block) for every member with a fingerprint of another class within the radius in that block."""
+    order = np.argsort(classes, kind="stable")
+    ordered, label, block, n = prints[order], classes[order], blocks[order], len(prints)
+    sliced, width, seen = planes(ordered), int(blocks.max()) + 1, np.empty(0, np.int64)
+    for start in range(0, n, BLOCK):
+        if label[start] == label[-1]:
+            break
+        first = start // 64
+        q, p = within(ordered[start : start + BLOCK], sliced[:, first:], n - 64 * first, radius)
+        a, b = q + start, p + 64 * first
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+        seen = np.unique(np.concatenate([seen, a * width + block[b], b * width + block[a]]))
+    return order[seen // width], seen % width
+
+
+def _close_blocks(hot: DataFrame, radius: int) -> DataFrame:
+    """(node, band, own, other): the blocks of hot(key, n, node, class, own, f0, ...) that hold something close of another class.
+
+    Only fingerprints are compared here, in pairs of blocks of PRINTS.
+    """
+    names = [f"f{w}" for w in range(WORDS)]
+    parts = hot.withColumn("parts", F.ceil(F.col("n") / PRINTS)).withColumn("part", F.pmod(F.xxhash64("key", "node", F.lit(SEED)), F.col("parts")))
+    whole = F.col("parts") == 1
+    others = F.when(whole, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    pairs = parts.withColumn("with", F.explode(others)).filter(whole | (F.col("part") != F.col("with")))
+    rows = pairs.select(F.xxhash64("key", F.least("part", "with"), F.greatest("part", "with")).alias("met"), "node", F.col("key").alias("band"), "class", "own", *names)
+
+    def arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        columns = [batch.column(k).to_numpy() for k in range(5 + WORDS)]
+        return *columns[:5], np.stack([c.view(np.uint64) for c in columns[5:]], axis=1)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for met, nodes, bands, classes, own, prints in _whole_buckets(batches, arrays):
+            for at in np.split(np.arange(len(met)), np.nonzero(met[1:] != met[:-1])[0] + 1):
+                member, other = _block_pairs(prints[at], classes[at], own[at], radius)
+                member = at[member]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (nodes[member], bands[member], own[member], other)], ["node", "band", "own", "other"])
+
+    return rows.repartition("met").sortWithinPartitions("met").mapInArrow(find, "node long, band long, own long, other long").distinct()
+
 
-    Blocks have half of `split` members or of MASS shingles, or so. A member goes to every
-    pair that has its block.
+def _hot_links(shared: DataFrame, sets: DataFrame, radius: int, similarity: float, split: int) -> DataFrame:
+    """Links that connect what the links of all buckets of shared(key, n, mass, node, f0, ...) connect.
+
+    Buckets within the load are compared whole. A larger one has blocks of half of `split`
+    members or of MASS shingles, or so. First each text is compared with its own block in
+    FIRST of its hot buckets, which takes its set of shingles there once, and classes come
+    from these links. Then fingerprints of different classes are compared in all pairs of
+    blocks, and a set travels only to a pair of blocks in which its text has something close
+    of another class. No pair of a bucket is left out: it is in one class, apart by more
+    than the radius, or compared by sets.
     """
-    load = F.greatest(F.col("n") / split, F.col("mass") / MASS)
-    cool = shared.filter(load <= 1).drop("n", "mass")
-    blocks = shared.filter(load > 1).withColumn("blocks", F.ceil(2 * load))
-    own = blocks.withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("blocks")))
-    pairs = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).filter("other <> own")
-    hot = pairs.withColumn("key", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
-    return cool.unionByName(hot.drop("n", "mass", "blocks", "own", "other"))
+    names = [f"f{w}" for w in range(WORDS)]
+    cool = shared.filter(_load(split) <= 1).select("key", "node", *names)
+    hot = shared.filter(_load(split) > 1)
+    if hot.isEmpty():
+        return linked(cool.join(sets, "node"), WORDS, radius, similarity)
+    hot = settled(hot.withColumn("own", F.pmod(F.xxhash64("node", "key"), F.ceil(2 * _load(split)))).drop("mass"))
+    chosen = hot.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("key")), 1, FIRST).alias("chosen"))
+    own = hot.join(chosen, "node").filter(F.array_contains("chosen", F.col("key"))).select(F.xxhash64("key", "own").alias("key"), "node", *names)
+    links = settled(linked(cool.unionByName(own).join(sets, "node"), WORDS, radius, similarity))
+    classes = settled(components(links)).withColumnRenamed("node", "of_node")
+    hot = hot.join(classes, F.col("node") == F.col("of_node"), "left").withColumn("class", F.coalesce("root", "node")).drop("of_node", "root")
+    several = hot.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("most")).filter("least < most").select("key")
+    close = settled(_close_blocks(hot.join(several, "key", "left_semi"), radius))
+    keyed = close.select("node", F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other")).alias("key")).distinct()
+    prints = shared.select("node", *names).dropDuplicates(["node"])
+    return links.unionByName(linked(keyed.join(prints, "node").join(sets, "node"), WORDS, radius, similarity))
 
 
 #: Nodes from here on stand for fingerprints that only rows without an id have.
@@ -496,8 +569,7 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, width: int = WI
     """(doc_id, component_id): classes by links between texts whose shingle sets have `similarity` or more.
 
     Texts with the same set of shingles collapse before any comparison. A bucket with more
-    than `split` of them is dealt in blocks, and each pair of blocks is compared in a task of
-    its own, so no pair of a bucket is left out. All texts without words are one class.
+    than `split` of them is compared in blocks (`_hot_links`), and no pair of it is left out. All texts without words are one class.
     """
     names = [f"f{w}" for w in range(WORDS)]
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
@@ -510,8 +582,7 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, width: int = WI
     sizes = filed.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_grams").alias("mass")).filter("n > 1")
     shared = settled(filed.drop("n_grams").join(sizes, "key"))
     wanted = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "first", "first_hash")
-    rows = _dealt(shared, split).join(settled(_sets(slim, settled(wanted), width)), "node")
-    links = linked(rows, WORDS, radius_at(similarity), similarity)
+    links = _hot_links(shared, settled(_sets(slim, settled(wanted), width)), radius_at(similarity), similarity, split)
     return _named(made.select("doc_id", "same"), nodes, links, "same").select("doc_id", "component_id")
 
 
