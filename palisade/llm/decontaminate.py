@@ -8,7 +8,11 @@ length. A document can miss at most floor((1 - t) * n) shingles of an item of n
 t; the partition's length is one more than its largest item allows, so at least one sketch
 shingle of every item is in every document that reaches the threshold: the search loses
 nothing. A partition is not asked about documents too small for its smallest item.
-Candidates are verified by exact shingle containment on the words.
+Candidates are verified by exact shingle containment on the words: the shingles that
+candidates have are looked for while the text's words go by, and only they are kept.
+Texts of more than BATCH_BYTES are read in pieces of so many bytes, cut between words, each
+with the last words of the one before, so a text of any length takes the memory of a piece
+beside its own bytes. A single word is never cut.
 
 Documents are streamed once for each block of items, and never shuffled. A block has at
 most BLOCK_SHINGLES shingles (or one item), which bounds what is sent to the executors
@@ -30,12 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.bytehash import shingles, word_hashes
+from palisade.llm.bytehash import BLANK, shingles, word_hashes
 
 WIDTH = 5
 THRESHOLD = 0.8
 BLOCK_SHINGLES = 500_000
-#: Texts are hashed together up to so many bytes.
+#: Texts are hashed together up to so many bytes; longer ones in pieces of so many.
 BATCH_BYTES = 1 << 20
 _FILTER_BITS = 22
 
@@ -114,12 +118,26 @@ def _partitions(items: list[Item], threshold: float) -> dict[int, Width]:
     return out
 
 
-def _candidates(texts: list[bytes], by_width: dict[int, Width]) -> set[tuple[int, int]]:
-    """(text, item) pairs that share a sketch shingle and fit in size."""
+def _pieces(text: memoryview, overlap: int) -> Iterator[tuple[bytes, int]]:
+    """The text in pieces cut between words: each with the `overlap` words before it, and how many words are new."""
+    raw, at, before = np.frombuffer(text, np.uint8), 0, []
+    while at < len(text):
+        end = min(at + BATCH_BYTES, len(text))
+        while end < len(text) and not BLANK[raw[end]]:
+            rest = np.nonzero(BLANK[raw[end : end + BATCH_BYTES]])[0]
+            end = end + int(rest[0]) if len(rest) else min(end + BATCH_BYTES, len(text))
+        mine = bytes(text[at:end]).lower().split()
+        yield b" ".join(before + mine), len(mine)
+        known = before + mine
+        before, at = known[max(0, len(known) - overlap) :], end
+
+
+def _shared(texts: list[bytes], by_width: dict[int, Width], rooms: list[int] | None = None) -> set[tuple[int, int]]:
+    """(text, item) pairs that share a sketch shingle and fit in size; `rooms` has the words of texts of which these are pieces."""
     hashes, starts, _ = word_hashes(b"\n".join(texts))
     ends = np.cumsum([len(t) + 1 for t in texts])
     owner = np.searchsorted(ends, starts, side="right")
-    counts = np.bincount(owner, minlength=len(texts))
+    counts = np.bincount(owner, minlength=len(texts)) if rooms is None else np.array(rooms)
     found: set[tuple[int, int]] = set()
     for width, here in by_width.items():
         grams = shingles(hashes, width)
@@ -136,6 +154,36 @@ def _candidates(texts: list[bytes], by_width: dict[int, Width]) -> set[tuple[int
     return found
 
 
+def _overlap(by_width: dict[int, Width]) -> int:
+    return max(by_width, default=1) - 1
+
+
+def _candidates(texts: list[memoryview], by_width: dict[int, Width]) -> dict[int, list[int]]:
+    """The items to verify of each text: many texts together, or one long text in pieces."""
+    if len(texts) == 1 and len(texts[0]) > BATCH_BYTES:
+        room = sum(new for _, new in _pieces(texts[0], 0))
+        found = {pair for piece, _ in _pieces(texts[0], _overlap(by_width)) for pair in _shared([piece], by_width, [room])}
+    else:
+        found = _shared([bytes(t) for t in texts], by_width)
+    by_doc: dict[int, list[int]] = {}
+    for d, k in sorted(found):
+        by_doc.setdefault(d, []).append(k)
+    return by_doc
+
+
+def _contained(text: memoryview, items: list[Item], overlap: int) -> list[int]:
+    """How many shingles of each item the text has; only shingles of these items are kept."""
+    wanted: dict[int, set[tuple[bytes, ...]]] = {}
+    for item in items:
+        wanted.setdefault(item.width, set()).update(item.grams)
+    had: dict[int, set[tuple[bytes, ...]]] = {width: set() for width in wanted}
+    for piece, _ in _pieces(text, overlap):
+        tokens = piece.split()
+        for width, grams in wanted.items():
+            had[width] |= grams.intersection(zip(*(tokens[k:] for k in range(width)), strict=False))
+    return [len(item.grams & had[item.width]) for item in items]
+
+
 def _pack(rows: list[tuple[int | None, str | None]], width: int) -> list[Item]:
     items = []
     for item_id, text in rows:
@@ -171,23 +219,17 @@ def search(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
             items, by_width = sent.value
             for batch in batches:
                 ids = batch.column(0).to_pylist()
-                texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
+                texts = [memoryview(t.as_buffer() or b"").cast("B") for t in batch.column(1).cast(pa.binary())]
                 rows, at = [], 0
                 while at < len(texts):
                     end, held = at, 0
                     while end < len(texts) and (end == at or held + len(texts[end]) <= BATCH_BYTES):
                         held += len(texts[end])
                         end += 1
-                    by_doc: dict[int, list[int]] = {}
-                    for d, k in sorted(_candidates(texts[at:end], by_width)):
-                        by_doc.setdefault(d, []).append(k)
-                    for d, ks in by_doc.items():
-                        tokens, grams = texts[at + d].lower().split(), {}
-                        for k in ks:
-                            item = items[k]
-                            if item.width not in grams:
-                                grams[item.width] = exact_shingles(tokens, item.width)
-                            n, both = len(item.grams), sum(g in grams[item.width] for g in item.grams)
+                    for d, ks in _candidates(texts[at:end], by_width).items():
+                        chosen = [items[k] for k in ks]
+                        for item, both in zip(chosen, _contained(texts[at + d], chosen, _overlap(by_width)), strict=True):
+                            n = len(item.grams)
                             if both >= needed(n, threshold):
                                 rows.append((ids[at + d], item.item_id, n, both, both / n))
                     at = end
