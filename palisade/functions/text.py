@@ -76,6 +76,37 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
+def let(value: Column, body) -> Column:
+    """`value` worked out once and bound to a lambda variable, however often `body` names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _heads(rows: Column, key) -> Column:
+    """The places, from 0, at which a sorted array has another key than before."""
+    places = F.when(F.size(rows) > 0, F.sequence(F.lit(0), F.size(rows) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.filter(places, lambda i: (i == 0) | (key(rows[i]) != key(F.get(rows, i - 1))))
+
+
+def tallies(words: Column) -> Column:
+    """Array of (term, tf): each distinct word with its number, counted inside the row."""
+
+    def counted(s: Column) -> Column:
+        return let(_heads(s, lambda w: w), lambda h: F.transform(h, lambda i, k: F.struct(s[i].alias("term"), (F.coalesce(F.get(h, k + 1), F.size(s)) - i).alias("tf"))))
+
+    return let(F.array_sort(words), counted)
+
+
+def places(words: Column) -> Column:
+    """Array of (term, at): each distinct word with its places from 0, ascending."""
+
+    def cut(s: Column) -> Column:
+        end = lambda h, k: F.coalesce(F.get(h, k + 1), F.size(s))
+        at = lambda h, i, k: F.transform(F.slice(s, i + 1, end(h, k) - i), lambda x: x["at"])
+        return let(_heads(s, lambda x: x["term"]), lambda h: F.transform(h, lambda i, k: F.struct(s[i]["term"].alias("term"), at(h, i, k).alias("at"))))
+
+    return let(F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("term"), i.alias("at")))), cut)
+
+
 def query_terms(question: Column) -> Column:
     """Ordered distinct words of more than one letter that are no stop words."""
     stop = F.array(*map(F.lit, fixed.QUERY_STOP_WORDS))

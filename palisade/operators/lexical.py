@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palisade.functions import fixed
 from palisade.functions import text as T
+from palisade.operators.acl import WILDCARD
+
+
+#: Words that one task of an index build sorts.
+TASK_WORDS = 2_000_000
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, email_id, term, tf, dl): the index. Written once, sorted by term, queries read few row groups."""
-    words = chunks.select("chunk_id", "email_id", T.terms(F.col("text")).alias("w")).withColumn("dl", F.size("w"))
-    each = words.select("chunk_id", "email_id", "dl", F.explode("w").alias("term"))
-    return each.groupBy("chunk_id", "email_id", "dl", "term").agg(F.count("*").alias("tf"))
+    """(chunk_id, email_id, term, tf, dl): the index. Words are counted inside their chunk's row, so nothing is shuffled."""
+    words = chunks.select("chunk_id", "email_id", T.terms(F.col("text")).alias("w"))
+    return words.select("chunk_id", "email_id", F.size("w").alias("dl"), F.inline(T.tallies(F.col("w")))).select("chunk_id", "email_id", "dl", "term", F.col("tf").cast("long").alias("tf"))
 
 
 def idf(n_chunks: Column, df: Column) -> Column:
@@ -26,9 +32,15 @@ def weight(tf: Column, dl: Column, avgdl: Column) -> Column:
     return tf * (k + 1) / (tf + k * (1 - b + b * dl / avgdl))
 
 
+def dealt(chunks: DataFrame) -> DataFrame:
+    """Chunks dealt by id into parts of about TASK_WORDS words; texts are all that an index build shuffles."""
+    total = chunks.agg(F.sum(F.regexp_count(F.lower("text"), F.lit("[a-z0-9]+")))).first()[0]
+    return chunks.repartition(max(1, -(-(total or 0) // TASK_WORDS)), "chunk_id")
+
+
 def sorted_postings(chunks: DataFrame) -> DataFrame:
-    """`postings` dealt and sorted by term, so a reader of a few terms touches few row groups."""
-    return postings(chunks).repartitionByRange("term").sortWithinPartitions("term", "chunk_id")
+    """`postings` of each part of the corpus sorted by term, so a reader of a few terms touches few row groups of each."""
+    return postings(dealt(chunks)).sortWithinPartitions("term", "chunk_id")
 
 
 def statistics(chunks: DataFrame) -> DataFrame:
@@ -75,20 +87,50 @@ def search_index(index: DataFrame, stats: DataFrame, readable: DataFrame | None,
     return mine.groupBy("chunk_id").agg(F.round(total, digits).alias("score")).orderBy(F.desc("score"), "chunk_id").limit(limit)
 
 
+#: Rows (question, term) up to which questions travel to the postings, and not postings to the questions.
+FEW_ASKED = 500_000
+
+
+def asking(questions: DataFrame, df: DataFrame, weight_of: Callable[[Column], Column]) -> DataFrame:
+    """(question_id, asker, term, idf) of questions(question_id, tokens, terms) and df(term, df); askers with like tokens are one."""
+    each = questions.select("question_id", F.array_sort("tokens").alias("asker"), F.explode("terms").alias("term"))
+    return each.join(df, "term").select("question_id", "asker", "term", weight_of(F.col("df")).alias("idf"))
+
+
+def score_many(hits: DataFrame, asked: DataFrame, access: DataFrame | None, weight_of: Callable[[Column, Column], Column], limit: int) -> DataFrame:
+    """(question_id, chunk_id, score, rank): the best `limit` of hits(term, chunk_id, email_id, tf, dl) for each question of `asking`.
+
+    Hits are shuffled once, by mail, and meet the rights there; only then do they meet the
+    questions, and each mail's chunks are scored and ranked where they are. What is shuffled
+    besides is each task's best. The wildcard reads everything.
+    """
+    seen = asked.select("asker").distinct().withColumn("all", F.array_contains("asker", WILDCARD) | F.lit(access is None))
+    few = asked.limit(FEW_ASKED + 1).count() <= FEW_ASKED
+    sent = F.broadcast if few else lambda rows: rows
+    by_mail = hits.repartition("email_id")
+    parts = []
+    if access is not None:
+        rights = seen.filter(~F.col("all")).select("asker", F.explode("asker").alias("principal")).join(access, "principal").select("email_id", "asker").distinct()
+        parts.append(by_mail.join(rights, "email_id").join(sent(asked), ["term", "asker"]))
+    if access is None or not seen.filter("all").isEmpty():
+        every = asked.join(sent(seen.filter("all").select("asker")), "asker", "left_semi")
+        parts.append(by_mail.join(sent(every), "term"))
+    ranked = Window.partitionBy("question_id").orderBy(F.desc("score"), "chunk_id")
+    scored = None
+    for part in parts:
+        total = part.groupBy("email_id", "question_id", "chunk_id").agg(F.round(F.sum(F.col("idf") * weight_of(F.col("tf"), F.col("dl"))), 6).alias("score"))
+        mine = total.select("question_id", "chunk_id", "score")
+        scored = mine if scored is None else scored.unionByName(mine)
+    return scored.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= limit)
+
+
 def search_many(index: DataFrame, stats: DataFrame, questions: DataFrame, access: DataFrame | None, limit: int = 50) -> DataFrame:
-    """(question_id, chunk_id, score, rank) for many questions(question_id, terms, token) at once.
+    """(question_id, chunk_id, score, rank) for many questions(question_id, terms, tokens) at once.
 
-    Terms join the index; access(email_id, principal) keeps what each question's principal
+    Terms join the index; access(email_id, principal) keeps what each question's tokens
     may read. The rank limit is pushed below the shuffle by Spark (window group limit).
     """
-    asked = questions.select("question_id", "tokens", F.explode("terms").alias("term"))
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
-    hits = index.join(asked, "term").join(df, "term")
-    if access is not None:
-        pairs = questions.select("question_id", F.explode("tokens").alias("principal")).join(access, "principal").select("question_id", "email_id").distinct()
-        hits = hits.join(pairs, ["question_id", "email_id"], "left_semi")
+    mine = index.join(questions.select(F.explode("terms").alias("term")).distinct(), "term", "left_semi")
     row = stats.first()
-    part = idf(F.lit(float(row["n"])), F.col("df").cast("double")) * weight(F.col("tf").cast("double"), F.col("dl"), F.lit(row["avgdl"]))
-    scored = hits.groupBy("question_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
-    w = Window.partitionBy("question_id").orderBy(F.desc("score"), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+    asked = asking(questions, mine.groupBy("term").agg(F.count("*").alias("df")), lambda df: idf(F.lit(float(row["n"])), df.cast("double")))
+    return score_many(mine.select("term", "chunk_id", "email_id", "tf", "dl"), asked, access, lambda tf, dl: weight(tf.cast("double"), dl, F.lit(row["avgdl"])), limit)
