@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from palisade.functions import text as T
-from palisade.operators import blockmax, lexical
+from palisade.operators import blockmax, lexical, positions
 
 CHUNK = "chunk_id long, email_id long, ord int, text string"
 
@@ -24,9 +24,10 @@ def chunks(spark):
     return spark.createDataFrame([(i, i // 2, 0, f"the w{i % 7} the w{i % 3} x{i}") for i in range(200)], CHUNK)
 
 
-def test_postings_are_made_without_shuffling_them(spark):
+def test_postings_and_positions_are_made_without_shuffling_them(spark):
     assert exchanges(lexical.postings(chunks(spark))) == 0
     assert exchanges(lexical.sorted_postings(chunks(spark))) == 1
+    assert exchanges(positions.positions(chunks(spark))) == 1
 
 
 def test_blocks_are_made_where_their_texts_are(spark):
