@@ -13,16 +13,21 @@ from palisade.operators import positions
 from palisade.operators.acl import WILDCARD
 
 
+#: Rows of results and relevant documents that one task of `rank_metrics` has, about.
+PART_ROWS = 250_000
+
+
 def rank_metrics(results: DataFrame, relevant: DataFrame, k: int, runs: DataFrame | None = None) -> DataFrame:
     """(config, question_id, recall, hit, mrr, ndcg) at k, for every question of every run.
 
     results(config, question_id, doc, rank), relevant(question_id, doc), runs(config,
     question_id): what was asked; without it every question of either table under every
     config that has results. Only the first place of a repeated result counts. A
-    question without results, or without relevant documents, scores zero.
+    question without results, or without relevant documents, scores zero. Neither table need be distinct.
     """
     asked = results if runs is None else runs
-    configs = sorted(r["config"] for r in asked.select("config").distinct().collect())  # a few ways to retrieve
+    each = {r["config"]: r["count"] for r in asked.groupBy("config").count().collect()}  # a few ways to retrieve
+    configs = sorted(each)
     if not configs:
         return results.sparkSession.createDataFrame([], f"config string, question_id {results.schema['question_id'].dataType.simpleString()}, recall double, hit double, mrr double, ndcg double")
     doc = results.schema["doc"].dataType
@@ -31,8 +36,9 @@ def rank_metrics(results: DataFrame, relevant: DataFrame, k: int, runs: DataFram
     rows = rows.unionByName(relevant.select("question_id", F.lit("rel").alias("kind"), empty("string").alias("config"), F.col("doc").cast(doc).alias("doc"), empty("int").alias("rank")))
     if runs is not None:
         rows = rows.unionByName(runs.select("question_id", F.lit("run").alias("kind"), "config", empty(doc).alias("doc"), empty("int").alias("rank")))
-    # all that follows is by question and more, so this is the only shuffle
-    rows = rows.repartition("question_id")
+    # all that follows is by question and more, so this is the only shuffle; more rows make more parts, not larger ones
+    many = sum(each.values()) + relevant.count() + (0 if runs is None else results.count())
+    rows = rows.repartition(max(1, -(-many // PART_ROWS)), "question_id")
     first = rows.groupBy("question_id", "kind", "config", "doc").agg(F.min("rank").alias("rank"))
     of_doc = Window.partitionBy("question_id", "doc")
     place = Window.partitionBy("question_id", "kind", "config").orderBy("rank", "doc")
@@ -45,8 +51,8 @@ def rank_metrics(results: DataFrame, relevant: DataFrame, k: int, runs: DataFram
         F.sum(F.when(got & F.col("rel") & near & (F.col("config") == c), 1 / F.log2(F.col("place") + 1.0)).otherwise(0.0)).alias(f"dcg{i}"),
     ]
     per = marked.groupBy("question_id").agg(F.sum((F.col("kind") == "rel").cast("int")).alias("n"), *[x for i, c in enumerate(configs) for x in one(i, c)])
-    each = F.array(*[F.struct(F.lit(c).alias("config"), *[F.col(f"{name}{i}").alias(name) for name in ("run", "hits", "first", "dcg")]) for i, c in enumerate(configs)])
-    joined = per.select("question_id", "n", F.inline(each))
+    by_config = F.array(*[F.struct(F.lit(c).alias("config"), *[F.col(f"{name}{i}").alias(name) for name in ("run", "hits", "first", "dcg")]) for i, c in enumerate(configs)])
+    joined = per.select("question_id", "n", F.inline(by_config))
     if runs is not None:
         joined = joined.filter("run")
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(k)).cast("int")), F.lit(0.0), lambda acc, i: acc + 1 / F.log2(i + 1.0))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from palisade.functions import text as T
-from palisade.operators import blockmax, lexical, positions
+from palisade.operators import blockmax, evals, lexical, positions
 
 CHUNK = "chunk_id long, email_id long, ord int, text string"
 
@@ -57,3 +57,13 @@ def test_block_search_for_many_gives_each_chunk_once(spark):
     want = lexical.search_many(lexical.postings(rows), lexical.statistics(rows), asked(spark), acl, 5).select("question_id", "chunk_id", "score", "rank")
     got = blockmax.search_many(blockmax.Index.of(rows, size=8), asked(spark), acl, 5, first=2).select("question_id", "chunk_id", "score", "rank")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_more_rows_make_more_parts_of_rank_metrics(spark, monkeypatch):
+    results = spark.createDataFrame([("a", q, q % 5, 1) for q in range(100)], "config string, question_id long, doc long, rank int")
+    relevant = spark.createDataFrame([(q, d) for q in range(100) for d in (q % 5, q % 5, 7)], "question_id long, doc long")
+    want = sorted(map(tuple, evals.rank_metrics(results, relevant.distinct(), 3).collect()))
+    monkeypatch.setattr(evals, "PART_ROWS", 50)
+    got = evals.rank_metrics(results, relevant, 3)
+    assert "hashpartitioning(question_id" in (plan := got._jdf.queryExecution().executedPlan().toString()) and ", 8)" in plan
+    assert sorted(map(tuple, got.collect())) == want
