@@ -1,9 +1,11 @@
 """Index builds shuffle texts, not postings; many questions meet postings where their mails are."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from palisade.functions import text as T
-from palisade.operators import blockmax, evals, lexical, positions
+from palisade.operators import blockmax, evals, lexical, positions, vector
 
 CHUNK = "chunk_id long, email_id long, ord int, text string"
 
@@ -67,3 +69,20 @@ def test_more_rows_make_more_parts_of_rank_metrics(spark, monkeypatch):
     got = evals.rank_metrics(results, relevant, 3)
     assert "hashpartitioning(question_id" in (plan := got._jdf.queryExecution().executedPlan().toString()) and ", 8)" in plan
     assert sorted(map(tuple, got.collect())) == want
+
+
+def test_questions_leave_a_similarity_join_in_small_batches():
+    part = pd.DataFrame({"question_id": range(500), "embedding": [[1.0, 0.0]] * 500})
+    rows, c = np.nonzero(np.ones((500, 64), bool))
+    out = list(vector.slices()(part, rows, c))
+    assert max(map(len, out)) <= vector.SLICE and sum(map(len, out)) == 500 * 64
+    assert {(q, k) for o in out for q, k in zip(o["question_id"], o["c"])} == {(q, k) for q in range(500) for k in range(64)}
+
+
+def test_products_in_strips_are_those_of_the_whole():
+    rng = np.random.default_rng(1)
+    a, b = rng.normal(size=(300, 8)), rng.normal(size=(301, 8))
+    i, j, sims = vector.products(0.5, 6)(a, b)
+    whole = np.round(b @ a.T, 6)
+    assert set(zip(j, i)) == set(zip(*np.nonzero(whole >= 0.5))) and np.allclose(sims, whole[j, i], atol=2e-6)
+    assert len(vector.products(0.5, 6)(a, b[:0])[0]) == 0
