@@ -200,8 +200,11 @@ def bm25_batch(spark, sf_dir):
 
 def _blocks(spark, sf_dir) -> blockmax.Index:
     stored = lambda: _stored_chunks(spark, sf_dir)
-    parts = {"blocks": lambda: blockmax.blocks(stored()), "terms": lambda: blockmax.term_counts(stored()), "lengths": lambda: blockmax.length_counts(stored())}
-    return blockmax.Index(*[_indexed(spark, sf_dir, f"blockmax-{name}", build) for name, build in parts.items()])
+    parts = {"blocks": lambda: blockmax.blocks(stored()), "terms": lambda: blockmax.terms_of(made[0]), "lengths": lambda: blockmax.length_counts(stored())}
+    made: list[DataFrame] = []
+    for name, build in parts.items():
+        made.append(_indexed(spark, sf_dir, f"blockmax-{name}", build))
+    return blockmax.Index(*made)
 
 
 @query(_with(R.EMAILS, R.ACL, R.CHUNKS, _MINE, _POSTINGS) + _bm25("AND p.chunk_id IN (SELECT chunk_id FROM readable)"))
@@ -229,7 +232,8 @@ def bm25_segments(spark, sf_dir):
         store.add_chunks(chunks.filter(late))
         store.remove_chunks(chunks.filter("chunk_id % 50 = 49"))
 
-    store = tables.kept_store(spark, f"{sf_dir}/documents.parquet", "segments", fill)
+    # searched by words only, so no vectors and no places are made of it
+    store = tables.kept_store(spark, f"{sf_dir}/documents.parquet", "segments", fill, parts=("blocks",))
     readable = A.SecureCorpus(store.read("chunks"), R.acl(spark, sf_dir), ME).readable()
     return blockmax.search(store.index(), readable, TERMS, 20)
 

@@ -5,7 +5,8 @@ seen as a whole or not at all. Chunks come in segments: adding some writes their
 of postings, positions, vectors and counts, and reads and embeds nothing that is there
 already. Removed chunks are entered as such, with their counts taken off, and are passed over
 until `compact` writes one segment of what is left. Vectors carry the name of the embedder
-that made them, and another one is refused. The audit log is a plain folder that rows are
+that made them, and another one is refused. A corpus that is only searched by words can be kept
+without positions and vectors (`parts`). The audit log is a plain folder that rows are
 appended to, outside of the snapshots.
 """
 
@@ -22,13 +23,15 @@ from pyspark.sql import functions as F
 
 from palisade.operators import acl as A
 from palisade.operators import blockmax, positions, vector
-from palisade.sources.snapshots import Change, Conflict, Log, Snapshot
+from palisade.sources.snapshots import CODEC, Change, Conflict, Log, Snapshot, release
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 #: Tables that an ingest writes and `truncate` empties; the audit log and the versions stay.
 CORPUS = ("emails", "acl", "chunks", "blocks", "terms", "sizes", "positions", "vectors", "removed", "entities", "mentions", "edges", "cache_entries")
 #: Tables outside of the snapshots, append-only.
 PLAIN = ("audit_log",)
+#: What a segment can hold besides its chunks; `terms` and `sizes` come with the blocks.
+PARTS = ("blocks", "positions", "vectors")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -94,7 +97,8 @@ def indexed(spark: SparkSession, source: str, name: str, build: Callable[[], Dat
     key = (spark.sparkContext.applicationId, source, name, _stamp(spark, source))
     if key not in _kept:
         path = f"{shared_dir(spark)}/index-{name}-{uuid.uuid4().hex}"
-        build().write.parquet(path)
+        build().write.option("compression", CODEC).parquet(path)
+        release(spark)
         _kept[key] = path
     return spark.read.parquet(_kept[key])
 
@@ -107,14 +111,14 @@ def settled(rows: DataFrame) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def kept_store(spark: SparkSession, source: str, name: str, fill: Callable[[Store], None]) -> Store:
+def kept_store(spark: SparkSession, source: str, name: str, fill: Callable[[Store], None], parts: tuple[str, ...] = PARTS) -> Store:
     """A corpus made of the files at `source`, as `indexed` keeps a table."""
     key = (spark.sparkContext.applicationId, source, name, _stamp(spark, source))
     if key not in _kept:
         path = f"{shared_dir(spark)}/store-{name}-{uuid.uuid4().hex}"
-        fill(Store(spark, path))
+        fill(Store(spark, path, parts=parts))
         _kept[key] = path
-    return Store(spark, _kept[key])
+    return Store(spark, _kept[key], parts=parts)
 
 
 class ModelMismatch(RuntimeError):
@@ -124,8 +128,9 @@ class ModelMismatch(RuntimeError):
 class Store:
     """One corpus at `path`: its latest snapshot, or the one it is pinned to."""
 
-    def __init__(self, spark: SparkSession, path: str, pinned: Snapshot | None = None):
-        self.spark, self.path, self.pinned = spark, path.rstrip("/"), pinned
+    def __init__(self, spark: SparkSession, path: str, pinned: Snapshot | None = None, parts: tuple[str, ...] = PARTS):
+        """parts: what the segments of a new corpus hold; later ones hold what is there."""
+        self.spark, self.path, self.pinned, self.parts = spark, path.rstrip("/"), pinned, parts
         self.log = Log(spark, f"{self.path}/_snapshots")
         self._open: Change | None = None
 
@@ -136,7 +141,7 @@ class Store:
 
     def held(self) -> Store:
         """A reader of the corpus as it is now, whatever is changed later."""
-        return Store(self.spark, self.path, self.snapshot())
+        return Store(self.spark, self.path, self.snapshot(), self.parts)
 
     @contextmanager
     def change(self) -> Iterator[Change]:
@@ -237,37 +242,47 @@ class Store:
     def add_chunks(self, chunks: DataFrame, embedder: vector.Embedder | None = None) -> None:
         """Append chunks(chunk_id, email_id, ord, text), of new ids or of removed ones, as a segment of its own."""
         with self.change() as change:
+            parts = self._held(change)
             change.segment += 1
             seg = F.lit(change.segment).cast("long").alias("seg")
             own = change.append("chunks", chunks.select("chunk_id", "email_id", "ord", "text", seg))
-            self._derive(change, own)
-            change.append("vectors", vector.table(own, embedder or vector.HashEmbedder()).withColumn("seg", seg))
+            self._derive(change, own, parts)
+            if "vectors" in parts:
+                change.append("vectors", vector.table(own, embedder or vector.HashEmbedder()).withColumn("seg", seg))
 
-    def _derive(self, change: Change, own: DataFrame) -> None:
+    def _held(self, change: Change) -> tuple[str, ...]:
+        return tuple(p for p in PARTS if p in change.tables) if "chunks" in change.tables else self.parts
+
+    def _derive(self, change: Change, own: DataFrame, parts: tuple[str, ...]) -> None:
         """What a segment holds besides chunks and vectors."""
-        change.append("blocks", blockmax.blocks(own, change.segment), blockmax.WRITER)
-        change.append("terms", blockmax.term_counts(own))
-        change.append("sizes", blockmax.length_counts(own))
-        change.append("positions", positions.positions(own, change.segment))
+        if "blocks" in parts:
+            made = change.append("blocks", blockmax.blocks(own, change.segment), blockmax.WRITER)
+            change.append("terms", blockmax.terms_of(made))
+            change.append("sizes", blockmax.length_counts(own))
+        if "positions" in parts:
+            change.append("positions", positions.positions(own, change.segment))
 
     def remove_chunks(self, ids: DataFrame) -> None:
         """Remove those of ids(chunk_id) that are there."""
         with self.change() as change:
             dead = self.read("chunks").join(ids.select("chunk_id").distinct(), "chunk_id", "left_semi")
             gone = change.append("removed", dead.select("chunk_id", F.lit(change.segment).cast("long").alias("seg"), "email_id", "text"))
-            change.append("terms", blockmax.term_counts(gone, -1))
-            change.append("sizes", blockmax.length_counts(gone, -1))
+            if "blocks" in change.tables:
+                change.append("terms", blockmax.term_counts(gone, -1))
+                change.append("sizes", blockmax.length_counts(gone, -1))
 
     def compact(self) -> None:
         """One segment of all that is left. Vectors are kept as they are, not made anew."""
         with self.change() as change:
-            chunks, vectors = self.read("chunks"), self.read("vectors")
+            chunks, held = self.read("chunks"), self._held(change)
+            vectors = self.read("vectors") if "vectors" in held else None
             change.segment += 1
             seg = F.lit(change.segment).cast("long").alias("seg")
             own = change.write("chunks", chunks.withColumn("seg", seg))
-            change.write("vectors", vectors.withColumn("seg", seg))
+            if vectors is not None:
+                change.write("vectors", vectors.withColumn("seg", seg))
             change.drop("blocks", "terms", "sizes", "positions", "removed")
-            self._derive(change, own)
+            self._derive(change, own, held)
 
     def index(self) -> blockmax.Index:
         """The blocks of postings of all segments."""

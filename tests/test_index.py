@@ -258,3 +258,40 @@ def test_vectors_for_many_questions(spark):
     again = vector.top_k_many(guarded, questions, 7).select("question_id", "rank", "chunk_id", "sim").collect()
     vector.QUESTIONS = 4096
     assert sorted(map(tuple, again)) == sorted(map(tuple, got))
+
+
+def test_a_corpus_searched_by_words_holds_no_vectors_and_places(spark, tmp_path):
+    (tmp_path / "seen").mkdir()
+    embedder = counting(tmp_path / "seen")
+    chunks, _ = corpus(spark, 200)
+    more, _ = corpus(spark, 20, seed=1, start=600)
+    store = Store(spark, str(tmp_path / "corpus"), parts=("blocks",))
+    store.add_chunks(chunks, embedder)
+    Store(spark, store.path).add_chunks(more, embedder)  # holds what is there
+    store.remove_chunks(chunks.filter("chunk_id % 5 = 0"))
+    left = chunks.filter("chunk_id % 5 <> 0").unionByName(more)
+    for step in (lambda: None, store.compact):
+        step()
+        assert not store.has("vectors") and not store.has("positions") and embedder.count() == 0
+        got = [tuple(r) for r in blockmax.search(store.index(), None, ["the", "w1", "rare"], 7).collect()]
+        assert got == plain(left, None, ["the", "w1", "rare"], 7)
+
+
+def test_counts_of_terms_come_from_blocks(spark):
+    chunks, _ = corpus(spark, 200)
+    assert rows(blockmax.terms_of(blockmax.blocks(chunks, size=16))) == rows(blockmax.term_counts(chunks))
+
+
+def test_segments_query_makes_no_vectors(spark, monkeypatch):
+    """What the query does not read was most of the disk that it took."""
+    from palisade.operators import positions, vector
+    from palisade.plans import catalogue
+    from palisade.sources import tables
+
+    def never(*_):
+        raise AssertionError("not asked for")
+
+    monkeypatch.setattr(vector, "table", never)
+    monkeypatch.setattr(positions, "positions", never)
+    monkeypatch.setattr(tables, "_kept", {})
+    assert catalogue.bm25_segments(spark, "/root/testdata/sf0.001").count() == 20
