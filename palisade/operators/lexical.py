@@ -32,15 +32,19 @@ def weight(tf: Column, dl: Column, avgdl: Column) -> Column:
     return tf * (k + 1) / (tf + k * (1 - b + b * dl / avgdl))
 
 
-def dealt(chunks: DataFrame) -> DataFrame:
-    """Chunks dealt by id into parts of about TASK_WORDS words; texts are all that an index build shuffles."""
-    total = chunks.agg(F.sum(F.regexp_count(F.lower("text"), F.lit("[a-z0-9]+")))).first()[0]
+def dealt(chunks: DataFrame, total: int | None = None) -> DataFrame:
+    """Chunks dealt by id into parts of about TASK_WORDS words; texts are all that an index build shuffles.
+
+    total: how many words there are; without it they are counted in a pass of its own.
+    """
+    if total is None:
+        total = chunks.agg(F.sum(F.regexp_count(F.lower("text"), F.lit("[a-z0-9]+")))).first()[0]
     return chunks.repartition(max(1, -(-(total or 0) // TASK_WORDS)), "chunk_id")
 
 
-def sorted_postings(chunks: DataFrame) -> DataFrame:
+def sorted_postings(chunks: DataFrame, total: int | None = None) -> DataFrame:
     """`postings` of each part of the corpus sorted by term, so a reader of a few terms touches few row groups of each."""
-    return postings(dealt(chunks)).sortWithinPartitions("term", "chunk_id")
+    return postings(dealt(chunks, total)).sortWithinPartitions("term", "chunk_id")
 
 
 def statistics(chunks: DataFrame) -> DataFrame:
@@ -48,6 +52,12 @@ def statistics(chunks: DataFrame) -> DataFrame:
     return chunks.select(F.regexp_count(F.lower("text"), F.lit("[a-z0-9]+")).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
+def total_words(stats: DataFrame) -> int:
+    """Words of all chunks, of `statistics`."""
+    row = stats.first()
+    return round((row["n"] or 0) * (row["avgdl"] or 0))
+
+
 def search(chunks: DataFrame, readable: DataFrame | None, terms: list[str], limit: int = 50, digits: int = 6) -> DataFrame:
     """(chunk_id, score) of the best chunks for a few terms, without an index.
 

@@ -155,9 +155,15 @@ def _stored_chunks(spark, sf_dir) -> DataFrame:
     return _indexed(spark, sf_dir, "chunks", lambda: R.chunks(spark, sf_dir))
 
 
-def _best_by_words(spark, sf_dir, limit: int) -> DataFrame:
-    index = _indexed(spark, sf_dir, "postings", lambda: lexical.sorted_postings(_stored_chunks(spark, sf_dir)))
+def _postings(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Postings and lengths; words are counted once for both."""
     lengths = _indexed(spark, sf_dir, "lengths", lambda: lexical.statistics(_stored_chunks(spark, sf_dir)))
+    build = lambda: lexical.sorted_postings(_stored_chunks(spark, sf_dir), lexical.total_words(lengths))
+    return _indexed(spark, sf_dir, "postings", build), lengths
+
+
+def _best_by_words(spark, sf_dir, limit: int) -> DataFrame:
+    index, lengths = _postings(spark, sf_dir)
     readable = A.SecureCorpus(_stored_chunks(spark, sf_dir), R.acl(spark, sf_dir), ME).readable()
     return lexical.search_index(index, lengths, readable, TERMS, limit)
 
@@ -193,8 +199,7 @@ _ASKED = """asked AS (SELECT item_id AS question_id, 'user:u' || (item_id % 40)
 )
 def bm25_batch(spark, sf_dir):
     asked = R.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.array(F.expr("concat('user:u', item_id % 40)")).alias("tokens"), F.array_distinct(T.terms(F.col("text"))).alias("terms"))
-    index = _indexed(spark, sf_dir, "postings", lambda: lexical.sorted_postings(_stored_chunks(spark, sf_dir)))
-    lengths = _indexed(spark, sf_dir, "lengths", lambda: lexical.statistics(_stored_chunks(spark, sf_dir)))
+    index, lengths = _postings(spark, sf_dir)
     return lexical.search_many(index, lengths, asked, R.acl(spark, sf_dir), 5).select("question_id", "chunk_id", "score", "rank")
 
 

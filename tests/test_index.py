@@ -295,3 +295,15 @@ def test_segments_query_makes_no_vectors(spark, monkeypatch):
     monkeypatch.setattr(positions, "positions", never)
     monkeypatch.setattr(tables, "_kept", {})
     assert catalogue.bm25_segments(spark, "/root/testdata/sf0.001").count() == 20
+
+
+def test_postings_are_dealt_without_another_pass(spark):
+    """The words that `statistics` counted tell how many parts there are."""
+    chunks, _ = corpus(spark, 200)
+    total = lexical.total_words(lexical.statistics(chunks))
+    assert total == chunks.agg(F.sum(F.size(T.terms(F.col("text"))))).first()[0]
+    spark.sparkContext.setJobGroup("dealt", "no job before the write")
+    dealt = lexical.sorted_postings(chunks, total)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("dealt")
+    assert rows(dealt) == rows(lexical.sorted_postings(chunks))
+    assert lexical.sorted_postings(chunks, 0).rdd.getNumPartitions() == 1 and lexical.total_words(lexical.statistics(chunks.limit(0))) == 0
