@@ -295,6 +295,7 @@ def test_segments_query_makes_no_vectors(spark, monkeypatch):
     monkeypatch.setattr(positions, "positions", never)
     monkeypatch.setattr(tables, "_kept", {})
     assert catalogue.bm25_segments(spark, "/root/testdata/sf0.001").count() == 20
+    tables._forget()  # the store of this test only
 
 
 def test_postings_are_dealt_without_another_pass(spark):
