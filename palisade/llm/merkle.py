@@ -8,12 +8,14 @@ the preimages of its ancestors with the slot that the path takes in each. Cuttin
 64 characters out leaves the siblings, which are the proof; putting another digest in their
 place and hashing gives the parent that follows from it, up to the root.
 
-Levels are built from below, each from the digests of the one before, by plain grouping of
-three rows. Paths are joined from above: a parent's path goes to its children, so each level
-is one join on (group, place), keys that no two parents share, and all levels together take
-half as many rows again as there are leaves. A source that holds a third of all rows has no
-key of its own anywhere: places in it come from ranges (`ordering.placed`), and its root's path is joined where
-it has one node. The driver sees a count, the number of levels and the root.
+DEPTH levels are built at once: a block is FANOUT ** DEPTH neighbours in one row, which hashes
+them to its one node and keeps the preimages of all levels between. Blocks of the next table
+are made of these nodes. Paths come from above: a block's path goes to its members, behind
+the steps inside the block, by one join on (group, place), keys that no two blocks share. So
+jobs and the size of plans, which the driver holds, grow by one table for each FANOUT ** DEPTH
+times as many rows, not by one for each level. A source that holds a third of all rows has no
+key of its own anywhere: places in it come from ranges (`ordering.placed`), and its root's path
+is joined where it has one node. The driver sees a count, the number of tables and the root.
 
 Defined results: a null field is `-`, so it differs from an empty one. Leaves ascend by id,
 null ids first, rows with one id by digest; equal rows are leaves of their own. A source with
@@ -29,10 +31,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import settled
+from palisade.llm.common import let, settled
 from palisade.llm.ordering import placed
 
 FANOUT = 3
+#: Levels inside a block: 243 leaves, some 60 KB.
+DEPTH = 5
 DIGEST = 64
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
@@ -69,50 +73,85 @@ def proof(path: Column) -> Column:
     return F.array_join(F.transform(path, siblings), "")
 
 
+def _runs(digests: Column, fanout: int) -> Column:
+    """The preimages of the parents of neighbouring nodes."""
+    starts = lambda xs: F.sequence(F.lit(1), F.size(xs), F.lit(fanout))
+    return let(digests, lambda xs: F.transform(starts(xs), lambda at: F.array_join(F.slice(xs, at, fanout), "")))
+
+
 @dataclass
 class Tree:
-    """Levels of parents (g, at, n, pre, h) over nodes (g, at, n, h): place, nodes of the level in this group, preimage, digest."""
+    """Tables of blocks (g, at, n, members, pres, h) over nodes (g, at, n, h, ...).
+
+    Place and number of blocks in the group; the nodes or blocks below, by place, with all their
+    columns; the preimages of each level of the block, from below; the digest of the last one.
+    """
 
     nodes: DataFrame
     fanout: int = FANOUT
-    levels: list[DataFrame] = field(default_factory=list)
+    blocks: list[DataFrame] = field(default_factory=list)
 
     def __post_init__(self) -> None:
         below, most = self.nodes, self.nodes.agg(F.max("n")).first()[0] or 0
         while most > 1:
-            below = settled(self._parents(below.filter("n > 1")))
-            self.levels.append(below)
-            most = -(-most // self.fanout)
-
-    def _parents(self, below: DataFrame) -> DataFrame:
-        run = F.floor(F.col("at") / self.fanout).cast("long")
-        # at most `fanout` children
-        children = F.sort_array(F.collect_list(F.struct("at", "h")))
-        grouped = below.groupBy("g", run.alias("at"), F.ceil(F.col("n") / self.fanout).cast("long").alias("n")).agg(children.alias("c"))
-        joined = F.array_join(F.transform("c", lambda c: c["h"]), "")
-        return grouped.select("g", "at", "n", joined.alias("pre")).withColumn("h", F.sha2("pre", 256))
+            below = settled(self._over(below.select("g", "at", "n", "h") if self.blocks else below))
+            self.blocks.append(below)
+            most = -(-most // self.width)
+
+    @property
+    def width(self) -> int:
+        return self.fanout**DEPTH
+
+    def _over(self, below: DataFrame) -> DataFrame:
+        # a group's last block may have fewer nodes, but has as many levels as the others
+        levels = F.coalesce(*(F.when(F.col("n") <= self.fanout**k, k) for k in range(1, DEPTH)), F.lit(DEPTH))
+        block, n = F.floor(F.col("at") / self.width).cast("long"), F.ceil(F.col("n") / self.width).cast("long")
+        # at most `width` members
+        members = F.sort_array(F.collect_list(F.struct("at", *(c for c in below.columns if c not in ("g", "at", "n")))))
+        rows = below.filter("n > 1").groupBy("g", block.alias("block"), n.alias("blocks"), levels.alias("levels")).agg(members.alias("members"))
+        first = F.array(_runs(F.transform("members", lambda m: m["h"]), self.fanout))
+        more = F.filter(F.sequence(F.lit(1), F.lit(DEPTH)), lambda k: k < F.col("levels"))
+        up = lambda pres, _: F.concat(pres, F.array(_runs(F.transform(F.element_at(pres, -1), lambda p: F.sha2(p, 256)), self.fanout)))
+        made = rows.select("g", F.col("block").alias("at"), F.col("blocks").alias("n"), "members", F.aggregate(more, first, up).alias("pres"))
+        return made.withColumn("h", F.sha2(F.element_at("pres", -1)[0], 256))
 
     def tops(self) -> DataFrame:
         """(g, h): the last node of each group."""
         out = self.nodes.filter("n = 1").select("g", "h")
-        for level in self.levels:
-            out = out.unionByName(level.filter("n = 1").select("g", "h"))
+        for table in self.blocks:
+            out = out.unionByName(table.filter("n = 1").select("g", "h"))
+        return out
+
+    def preimages(self) -> DataFrame | None:
+        """(g, level, at, pre) of all parents; None where there are none."""
+        out = None
+        for k, table in enumerate(self.blocks):
+            each = table.select("g", F.col("at").alias("block"), F.posexplode("pres").alias("step", "pre_of"))
+            each = each.select("g", "block", "step", F.posexplode("pre_of").alias("inside", "pre"))
+            inside = F.pow(F.lit(self.fanout), F.lit(DEPTH - 1) - F.col("step")).cast("long")  # parents of this level in a whole block
+            part = each.select("g", (F.col("step") + (k * DEPTH + 1)).alias("level"), (F.col("block") * inside + F.col("inside")).alias("at"), "pre")
+            out = part if out is None else out.unionByName(part)
         return out
 
     def paths(self, above: DataFrame) -> DataFrame:
         """The nodes with `path`, from the parent to the end of `above(g, path, ...)`, whose other columns come along."""
         more = [c for c in above.columns if c not in ("g", "path")]
-        known: DataFrame | None = None  # of the level above
-        for level in [*reversed(self.levels), self.nodes]:
-            rows = level.filter("n = 1").join(above, "g")
+        known: DataFrame | None = None  # places below the last table, with their paths
+        for table in reversed(self.blocks):
+            rows = table.filter("n = 1").join(above, "g")
             if known is not None:
-                up = known.select(F.col("g").alias("ug"), F.col("at").alias("ua"), F.col("pre").alias("up"), F.col("path").alias("upath"), *more)
-                inner = level.filter("n > 1").join(up, (F.col("g") == F.col("ug")) & (F.floor(F.col("at") / self.fanout) == F.col("ua")))
-                step = F.struct(F.col("up").alias("pre"), (F.col("at") % self.fanout).cast("int").alias("slot"))
-                inner = inner.withColumn("path", F.concat(F.array(step), "upath"))
+                inner = table.filter("n > 1").join(known.drop("h"), ["g", "at"])
                 rows = rows.unionByName(inner.select(rows.columns))
-            known = rows
-        return known
+            known = self._members(rows, more)
+        found = self.nodes.filter("n = 1").join(above, "g").drop("n")
+        return found if known is None else found.unionByName(known.select(found.columns))
+
+    def _members(self, rows: DataFrame, more: Sequence[str]) -> DataFrame:
+        """The members of blocks (members, pres, path), each with the steps inside the block before the block's path."""
+        each = rows.select("g", "pres", "path", *more, F.posexplode("members").alias("__place", "__member"))
+        place = lambda k: F.floor(F.col("__place") / F.pow(F.lit(self.fanout), k)).cast("int")
+        step = lambda pre, k: F.struct(pre[place(k + 1)].alias("pre"), (place(k) % self.fanout).alias("slot"))
+        return each.select("g", F.concat(F.transform("pres", step), "path").alias("path"), *more, "__member.*")
 
 
 @dataclass
@@ -125,17 +164,17 @@ class Manifest:
 
     def preimages(self) -> DataFrame:
         """(source_key, level, at, pre) of all parents; those over subroots have a null key and levels of their own."""
-        parts = [level.select(F.col("g").alias("source_key"), F.lit(k + 1).alias("level"), "at", "pre") for k, level in enumerate(self.sources.levels)]
-        parts += [level.select(F.lit(None).cast("string").alias("source_key"), F.lit(k + 1).alias("level"), "at", "pre") for k, level in enumerate(self.top.levels)]
-        out = parts[0] if parts else self.sources.nodes.limit(0).select(F.col("g").alias("source_key"), F.lit(0).alias("level"), "at", F.col("h").alias("pre"))
-        for part in parts[1:]:
-            out = out.unionByName(part)
+        out = self.sources.nodes.limit(0).select(F.col("g").alias("source_key"), F.lit(0).alias("level"), "at", F.col("h").alias("pre"))
+        for tree, key in ((self.sources, F.col("g")), (self.top, F.lit(None).cast("string"))):
+            part = tree.preimages()
+            if part is not None:
+                out = out.unionByName(part.select(key.alias("source_key"), "level", "at", "pre"))
         return out
 
     def paths(self) -> DataFrame:
         """The leaves with `path` to the root and `subroot`."""
         over_sources = self.top.paths(self.top.tops().select("g", F.expr(_NO_PATH).alias("path")))
-        return self.sources.paths(over_sources.select(F.col("key").alias("g"), "path", F.col("h").alias("subroot")))
+        return self.sources.paths(settled(over_sources.select(F.col("key").alias("g"), "path", F.col("h").alias("subroot"))))
 
 
 def build(leaves: DataFrame, fanout: int = FANOUT) -> Manifest:

@@ -106,3 +106,26 @@ def test_preimages_hold_their_children(spark):
     assert made - hashes == {manifest.root}
     assert {leaf(r) for r in rows} <= hashes
     assert max(len(r["pre"]) for r in pre) == 3 * 64
+
+
+@pytest.mark.parametrize("n,fanout,depth", [(90, 3, 1), (90, 3, 2), (40, 2, 3)])
+def test_blocks_over_blocks(spark, monkeypatch, n, fanout, depth):
+    """Blocks of few levels give the same trees, also where a source's last block is not full."""
+    monkeypatch.setattr(merkle, "DEPTH", depth)
+    rows = sample(n, n + depth)
+    assert got(spark, rows, fanout) == brute(rows, fanout)
+
+
+def _joins(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+
+
+def test_plans_do_not_grow_with_levels(spark):
+    """The driver holds the plan: 700 rows have four levels more than 9 and one table of blocks more."""
+    plans = []
+    for n in (9, 243, 700):
+        rows = [(i, "a" if i else None, "en", i, f"text {i}\n") for i in range(n + 1)]
+        found = merkle.verified(spark.createDataFrame(rows, SCHEMA), merkle.tampered(F.col("text"), F.col("doc_id")))
+        plans.append(_joins(found))
+        assert sorted((tuple(r) for r in found.collect()), key=str) == brute(rows)
+    assert plans[0] == plans[1] and plans[2] <= plans[1] + 2
