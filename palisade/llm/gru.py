@@ -74,15 +74,13 @@ class ByClass:
         x += weights["cb"]
         return x
 
-    def inner(self, weights: Weights, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Logits inside the class, of rows from `first` on, and these rows with a one behind each, for the biases."""
-        ones = np.ones((len(rows), HIDDEN + 1), rows.dtype)
-        ones[:, :HIDDEN] = rows
-        both = np.concatenate([weights["w"], weights["wb"][:, None, :]], axis=1)
-        x = np.empty((len(rows), WIDE), rows.dtype)
+    def inner(self, weights: Weights, rows: np.ndarray) -> np.ndarray:
+        """Logits inside the class, of rows from `first` on."""
+        x, w = np.empty((len(rows), WIDE), rows.dtype), weights["w"]
         for k, a, b in self.parts():
-            np.matmul(ones[a:b], both[k], out=x[a:b])
-        return x, ones
+            np.matmul(rows[a:b], w[k], out=x[a:b])
+        x += weights["wb"].take(self.of[self.first :] - 1, axis=0)
+        return x
 
 
 def _log_p(x: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -109,25 +107,24 @@ def output(weights: Weights, hidden: np.ndarray, targets: np.ndarray) -> np.ndar
         cut = ByClass(weights, targets[at : at + TILE])
         rows = hidden[at : at + TILE][cut.order]
         log_p = _log_p(cut.outer(weights, rows), cut.of)
-        log_p[cut.first :] += _log_p(cut.inner(weights, rows[cut.first :])[0], cut.place[cut.first :])
+        log_p[cut.first :] += _log_p(cut.inner(weights, rows[cut.first :]), cut.place[cut.first :])
         out[at : at + TILE][cut.order] = log_p
     return out
 
 
-def _sigmoid(x: np.ndarray) -> None:
-    np.negative(x, out=x)
+def _sigmoid_of_negative(x: np.ndarray) -> None:
     np.exp(x, out=x)
     x += 1
     np.reciprocal(x, out=x)
 
 
 class Cell:
-    """One step of the recurrence, with the weights of gates and of the new state side by side."""
+    """One step of the recurrence, with the weights of gates, negated, and of the new state apart."""
 
     def __init__(self, weights: Weights):
         cut = 2 * HIDDEN
-        self.x = [np.ascontiguousarray(p) for p in (weights["x"][:, :cut], weights["x"][:, cut:])]
-        self.u = [np.ascontiguousarray(p) for p in (weights["u"][:, :cut], weights["u"][:, cut:])]
+        self.x = [-weights["x"][:, :cut], np.ascontiguousarray(weights["x"][:, cut:])]
+        self.u = [-weights["u"][:, :cut], np.ascontiguousarray(weights["u"][:, cut:])]
 
     def inputs(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """What whole windows of ids give to the gates and to the new state; `step` works in them."""
@@ -136,7 +133,7 @@ class Cell:
     def step(self, state: np.ndarray, gates: np.ndarray, new: np.ndarray, back: np.ndarray, out: np.ndarray) -> None:
         """The next state goes to `out`; gates and new part take the place of their inputs, the recurrent one goes to `back`."""
         gates += np.matmul(state, self.u[0])
-        _sigmoid(gates)
+        _sigmoid_of_negative(gates)
         np.matmul(state, self.u[1], out=back)
         new += back * gates[:, HIDDEN:]
         np.tanh(new, out=new)
@@ -245,17 +242,18 @@ def touched(weights: Weights, state: np.ndarray, inputs: np.ndarray, targets: np
     found: Gradients = [("c", None, flat.T @ d), ("cb", None, _down(d))]
     d_flat = d @ weights["c"].T
     if len(cut.some):
-        e, ones = cut.inner(weights, flat[cut.first :])
+        rows = flat[cut.first :]
+        e = cut.inner(weights, rows)
         loss += down(e, cut.place[cut.first :], scale[cut.first :])
-        inside, back_w = np.empty((len(cut.some), h + 1, WIDE), kind), weights["w"].transpose(0, 2, 1)
+        inside, back_w = np.empty((len(cut.some), h, WIDE), kind), weights["w"].transpose(0, 2, 1)
         d_rows = np.empty((len(e), h), kind)
         for j, (k, a, b) in enumerate(cut.parts()):
             part = e[a:b]
-            np.matmul(ones[a:b].T, part, out=inside[j])
+            np.matmul(rows[a:b].T, part, out=inside[j])
             np.matmul(part, back_w[k], out=d_rows[a:b])
         d_flat[cut.first :] += d_rows
         some = None if len(cut.some) == len(weights["w"]) else cut.some
-        found += [("w", some, np.ascontiguousarray(inside[:, :h])), ("wb", some, np.ascontiguousarray(inside[:, h]))]
+        found += [("w", some, inside), ("wb", some, np.add.reduceat(e, cut.begin, axis=0))]
     d_states = np.empty_like(d_flat)
     d_states[cut.order] = d_flat
     d_states = d_states.reshape(steps, lanes, h)
@@ -322,12 +320,13 @@ class Trainer:
     def _update(self, name: str, rows: np.ndarray | None, g: np.ndarray) -> None:
         weights, seen = self.weights[name], self.seen[name]
         now = g * g
-        now += seen if rows is None else seen.take(rows, axis=0)
         g *= self.rate
-        g /= np.sqrt(now)
         if rows is None:
-            self.seen[name] = now
+            seen += now
+            g /= np.sqrt(seen, out=now)
             weights -= g
         else:  # rows are distinct
+            now += seen.take(rows, axis=0)
             seen[rows] = now
-            weights[rows] = weights.take(rows, axis=0) - g
+            g /= np.sqrt(now, out=now)
+            weights[rows] = np.subtract(weights.take(rows, axis=0), g, out=g)

@@ -611,6 +611,24 @@ def test_gradients_and_whole_text_likelihood():
     assert abs(total - 1) < 1e-4
 
 
+def test_gradients_inside_classes():
+    from palisade.llm import gru
+
+    rng = np.random.default_rng(6)
+    weights = {k: v.astype(np.float64) for k, v in gru.start(np.ones(192), 5.0).items()}
+    inputs, targets = rng.integers(0, 193, (5, 3)), rng.choice([0, 3, 70, 71, 192], (5, 3))  # the last class has no rows
+    targets[0] = (3, 70, 192)
+    state, use = np.zeros((3, gru.HIDDEN)), np.ones((5, 3), bool)
+    grads, _, _ = gru._gradients(weights, state, inputs, targets, use)
+    assert not grads["w"][2].any() and not grads["wb"][2].any()
+    for name, place in (("w", (0, 4, 3)), ("w", (1, 7, 9)), ("wb", (0, 3)), ("wb", (1, 6)), ("cb", (0,))):
+        up, down = ({k: v.copy() for k, v in weights.items()} for _ in range(2))
+        up[name][place] += 1e-3
+        down[name][place] -= 1e-3
+        slope = (gru._gradients(up, state, inputs, targets, use)[2] - gru._gradients(down, state, inputs, targets, use)[2]) / 2e-3
+        assert abs(slope - grads[name][place]) < 1e-5
+
+
 # chat
 
 
