@@ -11,6 +11,7 @@ follows the window and not the vocabulary; Adagrad leaves all else as it is anyw
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heapreplace
 
 import numpy as np
 
@@ -19,8 +20,12 @@ WIDE = 64
 WINDOW = 24
 LANES = 128
 RATE = 0.08
-#: Rows of a softmax that are worked on together, so that they stay in the processor's cache.
+#: Rows that are sorted by class together.
 TILE = 16_384
+#: Products of so many rows at once are small enough for BLAS to multiply them without repacking.
+BLOCK = 256
+#: Logits are clipped here, so that exponentials stay finite.
+LIMIT = 80
 #: A row of the inputs that occurs more often in a window is summed by itself.
 OFTEN = 12
 
@@ -58,8 +63,8 @@ class ByClass:
     def __init__(self, weights: Weights, targets: np.ndarray):
         of = classes(targets, len(weights["x"]) - 1)
         self.order = np.argsort(of.astype(np.uint16), kind="stable")  # short keys are sorted by counting
-        self.of = of[self.order]
-        self.place = targets[self.order] % WIDE
+        self.of = of.take(self.order)
+        self.place = targets.take(self.order) % WIDE
         bounds = np.searchsorted(self.of, np.arange(1, len(weights["cb"]) + 1))
         #: The first row that has an inside, and number, begin and end of each class that has rows, counted from there.
         self.first = int(bounds[0])
@@ -69,25 +74,19 @@ class ByClass:
     def parts(self) -> Iterator[tuple[int, int, int]]:
         return zip(self.some.tolist(), self.begin.tolist(), self.end.tolist(), strict=True)
 
-    def outer(self, weights: Weights, rows: np.ndarray) -> np.ndarray:
-        x = rows @ weights["c"]
-        x += weights["cb"]
-        return x
 
-    def inner(self, weights: Weights, rows: np.ndarray) -> np.ndarray:
-        """Logits inside the class, of rows from `first` on."""
-        x, w = np.empty((len(rows), WIDE), rows.dtype), weights["w"]
-        for k, a, b in self.parts():
-            np.matmul(rows[a:b], w[k], out=x[a:b])
-        x += weights["wb"].take(self.of[self.first :] - 1, axis=0)
-        return x
+def cuts(begin: int, end: int) -> Iterator[tuple[int, int]]:
+    """Stretches of at most BLOCK rows."""
+    return ((a, min(end, a + BLOCK)) for a in range(begin, end, BLOCK))
+
+
+def _tame(matrix: np.ndarray, bias: np.ndarray) -> bool:
+    """Whether no state, all of whose values lie between -1 and 1, gives a logit beyond LIMIT."""
+    return bool((np.abs(matrix).sum(axis=-2) + np.abs(bias)).max() <= LIMIT)
 
 
-def _log_p(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Log softmax of one place in each row; `x` becomes the exponentials."""
-    np.clip(x, -80, 80, out=x)
-    picked = x[np.arange(len(x)), at]
-    return picked - np.log(_across(np.exp(x, out=x)))
+def _clipped(x: np.ndarray) -> np.ndarray:
+    return np.clip(x, -LIMIT, LIMIT, out=x)
 
 
 def _across(x: np.ndarray) -> np.ndarray:
@@ -100,105 +99,179 @@ def _down(x: np.ndarray) -> np.ndarray:
     return np.ones(len(x), x.dtype) @ x
 
 
-def output(weights: Weights, hidden: np.ndarray, targets: np.ndarray) -> np.ndarray:
-    """log p of each target given its row of `hidden`."""
-    out = np.empty(len(targets))
-    for at in range(0, len(targets), TILE):
-        cut = ByClass(weights, targets[at : at + TILE])
-        rows = hidden[at : at + TILE][cut.order]
-        log_p = _log_p(cut.outer(weights, rows), cut.of)
-        log_p[cut.first :] += _log_p(cut.inner(weights, rows[cut.first :]), cut.place[cut.first :])
-        out[at : at + TILE][cut.order] = log_p
-    return out
+class Output:
+    """The two softmaxes. Biases of tame weights are factors of the sums: that spares a pass over all logits."""
 
+    def __init__(self, weights: Weights):
+        self.weights = weights
+        self.outer = self._softmax(weights["c"], weights["cb"])
+        self.inner = self._softmax(weights["w"], weights["wb"])
+
+    @staticmethod
+    def _softmax(matrix: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """Matrix, bias and factors; no factors if logits have to be clipped."""
+        return matrix, bias, np.exp(bias) if _tame(matrix, bias) else None
+
+    @staticmethod
+    def _log_p(rows: np.ndarray, matrix: np.ndarray, bias: np.ndarray, factors: np.ndarray | None, at: np.ndarray, room: np.ndarray) -> np.ndarray:
+        """Log softmax of one place in each of at most BLOCK rows."""
+        x = np.matmul(rows, matrix, out=room[: len(rows)])
+        if factors is None:
+            x += bias
+            _clipped(x)
+        picked = x.reshape(-1).take(np.arange(0, x.size, x.shape[1]) + at)
+        np.exp(x, out=x)
+        if factors is None:
+            return picked - np.log(_across(x))
+        picked += bias.take(at)
+        return picked - np.log(x @ factors)
+
+    def log_p(self, hidden: np.ndarray, targets: np.ndarray) -> np.ndarray:
+        """log p of each target given its row of `hidden`."""
+        out, (w, wb, factors) = np.empty(len(targets)), self.inner
+        wide, narrow = np.empty((BLOCK, len(self.outer[1])), hidden.dtype), np.empty((BLOCK, WIDE), hidden.dtype)
+        for at in range(0, len(targets), TILE):
+            cut = ByClass(self.weights, targets[at : at + TILE])
+            rows = hidden[at : at + TILE].take(cut.order, axis=0)
+            log_p = np.empty(len(rows), hidden.dtype)
+            for a, b in cuts(0, len(rows)):
+                log_p[a:b] = self._log_p(rows[a:b], *self.outer, cut.of[a:b], wide)
+            for k, begin, end in cut.parts():
+                for a, b in cuts(cut.first + begin, cut.first + end):
+                    log_p[a:b] += self._log_p(rows[a:b], w[k], wb[k], None if factors is None else factors[k], cut.place[a:b], narrow)
+            out[at : at + TILE][cut.order] = log_p
+        return out
 
-def _sigmoid_of_negative(x: np.ndarray) -> None:
-    np.exp(x, out=x)
-    x += 1
-    np.reciprocal(x, out=x)
+
+def output(weights: Weights, hidden: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """log p of each target given its row of `hidden`."""
+    return Output(weights).log_p(hidden, targets)
 
 
 class Cell:
-    """One step of the recurrence, with the weights of gates, negated, and of the new state apart."""
+    """One step of the recurrence; weights of the two gates are negated. Each gate and the new state have arrays of their own."""
 
     def __init__(self, weights: Weights):
-        cut = 2 * HIDDEN
-        self.x = [-weights["x"][:, :cut], np.ascontiguousarray(weights["x"][:, cut:])]
-        self.u = [-weights["u"][:, :cut], np.ascontiguousarray(weights["u"][:, cut:])]
+        self.x, self.u = (np.ascontiguousarray(weights[k].reshape(-1, 3, HIDDEN).transpose(1, 0, 2)) for k in "xu")
+        self.x[:2] *= -1
+        self.u[:2] *= -1
 
     def inputs(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """What whole windows of ids give to the gates and to the new state; `step` works in them."""
-        return self.x[0].take(ids, axis=0), self.x[1].take(ids, axis=0)
+        """What whole windows of ids give to the gates (first axis: which) and to the new state; `step` works in them."""
+        out = np.empty((3, *ids.shape, HIDDEN), self.x.dtype)
+        for part, x in zip(out, self.x, strict=True):
+            x.take(ids, axis=0, out=part, mode="clip")
+        return out[:2], out[2]
 
     def step(self, state: np.ndarray, gates: np.ndarray, new: np.ndarray, back: np.ndarray, out: np.ndarray) -> None:
         """The next state goes to `out`; gates and new part take the place of their inputs, the recurrent one goes to `back`."""
-        gates += np.matmul(state, self.u[0])
-        _sigmoid_of_negative(gates)
-        np.matmul(state, self.u[1], out=back)
-        new += back * gates[:, HIDDEN:]
+        gates += np.matmul(state, self.u[:2])
+        np.exp(gates, out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)
+        np.matmul(state, self.u[2], out=back)
+        np.multiply(back, gates[1], out=out)
+        new += out
         np.tanh(new, out=new)
         np.subtract(state, new, out=out)
-        out *= gates[:, :HIDDEN]
+        out *= gates[0]
         out += new
 
 
-def log_likelihoods(weights: Weights, texts: list[np.ndarray], lanes: int = 512, window: int = 32) -> np.ndarray:
+def _lanes(lengths: np.ndarray, most: int) -> list[list[int]]:
+    """Texts dealt to at most so many lanes, the longest first, each to the lane with least so far; the longest lane first."""
+    loads, lanes = [(0, k) for k in range(min(most, len(lengths)))], [[] for _ in range(min(most, len(lengths)))]
+    for i in np.argsort(-lengths, kind="stable").tolist():
+        load, k = loads[0]
+        lanes[k].append(i)
+        heapreplace(loads, (load + int(lengths[i]), k))
+    return [lanes[k] for _, k in sorted(loads, key=lambda x: (-x[0], x[1]))]
+
+
+def log_likelihoods(weights: Weights, texts: list[np.ndarray], lanes: int = 256, window: int = 64) -> np.ndarray:
     """Natural log probability of each whole text (its ids, then the end).
 
-    Texts of like length go side by side; the state is carried from window to window until
-    the longest of them ends.
+    Lanes go side by side and hold texts one after the other, each of which starts from nothing;
+    the state is carried from window to window until the longest lane ends.
     """
-    out, cell = np.zeros(len(texts)), Cell(weights)
-    order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-    for at in range(0, len(order), lanes):
-        group = order[at : at + lanes]
-        lengths = np.array([len(texts[i]) + 1 for i in group])
-        # all texts of the group, each between an end that starts it and one that ends it
-        flat = np.zeros(int(lengths.sum()) + len(group), np.uint16)
-        first = np.cumsum(lengths + 1) - lengths - 1
-        for j, i in enumerate(group):
-            flat[first[j] + 1 : first[j] + lengths[j]] = texts[i]
-        state = np.zeros((len(group), HIDDEN), np.float32)
-        total = np.zeros(len(group))
-        for begin in range(0, int(lengths[0]), window):
-            active = int(np.count_nonzero(lengths > begin))
-            steps = min(window, int(lengths[0]) - begin)
-            place = first[None, :active] + begin + np.arange(steps + 1)[:, None]
-            ids = flat.take(place, mode="clip").astype(np.int64)
-            states, back = np.empty((steps, active, HIDDEN), np.float32), np.empty((active, HIDDEN), np.float32)
-            state, (gates, new) = state[:active], cell.inputs(ids[:-1])
-            for t in range(steps):
-                cell.step(state, gates[t], new[t], back, states[t])
-                state = states[t]
-            log_p = np.zeros((steps, active))
-            whole = min(steps, int(lengths[active - 1]) - begin)  # so many steps are inside all texts
-            log_p[:whole] = output(weights, states[:whole].reshape(-1, HIDDEN), ids[1 : whole + 1].reshape(-1)).reshape(whole, active)
-            if whole < steps:
-                valid = (begin + np.arange(whole, steps))[:, None] < lengths[None, :active]
-                log_p[whole:][valid] = output(weights, states[whole:][valid], ids[whole + 1 :][valid])
-            total[:active] += log_p.sum(axis=0)
-        out[group] = total
+    if not texts:
+        return np.zeros(0)
+    cell, last = Cell(weights), Output(weights)
+    lengths = np.array([len(t) + 1 for t in texts])
+    dealt = _lanes(lengths, lanes)
+    order = np.array([i for lane in dealt for i in lane])
+    loads = np.array([int(lengths[lane].sum()) for lane in dealt])
+    lane_of = np.repeat(np.arange(len(dealt)), [len(lane) for lane in dealt])
+    # lane by lane each text behind its start, which is the end of the one before, and one end behind a lane
+    begins = np.cumsum(lengths[order]) - lengths[order]
+    first = np.cumsum(loads) - loads + np.arange(len(dealt))
+    flat = np.zeros(int(loads.sum()) + len(dealt), np.uint16)
+    for i, at in zip(order.tolist(), (begins + lane_of + 1).tolist(), strict=True):
+        flat[at : at + len(texts[i])] = texts[i]
+    starts = begins + lane_of - first[lane_of]  # the step at which a text starts
+    by_step = np.argsort(starts, kind="stable")
+    starts, starting = starts[by_step], lane_of[by_step]
+    log_p = np.zeros(len(flat))
+    state = np.zeros((len(dealt), HIDDEN), np.float32)
+    begin = 0
+    while begin < loads[0]:
+        active = int(np.count_nonzero(loads > begin))
+        steps = min(max(window, window * lanes // (8 * active)), int(loads[0]) - begin)  # few lanes: as many rows by longer windows
+        place = first[None, :active] + begin + np.arange(steps + 1)[:, None]
+        ids = flat.take(place, mode="clip").astype(np.int64)
+        states, back = np.empty((steps, active, HIDDEN), np.float32), np.empty((active, HIDDEN), np.float32)
+        state, (gates, new) = state[:active], cell.inputs(ids[:-1])
+        bounds = np.searchsorted(starts, np.arange(begin, begin + steps + 1)).tolist()
+        for t in range(steps):
+            if bounds[t] < bounds[t + 1]:
+                state = state.copy()
+                state[starting[bounds[t] : bounds[t + 1]]] = 0
+            cell.step(state, gates[:, t], new[t], back, states[t])
+            state = states[t]
+        whole = min(steps, int(loads[active - 1]) - begin)  # so many steps are inside all lanes
+        log_p[place[:whole].reshape(-1)] = last.log_p(states[:whole].reshape(-1, HIDDEN), ids[1 : whole + 1].reshape(-1))
+        if whole < steps:
+            valid = (begin + np.arange(whole, steps))[:, None] < loads[None, :active]
+            log_p[place[whole:-1][valid]] = last.log_p(states[whole:][valid], ids[whole + 1 :][valid])
+        begin += steps
+    out = np.empty(len(texts))
+    out[order] = np.add.reduceat(log_p, begins + lane_of)
     return out
 
 
-def _row_sums(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """For each row number below `n`, all of which occur, the sum of the values that go to it.
+def _by_turn(rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """How values that go to rows below `n`, all of which occur, are laid out to be summed.
 
-    Numbers that occur often are summed one by one, the others by their first, second and
-    so on occurrence together.
+    Gives the rows by falling number of values; the order of the values: those of each row with more
+    than OFTEN, row by row, then the first of all other rows, the second of those that have two, and so
+    on; how many values each row of the first kind has; and how many rows each turn of the second kind has.
     """
-    values = values[np.argsort(rows.astype(np.uint16), kind="stable")]
+    sorted_places = np.argsort(rows.astype(np.uint16), kind="stable")
     times = np.bincount(rows, minlength=n)
     first = np.cumsum(times) - times
-    out = values[first]
-    few = np.nonzero((times > 1) & (times <= OFTEN))[0]
-    for j in range(1, OFTEN):
-        few = few[times[few] > j]
-        if not len(few):
-            break
-        out[few] += values[first[few] + j]
-    for k in np.nonzero(times > OFTEN)[0].tolist():
-        out[k] = _down(values[first[k] : first[k] + times[k]])
+    by = np.argsort(-times, kind="stable")
+    often = int(np.count_nonzero(times > OFTEN))
+    turns = len(by) - often - np.cumsum(np.bincount(times[by[often:]], minlength=OFTEN + 1))[:OFTEN]  # with more than j values
+    turns = turns[turns > 0]
+    own = [np.arange(first[k], first[k] + times[k]) for k in by[:often].tolist()]
+    places = np.concatenate([*own, *(first[by[often : often + m]] + j for j, m in enumerate(turns.tolist()))])
+    return by, sorted_places[places], times[by[:often]], turns
+
+
+def _summed(values: np.ndarray, often: np.ndarray, turns: np.ndarray) -> np.ndarray:
+    """Sums for the rows of `_by_turn`, of values in its order."""
+    most = int(turns[0]) if len(turns) else 0
+    out, at = np.empty((len(often) + most, values.shape[1]), values.dtype), 0
+    for k, n in enumerate(often.tolist()):
+        out[k] = _down(values[at : at + n])
+        at += n
+    few = out[len(often) :]
+    for j, m in enumerate(turns.tolist()):
+        if j:
+            few[:m] += values[at : at + m]
+        else:
+            few[:] = values[at : at + m]
+        at += m
     return out
 
 
@@ -214,74 +287,132 @@ def _gradients(weights: Weights, state: np.ndarray, inputs: np.ndarray, targets:
 def touched(weights: Weights, state: np.ndarray, inputs: np.ndarray, targets: np.ndarray, counted: np.ndarray) -> tuple[Gradients, np.ndarray, float]:
     """Gradients of the mean loss of one window for the weights that it touches, the state behind it, and the loss."""
     h, (steps, lanes), kind = HIDDEN, inputs.shape, weights["u"].dtype
-    fresh = (inputs != 0).astype(kind)[:, :, None]  # a text starts from nothing
+    fresh_at, fresh = np.nonzero(inputs == 0)  # a text starts from nothing
+    fresh = np.split(fresh, np.searchsorted(fresh_at, np.arange(1, steps)))
     here = np.zeros(len(weights["x"]), bool)  # only the rows of this window's inputs are looked at
     here[inputs] = True
-    used, places = np.nonzero(here)[0], (np.cumsum(here) - 1)[inputs]
-    cell = Cell({"x": weights["x"][used], "u": weights["u"]})
+    used, places = np.nonzero(here)[0], (np.cumsum(here) - 1).take(inputs)
+    cell = Cell({"x": weights["x"].take(used, axis=0), "u": weights["u"]})
     before, states = np.empty((steps, lanes, h), kind), np.empty((steps, lanes, h), kind)
     (gates, new), back = cell.inputs(places), np.empty((steps, lanes, h), kind)
     for t in range(steps):
-        np.multiply(state, fresh[t], out=before[t])
-        cell.step(before[t], gates[t], new[t], back[t], states[t])
+        before[t] = state
+        if len(fresh[t]):
+            before[t][fresh[t]] = 0
+        cell.step(before[t], gates[:, t], new[t], back[t], states[t])
         state = states[t]
     cut = ByClass(weights, targets.reshape(-1))
-    flat = states.reshape(-1, h)[cut.order]
-    scale = counted.reshape(-1)[cut.order].astype(kind)
+    flat = states.reshape(-1, h).take(cut.order, axis=0)
+    scale = counted.reshape(-1).take(cut.order).astype(kind)
     scale /= max(1.0, scale.sum())
-
-    def down(x: np.ndarray, at: np.ndarray, part: np.ndarray) -> float:
-        """Turns logits into their gradient; gives the loss."""
-        log_p = _log_p(x, at)
-        x *= (part / _across(x))[:, None]
-        x[np.arange(len(x)), at] -= part
-        return -float((log_p * part).sum())
-
-    d = cut.outer(weights, flat)
-    loss = down(d, cut.of, scale)
-    found: Gradients = [("c", None, flat.T @ d), ("cb", None, _down(d))]
-    d_flat = d @ weights["c"].T
+    found, d_flat, loss = _outer(weights, flat, cut, scale)
     if len(cut.some):
-        rows = flat[cut.first :]
-        e = cut.inner(weights, rows)
-        loss += down(e, cut.place[cut.first :], scale[cut.first :])
-        inside, back_w = np.empty((len(cut.some), h, WIDE), kind), weights["w"].transpose(0, 2, 1)
-        d_rows = np.empty((len(e), h), kind)
-        for j, (k, a, b) in enumerate(cut.parts()):
-            part = e[a:b]
-            np.matmul(rows[a:b].T, part, out=inside[j])
-            np.matmul(part, back_w[k], out=d_rows[a:b])
+        inside, d_rows, more = _inner(weights, flat, cut, scale)
+        found += inside
         d_flat[cut.first :] += d_rows
-        some = None if len(cut.some) == len(weights["w"]) else cut.some
-        found += [("w", some, inside), ("wb", some, np.add.reduceat(e, cut.begin, axis=0))]
+        loss += more
     d_states = np.empty_like(d_flat)
     d_states[cut.order] = d_flat
     d_states = d_states.reshape(steps, lanes, h)
-    # all that does not hang on what comes from behind
-    z, r = gates[:, :, :h], gates[:, :, h:]
-    rest = 1 - z
-    to_z, to_r, to_new = (before - new) * z * rest, back * r * (1 - r), rest * (1 - new * new)
-    d_state = np.zeros((lanes, h), kind)
-    d_all = np.empty((steps, lanes, 4 * h), kind)  # of the new state's other input, of both gates, of the new state's recurrent input
-    back_u = np.ascontiguousarray(weights["u"].T)
+    d_all = np.empty((steps, 4, lanes, h), kind)  # of the new state's other input, of both gates, of the new state's recurrent input
+    d_state, d_u, rest = np.zeros((lanes, h), kind), np.zeros((3, h, h), kind), np.empty((lanes, h), kind)
+    back_u = np.ascontiguousarray(weights["u"].reshape(h, 3, h).transpose(1, 2, 0))
     for t in range(steps - 1, -1, -1):
-        g, da = d_states[t], d_all[t]
+        g, (dn, dz, dr, dm), (z, r) = d_states[t], d_all[t], gates[:, t]
         g += d_state
-        dn = da[:, :h]
-        np.multiply(g, to_new[t], out=dn)
-        np.multiply(g, to_z[t], out=da[:, h : 2 * h])
-        np.multiply(dn, to_r[t], out=da[:, 2 * h : 3 * h])
-        np.multiply(dn, r[t], out=da[:, 3 * h :])
-        d_state = da[:, h:] @ back_u
-        d_state += g * z[t]
-        d_state *= fresh[t]
-    d_all = d_all.reshape(-1, 4 * h)
-    found.append(("u", None, before.reshape(-1, h).T @ d_all[:, h:]))
-    sums = _row_sums(places.reshape(-1), d_all[:, : 3 * h], len(used))
-    found.append(("x", used, np.concatenate([sums[:, h:], sums[:, :h]], axis=1)))
+        np.subtract(1, z, out=rest)
+        np.multiply(g, rest, out=dn)
+        np.subtract(before[t], new[t], out=dz)
+        dz *= z
+        dz *= dn
+        np.multiply(new[t], new[t], out=rest)
+        np.subtract(1, rest, out=rest)
+        dn *= rest
+        np.multiply(dn, r, out=dm)
+        np.subtract(1, r, out=rest)
+        np.multiply(dm, back[t], out=dr)
+        dr *= rest
+        to_z, to_r, d_state = np.matmul(d_all[t, 1:], back_u)
+        d_state += to_z
+        d_state += to_r
+        g *= z
+        d_state += g
+        if len(fresh[t]):
+            d_state[fresh[t]] = 0
+        d_u += np.matmul(before[t].T, d_all[t, 1:])
+    found.append(("u", None, d_u.transpose(1, 0, 2).reshape(h, 3 * h)))
+    by, order, often, turns = _by_turn(places.reshape(-1), len(used))
+    rows = (order // lanes * (4 * lanes) + order % lanes)[:, None] + np.array([1, 2, 0]) * lanes
+    values = d_all.reshape(-1, h).take(rows, axis=0).reshape(-1, 3 * h)
+    found.append(("x", used[by], _summed(values, often, turns)))
     return found, state, loss
 
 
+def _outer(weights: Weights, flat: np.ndarray, cut: ByClass, scale: np.ndarray) -> tuple[Gradients, np.ndarray, float]:
+    """Gradients of the softmax over classes, for its weights and for its rows, and its loss.
+
+    With biases as factors (see `Output`) logits become gradients but for the factors, which come in at the end.
+    """
+    c, cb, factors = Output._softmax(weights["c"], weights["cb"])
+    tame = factors is not None
+    e = factors if tame else np.ones_like(cb)
+    back_c, d_c, d_cb = np.ascontiguousarray((c * e).T), np.zeros_like(c), np.zeros_like(cb)
+    d_flat, log_p = np.empty_like(flat), np.empty(len(flat), flat.dtype)
+    room = np.empty((BLOCK, len(cb)), flat.dtype)
+    for a, b in cuts(0, len(flat)):
+        rows, at, part = flat[a:b], cut.of[a:b], scale[a:b]
+        x = np.matmul(rows, c, out=room[: b - a])
+        if not tame:
+            x += cb
+            _clipped(x)
+        places, whole = np.arange(0, x.size, x.shape[1]) + at, x.reshape(-1)
+        picked = whole.take(places)
+        np.exp(x, out=x)
+        sums = x @ e
+        log_p[a:b] = picked - np.log(sums)
+        whole[places] -= sums / e.take(at)
+        x *= (part / sums)[:, None]
+        d_c += rows.T @ x
+        d_cb += _down(x)
+        np.matmul(x, back_c, out=d_flat[a:b])
+    if tame:
+        log_p += cb.take(cut.of)
+    d_c *= e
+    d_cb *= e
+    return [("c", None, d_c), ("cb", None, d_cb)], d_flat, -float((log_p * scale).sum())
+
+
+def _inner(weights: Weights, flat: np.ndarray, cut: ByClass, scale: np.ndarray) -> tuple[Gradients, np.ndarray, float]:
+    """The same for the softmaxes inside classes; rows are those from `cut.first` on."""
+    rows, at, part, kind = flat[cut.first :], cut.place[cut.first :], scale[cut.first :], flat.dtype
+    x, w = np.empty((len(rows), WIDE), kind), weights["w"]
+    for k, begin, end in cut.parts():
+        for a, b in cuts(begin, end):
+            np.matmul(rows[a:b], w[k], out=x[a:b])
+    x += weights["wb"].take(cut.of[cut.first :] - 1, axis=0)
+    if x.max() > LIMIT or x.min() < -LIMIT:
+        _clipped(x)
+    places, whole = np.arange(0, x.size, WIDE) + at, x.reshape(-1)
+    log_p = whole.take(places)
+    np.exp(x, out=x)
+    sums = _across(x)
+    log_p -= np.log(sums)
+    x *= (part / sums)[:, None]
+    whole[places] -= part
+    d_w, d_wb, d_rows = np.empty((len(cut.some), HIDDEN, WIDE), kind), np.empty((len(cut.some), WIDE), kind), np.empty_like(rows)
+    back_w, ones = w.transpose(0, 2, 1), np.ones(len(rows), kind)
+    for j, (k, begin, end) in enumerate(cut.parts()):
+        np.matmul(ones[begin:end], x[begin:end], out=d_wb[j])
+        for a, b in cuts(begin, end):
+            np.matmul(x[a:b], back_w[k], out=d_rows[a:b])
+            if a == begin:
+                np.matmul(rows[a:b].T, x[a:b], out=d_w[j])
+            else:
+                d_w[j] += rows[a:b].T @ x[a:b]
+    some = None if len(cut.some) == len(w) else cut.some
+    return [("w", some, d_w), ("wb", some, d_wb)], d_rows, -float((log_p * part).sum())
+
+
 def unseen(weights: Weights) -> Weights:
     return {k: np.full_like(v, 1e-3) for k, v in weights.items()}
 

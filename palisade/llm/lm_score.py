@@ -55,7 +55,7 @@ END = np.uint64(0x5EED0FE17D)
 #: A task hands on its counts when it holds so many words.
 FLUSH_WORDS = 400_000
 #: Texts are cut together up to so many bytes, learnt and scored together up to so many tokens.
-TOGETHER, TOKENS = 4 << 20, 1 << 20
+TOGETHER, TOKENS, SCORED = 4 << 20, 1 << 20, 4 << 20
 #: Weights are averaged in so many pieces, and each piece in as many lots as a lot has copies.
 BLOCKS = 64
 #: Tokens that one copy learns from in one round.
@@ -211,14 +211,14 @@ def _averaged(copies: DataFrame) -> DataFrame:
 
 
 def _pools(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list[pa.RecordBatch], list[np.ndarray]]]:
-    """Batches together until their ids are TOKENS or more, with each row's ids."""
+    """Batches together until their ids are SCORED or more, with each row's ids."""
     held, ids, size = [], [], 0
     for batch in batches:
         rows = [np.frombuffer(x, np.uint16) for x in batch.column(column).to_pylist()]
         held.append(batch)
         ids += rows
         size += sum(map(len, rows))
-        if size >= TOKENS:
+        if size >= SCORED:
             yield held, ids
             held, ids, size = [], [], 0
     if ids:

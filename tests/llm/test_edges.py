@@ -629,6 +629,47 @@ def test_gradients_inside_classes():
         assert abs(slope - grads[name][place]) < 1e-5
 
 
+def test_scoring_steps_do_not_follow_each_group_of_texts(monkeypatch):
+    from palisade.llm import gru
+
+    rng, steps, step = np.random.default_rng(8), [], gru.Cell.step
+    weights = gru.start(np.ones(128), 5.0)
+    texts = [rng.integers(0, 129, n) for n in (400, *[100] * 12, 0)]  # an end inside a text starts no other text
+    alone = [gru.log_likelihoods(weights, [t])[0] for t in texts]
+    monkeypatch.setattr(gru.Cell, "step", lambda *args: (steps.append(1), step(*args))[1])
+    together = gru.log_likelihoods(weights, texts, lanes=4, window=8)
+    assert np.allclose(together, alone, atol=1e-3)
+    assert len(steps) < 420  # 401 for the longest text; four texts at a time took 704
+    assert len(gru.log_likelihoods(weights, [])) == 0
+
+
+def test_biases_as_factors_change_nothing(monkeypatch):
+    from palisade.llm import gru
+
+    rng = np.random.default_rng(9)
+    weights = {k: v.astype(np.float64) for k, v in gru.start(np.arange(1.0, 193.0), 5.0).items()}
+    inputs, targets = rng.choice([0, 3, 70, 192], (24, 40)), rng.integers(0, 193, (24, 40))  # each input more than OFTEN times
+    inputs[0, :6] = (5, 6, 6, 7, 7, 7)
+    state, use = np.zeros((40, gru.HIDDEN)), np.ones((24, 40), bool)
+    hidden = rng.uniform(-1, 1, (600, gru.HIDDEN))
+    rows = rng.integers(0, 193, 600)
+    found = gru._gradients(weights, state, inputs, targets, use), gru.output(weights, hidden, rows)
+    monkeypatch.setattr(gru, "_tame", lambda matrix, bias: False)
+    same = gru._gradients(weights, state, inputs, targets, use), gru.output(weights, hidden, rows)
+    assert all(np.allclose(found[0][0][k], same[0][0][k], atol=1e-12) for k in weights) and abs(found[0][2] - same[0][2]) < 1e-12
+    assert np.allclose(found[1], same[1], atol=1e-10)
+    for name, place in (("x", (192, 40)), ("x", (7, 70)), ("x", (6, 3)), ("c", (3, 2)), ("cb", (1,))):
+        up, down = ({k: v.copy() for k, v in weights.items()} for _ in range(2))
+        up[name][place] += 1e-4
+        down[name][place] -= 1e-4
+        slope = (gru._gradients(up, state, inputs, targets, use)[2] - gru._gradients(down, state, inputs, targets, use)[2]) / 2e-4
+        assert abs(slope - same[0][0][name][place]) < 1e-6
+    monkeypatch.undo()
+    weights["c"] *= 1e4  # logits are clipped
+    weights["w"] *= 1e4
+    assert np.isfinite(gru.output(weights, hidden, rows)).all() and np.isfinite(gru._gradients(weights, state, inputs, targets, use)[2])
+
+
 # chat
 
 
